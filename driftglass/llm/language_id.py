@@ -160,7 +160,9 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> d
     return {"langs": langs, "table": table, "bias": (bias * heat).astype(np.float64), "level": level}
 
 
-def predict_batches(shared):
+def predict_batches(shared, keep: bool = False):
+    """Predictions; with keep, the rows that aren't rejected, whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -187,6 +189,9 @@ def predict_batches(shared):
                 lang[known] = np.array(model["langs"], object)[best][known]
                 score[known] = p[np.arange(n), best][known]
             out = score < (model["level"] if model else 1)
+            if keep:
+                yield batch.filter(pa.array(~out & known))
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(out | ~known)], names=["doc_id", "lang_pred", "score", "rejected"]
             )
@@ -207,5 +212,11 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict_batches(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs whose language the model recognises."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(predict_batches(shared, keep=True), docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == part, F.lit(False))

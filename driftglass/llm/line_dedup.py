@@ -35,6 +35,7 @@ SLOTS = 4
 KEYS_PER_SHARD = 100_000
 FILTER_BYTES_MOST = 64 << 20
 EXCEPTIONS_MOST = 100_000
+FOUND = "_found_keys"
 
 
 def lines(data: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
@@ -206,8 +207,8 @@ def accepted(filters: dict[int, CuckooFilter], shards: int, k1: np.ndarray, k2:
     return out
 
 
-def cut_batches(drops, min_chars: int):
-    """Documents without the lines that drops(batch) -> (row, k1, k2) -> bool says to drop."""
+def cut_batches(drops, min_chars: int, digest: bool):
+    """Rows without the lines that drops(batch) -> (row, k1, k2) -> bool says to drop: all columns with the new text, or a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,23 +232,32 @@ def cut_batches(drops, min_chars: int):
                         kept.append(piece[at[i] : at[i + 1]].tobytes())
             if not len(batch):
                 continue
+            if not digest:
+                names = [x for x in batch.schema.names if x != FOUND]
+                text = pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([text if x == "text" else batch.column(x) for x in names], names=names)
+                continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(many)), pa.array(np.concatenate(gone)), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"],
+                [batch.column("doc_id"), pa.array(np.concatenate(many)), pa.array(np.concatenate(gone)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
+                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
     return run
 
 
-RESULT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
+DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+
 
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_bytes_most: int = FILTER_BYTES_MOST, digest: bool = False) -> DataFrame:
+    """docs without the lines of keys in min_docs documents or more: its columns with what is left as text (a null text: '').
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_bytes_most: int = FILTER_BYTES_MOST) -> DataFrame:
-    """One row per document of docs(doc_id, text), with the text that is left in kept."""
+    With digest, of docs(doc_id, text): doc_id, n_lines, n_dropped, kept_sha256.
+    """
     counts = stored(line_counts(docs, min_chars), "line-counts")
     hot = counts.where(F.col("docs") >= min_docs)
     n_hot = hot.count()
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text") if digest else docs
+    schema = DIGEST if digest else docs.schema
     if n_hot * 4 * 3 <= filter_bytes_most:
         shards = max(1, -(-n_hot // KEYS_PER_SHARD))
         held = {r["shard"]: bytes(r["filter"]) for r in build_filters(hot, shards).collect()}  # at most filter_bytes_most
@@ -255,11 +265,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_b
         wrong = [(r.k1, r.k2) for r in wrong.limit(EXCEPTIONS_MOST + 1).collect()]
         if len(wrong) <= EXCEPTIONS_MOST:
             shared = docs.sparkSession.sparkContext.broadcast((held, np.array(wrong, np.int64).reshape(-1, 2)))
-            return rows.mapInArrow(cut_batches(Judge(shared, shards), min_chars), RESULT)
-    found = rows.mapInArrow(keyed_batches(min_chars), f"doc_id long, {KEY}").join(hot, ["k1", "k2"], "left_semi")
-    found = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("found"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").drop("found_id")
-    return joined.mapInArrow(cut_batches(listed, min_chars), RESULT)
+            return rows.mapInArrow(cut_batches(Judge(shared, shards), min_chars, digest), schema)
+    found = docs.select("doc_id", "text").mapInArrow(keyed_batches(min_chars), f"doc_id long, {KEY}").join(hot, ["k1", "k2"], "left_semi")
+    found = found.groupBy(F.col("doc_id").alias(FOUND + "_id")).agg(F.collect_set(F.struct("k1", "k2")).alias(FOUND))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col(FOUND + "_id")), "left").drop(FOUND + "_id")
+    return joined.mapInArrow(cut_batches(listed, min_chars, digest), schema)
 
 
 class Judge:
@@ -299,8 +309,8 @@ def keyed_batches(min_chars: int):
 
 
 def listed(batch: pa.RecordBatch):
-    """Drops the lines whose keys the batch's column found lists."""
-    column = batch.column("found").combine_chunks() if isinstance(batch.column("found"), pa.ChunkedArray) else batch.column("found")
+    """Drops the lines whose keys the batch's column FOUND lists."""
+    column = batch.column(FOUND)
     lists = column.to_pylist()
     tag = lambda row, k1, k2: mix(mix(row.astype(np.uint64)) + k1.view(np.uint64)) ^ k2.view(np.uint64)
     flat = [(i, x["k1"], x["k2"]) for i, xs in enumerate(lists) for x in xs or ()]

@@ -35,7 +35,7 @@ def corpus():
 @pytest.mark.parametrize(("most", "min_docs", "min_chars"), [(L.FILTER_BYTES_MOST, 10, 1), (0, 10, 1), (L.FILTER_BYTES_MOST, 3, 4)])
 def test_matches_brute_force(spark, most, min_docs, min_chars):
     docs = spark.createDataFrame([(i, t, 1) for i, t in corpus()], "doc_id long, text string, kept int")
-    got = L.line_dedup(docs, min_docs, min_chars, most).drop("kept")
+    got = L.line_dedup(docs, min_docs, min_chars, most, digest=True)
     assert sorted(map(tuple, got.collect()), key=str) == brute(corpus(), min_docs, min_chars)
 
 
@@ -43,6 +43,13 @@ def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(i, f"same\nown {i}", i + 1, "f") for i in range(12)] + [(12, None, 13, "f")], "doc_id long, text string, found int, k1 string")
+    got = L.line_dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(i, f"own {i}", i + 1, "f") for i in range(12)] + [(12, "", 13, "f")]
+
+
 def test_counts_and_filters_are_reversible(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
