@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from driftglass.llm.buffers import LOWER, utf8
 
 BUCKETS, DIM, NGRAMS = 1 << 14, 16, 4
-SAMPLE, LANGUAGES, REJECT, CHUNK = 2000, 256, 0.002, 1 << 17
+SAMPLE, LANGUAGES, REJECT, CHUNK, PROBE = 2000, 256, 0.002, 1 << 17, 1 << 10
 BATCH, EPOCHS, RATE = 16, 6, 8.0
 UNKNOWN = "und"
 
@@ -69,10 +69,15 @@ def chunk_rows(offsets: np.ndarray, a: int, b: int) -> tuple[int, np.ndarray]:
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
-    ascii_ = np.concatenate([[0], np.cumsum((LETTER[data] > 0) & (data < 128))])
-    out = ascii_[offsets[1:]] > ascii_[offsets[:-1]]
-    for i in np.flatnonzero(~out & (offsets[1:] > offsets[:-1])):
-        out[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    out = np.zeros(len(offsets) - 1, bool)
+    for i in range(len(out)):
+        for a in range(offsets[i], offsets[i + 1], PROBE):
+            piece = data[a : min(a + PROBE, offsets[i + 1])]
+            if ((LETTER[piece] > 0) & (piece < 128)).any():
+                out[i] = True
+                break
+        else:
+            out[i] = offsets[i + 1] > offsets[i] and any(c.isalpha() for c in column[i].as_py())
     return out
 
 
