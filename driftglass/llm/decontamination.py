@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.storage import stored
+from driftglass.llm.storage import broadcast_if_small, stored
 
 # Units of measure, as written after numbers.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inches|in|lbs?|oz|mph|kph|km/h|%|percent|dollars?|cents?|euros?|usd|eur|°[CF]?"
@@ -121,5 +121,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:
     """The rows of docs that hold no item of the benchmark."""
-    found = contaminated(docs, benchmark, width, min_windows).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    found = stored(contaminated(docs, benchmark, width, min_windows).select(F.col("doc_id").alias("found_id")).distinct(), "found")
+    return docs.join(broadcast_if_small(found), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import LOWER_VALUE, mix, prefix_sums, row_pieces, span_hash, utf8, words
-from driftglass.llm.storage import stored
+from driftglass.llm.storage import broadcast_if_small, stored
 
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 SLACK, BLOCK = 0.2, 2048
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
 
     # whole sets, of the candidates alone
     named = about.where(F.col("node") < NAMELESS).select(F.col("node").alias("doc_id"))
-    texts = docs.join(named, "doc_id").select("doc_id", "text")
+    texts = docs.join(broadcast_if_small(named), "doc_id", "left_semi").select("doc_id", "text")
     if about.where(F.col("node") >= NAMELESS).take(1):
         texts = texts.unionByName(docs.where("doc_id IS NULL"))
     sets = texts.mapInArrow(set_batches(width), "doc_id long, d1 long, hashes array<long>").withColumn("node", F.coalesce("doc_id", nameless))
