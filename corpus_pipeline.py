@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftglass.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from driftglass.llm.storage import stored
+from driftglass.llm.storage import broadcast_if_small, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,13 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = stored(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("rows > 1").take(1):
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    judged = stored(near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "kept").agg(F.count("*").alias("rows")), "judged")
+    dropped = stored(judged.where("NOT kept").select("doc_id"), "dropped")
+    out = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(docs.columns)
+    if judged.where("kept AND rows > 1").take(1):
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("_n", first).where("_n = 1 OR doc_id IS NULL").drop("_n")
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
