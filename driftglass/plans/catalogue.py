@@ -1,9 +1,381 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables: one for every operator, and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from driftglass.functions import text
+from driftglass.operators import battery, calibration, fitting, generators, reports, robustness, sequence, twosample
+from driftglass.operators.windows import sliding, tail
+from driftglass.plans import sql
+from driftglass.sources import results, series
 
-def oracle_sql():
-    return {}
+PERMUTED = ("excess_kurtosis", "acf_abs_1", "leverage")
+NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap")
+RUNS, T_DF, VOLATILITY = 8, 5.0, (0.02, 0.1, 0.85)
+WORDS = {"the": "the ", "and": " and ", "der": " der ", "que": "que[ ,.]"}
+MENTION, SIMULATION = "the |der ", " and | que "
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zeros."""
+    return df.select(*(F.round(c, 6) + F.lit(0.0) if t == "double" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+
+
+def windows_of(spark: SparkSession, d: str, source: str = "li6", stride: int = 250) -> DataFrame:
+    return sliding(series.returns(series.SETS[source](spark, d)), stride=stride)
+
+
+def facts_of(spark: SparkSession, d: str) -> DataFrame:
+    return battery.evaluate(windows_of(spark, d))
+
+
+def long_of(spark: SparkSession, d: str) -> DataFrame:
+    """Kept in the session: comparisons read it several times, and it has a row for each 1000 returns and statistic."""
+    return battery.unpivoted(facts_of(spark, d).persist())
+
+
+def split(long: DataFrame) -> DataFrame:
+    """Two groups of series: the real against the real."""
+    return long.withColumn("side", F.when(F.col("series_id").isin("AF", "AO", "NF", "NO"), "a").otherwise("b"))
+
+
+def synthetic(spark: SparkSession, d: str, names=NATIVE, runs: int = RUNS, n: int = 1000) -> DataFrame:
+    """generator, run, i, r."""
+    pool = generators.pooled(series.returns(series.li6(spark, d)))
+    made = {"gaussian": lambda: generators.gaussian(spark, runs, n), "student_t": lambda: generators.student_t(spark, runs, n, T_DF), "iid_bootstrap": lambda: generators.iid_bootstrap(pool, runs, n), "block_bootstrap": lambda: generators.block_bootstrap(pool, runs, n)}
+    out = None
+    for name in names:
+        out = made[name]() if out is None else out.unionByName(made[name]())
+    return out
+
+
+def synthetic_long(spark: SparkSession, d: str, names=NATIVE) -> DataFrame:
+    key = ("generator", "run")
+    return battery.unpivoted(battery.evaluate(synthetic(spark, d, names), key).persist(), key).select("generator", "stat", "value")
+
+
+def against(spark: SparkSession, d: str, names=NATIVE) -> DataFrame:
+    """stat, generator, n_a, n_b, auc, power, ks: all windows against all runs, every statistic and generator at once."""
+    real = long_of(spark, d).select("stat", "value")
+    return twosample.compared(twosample.two_sides(real, synthetic_long(spark, d, names)), ["stat", "generator"]).drop("gap")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(battery.evaluate(windows_of(spark, d, "li3")).select("series_id", "start", "excess_kurtosis", "acf_abs_1", "acf_abs_20", "leverage", "drift", "variance_ratio_20"))
+
+
+def returns_query(source: str):
+    return lambda spark, d: rounded(series.returns(series.SETS[source](spark, d)))
+
+
+def windows_query(stride: int):
+    return lambda spark, d: rounded(windows_of(spark, d, stride=stride).groupBy("series_id", "start").agg(F.count("*").alias("n"), F.sum("r").alias("total")))
+
+
+def fact_query(*stats: str):
+    return lambda spark, d: rounded(facts_of(spark, d).select("series_id", "start", *stats))
+
+
+def generator_query(name: str):
+    return lambda spark, d: rounded(synthetic(spark, d, (name,), 20, 100))
+
+
+def gen_garch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(generators.garch(spark, 4, 100, *VOLATILITY))
+
+
+def permutation(spark: SparkSession, d: str) -> DataFrame:
+    samples = split(long_of(spark, d).where(F.col("stat").isin(*PERMUTED)))
+    return rounded(twosample.permutation_test(samples, ["stat"], ["series_id", "start"], 200, sql.SEED))
+
+
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    samples = split(long_of(spark, d).where(F.col("stat").isin(*PERMUTED)))
+    return rounded(twosample.bootstrap_power(samples, ["stat"], ["series_id", "start"], 200, sql.SEED))
+
+
+def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(twosample.compared(split(long_of(spark, d)), ["stat"]).drop("gap"))
+
+
+def separation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comparison with fitted generators and permutations: 30 windows a series against 20 runs."""
+    rows = series.returns(series.li6(spark, d))
+    fit = fitting.fit_windows(tail(rows.where("series_id = 'AF'"))).first()
+    runs = generators.all_generators(generators.pooled(rows), fit.asDict(), 20, 1000)
+    key = ("generator", "run")
+    made = battery.unpivoted(battery.evaluate(runs, key).persist(), key).withColumn("id", F.concat_ws("-", *key)).select("stat", "generator", "id", "value")
+    real = battery.unpivoted(battery.evaluate(sliding(rows, stride=1000)).persist()).withColumn("id", F.concat_ws("-", "series_id", "start")).select("stat", "id", "value")
+    return rounded(twosample.permutation_test(twosample.two_sides(real, made), ["stat", "generator"], ["id"], 100, sql.SEED))
+
+
+def effective(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(robustness.effective_n(long_of(spark, d)))
+
+
+def inflation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(robustness.interval_inflation(robustness.effective_n(long_of(spark, d))))
+
+
+def strata(spark: SparkSession, d: str) -> DataFrame:
+    made = synthetic_long(spark, d, ("block_bootstrap",)).select("stat", "value")
+    return rounded(robustness.by_stratum(long_of(spark, d), made))
+
+
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(robustness.tail_sweep(windows_of(spark, d), synthetic(spark, d, ("student_t", "iid_bootstrap"))))
+
+
+def sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(battery.hill_sweep(windows_of(spark, d)))
+
+
+def bands(spark: SparkSession, d: str) -> DataFrame:
+    rows = sequence.cumulative_paths(windows_of(spark, d, stride=1000), ("series_id", "start")).withColumn("step", F.col("i") - F.col("start"))
+    return rounded(sequence.path_bands(rows, ()).where("step % 50 = 49"))
+
+
+def paths_like(spark: SparkSession, d: str) -> DataFrame:
+    """Event returns of 990 rows a stretch as candidate paths: some short, some with runs of zeros made by rounding."""
+    rows = series.returns(series.ev5(spark, d)).withColumn("r", F.when(F.col("i") % 1000 < 60, 0.0).otherwise(F.col("r")))
+    return rows.select(F.col("series_id").alias("candidate"), F.floor(F.col("i") / 990).cast("long").alias("seed"), "i", "r")
+
+
+def gates(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.gated(paths_like(spark, d))
+
+
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows_of(spark, d, stride=1000).select(F.col("series_id").alias("candidate"), F.col("start").alias("seed"), "i", "r")
+    return calibration.deterministic(rows)
+
+
+def drift_gate(spark: SparkSession, d: str) -> DataFrame:
+    facts = facts_of(spark, d).select("series_id", "start", "drift")
+    bounds = facts.agg(F.percentile("drift", F.lit(0.025)).alias("lo"), F.percentile("drift", F.lit(0.975)).alias("hi"))  # one row
+    return rounded(facts.join(F.broadcast(bounds)).withColumn("inside", F.col("drift").between(F.col("lo"), F.col("hi"))))
+
+
+def fw_paths(spark: SparkSession, seeds: int, n: int, burn: int) -> DataFrame:
+    return calibration.simulate(spark.createDataFrame([(0,)], "candidate long"), list(range(seeds)), n, burn)
+
+
+def sim_fw(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(battery.evaluate(fw_paths(spark, 10, 1000, 1000), ("candidate", "seed")))
+
+
+def fw_verify(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(calibration.published_check(fw_paths(spark, 4, 17_000, 2000)))
+
+
+def calibrate_fw(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.returns(series.li6(spark, d))
+    target = calibration.target_and_scale(sliding(rows, stride=1000), tail(rows.where("series_id = 'AF'"))).persist()
+    return rounded(calibration.calibrate(spark, target, calibration.Config(draws=8, seeds=4)))
+
+
+TRIED = "VALUES ('m1', 0, 'a', 0.5, 0.0, 1.0), ('m1', 0, 'b', 0.01, 0.0, 1.0), ('m1', 1, 'a', 0.99, 0.0, 1.0), ('m1', 1, 'w_x', 1.0, 0.0, 1.0), ('m2', 0, 'a', 3.0, 1.0, 9.0), ('m2', 0, 'c', 8.9, 1.0, 9.0)"
+
+
+def tried(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT col1 AS model, col2 AS draw, col3 AS param, cast(col4 AS double) AS value, cast(col5 AS double) AS lo, cast(col6 AS double) AS hi FROM ({TRIED})")
+
+
+def bounds(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.at_bound(tried(spark)).select("model", F.array_join("at_bound", ",").alias("at_bound"))
+
+
+def loss_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every window as a candidate against the means of all."""
+    long = long_of(spark, d)
+    target = long.groupBy("stat").agg(F.avg("value").alias("target"), F.stddev_pop("value").alias("scale"))
+    return rounded(calibration.losses(long.withColumn("candidate", F.concat_ws("-", "series_id", "start")), target))
+
+
+def frontier(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.frontier(loss_table(spark, d), 20)
+
+
+def fits(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fitting.fit_windows(tail(series.returns(series.li6(spark, d)))))
+
+
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return series.table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("body"))
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """Page text with a list of references put after it, which is to go; a heading near the start stays."""
+    body = F.concat(F.when(F.col("page_id") % 2 == 0, "x References y ").otherwise(""), text.strip_html(F.col("html")), F.lit(" References z"))
+    return series.table(spark, d, "pages").select("page_id", text.strip_references(body).alias("body"))
+
+
+def audited(spark: SparkSession, d: str) -> DataFrame:
+    return text.audit(series.table(spark, d, "documents"), "doc_id", "text", WORDS, MENTION, SIMULATION)
+
+
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = audited(spark, d)
+    return rows.select("doc_id", "nchar", *(F.col("counts")[w].cast("bigint").alias(f"n_{w}") for w in WORDS), F.array_join("ge1", ",").alias("ge1"), F.array_join("ge3", ",").alias("ge3"))
+
+
+def audit_inclusion(spark: SparkSession, d: str) -> DataFrame:
+    return audited(spark, d).select("doc_id", "sf_mention", "is_sim")
+
+
+def audit_prevalence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(text.prevalence(audited(spark, d)))
+
+
+def digest(spark: SparkSession, d: str) -> DataFrame:
+    return series.digests(series.li3(spark, d))
+
+
+def resume(spark: SparkSession, d: str) -> DataFrame:
+    """Windows still to do when those of even hundreds of starts are done."""
+    wanted = windows_of(spark, d).select("series_id", "start").distinct()
+    return results.unfinished(wanted, wanted.where("start % 500 = 0"), ["series_id", "start"])
+
+
+def mid_ranks(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_orderkey", F.col("l_quantity").alias("value"))
+    ranks = sequence.mid_ranks(rows, ["l_returnflag"])
+    return rounded(ranks.groupBy("l_returnflag", "value").agg(F.count("*").alias("n"), F.max("rank").alias("rank")))
+
+
+def zero_runs(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.zero_runs(paths_like(spark, d), ("candidate", "seed"))
+
+
+def power_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.cross_table(against(spark, d), "power", list(NATIVE)))
+
+
+def all_reject(spark: SparkSession, d: str) -> DataFrame:
+    """By the large-sample bound on the distance, in place of permutations."""
+    rows = against(spark, d)
+    p = F.least(F.lit(1.0), 2 * F.exp(-2 * F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")) * F.col("ks") * F.col("ks")))
+    return rounded(reports.all_rejecting(rows.withColumn("pvalue", p)))
+
+
+def queries() -> dict:
+    out = {
+        "series_returns": returns_query("li6"), "series_order_returns": returns_query("ord5"), "series_region_returns": returns_query("reg5"), "series_event_returns": returns_query("ev5"),
+        "windows_sliding": windows_query(250), "windows_nonoverlap": windows_query(1000), "flagship": lambda spark, d: flagship(spark, d),
+        "fact_kurtosis": fact_query("excess_kurtosis"), "fact_skew": fact_query("gain_loss_asymmetry"), "fact_drift": fact_query("drift"), "fact_hill": fact_query("hill_right", "hill_left"),
+        "fact_acf": fact_query("acf_return_1", "acf_abs_1", "acf_abs_20"), "fact_acf_decay": fact_query("acf_abs_decay"), "fact_ljung_box": fact_query("ljung_box_sq"),
+        "fact_agg_gaussianity": fact_query("aggregational_gaussianity"), "fact_vol_of_vol": fact_query("vol_of_vol"), "fact_multiscaling": fact_query("multiscaling"),
+        "fact_variance_ratio": fact_query("variance_ratio_20"), "fact_leverage": fact_query("leverage"), "battery_long": lambda spark, d: rounded(long_of(spark, d)),
+        "battery_summary": lambda spark, d: rounded(battery.summary(long_of(spark, d))), "hill_sensitivity": sensitivity,
+        "gen_garch": gen_garch, "real_vs_real": real_vs_real, "power_table": lambda spark, d: rounded(against(spark, d)), "perm_pvalue": permutation, "bootstrap_ci": bootstrap,
+        "separation": separation, "effective_n": effective, "interval_inflation": inflation, "ks_per_series": strata, "tail_sweep": sweep, "cum_paths": bands, "zero_runs": zero_runs,
+        "top3_stats": lambda spark, d: rounded(reports.top_stats(against(spark, d))), "worst_case_stat": lambda spark, d: rounded(reports.worst_cases(against(spark, d))),
+        "all_reject": all_reject, "power_pivot": power_pivot, "validity_gates": gates, "deterministic_gate": ends, "drift_gate": drift_gate,
+        "sim_fw_stats": sim_fw, "fw_verify": fw_verify, "calibrate_fw": calibrate_fw, "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
+        "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
+    }
+    return out | {f"gen_{n}": generator_query(n) for n in NATIVE}
+
+
+R6 = sql.r6
+BATTERY = f"{sql.windows()}, {sql.facts()}"
+REAL_SIDES = f"sam AS (SELECT stat, series_id, start, value, {sql.SPLIT} AS side FROM flong)"
+SYNTHETIC = f"{sql.POOL}, gen AS ({sql.generated(NATIVE, RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
+AGAINST = f"""WITH {BATTERY}, {SYNTHETIC}, names AS (SELECT DISTINCT generator FROM gen),
+sam AS (SELECT stat, generator, 'a' AS side, value FROM flong, names UNION ALL SELECT stat, generator, 'b', value FROM glong), {sql.compared('stat, generator')}"""
+PATHS = f"{sql.returns('ev5')}, pa AS (SELECT series_id AS candidate, i // 990 AS seed, i, CASE WHEN i % 1000 < 60 THEN 0 ELSE r END AS r FROM ret)"
+ISLANDS = "isl AS (SELECT *, abs(r) < 1e-12 AS zero, i - row_number() OVER (PARTITION BY candidate, seed, abs(r) < 1e-12 ORDER BY i) AS island FROM pa), runs AS (SELECT candidate, seed, max(n) AS longest FROM (SELECT candidate, seed, zero, island, count(*) FILTER (WHERE zero) AS n FROM isl GROUP BY ALL) GROUP BY ALL)"
+STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')"
+COUNTED = "cnt AS (SELECT doc_id, text, " + ", ".join(f"len(regexp_extract_all(lower(text), '{p}')) AS n_{w}" for w, p in WORDS.items()) + " FROM documents)"
+
+
+def at_least(n: int) -> str:
+    found = ", ".join(f"CASE WHEN n_{w} >= {n} THEN '{w}' END" for w in WORDS)
+    return f"coalesce(array_to_string(list_sort([x FOR x IN [{found}] IF x IS NOT NULL]), ','), '')"
+
+
+def oracle_sql() -> dict[str, str]:
+    returned = lambda s: f"WITH {sql.returns(s)} SELECT series_id, i, {R6('r')} AS r FROM ret"
+    counted = lambda stride: f"WITH {sql.windows(stride=stride)} SELECT series_id, start, count(*) AS n, {R6('sum(r)')} AS total FROM w GROUP BY 1, 2"
+    numbers = ", ".join(f"{R6(c)} AS {c}" for c in ("auc", "power", "ks"))
+    out = {f"series_{k}returns": returned(s) for k, s in (("", "li6"), ("order_", "ord5"), ("region_", "reg5"), ("event_", "ev5"))}
+    out |= {"windows_sliding": counted(250), "windows_nonoverlap": counted(1000)}
+    six = ("excess_kurtosis", "acf_abs_1", "acf_abs_20", "leverage", "drift", "variance_ratio_20")
+    out["flagship"] = f"WITH {sql.windows('li3')}, {sql.facts()} SELECT series_id, start, {', '.join(f'{R6(s)} AS {s}' for s in six)} FROM ffacts"
+    out |= {
+        f"fact_{name}": sql.fact(*stats)
+        for name, stats in {
+            "kurtosis": ["excess_kurtosis"], "skew": ["gain_loss_asymmetry"], "drift": ["drift"], "hill": ["hill_right", "hill_left"], "acf": ["acf_return_1", "acf_abs_1", "acf_abs_20"], "acf_decay": ["acf_abs_decay"],
+            "ljung_box": ["ljung_box_sq"], "agg_gaussianity": ["aggregational_gaussianity"], "vol_of_vol": ["vol_of_vol"], "multiscaling": ["multiscaling"], "variance_ratio": ["variance_ratio_20"], "leverage": ["leverage"],
+        }.items()
+    }
+    out["battery_long"] = f"WITH {BATTERY} SELECT series_id, start, stat, {R6('value')} AS value FROM flong"
+    out["battery_summary"] = f"WITH {BATTERY} SELECT stat, count(value) AS n, {R6('median(value)')} AS median, {R6('quantile_cont(value, 0.025)')} AS lo, {R6('quantile_cont(value, 0.975)')} AS hi, {R6('stddev_pop(value)')} AS scale FROM flong GROUP BY stat"
+    hills = " UNION ALL ".join(f"SELECT series_id, start, '{s}' AS side, {f}::DOUBLE AS frac, {R6(sql.hill(s, f))} AS hill FROM rk GROUP BY series_id, start" for s in ("left", "right") for f in ("0.025", "0.05", "0.1"))
+    out["hill_sensitivity"] = f"WITH {sql.windows()}, rk AS ({sql.ranked('w', 'series_id, start')}) {hills}"
+    for n in NATIVE:
+        out[f"gen_{n}"] = f"WITH {sql.returns('li6')}, {sql.POOL}, gen AS ({sql.generator(n, 20, 100)}) SELECT generator, run, i, {R6('r')} AS r FROM gen"
+    out["gen_garch"] = sql.volatility(4, 100, *VOLATILITY)
+    out["real_vs_real"] = f"WITH {BATTERY}, {REAL_SIDES}, {sql.compared('stat')} SELECT stat, n_a, n_b, {numbers} FROM cmp"
+    out["power_table"] = f"{AGAINST} SELECT stat, generator, n_a, n_b, {numbers} FROM cmp"
+    chosen = ", ".join(f"'{s}'" for s in PERMUTED)
+    out["perm_pvalue"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT * FROM sam WHERE stat IN ({chosen}) AND value IS NOT NULL),
+per AS (SELECT *, count(*) FILTER (WHERE side = 'a') OVER (PARTITION BY stat) AS k FROM fnd),
+dealt AS (SELECT stat, perm, value, CASE WHEN row_number() OVER (PARTITION BY stat, perm ORDER BY md5(concat_ws('|', {sql.SEED}, 'perm', perm, side, series_id, start)), side, series_id, start) <= k THEN 'a' ELSE 'b' END AS side FROM per, range(200) AS p(perm)),
+{sql.compared('stat', 'fnd', 'obs')}, {sql.compared('stat, perm', 'dealt', 'prm')}
+SELECT stat, {R6('any_value(obsmp.ks)')} AS ks, {R6('(count(*) FILTER (WHERE prmmp.gap >= obsmp.gap) + 1) / 201.0::DOUBLE')} AS pvalue, {R6('quantile_cont(prmmp.ks, 0.95)')} AS null95 FROM prmmp JOIN obsmp USING (stat) GROUP BY stat"""
+    out["bootstrap_ci"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT *, row_number() OVER (PARTITION BY stat, side ORDER BY series_id, start) - 1 AS pos FROM sam WHERE stat IN ({chosen}) AND value IS NOT NULL),
+siz AS (SELECT stat, side, count(*) AS n FROM fnd GROUP BY ALL),
+drw AS (SELECT stat, side, rep, floor({sql.uniform(str(sql.SEED), "'boot'", 'stat', 'rep', 'side', 'slot')} * n)::BIGINT AS pos FROM (SELECT stat, side, n, unnest(range(n)) AS slot FROM siz), range(200) AS p(rep)),
+smp AS (SELECT stat, rep, side, value FROM drw JOIN fnd USING (stat, side, pos)), {sql.compared('stat, rep', 'smp')}
+SELECT stat, {R6('quantile_cont(power, 0.025)')} AS ci_lo, {R6('quantile_cont(power, 0.975)')} AS ci_hi FROM cmp GROUP BY stat"""
+    effective_cte = f"""WITH {BATTERY}, grp AS (SELECT stat, avg(m) AS m, avg(wv) AS wv FROM (SELECT stat, start, count(*) AS m, var_pop(value) AS wv FROM flong GROUP BY 1, 2) WHERE m > 1 GROUP BY stat),
+tot AS (SELECT stat, count(*) AS n, var_pop(value) AS tv FROM flong GROUP BY stat),
+eff AS (SELECT stat, n, CASE WHEN tv > 0 AND m IS NOT NULL THEN 1 + (m - 1) * least(greatest(1 - wv / tv, 0), 0.99) ELSE 1 END AS deff FROM tot LEFT JOIN grp USING (stat))"""
+    out["effective_n"] = f"{effective_cte} SELECT stat, n, {R6('deff')} AS deff, {R6('n / deff')} AS n_eff FROM eff"
+    out["interval_inflation"] = f"{effective_cte} SELECT {R6('median(n / deff)')} AS median_n_eff, {R6('sqrt(max(n) / median(n / deff))')} AS inflation FROM eff"
+    block = f"{sql.POOL}, gen AS ({sql.generator('block_bootstrap', RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
+    out["ks_per_series"] = f"""WITH {BATTERY}, {block}, rl AS (SELECT stat, series_id AS stratum, value FROM flong UNION ALL SELECT stat, 'all', value FROM flong),
+sam AS (SELECT stat, stratum, 'a' AS side, value FROM rl UNION ALL SELECT stat, stratum, 'b', value FROM glong, (SELECT DISTINCT stratum FROM rl)), {sql.compared('stat, stratum')} SELECT stat, stratum, n_a, {R6('ks')} AS ks FROM cmp"""
+    cases = [(s, f) for s in ("left", "right") for f in ("0.025", "0.05", "0.1")]
+    real = " UNION ALL ".join(f"SELECT '{s}' AS tail, {f}::DOUBLE AS frac, {sql.hill(s, f)} AS value FROM rk GROUP BY series_id, start" for s, f in cases)
+    made = " UNION ALL ".join(f"SELECT generator, '{s}' AS tail, {f}::DOUBLE AS frac, {sql.hill(s, f)} AS value FROM gk GROUP BY generator, run" for s, f in cases)
+    out["tail_sweep"] = f"""WITH {sql.windows()}, {sql.POOL}, gen AS ({sql.generated(('student_t', 'iid_bootstrap'), RUNS, 1000)}), rk AS ({sql.ranked('w', 'series_id, start')}), gk AS ({sql.ranked('gen', 'generator, run')}),
+rl AS ({real}), sy AS ({made}), sam AS (SELECT tail, frac, generator, 'a' AS side, value FROM rl, (SELECT DISTINCT generator FROM gen) UNION ALL SELECT tail, frac, generator, 'b', value FROM sy), {sql.compared('tail, frac, generator')}
+SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM cmp JOIN (SELECT tail, frac, median(value) AS md FROM rl GROUP BY ALL) USING (tail, frac)"""
+    out["cum_paths"] = f"""WITH {sql.windows(stride=1000)}, cp AS (SELECT i - start AS step, sum(r) OVER (PARTITION BY series_id, start ORDER BY i) AS path FROM w)
+SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp WHERE step % 50 = 49 GROUP BY step"""
+    out["zero_runs"] = f"WITH {PATHS}, {ISLANDS} SELECT candidate, seed, longest FROM runs"
+    out["top3_stats"] = f"{AGAINST}, pl AS (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY power DESC NULLS LAST, stat DESC)::INT AS place FROM cmp) SELECT generator, place, stat, {R6('power')} AS power FROM pl WHERE place <= 3"
+    out["worst_case_stat"] = f"{AGAINST} SELECT stat, generator, {R6('power')} AS power FROM (SELECT *, row_number() OVER (PARTITION BY stat ORDER BY power, generator) AS place FROM cmp WHERE power IS NOT NULL) WHERE place = 1"
+    out["all_reject"] = f"""{AGAINST}, pv AS (SELECT stat, least(1.0, 2 * exp(-2.0::DOUBLE * n_a * n_b / (n_a + n_b) * ks * ks)) AS p FROM cmp)
+SELECT stat, {R6('max(p)')} AS max_pvalue FROM pv GROUP BY stat HAVING max(p) < 0.05 AND count(p) = count(*)"""
+    worst = lambda n: R6(f"max(power) FILTER (WHERE generator = '{n}')")
+    out["power_pivot"] = f"{AGAINST} SELECT stat, {', '.join(f'{worst(n)} AS {n}' for n in NATIVE)} FROM cmp GROUP BY stat"
+    out["validity_gates"] = f"""WITH {PATHS}, {ISLANDS}, bk AS (SELECT *, row_number() OVER (PARTITION BY candidate, seed ORDER BY i DESC) AS back FROM pa),
+ab AS (SELECT candidate, seed, count(*) AS n, stddev_pop(r) AS sd, stddev_pop(r) FILTER (WHERE back <= 50) AS tsd FROM bk GROUP BY ALL)
+SELECT candidate, seed, CASE WHEN n < 900 THEN 'short' WHEN sd <= 0 THEN 'constant' WHEN tsd < 1e-9 THEN 'stopped' WHEN longest > 50 THEN 'zero run' END AS reason FROM ab JOIN runs USING (candidate, seed)"""
+    out["deterministic_gate"] = f"""WITH {sql.windows(stride=1000)}, en AS (SELECT series_id, start, sum(r) / stddev_pop(r) AS e, count(*) AS n FROM w GROUP BY ALL)
+SELECT series_id AS candidate, count(*) >= 5 AND stddev_pop(e) / sqrt(max(n)) < 0.02 AS "deterministic" FROM en GROUP BY series_id"""
+    out["drift_gate"] = f"WITH {BATTERY}, bd AS (SELECT quantile_cont(drift, 0.025) AS lo, quantile_cont(drift, 0.975) AS hi FROM ffacts) SELECT series_id, start, {R6('drift')} AS drift, {R6('lo')} AS lo, {R6('hi')} AS hi, drift BETWEEN lo AND hi AS inside FROM ffacts, bd"
+    out["at_bound"] = f"WITH t(model, draw, param, value, lo, hi) AS ({TRIED}) SELECT model, coalesce(array_to_string(list_sort(list_distinct(list(param) FILTER (WHERE ((value - lo) / (hi - lo) <= 0.02 OR (value - lo) / (hi - lo) >= 0.98) AND NOT starts_with(param, 'w_')))), ','), '') AS at_bound FROM t GROUP BY model"
+    fitted = ", ".join(f"'{s}'" for s in calibration.FITTED)
+    losses = f"""WITH {BATTERY}, tg AS (SELECT stat, avg(value) AS target, stddev_pop(value) AS scale FROM flong GROUP BY stat),
+ls AS (SELECT series_id || '-' || start AS candidate, round(sum(pow((value - target) / scale, 2)), 6) + 0.0 AS loss FROM flong JOIN tg USING (stat) WHERE stat IN ({fitted}) GROUP BY 1)"""
+    out["loss_table"] = f"{losses} SELECT candidate, loss FROM ls"
+    out["frontier_topk"] = f"{losses} SELECT candidate, loss FROM ls ORDER BY loss, candidate LIMIT 20"
+    out["audit_strip_html"] = f"SELECT page_id, {STRIPPED} AS body FROM pages"
+    out["audit_strip_refs"] = f"SELECT page_id, (CASE WHEN page_id % 2 = 0 THEN 'x References y ' ELSE '' END) || {STRIPPED} || ' ' AS body FROM pages"
+    out["audit_counts"] = f"WITH {COUNTED} SELECT doc_id, length(text) AS nchar, {', '.join(f'n_{w}' for w in WORDS)}, {at_least(1)} AS ge1, {at_least(3)} AS ge3 FROM cnt"
+    flags = f"regexp_matches(text, '(?i){MENTION}') AS sf_mention, regexp_matches(text, '(?i){SIMULATION}') AS is_sim"
+    out["audit_inclusion"] = f"SELECT doc_id, {flags} FROM documents"
+    shares = " UNION ALL ".join(f"SELECT '{w}' AS category, count(*) AS docs, {R6(f'avg((n_{w} >= 1)::INT)')} AS share_ge1, {R6(f'avg((n_{w} >= 3)::INT)')} AS share_ge3 FROM inc" for w in WORDS)
+    out["audit_prevalence"] = f"WITH {COUNTED}, inc AS (SELECT * FROM (SELECT *, {flags} FROM cnt) WHERE sf_mention AND is_sim) {shares}"
+    out["payload_digest"] = f"""WITH src AS ({sql.SOURCES['li3']}), dy AS (SELECT series_id, ts::DATE AS day, count(*) AS n, sha256(string_agg((round_even(price * 100, 0)::BIGINT)::VARCHAR, chr(10) ORDER BY o)) AS part FROM src WHERE price IS NOT NULL GROUP BY 1, 2)
+SELECT series_id, sum(n)::BIGINT AS n, sha256(string_agg(part, chr(10) ORDER BY day)) AS sha256 FROM dy GROUP BY 1"""
+    out["resume_antijoin"] = f"WITH {sql.windows()} SELECT DISTINCT series_id, start FROM w WHERE start % 500 <> 0"
+    out["mid_ranks"] = "WITH rk AS (SELECT l_returnflag, l_quantity AS value, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rank FROM lineitem) SELECT l_returnflag, value, count(*) AS n, max(rank) AS rank FROM rk GROUP BY 1, 2"
+    return out
