@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import LOWER, utf8
+from driftglass.llm.storage import small_batches
 
 BUCKETS, DIM, NGRAMS = 1 << 14, 16, 4
 SAMPLE, LANGUAGES, REJECT, CHUNK, PROBE = 2000, 256, 0.002, 1 << 17, 1 << 10
@@ -206,6 +207,7 @@ def predict_batches(shared, keep: bool = False):
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> dict | None:
     """A model from the labelled rows of docs(doc_id, text, lang)."""
+    small_batches(docs.sparkSession)
     rows = training_sample(docs, most).mapInArrow(count_batches, "lang string, buckets array<int>, shares array<float>").toArrow()
     lists = [[np.asarray(x.values) for x in rows.column(c)] for c in ("buckets", "shares")]
     return train(list(zip(rows.column("lang").to_pylist(), *lists)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import IS_SPACE, LOWER_VALUE, mix, prefix_sums, row_pieces, span_hash, utf8
-from driftglass.llm.storage import stored
+from driftglass.llm.storage import small_batches, stored
 
 KEY = "k1 long, k2 long"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -253,6 +253,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_b
 
     With digest, of docs(doc_id, text): doc_id, n_lines, n_dropped, kept_sha256.
     """
+    small_batches(docs.sparkSession)
     counts = stored(line_counts(docs, min_chars), "line-counts")
     hot = counts.where(F.col("docs") >= min_docs)
     n_hot = hot.count()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import LOWER_VALUE, mix, prefix_sums, row_pieces, span_hash, utf8, words
-from driftglass.llm.storage import broadcast_if_small, stored
+from driftglass.llm.storage import broadcast_if_small, small_batches, stored
 
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 SLACK, BLOCK = 0.2, 2048
@@ -332,6 +332,7 @@ NAMELESS = 1 << 62  # nodes of classes without a doc_id lie above all others
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text); links need percent similarity."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     least = percent / 100 - SLACK
     signed = stored(docs.mapInArrow(sign_batches(width), SIGNED), "signed")
