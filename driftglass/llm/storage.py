@@ -45,13 +45,11 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has Spark hand texts to Python in batches of a few MB, unless the session says otherwise: the default number of rows
-    can be hundreds of MB of text, once in the JVM and once in Python, for every task."""
-    for key, (default, wanted) in ARROW_BATCHES.items():
-        now = spark.conf.get(key, None)
-        if now == default or default is None and now is not None and (now.endswith("b") or int(now) > int(wanted)):
-            spark.conf.set(key, wanted)
+    """Has Spark hand texts to Python in batches of 8 MB, unless the session says otherwise: the default number of rows can
+    be hundreds of MB of text, once in the JVM and once in Python, for every task."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
