@@ -1,12 +1,12 @@
 """Fifteen statistics of a window of returns. Undefined values, infinite ones included, are null.
 
-A window's rows meet once, by its key; lags, ranks and blocks are window functions and aggregates over that partitioning, so
-no statistic shuffles again and no row is multiplied by lags.
+A window's rows meet once, by its key, as an array in order: a window is of bounded length, by default 1000 rows. Lags, ranks
+and blocks are functions of that array, so no row is multiplied by lags or scales, sorted again or shuffled again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("series_id", "start")
@@ -21,81 +21,89 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def hill_parts(frac: float, side: str) -> tuple[Column, Column, Column]:
-    """Of ranked rows: how many of the side, the sum of the logs of the largest k, and the value after them."""
-    of = F.col("r") > 0 if side == "right" else F.col("r") < 0
-    rank = F.col("down" if side == "right" else "up")
-    count = F.col("n_pos" if side == "right" else "n_neg")
-    k = F.greatest(F.floor(count * F.lit(frac)).cast("int"), F.lit(10))
-    logs = F.sum(F.when(of & (rank <= k), F.ln(F.abs("r"))))
-    return F.first(count), logs, F.max(F.when(of & (rank == k + 1), F.abs("r")))
+def total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, v: s + v)
 
 
-def hill(n: Column, logs: Column, edge: Column, frac: float) -> Column:
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda v, w: v * w))
+
+
+def collected(windows: DataFrame, key=KEY) -> DataFrame:
+    """key, n, r (an array by i) and moments of windows(key, i, r).
+
+    The number of partitions is given, as windows are small and the work on them isn't: joined partitions would leave cores idle.
+    """
+    r = F.col("r")
+    rows = windows.select(*key, "i", "r").repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    moments = [F.avg(r).alias("mean"), F.stddev_pop(r).alias("spread"), F.kurtosis(r).alias("excess_kurtosis"), F.skewness(r).alias("gain_loss_asymmetry"), F.avg(F.abs(r)).alias("mean_a"), F.avg(r * r).alias("mean_q")]
+    out = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("rows"), *moments)
+    return out.withColumn("r", F.transform("rows", lambda x: x["r"])).withColumn("n", F.size("rows")).drop("rows")
+
+
+def tails(rows: DataFrame) -> DataFrame:
+    """Adds gains and losses (as positive numbers), the largest first."""
+    rows = rows.withColumn("right", F.sort_array(F.filter("r", lambda v: v > 0), False))
+    return rows.withColumn("left", F.sort_array(F.transform(F.filter("r", lambda v: v < 0), lambda v: -v), False))
+
+
+def hill(side: str, frac: float) -> Column:
     """The tail index: the inverse mean log excess of the k largest over the one after them."""
+    values, n = F.col(side), F.size(side)
     k = F.greatest(F.floor(n * F.lit(frac)).cast("int"), F.lit(10))
-    mean = logs / k - F.ln(edge)
+    mean = total(F.transform(F.slice(values, F.lit(1), k), F.ln)) / k - F.ln(F.get(values, k))
     return F.when((n > k) & (mean > 1e-12), F.try_divide(F.lit(1.0), mean))
 
 
-def ranked(windows: DataFrame, key=KEY) -> DataFrame:
-    """Adds ranks from both ends and the numbers of gains and losses."""
-    whole = Window.partitionBy(*key)
-    return (
-        windows.withColumn("down", F.row_number().over(whole.orderBy(F.col("r").desc())))
-        .withColumn("up", F.row_number().over(whole.orderBy("r")))
-        .withColumn("n_pos", F.count_if(F.col("r") > 0).over(whole))
-        .withColumn("n_neg", F.count_if(F.col("r") < 0).over(whole))
-    )
-
-
 def hill_sweep(windows: DataFrame, fracs=(0.025, 0.05, 0.10), key=KEY) -> DataFrame:
     """key, side, frac, hill for both tails and several tail fractions."""
-    rows = ranked(windows, key)
-    cases = [(side, frac) for side in ("left", "right") for frac in fracs]
-    aggs, outs = [], []
-    for j, (side, frac) in enumerate(cases):
-        n, logs, edge = hill_parts(frac, side)
-        aggs += [n.alias(f"n{j}"), logs.alias(f"s{j}"), edge.alias(f"e{j}")]
-        outs.append(F.struct(F.lit(side).alias("side"), F.lit(frac).alias("frac"), hill(F.col(f"n{j}"), F.col(f"s{j}"), F.col(f"e{j}"), frac).alias("hill")))
-    return rows.groupBy(*key).agg(*aggs).select(*key, F.explode(F.array(*outs)).alias("x")).select(*key, "x.*")
-
-
-def lagged(column: str, lags, ordered) -> list[Column]:
-    return [(F.col(column) * F.lag(column, k).over(ordered)).alias(f"{column}{k}") for k in lags]
-
-
-def dependence(windows: DataFrame, key=KEY) -> DataFrame:
-    """Moments, tails and everything by lags."""
-    whole = Window.partitionBy(*key)
-    ordered = whole.orderBy("i")
-    rows = windows.withColumn("a", F.abs("r")).withColumn("q", F.col("r") * F.col("r"))
-    rows = rows.select("*", (F.col("r") - F.avg("r").over(whole)).alias("x"), (F.col("a") - F.avg("a").over(whole)).alias("y"), (F.col("q") - F.avg("q").over(whole)).alias("z"))
-    lags = lagged("x", [1], ordered) + lagged("y", range(1, DECAY_LAGS + 1), ordered) + lagged("z", range(1, LJUNG_LAGS + 1), ordered)
-    rows = rows.select("*", *lags, *(F.lead("a", k).over(ordered).alias(f"lead{k}") for k in range(1, LEVERAGE_LAGS + 1)))
-    rows = ranked(rows, key)
-
-    ratio = lambda c, k: F.try_divide(F.sum(f"{c}{k}"), F.nullif(F.sum(F.col(c) * F.col(c)), F.lit(0.0)))
-    aggs = [F.count("*").alias("n"), F.kurtosis("r").alias("excess_kurtosis"), F.skewness("r").alias("gain_loss_asymmetry")]
-    aggs += [F.try_divide(F.avg("r"), F.nullif(F.stddev_pop("r"), F.lit(0.0))).alias("drift"), ratio("x", 1).alias("acf_return_1")]
-    aggs += [F.array(*(ratio("y", k) for k in range(1, DECAY_LAGS + 1))).alias("abs_acf"), F.array(*(ratio("z", k) for k in range(1, LJUNG_LAGS + 1))).alias("square_acf")]
-    pairs = []
-    for k in range(1, LEVERAGE_LAGS + 1):
-        here = F.when(F.col(f"lead{k}").isNotNull(), F.col("r"))
-        spread = F.stddev_pop(here) * F.stddev_pop(f"lead{k}")
-        pairs.append(F.try_divide(F.covar_pop(here, F.col(f"lead{k}")), F.nullif(spread, F.lit(0.0))))
-    aggs.append(F.array(*pairs).alias("pairs"))
-    for side in ("right", "left"):
-        aggs += [c.alias(f"{side}{j}") for j, c in enumerate(hill_parts(0.05, side))]
-    out = rows.groupBy(*key).agg(*aggs)
-    known = F.filter("pairs", lambda c: c.isNotNull())
-    box = F.aggregate(F.transform("square_acf", lambda a, k: a * a / (F.col("n") - k - 1)), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    out = out.withColumn("acf_abs_1", F.col("abs_acf")[0]).withColumn("acf_abs_20", F.col("abs_acf")[19])
-    out = out.withColumn("leverage", F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.nullif(F.size(known), F.lit(0))))
-    out = out.withColumn("ljung_box_sq", F.when(F.col("n") > LJUNG_LAGS, F.ln(F.col("n") * (F.col("n") + 2) * box + 1e-12)))
-    for side in ("right", "left"):
-        out = out.withColumn(f"hill_{side}", hill(*(F.col(f"{side}{j}") for j in range(3)), 0.05))
-    return out.withColumn("acf_abs_decay", slope(F.transform("abs_acf", lambda a, k: F.struct(F.ln(k + 1.0).alias("x"), F.when(a > 1e-6, F.ln(a)).alias("y"))), 10))
+    cases = [F.struct(F.lit(side).alias("side"), F.lit(frac).alias("frac"), hill(side, frac).alias("hill")) for side in ("left", "right") for frac in fracs]
+    return tails(collected(windows, key)).select(*key, F.explode(F.array(*cases)).alias("x")).select(*key, "x.*")
+
+
+def autocorrelations(deviations: str, lags: int) -> Column:
+    """By lag from 1; null where all deviations are zero or the lag is as long as the window."""
+    d, n = F.col(deviations), F.col("n")
+    product = lambda k: dot(F.slice(d, k + 1, n), F.slice(d, F.lit(1), F.greatest(n - k, F.lit(0))))
+    return F.transform(F.sequence(F.lit(1), F.lit(lags)), lambda k: F.when(k < n, F.try_divide(product(k), F.col(f"{deviations}_squares"))))
+
+
+def deviations(rows: DataFrame) -> DataFrame:
+    """Adds arrays x, y and z: returns, their sizes and their squares less the mean, and the sums of their squares, null for zero."""
+    rows = rows.withColumn("x", F.transform("r", lambda v: v - F.col("mean"))).withColumn("y", F.transform("r", lambda v: F.abs(v) - F.col("mean_a")))
+    rows = rows.withColumn("z", F.transform("r", lambda v: v * v - F.col("mean_q")))
+    return rows.withColumns({f"{c}_squares": F.nullif(dot(F.col(c), F.col(c)), F.lit(0.0)) for c in "xyz"})
+
+
+def leverage() -> Column:
+    """Mean correlation of a return with the size of those 1 to 5 later, without lags at which one side doesn't move."""
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+
+    def sums(k: Column) -> Column:
+        m = F.greatest(n - k, F.lit(0))
+        p, q = F.slice(x, F.lit(1), m), F.slice(y, k + 1, n)
+        moves = (F.array_min(p) < F.array_max(p)) & (F.array_min(q) < F.array_max(q))
+        return F.struct(moves.alias("moves"), m.alias("m"), total(p).alias("p"), total(q).alias("q"), dot(p, p).alias("pp"), dot(q, q).alias("qq"), dot(p, q).alias("pq"))
+
+    def correlation(s: Column) -> Column:
+        spread = F.sqrt((s["m"] * s["pp"] - s["p"] * s["p"]) * (s["m"] * s["qq"] - s["q"] * s["q"]))
+        return F.try_divide(s["m"] * s["pq"] - s["p"] * s["q"], F.nullif(spread, F.lit(0.0)))
+
+    moving = F.filter(F.transform(F.sequence(F.lit(1), F.lit(LEVERAGE_LAGS)), sums), lambda s: s["moves"])
+    found = F.transform(moving, correlation)
+    return F.try_divide(total(found), F.nullif(F.size(found), F.lit(0)))
+
+
+def dependence(rows: DataFrame) -> DataFrame:
+    """Adds everything by lags."""
+    rows = deviations(rows).withColumn("abs_acf", autocorrelations("y", DECAY_LAGS)).withColumn("square_acf", autocorrelations("z", LJUNG_LAGS))
+    n = F.col("n")
+    box = total(F.transform("square_acf", lambda a, k: F.coalesce(a * a / (n - k - 1), F.lit(0.0))))
+    decay = F.transform("abs_acf", lambda a, k: F.struct(F.ln(k + 1.0).alias("x"), F.when(a > 1e-6, F.ln(a)).alias("y")))
+    return rows.withColumns({
+        "acf_return_1": autocorrelations("x", 1)[0], "acf_abs_1": F.col("abs_acf")[0], "acf_abs_20": F.col("abs_acf")[19], "acf_abs_decay": slope(decay, 10), "leverage": leverage(),
+        "ljung_box_sq": F.when(n > LJUNG_LAGS, F.ln(n * (n + 2) * box + 1e-12)),
+    })
 
 
 def slope(points: Column, least: int) -> Column:
@@ -108,34 +116,61 @@ def slope(points: Column, least: int) -> Column:
     return F.when(n >= least, F.try_divide(top, F.nullif(low, F.lit(0.0))))
 
 
-def blocks(windows: DataFrame, key=KEY) -> DataFrame:
-    """Everything from sums over neighbouring blocks; what is left over at the end isn't used."""
-    whole = Window.partitionBy(*key)
-    rows = windows.select(*key, "r", (F.row_number().over(whole.orderBy("i")) - 1).alias("j"), F.count("*").over(whole).alias("n"))
-    rows = rows.withColumn("scale", F.explode(F.array(*(F.lit(s) for s in (*SCALES, 21))))).where("j < n - n % scale")
-    sums = rows.groupBy(*key, "n", "scale", F.floor(F.col("j") / F.col("scale")).alias("block")).agg(F.sum("r").alias("s"), F.stddev_pop("r").alias("sd"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-    scales = sums.groupBy(*key, "n", "scale").agg(
-        F.count("*").alias("blocks"), F.kurtosis("s").alias("kurtosis"), F.var_pop("s").alias("var"), F.avg(F.abs("s")).alias("m1"), F.avg(F.col("s") * F.col("s")).alias("m2"),
-        F.stddev_pop(F.when(F.col("sd") > 0, F.ln("sd"))).alias("log_sd"), F.count_if(F.col("sd") > 0).alias("moving"), F.sum("s").alias("total"), F.sum("rr").alias("squares"),
-    )
-    at = lambda s, c: F.max(F.when(F.col("scale") == s, c))
-    fits = lambda m: F.array(*(F.struct(F.lit(float(s)).alias("s"), at(s, F.when((F.col("blocks") >= 30) & (F.col(m) > 0), F.ln(m))).alias("y")) for s in SCALES))
-    used = F.col("n") - F.col("n") % 20
-    flat = F.col("squares") / used - F.pow(F.col("total") / used, 2)  # variance of the rows that the blocks of 20 cover
-    out = scales.groupBy(*key, "n").agg(
-        at(5, F.when(F.col("blocks") >= 50, F.col("kurtosis"))).alias("kurtosis_5"), at(21, F.when(F.col("moving") >= 10, F.col("log_sd"))).alias("vol_of_vol"),
-        at(20, F.when((used >= 200) & (flat > 0), F.try_divide(F.col("var"), 20 * flat))).alias("variance_ratio_20"), fits("m1").alias("f1"), fits("m2").alias("f2"),
-    )
-    zeta = lambda c: slope(F.transform(c, lambda p: F.struct(F.ln(p["s"]).alias("x"), p["y"].alias("y"))), len(SCALES))
-    return out.select(*key, "kurtosis_5", "vol_of_vol", "variance_ratio_20", (zeta("f1") - zeta("f2") / 2).alias("multiscaling"))
+def in_blocks(size: int, of, array: str = "r") -> Column:
+    """of(first place) for each whole block of neighbours in an array, in order; an empty array where there is none."""
+    count = F.floor(F.size(array) / size).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda b: of(b * size))
+
+
+def sums(size: int, array: str = "r") -> Column:
+    """Sums of whole blocks of neighbours, by access to each place: a slice would copy the array."""
+    return in_blocks(size, lambda first: sum((F.get(array, first + j) for j in range(1, size)), F.get(array, first)), array)
+
+
+def central(array: str, power: int) -> Column:
+    """The mean of a power of an array's deviations from its mean, null for an empty one."""
+    mean = F.col(f"{array}_mean")
+    raised = lambda d: d * d if power == 2 else d * d * d * d
+    return F.try_divide(F.aggregate(array, F.lit(0.0), lambda s, v: s + raised(v - mean)), F.size(array))
+
+
+def log_spread(first: Column) -> Column:
+    """Log of the deviation within the 21 returns from a place, null where they don't move."""
+    block = F.slice("r", first + 1, F.lit(21))
+    square = dot(block, block) / 21 - F.pow(total(block) / 21, 2)
+    return F.when((F.array_min(block) < F.array_max(block)) & (square > 0), F.ln(square) / 2)
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Adds everything from sums over neighbouring blocks; what is left over at the end isn't used."""
+    rows = rows.withColumns({"block1": F.col("r"), "block2": sums(2), "block5": sums(5), "log21": F.filter(in_blocks(21, log_spread), lambda v: v.isNotNull())})
+    rows = rows.withColumn("block10", sums(2, "block5")).withColumn("block20", sums(2, "block10"))
+    rows = rows.withColumns({f"{c}_mean": F.try_divide(total(F.col(c)), F.size(c)) for c in ("block5", "block20", "log21")})
+    used = F.size("block20") * 20
+    head = F.slice("r", F.lit(1), used)
+    flat = dot(head, head) / used - F.pow(total(F.col("block20")) / used, 2)  # variance of the rows that the blocks of 20 cover
+    rows = rows.withColumns({"m4": central("block5", 4), "m2": central("block5", 2), "flat": F.when(used >= 200, flat)})
+
+    def fits(of) -> Column:
+        means = [(s, F.try_divide(total(F.transform(f"block{s}", of)), F.size(f"block{s}"))) for s in SCALES]
+        return F.array(*(F.struct(F.ln(F.lit(float(s))).alias("x"), F.when((F.size(f"block{s}") >= 30) & (m > 0), F.ln(m)).alias("y")) for s, m in means))
+
+    rows = rows.withColumns({"fit1": fits(F.abs), "fit2": fits(lambda v: v * v)})
+    kurtosis = F.try_divide(F.col("m4"), F.nullif(F.col("m2") * F.col("m2"), F.lit(0.0))) - 3
+    return rows.withColumns({
+        "aggregational_gaussianity": F.col("excess_kurtosis") - F.when(F.size("block5") >= 50, kurtosis),
+        "vol_of_vol": F.when(F.size("log21") >= 10, F.sqrt(central("log21", 2))),
+        "variance_ratio_20": F.when(F.col("flat") > 0, F.try_divide(central("block20", 2), 20 * F.col("flat"))),
+        "multiscaling": slope(F.col("fit1"), len(SCALES)) - slope(F.col("fit2"), len(SCALES)) / 2,
+    })
 
 
 def evaluate(windows: DataFrame, key=KEY) -> DataFrame:
     """key and the fifteen statistics of every window of windows(key, i, r)."""
-    rows = windows.repartition(*key)
-    out = dependence(rows, key).join(blocks(rows, key), list(key))
-    out = out.withColumn("aggregational_gaussianity", F.col("excess_kurtosis") - F.col("kurtosis_5"))
-    return out.select(*key, *(finite(F.col(s)).alias(s) for s in STATS))
+    rows = blocks(dependence(tails(collected(windows, key))))
+    rows = rows.withColumns({"hill_right": hill("right", 0.05), "hill_left": hill("left", 0.05), "drift": F.try_divide("mean", F.nullif(F.col("spread"), F.lit(0.0)))})
+    return rows.select(*key, *(finite(F.col(s)).alias(s) for s in STATS))
 
 
 def unpivoted(facts: DataFrame, key=KEY, stats=STATS) -> DataFrame:

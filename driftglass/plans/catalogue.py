@@ -24,7 +24,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def windows_of(spark: SparkSession, d: str, source: str = "li6", stride: int = 250) -> DataFrame:
-    return sliding(series.returns(series.SETS[source](spark, d)), stride=stride)
+    return sliding(series.measured(series.SETS[source](spark, d)), stride=stride)
 
 
 def facts_of(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
 
 def separation(spark: SparkSession, d: str) -> DataFrame:
     """The whole comparison with fitted generators and permutations: 30 windows a series against 20 runs."""
-    rows = series.returns(series.li6(spark, d))
+    rows = series.measured(series.li6(spark, d))
     fit = fitting.fit_windows(tail(rows.where("series_id = 'AF'"))).first()
     runs = generators.all_generators(generators.pooled(rows), fit.asDict(), 20, 1000)
     key = ("generator", "run")
@@ -171,7 +171,7 @@ def fw_verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibrate_fw(spark: SparkSession, d: str) -> DataFrame:
-    rows = series.returns(series.li6(spark, d))
+    rows = series.measured(series.li6(spark, d))
     target = calibration.target_and_scale(sliding(rows, stride=1000), tail(rows.where("series_id = 'AF'"))).persist()
     return rounded(calibration.calibrate(spark, target, calibration.Config(draws=8, seeds=4)))
 
@@ -199,7 +199,7 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fits(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fitting.fit_windows(tail(series.returns(series.li6(spark, d)))))
+    return rounded(fitting.fit_windows(tail(series.measured(series.li6(spark, d)))))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Series: prices from tables or JSON payloads, and their standardised log returns.
 
 A price table has series_id, day, order (a struct that sorts a series without ties), price. Ordinals and differences are
-made within days and carried over from day to day by a small table of one row per series and day, so a series of any length
-is never sorted in one task.
+made within days, in one pass, and carried over from day to day by a small table of one row per series and day, so a series of
+any length is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -68,37 +68,47 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("series_id", F.timestamp_seconds("col.t").cast("date").alias("day"), F.struct(F.col("col.t").alias("ts"), "pos").alias("order"), F.col("col.close").alias("price"))
 
 
-def with_previous(prices: DataFrame) -> DataFrame:
-    """Adds value (ln price) and previous: that of the row before in the series; null prices are left out first."""
+def stepped(prices: DataFrame) -> DataFrame:
+    """Adds value (ln price), opens (first row of its day), step (value less that of the row before, within the day) and steps
+    (how many of the day's steps are defined up to here); null prices are left out first."""
     rows = prices.where("price IS NOT NULL AND NOT isnan(price)").withColumn("value", F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.ln("price")))
-    days = rows.groupBy("series_id", "day").agg(F.max_by("value", "order").alias("last"))
-    days = days.withColumn("before", F.lag("last").over(Window.partitionBy("series_id").orderBy("day"))).drop("last")  # one row a day
     ordered = Window.partitionBy("series_id", "day").orderBy("order")
-    rows = rows.withColumn("first", F.row_number().over(ordered) == 1).withColumn("previous", F.lag("value").over(ordered))
-    rows = rows.join(days, ["series_id", "day"])
-    return rows.withColumn("previous", F.when(F.col("first"), F.col("before")).otherwise(F.col("previous"))).drop("first", "before")
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """Adds i: the place of a row in its series, from 0."""
-    days = rows.groupBy("series_id", "day").agg(F.count("*").alias("rows"))
-    so_far = F.sum("rows").over(Window.partitionBy("series_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    days = days.withColumn("offset", F.coalesce(so_far, F.lit(0))).drop("rows")
-    ordered = Window.partitionBy("series_id", "day").orderBy("order")
-    rows = rows.withColumn("at", F.row_number().over(ordered) - 1).join(days, ["series_id", "day"])
-    return rows.withColumn("i", F.col("offset") + F.col("at")).drop("offset", "at")
+    rows = rows.withColumn("opens", F.row_number().over(ordered) == 1).withColumn("step", F.col("value") - F.lag("value").over(ordered))
+    return rows.withColumn("steps", F.count("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """One row for each series and day of stepped rows: what the day takes over from the days before, and the series' n and spread."""
+    step, square = F.col("step"), F.col("step") * F.col("step")
+    days = rows.groupBy("series_id", "day").agg(
+        F.max_by("value", "order").alias("last"), F.max(F.when(F.col("opens"), F.col("value"))).alias("opening"), F.count(step).alias("inner"),
+        F.sum(step).alias("total"), F.sum(square).alias("squares"), F.min(step).alias("least"), F.max(step).alias("most"),
+    )
+    by_day, whole = Window.partitionBy("series_id").orderBy("day"), Window.partitionBy("series_id")
+    days = days.withColumn("before", F.lag("last").over(by_day)).withColumn("gap", F.col("opening") - F.col("before"))
+    size, zero = F.col("inner") + F.when(F.col("gap").isNotNull(), 1).otherwise(0), F.lit(0.0)
+    days = days.withColumn("offset", F.coalesce(F.sum(size).over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum(size).over(whole))
+    mean = F.sum(F.coalesce("total", zero) + F.coalesce("gap", zero)).over(whole) / F.col("n")
+    power = F.sum(F.coalesce("squares", zero) + F.coalesce(F.col("gap") * F.col("gap"), zero)).over(whole) / F.col("n")
+    flat = F.min(F.least("least", "gap")).over(whole) == F.max(F.greatest("most", "gap")).over(whole)
+    spread = F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(power - mean * mean, zero)))
+    return days.where("n > 0").select("series_id", "day", "before", "gap", "offset", "n", spread.alias("spread"))
+
+
+def measured(prices: DataFrame, standardised: bool = True) -> DataFrame:
+    """series_id, i, r, n: the returns of every series, with how many there are. Rows are ordered within days only."""
+    rows = stepped(prices)
+    rows = rows.join(carried(rows), ["series_id", "day"])
+    rows = rows.withColumn("r", F.when(F.col("opens"), F.col("gap")).otherwise(F.col("step"))).where("r IS NOT NULL")
+    place = F.col("offset") + F.col("steps") + F.when(F.col("gap").isNotNull(), 0).otherwise(-1)
+    place = F.when(F.col("opens"), F.col("offset")).otherwise(place)
+    r = F.try_divide("r", "spread") if standardised else F.col("r")
+    return rows.select("series_id", place.alias("i"), r.alias("r"), "n")
 
 
 def returns(prices: DataFrame, standardised: bool = True) -> DataFrame:
     """series_id, i, r of prices: log returns over the closes that exist, divided by their deviation within the series."""
-    rows = with_previous(prices).withColumn("r", F.col("value") - F.col("previous")).where("r IS NOT NULL")
-    rows = numbered(rows).select("series_id", "i", "r")
-    return standardise(rows) if standardised else rows
-
-
-def standardise(rows: DataFrame) -> DataFrame:
-    spread = rows.groupBy("series_id").agg(F.stddev_pop("r").alias("spread"))
-    return rows.join(spread, "series_id").select("series_id", "i", F.try_divide("r", "spread").alias("r"))
+    return measured(prices, standardised).drop("n")
 
 
 def digests(prices: DataFrame) -> DataFrame:
