@@ -27,35 +27,36 @@ from driftglass.llm.storage import broadcast_if_small, stored
 # Units of measure, as written after numbers.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inches|in|lbs?|oz|mph|kph|km/h|%|percent|dollars?|cents?|euros?|usd|eur|°[CF]?"
 NUMBER = r"[-+]?[$€£]?\d+(?:[.,:/]\d+)*"
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*"
-MARK = "\u0001"
+INNER = r"(?<=[\p{Ll},;] )(?=\p{Lu}[\p{L}\p{M}]*\p{Ll})"
+MARK, UNIT, NAMED = "\u0001", "\u0002", "\u0003"
 SHORTEST = 5
 BROADCAST_WINDOWS = 500_000
 
 
-def template_words(text: Column, values: bool = False) -> Column:
-    """The template of a text as an array of words. With values, a placeholder is followed by what it stands for."""
-    held = (lambda group: f"_${group}") if values else (lambda group: "")
-    text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(text, MARK, " ")
-    text = F.regexp_replace(text, rf"({NAME})", f"{MARK}p{held(1)}")
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\d{MARK}])({NUMBER})\s?({UNITS})(?![\p{{L}}\p{{M}}\d])", f" {MARK}n{held(1)} {MARK}u{held(2)} ")
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\d{MARK}_])({NUMBER})(?![\p{{L}}\p{{M}}\d])", f" {MARK}n{held(1)} ")
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}{'_.,:/$€£%°+-' if values else ''}]+", " ")
-    if values:  # punctuation stays inside values only
-        text = F.regexp_replace(text, rf"(?<=^| )(?!{MARK})([^ ]*)[_.,:/$€£%°+-]+(?=[^ ]*)", "$1 ")
-    return F.filter(F.split(text, " "), lambda w: w != "")
+def template_words(text: Column) -> Column:
+    """The words of a text as structs: t, the word of the template, and v, what stands there. Both share their places."""
+    text = F.translate(F.coalesce(text, F.lit("")), MARK + UNIT + NAMED, "   ")
+    text = F.regexp_replace(text, INNER, NAMED)
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\d])({NUMBER})(?:\s?({UNITS}))?(?![\p{{L}}\p{{M}}\d])", f" {MARK}$1 {UNIT}$2 ")
+    text = F.regexp_replace(text, rf"([{MARK}{UNIT}][^ ]*)|[^\p{{L}}\p{{M}}\p{{N}}{MARK}{UNIT}{NAMED}]+", "$1 ")  # values stay whole
+    words = F.filter(F.split(F.lower(text), " "), lambda w: (w != "") & (w != UNIT))
+    kind = lambda w: F.when(w.startswith(MARK), MARK + "n").when(w.startswith(UNIT), MARK + "u").when(w.startswith(NAMED), MARK + "p")
+    return F.transform(words, lambda w: F.struct(F.coalesce(kind(w), w).alias("t"), w.alias("v")))
 
 
-def windows(words: Column, width: int) -> Column:
-    """Structs of place and hash of every window of the array."""
-    n = F.array_size(words) - width
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w.t))
+
+
+def windows(hashes: Column, width: int) -> Column:
+    """Hashes of every window of the array of word hashes, in order."""
+    n = F.array_size(hashes) - width
     places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width))))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(width))))
 
 
 def literal(words: Column) -> Column:
-    return F.array_size(F.filter(words, lambda w: ~w.startswith(MARK)))
+    return F.array_size(F.filter(words, lambda w: ~w.t.startswith(MARK)))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -65,14 +66,14 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.array_size("words") - F.col("width")))
     rows = items.withColumn("item_at", at).withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width")))
     rows = rows.where(2 * literal(F.col("window")) >= F.col("width"))
-    rows = rows.select("item_id", "width", "item_at", F.xxhash64("window").alias("hash"))
+    rows = rows.select("item_id", "width", "item_at", F.xxhash64(hashes(F.col("window"))).alias("hash"))
     rows = rows.distinct()
     sizes = rows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
     return rows.join(sizes, "item_id")
 
 
 def slots(words: Column, at: Column, width: Column) -> Column:
-    return F.transform(F.slice(words, at + 1, width), lambda w: F.when(w.startswith(MARK), w))
+    return F.transform(F.slice(words, at + 1, width), lambda w: F.when(w.t.startswith(MARK), w.v))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:
@@ -82,7 +83,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     if not about.n:
         return docs.select("doc_id").join(known, F.lit(False)).select("doc_id", "item_id", F.col("n_windows").alias("matched"), "n_windows", F.lit(0).cast("long").alias("slots_compared"))
     small = F.broadcast(known) if about.n <= BROADCAST_WINDOWS else known
-    texts = docs.select("doc_id", template_words(F.col("text")).alias("words"))
+    texts = docs.select("doc_id", hashes(template_words(F.col("text"))).alias("words"))
     hits = None
     for w in sorted(about.widths):
         found = texts.select("doc_id", F.posexplode(windows(F.col("words"), w)).alias("doc_at", "hash"))
@@ -97,12 +98,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     likely = stored(likely, "likely")
 
     # items with placeholders: compare what they stand for
-    valued = benchmark.select("item_id", template_words(F.col("text"), values=True).alias("item_words"))
-    valued = valued.where(F.exists("item_words", lambda w: w.startswith(MARK)))
+    valued = benchmark.select("item_id", template_words(F.col("text")).alias("item_words"))
+    valued = valued.where(F.exists("item_words", lambda w: w.t.startswith(MARK)))
     doubtful = likely.join(valued, "item_id", "left_semi").select(*pair)
     wanted = doubtful.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted_id")
     doc_words = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), template_words(F.col("text"), values=True).alias("doc_words"))
+    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), template_words(F.col("text")).alias("doc_words"))
     aligned = hits.join(doubtful.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
     aligned = aligned.join(valued, "item_id").join(doc_words, F.col("doc_id").eqNullSafe(F.col("words_id")))
     both = F.arrays_zip(

@@ -62,3 +62,14 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     assert contaminated(docs.limit(0), bench).count() == 0
     assert [tuple(r)[:4] for r in contaminated(docs, bench).collect()] == [(1, 1, 17, 17)]
+
+
+def test_values_keep_their_places_behind_punctuation(spark):
+    item = "A truck drives 30 km to the harbour, waits, drives another 45 km up the coast and then goes 30 km back home"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    before = ["", "It weighs 2.5 kg. ", "It is 1,000 km long. ", "See https://a.example.com/x/y?z=1.2 or state-of-the-art work. ", "At 10:30, 3/4 of 1.5% or 5 km/h. "]
+    other = item.replace("30", "7.5").replace("45", "1,200")
+    broken = item.replace("30 km back", "31 km back")
+    texts = [b + x for b in before for x in (item, other, broken)]
+    got = {r.doc_id: r.matched for r in contaminated(docs_of(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {i: 16 for i in range(len(texts)) if i % 3 < 2}
