@@ -6,9 +6,15 @@ join, which finds a question again after its numbers or names were replaced. For
 document are then held against the item's: along one alignment of document and item, each value of the item must
 always stand for the same value of the document. Alignments that break this don't count.
 
+A window has up to three templates: `inner` as above, `folded` (words in lower case, only numbers and units replaced; a
+window with fewer than half its words outside placeholders keeps its values) and `capital` (all capitalised words are
+names, at a sentence's start too). So no window of an item is without a template. `inner` and `capital` are used where half
+the words or more are outside placeholders. A conflict in `inner` counts for all templates of its alignment, other
+conflicts for their own template.
+
 A document is contaminated by an item if it has at least min_windows of the item's windows (or all, if there are fewer)
-in alignments without conflicts. Windows with fewer than half their words outside placeholders are not used. Items of
-SHORTEST words or more but fewer than `width` are one window; shorter ones are never found.
+in alignments without conflicts, or as many of those that have the template `inner`. Items of SHORTEST words or more but
+fewer than `width` are one window; shorter ones are never found.
 
 Scale: windows are hashed where the text is read. The benchmark's windows are broadcast only up to BROADCAST_WINDOWS
 (counted first); beyond that, hashes are shuffled for the join. Per document and item only counts are shuffled.
@@ -34,46 +40,74 @@ BROADCAST_WINDOWS = 500_000
 
 
 def template_words(text: Column) -> Column:
-    """The words of a text as structs: t, the word of the template, and v, what stands there. Both share their places."""
+    """The words of a text as structs: the word of each template, and v, what stands there. All share their places."""
     text = F.translate(F.coalesce(text, F.lit("")), MARK + UNIT + NAMED, "   ")
     text = F.regexp_replace(text, INNER, NAMED)
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\d])({NUMBER})(?:\s?({UNITS}))?(?![\p{{L}}\p{{M}}\d])", f" {MARK}$1 {UNIT}$2 ")
     text = F.regexp_replace(text, rf"([{MARK}{UNIT}][^ ]*)|[^\p{{L}}\p{{M}}\p{{N}}{MARK}{UNIT}{NAMED}]+", "$1 ")  # values stay whole
-    words = F.filter(F.split(F.lower(text), " "), lambda w: (w != "") & (w != UNIT))
-    kind = lambda w: F.when(w.startswith(MARK), MARK + "n").when(w.startswith(UNIT), MARK + "u").when(w.startswith(NAMED), MARK + "p")
-    return F.transform(words, lambda w: F.struct(F.coalesce(kind(w), w).alias("t"), w.alias("v")))
+    words = F.filter(F.split(text, " "), lambda w: (w != "") & (w != UNIT))
+    words = F.transform(words, lambda w: F.struct(w.startswith(NAMED).alias("named"), F.translate(w, NAMED, "").alias("w")))
+    words = F.transform(words, lambda x: F.struct(x.named.alias("named"), x.w.alias("w"), F.lower(x.w).alias("v")))
+    folded = lambda x: F.when(x.v.startswith(MARK), MARK + "n").when(x.v.startswith(UNIT), MARK + "u").otherwise(x.v)
+    capital = lambda x: (F.substring(x.w, 1, 1) != F.substring(x.v, 1, 1)) & (x.w != F.upper(x.w))
+    name = F.lit(MARK + "p")
+    return F.transform(
+        words,
+        lambda x: F.struct(
+            folded(x).alias("folded"),
+            F.when(x.named, name).otherwise(folded(x)).alias("inner"),
+            F.when(x.named | capital(x), name).otherwise(folded(x)).alias("capital"),
+            x.v.alias("v"),
+        ),
+    )
 
 
 def hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w.t))
+    """The words of a text as structs of hashes, and whether a word stands outside the placeholders of numbers and units."""
+    names = ("folded", "inner", "capital", "v")
+    return F.transform(words, lambda w: F.struct(*(F.xxhash64(w[k]).alias(k) for k in names), F.when(~w.folded.startswith(MARK), 1).otherwise(0).alias("plain")))
+
 
+def window_hashes(hashed: Column, width: Column) -> Column:
+    """The three templates of a window of `width` structs of hashes."""
+    plain = F.array_size(F.array_remove(hashed["plain"], 0))
+    folded = F.when(2 * plain >= width, F.xxhash64(hashed["folded"])).otherwise(F.xxhash64(hashed["v"]))
+    return F.struct(folded.alias("folded"), F.xxhash64(hashed["inner"]).alias("inner"), F.xxhash64(hashed["capital"]).alias("capital"))
 
-def windows(hashes: Column, width: int) -> Column:
-    """Hashes of every window of the array of word hashes, in order."""
-    n = F.array_size(hashes) - width
+
+def windows(hashed: Column, width: int) -> Column:
+    """Distinct hashes of every window of the array of word hashes, in order."""
+    n = F.array_size(hashed) - width
     places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(width))))
+    found = F.transform(places, lambda i: window_hashes(F.slice(hashed, i + 1, F.lit(width)), F.lit(width)))
+    return F.transform(found, lambda h: F.array_distinct(F.array(h.folded, h.inner, h.capital)))
 
 
-def literal(words: Column) -> Column:
-    return F.array_size(F.filter(words, lambda w: ~w.t.startswith(MARK)))
+def literal(words: Column, template: str) -> Column:
+    return F.array_size(F.filter(words, lambda w: ~w[template].startswith(MARK)))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """item_id, width, item_at, hash, n_windows, of the windows that are used."""
+    """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used."""
     items = benchmark.select("item_id", template_words(F.col("text")).alias("words"))
     items = items.withColumn("width", F.least(F.lit(width), F.array_size("words"))).where(F.col("width") >= SHORTEST)
     at = F.explode(F.sequence(F.lit(0), F.array_size("words") - F.col("width")))
-    rows = items.withColumn("item_at", at).withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width")))
-    rows = rows.where(2 * literal(F.col("window")) >= F.col("width"))
-    rows = rows.select("item_id", "width", "item_at", F.xxhash64(hashes(F.col("window"))).alias("hash"))
-    rows = rows.distinct()
-    sizes = rows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
+    rows = items.withColumn("item_at", at).withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width"))).drop("words")
+    enough = lambda template: 2 * literal(F.col("window"), template) >= F.col("width")
+    rows = rows.withColumn("hashed", hashes(F.col("window"))).withColumn("h", window_hashes(F.col("hashed"), F.col("width"))).withColumn("used", enough("inner"))
+    made = F.array(
+        F.struct(F.lit("folded").alias("template"), F.col("h.folded").alias("hash")),
+        F.struct(F.when(F.col("used"), F.lit("inner")).alias("template"), F.col("h.inner").alias("hash")),
+        F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("h.capital").alias("hash")),
+    )
+    rows = rows.select("item_id", "width", "item_at", "used", F.explode(made).alias("m")).where("m.template IS NOT NULL")
+    rows = rows.groupBy("item_id", "width", "item_at", "used", F.col("m.hash").alias("hash")).agg(F.sort_array(F.collect_set("m.template")).alias("templates"))
+    sizes = rows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(F.col("used"), F.col("item_at"))).alias("n_used"))
     return rows.join(sizes, "item_id")
 
 
 def slots(words: Column, at: Column, width: Column) -> Column:
-    return F.transform(F.slice(words, at + 1, width), lambda w: F.when(w.t.startswith(MARK), w.v))
+    return F.transform(F.slice(words, at + 1, width), lambda w: F.when(w.inner.startswith(MARK), w.v))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:
@@ -86,20 +120,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     texts = docs.select("doc_id", hashes(template_words(F.col("text"))).alias("words"))
     hits = None
     for w in sorted(about.widths):
-        found = texts.select("doc_id", F.posexplode(windows(F.col("words"), w)).alias("doc_at", "hash"))
+        found = texts.select("doc_id", F.posexplode(windows(F.col("words"), w)).alias("doc_at", "found"))
+        found = found.select("doc_id", "doc_at", F.explode("found").alias("hash"))
         found = found.join(small.where(F.col("width") == w), "hash")
         hits = found if hits is None else hits.unionByName(found)
-    hits = hits.select("doc_id", "item_id", "n_windows", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    hits = hits.select("doc_id", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     # copies of an item in one document, and rows with one doc_id, repeat windows: each is kept once for each alignment
     hits = stored(hits.distinct(), "hits")
     pair = ["doc_id", "item_id"]
-    enough = F.least(F.lit(min_windows).cast("long"), F.col("n_windows"))
-    likely = hits.groupBy(*pair, "n_windows").agg(F.count_distinct("item_at").alias("matched")).where(F.col("matched") >= enough)
+    least = lambda n: F.least(F.lit(min_windows).cast("long"), F.col(n))
+    enough = (F.col("matched") >= least("n_windows")) | ((F.col("n_used") > 0) & (F.col("matched_used") >= least("n_used")))
+    matched = [F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(F.col("used"), F.col("item_at"))).alias("matched_used")]
+    likely = hits.groupBy(*pair, "n_windows", "n_used").agg(*matched).where(enough)
     likely = stored(likely, "likely")
 
     # items with placeholders: compare what they stand for
     valued = benchmark.select("item_id", template_words(F.col("text")).alias("item_words"))
-    valued = valued.where(F.exists("item_words", lambda w: w.t.startswith(MARK)))
+    valued = valued.where(F.exists("item_words", lambda w: w.inner.startswith(MARK)))
     doubtful = likely.join(valued, "item_id", "left_semi").select(*pair)
     wanted = doubtful.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted_id")
     doc_words = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -110,14 +147,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
         slots(F.col("item_words"), F.col("item_at"), F.col("width")).alias("item"),
         slots(F.col("doc_words"), F.col("item_at") + F.col("shift"), F.col("width")).alias("doc"),
     )
-    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "shift", F.explode(both).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
-    values = both.groupBy(*pair, "shift", F.col("slot.item").alias("item")).agg(F.count_distinct("slot.doc").alias("meanings"))
-    values = values.groupBy(*pair, "shift").agg(F.count("*").alias("compared"), F.max("meanings").alias("meanings"))
+    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "shift", "templates", F.explode(both).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
+    both = both.select(*pair, "shift", "slot", F.explode("templates").alias("template"))
+    values = both.groupBy(*pair, "shift", "template", F.col("slot.item").alias("item")).agg(F.count_distinct("slot.doc").alias("meanings"))
+    broken = F.collect_set(F.when(F.col("meanings") > 1, F.col("template")))
+    values = values.groupBy(*pair, "shift").agg(F.count_distinct("item").alias("compared"), broken.alias("broken"))
     values = values.withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("shift") == F.col("s"))
-    good = hits.join(values, same, "left").where("coalesce(meanings, 1) = 1")
-    out = good.groupBy(*pair, "n_windows").agg(F.count_distinct("item_at").alias("matched"), F.coalesce(F.max("compared"), F.lit(0)).cast("long").alias("slots_compared"))
-    return out.where(F.col("matched") >= enough).select(*pair, "matched", "n_windows", "slots_compared")
+    holds = F.col("broken").isNull() | (~F.array_contains("broken", "inner") & (F.array_size(F.array_except("templates", "broken")) > 0))
+    good = hits.join(values, same, "left").where(holds)
+    out = good.groupBy(*pair, "n_windows", "n_used").agg(*matched, F.coalesce(F.max("compared"), F.lit(0)).cast("long").alias("slots_compared"))
+    return out.where(enough).select(*pair, "matched", "n_windows", "slots_compared")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:

@@ -73,3 +73,15 @@ def test_values_keep_their_places_behind_punctuation(spark):
     texts = [b + x for b in before for x in (item, other, broken)]
     got = {r.doc_id: r.matched for r in contaminated(docs_of(spark, list(enumerate(texts))), bench).collect()}
     assert got == {i: 16 for i in range(len(texts)) if i % 3 < 2}
+
+
+def test_finds_number_lists_names_and_other_case(spark):
+    sums = "Compute 12 + 7 * 3 - 4 / 2 and 5 * 6 + 8 - 9"
+    people = "guests: Anna, Bob, Carl, Dora, Emil, Fred, Gina, Hugo, Ines, Jack"
+    apples = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?"
+    town = "In spring the old town of Paris opens its gates to Anna and her friends for one long week"
+    bench = spark.createDataFrame(list(enumerate([sums, people, apples, town])), "item_id long, text string")
+    texts = [f"We saw this. {sums}.", f"We saw this. {people}.", apples.replace("Tom", "Anna").replace("5", "9"), town.title(), town.upper(), town.lower(),
+             sums.replace("7", "8").replace("12", "15").replace("6", "1"), people.replace("Carl", "Kurt").replace("Fred", "Finn")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
