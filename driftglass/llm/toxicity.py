@@ -1,27 +1,30 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Words are tagged clean or toxic. The training labels are those of documents, so words are labelled first: in the sample's
-toxic documents, the words that explain the label best (a greedy cover: of the words that hardly occur in clean documents,
-the one in most toxic documents not yet explained, again and again; and those about as common as the chosen ones) are
-labelled toxic, all others clean. The field has
-hashed features of a word, its ends and its neighbours, and transition weights; SGD in numpy follows the gradient, empirical
-minus expected counts, from forward-backward marginals.
+Words are tagged clean or toxic. The training labels are those of documents, so words are labelled first, by their parts: a
+word itself, and its beginnings and ends of AFFIX bytes, as inflected forms share a stem while each form is rare. Of the parts
+that are surely more frequent in toxic documents than in clean ones (a likelihood-ratio test that allows for the number of
+parts tried), a greedy cover takes again and again the one that explains most toxic documents not yet explained, less the
+clean ones it is also in. In toxic documents, words with a part of the cover, or with one that hardly occurs in clean
+documents, are labelled toxic; all other words are labelled clean. The field has hashed features of a word, its beginnings
+and ends and its neighbours, and transition weights; SGD in numpy follows the gradient, empirical minus expected counts,
+from forward-backward marginals, with steps scaled by what each weight has seen.
 
 A document's score is a logistic function, fitted on the sample's documents, of the log-odds that it has a toxic word
-(from the marginals) and of how many. Offsets of its toxic spans are maximal runs of words with a marginal of a half or more.
+(from the marginals), of how many, and of how many words it has. Offsets of its toxic spans are maximal runs of words with a
+marginal of a half or more.
 
 A chain is a line of text, cut after CHAIN words; chains of a piece of text advance together, so one step of the recursion is one array
 operation. Fitting uses at most SAMPLE labelled documents (half of them toxic, as far as there are; chosen by a hash of
-doc_id) of at most SAMPLE_WORDS words each; scoring reads whole texts.
+doc_id) of at most SAMPLE_BYTES each; scoring reads whole texts.
 
 Cases: null and empty texts, and texts without words, are scored by the document function at no evidence and have no
 spans; without a toxic and a clean document to learn from all scores are 0; equal labels for one doc_id count once, and of
-unequal ones the greater; null labels are ignored; an empty table gives no rows; other columns are ignored.
+unequal ones the greater; null labels and null doc_ids are not learned from; rows that share a doc_id are learned from and
+scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +34,27 @@ from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import BYTE_VALUE, LOWER, mix, prefix_sums, row_pieces, span_hash, utf8
 
-BITS, CHAIN, SAMPLE, SAMPLE_WORDS = 18, 96, 3000, 100_000
-RARE_IN_CLEAN, COVER_LEAST, ALIKE = 0.1, 0.03, 0.4
+BITS, CHAIN, SAMPLE, SAMPLE_BYTES = 18, 96, 3000, 1 << 17
+AFFIX = (4, 5, 6, 7, 8, 9)  # bytes of the beginnings and ends that parts are taken from
+SURE, RARE, EXCLUSIVE, COVER_LEAST = 12.0, 0.25, 0.03, 0.004
 BASE = 0x9E3779B97F4A7C15
-KINDS = 5  # word, first three bytes, last three bytes, word before, word after
-EPOCHS, CHAINS_AT_ONCE, RATE, DECAY = 4, 1024, 0.5, 1e-5
+FIRST, LAST = (3, 4, 5, 6, 8), (3, 4, 6)  # bytes of the beginnings and ends that are features
+KINDS = 3 + len(FIRST) + len(LAST)  # and the word, the one before, the one after
+EPOCHS, CHAINS_AT_ONCE, RATE, DECAY = 4, 512, 0.3, 1e-5
 EVIDENCE = 0.02  # marginals below count as none
 PIECE = 1 << 21
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
-VALUE = BYTE_VALUE[LOWER]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes of a text with A-Z and the capitals of two bytes up to U+00DE in lower case."""
+    out = LOWER[data]
+    if len(out) > 1:
+        accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][accented] += 0x20
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,17 +83,28 @@ def chains(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(CHAIN, np.repeat(first + size, parts) - begin)
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and for each word KINDS feature buckets (one column each)."""
-    sums = prefix_sums(VALUE[data], BASE)
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each word KINDS feature buckets (one row each)."""
+    sums = prefix_sums(BYTE_VALUE[lowered(data)], BASE)
     word = span_hash(sums, start, end, BASE)
-    first = span_hash(sums, start, np.minimum(start + 3, end), BASE)
-    last = span_hash(sums, np.maximum(end - 3, start), end, BASE)
     before, after = np.zeros_like(word), np.zeros_like(word)
     before[1:] = np.where(new[1:], 0, word[:-1])
     after[:-1] = np.where(new[1:], 0, word[1:])
-    kinds = [word, first + np.uint64(1), last + np.uint64(2), before + np.uint64(3), after + np.uint64(4)]
-    return word, np.stack([(mix(k) >> np.uint64(64 - BITS)).astype(np.int32) for k in kinds])
+    kinds = [word, before, after]
+    kinds += [span_hash(sums, start, np.minimum(start + k, end), BASE) for k in FIRST]
+    kinds += [span_hash(sums, np.maximum(end - k, start), end, BASE) for k in LAST]
+    return np.stack([(mix(x + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int32) for k, x in enumerate(kinds)])
+
+
+def parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the hashes of its parts: itself, beginnings, ends; 0 where it is too short for a part of its own."""
+    sums = prefix_sums(BYTE_VALUE[lowered(data)], BASE)
+    out = [span_hash(sums, start, end, BASE)]
+    for k in AFFIX:
+        longer = end - start > k
+        out.append(np.where(longer, mix(span_hash(sums, start, np.minimum(start + k, end), BASE) + np.uint64(1)), 0))
+        out.append(np.where(longer, mix(span_hash(sums, np.maximum(end - k, start), end, BASE) + np.uint64(2)), 0))
+    return np.stack(out)
 
 
 def forward_backward(e: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +140,8 @@ def own_odds(weights: np.ndarray, bias: float, buckets: np.ndarray) -> np.ndarra
 
 def fit_field(buckets: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int = 5) -> dict:
     r = np.random.default_rng(seed)
-    weights = np.zeros((KINDS, 1 << BITS))
+    weights, seen_w = np.zeros((KINDS, 1 << BITS)), np.full((KINDS, 1 << BITS), 1.0)
     bias, log_move = -4.0, np.zeros(4)
-    n_toxic = max(1, int(y.sum()))
     for epoch in range(EPOCHS):
         order = r.permutation(len(first))
         for a in range(0, len(order), CHAINS_AT_ONCE):
@@ -138,18 +161,19 @@ def fit_field(buckets: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.nd
             pairs = np.stack([move[0] * np.ones(len(i)), move[1] * nxt, move[2] * f, move[3] * f * nxt])
             pairs /= pairs.sum(axis=0)
             seen = np.array([((labels[i - 1] == p) & (labels[i] == q)).sum() for p in (0, 1) for q in (0, 1)])
-            rate = RATE / (1 + epoch)
+            rate = 0.5 / (1 + epoch)
             step = (seen - pairs.sum(axis=1)) / max(50, labels.sum())
             log_move += rate * np.clip(step, -1, 1)
             log_move -= log_move[0]
             bias += rate * float(np.clip(g.sum() / max(50, labels.sum()), -1, 1))
             near = np.flatnonzero(np.abs(g) > 1e-4)
             for k in range(KINDS):
-                pull = np.bincount(b[k][near], weights=g[near], minlength=1 << BITS)
-                # a bucket's step: its surplus, damped for those seen often
-                weights[k] += rate * pull / np.sqrt(1 + np.abs(pull)) * (2.0 if k == 0 else 0.1)
+                used, where = np.unique(b[k][near], return_inverse=True)
+                pull = np.bincount(where, weights=g[near], minlength=len(used))
+                seen_w[k, used] += pull * pull
+                weights[k, used] += RATE * pull / np.sqrt(seen_w[k, used])
             weights *= 1 - DECAY
-    return {"weights": weights.astype(np.float32), "bias": bias, "move": np.exp(log_move), "n_toxic": n_toxic}
+    return {"weights": weights.astype(np.float32), "bias": bias, "move": np.exp(log_move)}
 
 
 def evidence(field: dict, buckets: np.ndarray, new: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +186,7 @@ def evidence(field: dict, buckets: np.ndarray, new: np.ndarray, row: np.ndarray,
     clean = np.bincount(row, weights=np.log1p(-np.minimum(strong, 1 - 1e-9)), minlength=rows)
     many = np.bincount(row, weights=strong, minlength=rows)
     none = np.exp(clean)
-    x = np.stack([np.log((1 - none + 1e-3) / (none + 1e-3)), np.log1p(many)], axis=1)
+    x = np.stack([np.log((1 - none + 1e-3) / (none + 1e-3)), np.log1p(many), -np.log1p(np.bincount(row, minlength=rows))], axis=1)
     return m, x
 
 
@@ -182,65 +206,64 @@ def fit_score(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> np.ndarray:
     return w
 
 
-def toxic_words(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The greedy cover: hashes of the words to label toxic."""
-    # copies say no more than one text: of documents with the same smallest hash of three words, one counts
-    smallest = [int(mix(d[2:] + d[1:-1] * np.uint64(3) + d[:-2] * np.uint64(5)).min()) if len(d) > 2 else i for i, d in enumerate(docs)]
-    _, once = np.unique(np.array(smallest, np.uint64), return_index=True)
-    y, sets = y[once], [np.unique(docs[i]) for i in once]
-    inside, outside = Counter(), Counter()
-    for s, label in zip(sets, y):
-        (inside if label else outside).update(s.tolist())
+def toxic_parts(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The parts that label words toxic, from the distinct parts of documents and the documents' labels."""
     toxic, clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    least = max(2, COVER_LEAST * toxic)
-    good = {w for w, c in inside.items() if c >= least and outside[w] / clean <= RARE_IN_CLEAN * c / toxic}
-    left = [good.intersection(s.tolist()) for s, label in zip(sets, y) if label]
-    chosen = []
-    while True:
-        seen = Counter(w for s in left for w in s)
-        if not seen:
-            break
-        word, n = max(seen.items(), key=lambda x: (x[1], -x[0]))
-        if n < least:
-            break
-        chosen.append(word)
-        left = [s for s in left if word not in s]
-    # a word that came too late to explain a document alone, but is as common as the chosen ones, is toxic as well
-    common = ALIKE * float(np.median([inside[w] for w in chosen])) if chosen else 0
-    return np.array(sorted({*chosen, *(w for w in good if chosen and inside[w] >= common)}), np.uint64)
-
-
-def train(words: list[np.ndarray], buckets: list[np.ndarray], news: list[np.ndarray], y: np.ndarray) -> dict | None:
+    keys, inside = np.unique(np.concatenate([d for d, label in zip(docs, y) if label]), return_counts=True)
+    outside = np.zeros(len(keys), np.int64)
+    for d, label in zip(docs, y):
+        if not label and len(keys):
+            at = np.minimum(np.searchsorted(keys, d), len(keys) - 1)
+            outside[at[keys[at] == d]] += 1
+    # twice the log-likelihood ratio of two rates against one; the level grows with the parts that are tried
+    t, c = inside.astype(float), outside.astype(float)
+    both = (t + c) / (toxic + clean)
+    ratio = 2 * (t * np.log(t / (toxic * both)) + c * np.log(np.maximum(c, 1e-300) / (clean * both)))
+    good = (ratio >= SURE + 2 * np.log(len(keys) + 1)) & (c / clean <= RARE * t / toxic) & (keys != 0)
+    keys, t, c = keys[good], t[good], c[good]
+    if not len(keys):
+        return keys
+    held = [np.searchsorted(keys, np.intersect1d(d, keys)) for d in docs]
+    weight = np.where(y == 1, 1 / toxic, -1 / clean)
+    gain = np.zeros(len(keys))
+    for h, w in zip(held, weight):
+        gain[h] += w
+    left, chosen = set(range(len(docs))), []
+    where = [[] for _ in keys]
+    for i, h in enumerate(held):
+        for k in h.tolist():
+            where[k].append(i)
+    while gain.max() >= COVER_LEAST:
+        best = int(gain.argmax())
+        chosen.append(best)
+        for i in where[best]:
+            if i in left:
+                left.discard(i)
+                gain[held[i]] -= weight[i]
+        gain[best] = -1
+    # parts that explain no further document alone, but are as telling
+    return np.union1d(keys[chosen], keys[c / clean <= EXCLUSIVE * t / toxic])
+
+
+def train(texts: list[np.ndarray], y: np.ndarray) -> dict | None:
     if not len(y) or y.min() == y.max():
         return None
-    seeds = toxic_words(words, y)
-    flat, new = np.concatenate(words), np.concatenate(news)
-    row = np.repeat(np.arange(len(y)), [len(w) for w in words])
-    labels = (np.isin(flat, seeds) & (y[row] == 1)).astype(np.int64)
-    first, size = chains(new)
-    b = np.concatenate(buckets, axis=1)
-    field = fit_field(b, labels, first, size)
-    _, x = evidence(field, b, new, row, len(y))
+    spans = [word_spans(text, np.array([0, len(text)])) for text in texts]
+    held = [np.unique(parts(text, s[0], s[1])) for text, s in zip(texts, spans)]
+    # copies say no more than one text: of documents with the same smallest parts, one counts
+    smallest = [tuple(h[:8].tolist()) if len(h) > 8 else i for i, h in enumerate(held)]
+    once = sorted({k: i for i, k in reversed(list(enumerate(smallest)))}.values())
+    seeds = toxic_parts([held[i] for i in once], y[once])
+    labels = [np.isin(parts(text, s[0], s[1]), seeds).any(axis=0) & (label == 1) for text, s, label in zip(texts, spans, y)]
+    buckets = np.concatenate([features(text, s[0], s[1], s[3]) for text, s in zip(texts, spans)], axis=1)
+    new = np.concatenate([s[3] for s in spans])
+    row = np.repeat(np.arange(len(y)), [len(s[0]) for s in spans])
+    first, size = chains(new) if len(new) else (np.zeros(0, np.int64),) * 2
+    field = fit_field(buckets, np.concatenate(labels).astype(np.int64), first, size)
+    _, x = evidence(field, buckets, new, row, len(y))
     return field | {"score": fit_score(x, y)}
 
 
-def feature_batches(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i in range(len(batch)):
-                text = data[offsets[i] : offsets[i + 1]]
-                start, end, _, new = word_spans(text, np.array([0, len(text)]))
-                if len(start) > most:
-                    continue
-                word, buckets = features(text, start, end, new) if len(start) else (np.zeros(0, np.uint64), np.zeros((KINDS, 0), np.int32))
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int32()]
-                values = [batch.column("doc_id")[i].as_py(), word.view(np.int64), buckets.ravel(), new, batch.column("toxic")[i].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["doc_id", "words", "buckets", "new", "toxic"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict | None:
     """A model from docs(doc_id, text) and labels(doc_id, toxic)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -250,12 +273,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict | None:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, F.lit(most / 2 / counts[1])).otherwise(F.lit(most / 2 / counts[0]))
     chosen = known.where(place < share).limit(2 * most)  # so small that it can go to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInArrow(feature_batches(SAMPLE_WORDS), "doc_id long, words array<long>, buckets array<int>, new array<boolean>, toxic int").toArrow().sort_by("doc_id")
-    words = [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for x in rows.column("words")]
-    buckets = [x.values.to_numpy(zero_copy_only=False).reshape(KINDS, -1) for x in rows.column("buckets")]
-    news = [x.values.to_numpy(zero_copy_only=False).astype(bool) for x in rows.column("new")]
-    return train(words, buckets, news, rows.column("toxic").to_numpy().astype(np.int64))
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES
+    rows = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id").limit(4 * most)
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    data, offsets = utf8(rows.column("text").combine_chunks())
+    return train([data[a:b] for a, b in zip(offsets, offsets[1:])], rows.column("toxic").to_numpy().astype(np.int64))
 
 
 SCHEMA = "doc_id long, score double, spans array<struct<start: int, end: int>>"
@@ -273,7 +295,7 @@ def score_batches(shared):
                 spans: list[list] = [[] for _ in range(s - r)]
                 score = np.zeros(s - r)
                 if model is not None:
-                    _, buckets = features(piece, start, end, new)
+                    buckets = features(piece, start, end, new)
                     m, x = evidence(model, buckets, new, row, s - r)
                     score = logistic(x, model["score"])
                     hit = np.flatnonzero(m >= 0.5)
