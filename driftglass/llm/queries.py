@@ -147,7 +147,7 @@ entries AS (
 days AS (SELECT pattern, DATE '2024-01-01' + day::INT AS since, max(action) AS action FROM entries GROUP BY pattern, day),
 valid AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM days),
 labels AS (SELECT *, string_split(host, '.') AS l FROM captures),
-parents AS (SELECT *, unnest([array_to_string(l[i:], '.') FOR i IN range(1, least(len(l), 6) + 1)]) AS h FROM labels WHERE host <> ''),
+parents AS (SELECT *, unnest([array_to_string(l[i:], '.') FOR i IN range(1, len(l) + 1)]) AS h FROM labels WHERE host <> '' AND length(host) <= 253),
 tried AS (SELECT capture_id, fetched_on, h AS pattern FROM parents UNION ALL SELECT capture_id, fetched_on, h || '/' || part FROM parents WHERE part <> ''),
 met AS (
   SELECT capture_id, v.pattern, v.action, v.since, row_number() OVER (PARTITION BY capture_id ORDER BY length(v.pattern) DESC, v.pattern DESC) AS place

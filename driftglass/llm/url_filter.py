@@ -2,18 +2,20 @@
 
 Dated entries (pattern, action, added_on) become validity intervals: an entry holds from its day until the next day on
 which the same pattern is listed again (action 'remove' ends a listing and starts none). Captures are joined as of their
-fetch time: a capture offers a few patterns (its host, the parent domains, and each of these with the first part of the
+fetch time: a capture offers a few patterns (its host, all parent domains, and each of these with the first part of the
 path), and of the active entries among them the longest pattern decides.
 
 Patterns: 'host' or 'host/part', in lower case, without scheme and port. A host also matches its subdomains.
 
-Scale: intervals are cut at periods of `period_days`, so the as-of join is an equi-join on pattern and period with the
-exact bounds checked inside it. A host with a third of all captures spreads over its periods, and Spark can split what is
-still too large. A capture offers at most 2 * LEVELS patterns; equal captures are judged once.
+Scale: intervals are cut at those periods of `period_days` in which there are captures, so the as-of join is an equi-join on
+pattern and period with the exact bounds checked inside it; a capture of a far day adds one period, not all up to it. A host
+with a third of all captures spreads over its periods, and Spark can split what is still too large. A host name has at most
+HOST_CHARS characters, so a capture offers at most HOST_CHARS + 1 patterns (as a rule four to eight); equal captures are
+judged once. The periods are one array of numbers: at most 122,000 for the years 1 to 9999.
 
-Cases: a null or malformed URL or a null time matches nothing and gets action null; of entries for one pattern and day, the
-greatest action counts; entries with a null pattern, day or action are ignored; repeated captures stay repeated; empty
-tables give no rows, or null actions; other columns are ignored.
+Cases: a null or malformed URL (one with a longer host is malformed too) or a null time matches nothing and gets action null;
+of entries for one pattern and time, the greatest action counts; entries with a null pattern, day or action are ignored;
+repeated captures stay repeated; empty tables give no rows, or null actions; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PART = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)"
-LEVELS = 6
+HOST_CHARS = 253  # fixed value: the greatest length of a host name
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -35,14 +37,15 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def patterns(url: str) -> Column:
-    """The patterns that a URL can match: its host and up to LEVELS - 1 parent domains, each alone and with a path part."""
+    """The patterns that a URL can match: its host and all parent domains, each alone and with a path part."""
     low = F.lower(F.col(url))
-    labels = F.split(F.regexp_extract(low, HOST, 1), r"\.")
+    host = F.regexp_extract(low, HOST, 1)
+    labels = F.split(host, r"\.")
     n = F.array_size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LEVELS))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     part = F.regexp_extract(low, PART, 1)
     both = F.when(part == "", hosts).otherwise(F.concat(hosts, F.transform(hosts, lambda h: F.concat(h, F.lit("/"), part))))
-    return F.when(F.regexp_extract(low, HOST, 1) != "", both)
+    return F.when((host != "") & (F.length(host) <= HOST_CHARS), both)
 
 
 def judge_captures(captures: DataFrame, entries: DataFrame, period_days: int = 30) -> DataFrame:
@@ -51,10 +54,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, period_days: int = 3
     rows = captures.select("capture_id", "url", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     rows = rows.groupBy("capture_id", "url", "fetched_at").agg(F.count("*").alias("copies"))
     offered = rows.select("url", "fetched_at").where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
-    last = captures.agg(F.max(F.col("fetched_at").cast("timestamp")).alias("last"))  # one row
-    listed = validity(entries).join(F.broadcast(last), F.col("valid_from") <= F.col("last"))
-    stop = F.least(F.coalesce(F.col("valid_to"), F.col("last")), F.col("last"))
-    listed = listed.withColumn("period", F.explode(F.sequence(period("valid_from"), period(stop)))).drop("last")
+    fetched = captures.select(period(F.col("fetched_at").cast("timestamp")).alias("p")).where("p IS NOT NULL").distinct()
+    fetched = fetched.agg(F.collect_list("p"))  # one array
+    listed = validity(entries).withColumns({"first": period("valid_from"), "last": period("valid_to")}).withColumn("periods", fetched.scalar())
+    held = F.filter("periods", lambda p: (p >= F.col("first")) & (F.col("last").isNull() | (p <= F.col("last"))))
+    listed = listed.withColumn("period", F.explode(held)).drop("first", "last", "periods")
 
     tried = offered.withColumn("period", period("fetched_at")).withColumn("pattern", F.explode(patterns("url")))
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))

@@ -17,10 +17,10 @@ def brute(captures, entries):
     for i, url, t in captures:
         found = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", (url or "").lower())
         best = None
-        if found and t:
+        if found and t and len(found[1]) <= 253:
             labels = found[1].split(".")
             part = re.match(r"[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)", url.lower())
-            for k in range(min(6, len(labels))):
+            for k in range(len(labels)):
                 host = ".".join(labels[k:])
                 for p in [host] + ([f"{host}/{part[1]}"] if part else []):
                     before = [d for d in history.get(p, {}) if d <= t]
@@ -44,6 +44,18 @@ def test_matches_brute_force(spark):
     assert got == brute(captures, entries) and sum(x[3] is not None for x in got) > 50
 
 
+def test_deep_hosts_and_far_days(spark):
+    deep = ".".join("abcdefghij") + ".example.com"
+    long = "http://" + ".".join(["a" * 50] * 6) + ".example.com/"
+    urls = [f"http://{deep}/x", f"http://{deep}/en/1", long, "http://www.example.com/"]
+    captures = [(i, u, t) for i, (u, t) in enumerate((u, t) for u in urls for t in (DAY, dt.datetime(1900, 1, 1), dt.datetime(9999, 12, 1)))]
+    entries = [("example.com", "block", dt.datetime(1850, 1, 1)), ("j.example.com/en", "allow", DAY), ("www.example.com", "remove", DAY), ("www.example.com", "review", dt.datetime(9000, 1, 1))]
+    got = judge_captures(spark.createDataFrame(captures, "capture_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "pattern string, action string, added_on timestamp"))
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == brute(captures, entries)
+    assert [x[4] for x in sorted(got)] == ["block"] * 3 + ["allow", "block", "allow"] + [None] * 3 + ["block", "block", "review"]
+
+
 def test_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.b/", DAY)], "capture_id long, url string, fetched_at timestamp")
     entries = spark.createDataFrame([("b", "block", DAY)], "pattern string, action string, added_on timestamp")
