@@ -8,7 +8,8 @@
   listed as exceptions. While filters and exceptions stay under a size bound they go to every executor and texts are never
   shuffled; beyond it, lines meet the counts in a join and only its matches are attached to the documents.
 
-Keys are 128-bit hashes, counted by partial aggregates, so a line that every document holds is no hot spot.
+Keys are 128-bit cryptographic digests, so two lines with one key are taken to be equal whatever their texts, and they are
+counted by partial aggregates, so a line that every document holds is no hot spot.
 
 Cases: a null or empty text is one empty line, and it stays (keys have at least min_chars code points, 1 or more); a key
 counts once for a document, however often it occurs there; every row is a document, even if it repeats a doc_id or a whole
@@ -26,51 +27,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.buffers import IS_SPACE, LOWER_VALUE, mix, prefix_sums, row_pieces, span_hash, utf8
+from driftglass.llm.buffers import mix, utf8
 from driftglass.llm.storage import small_batches, stored
 
 KEY = "k1 long, k2 long"
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 KEYS_PER_SHARD = 100_000
 FILTER_BYTES_MOST = 64 << 20
 EXCEPTIONS_MOST = 100_000
+PIECE = 1 << 20
 FOUND = "_found_keys"
 
 
-def lines(data: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
-    """Row, start, end, both key hashes, and whether the key is long enough, of every line; each row has one at least."""
-    breaks = np.flatnonzero(data == 10)
-    # each row opens with a line, and a line follows each break; rows stay in order, and so do a row's breaks
-    row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, side="right") - 1])
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    start = np.concatenate([offsets[:-1], breaks + 1])[order]
-    end = np.append(start[1:] - 1, 0)
-    last = np.ones(len(row), bool)
-    last[:-1] = row[1:] != row[:-1]
-    end[last] = offsets[row[last] + 1]
-    solid = np.flatnonzero(~IS_SPACE[data])
-    i, j = np.searchsorted(solid, start), np.searchsorted(solid, end)
-    some = i < j
-    a, b = start.copy(), start.copy()
-    a[some], b[some] = solid[i[some]], solid[j[some] - 1] + 1
-    values = LOWER_VALUE[data]
-    hashes = [span_hash(prefix_sums(values, base), a, b, base).view(np.int64) for base in BASES]
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return row, start, end, *hashes, chars[b] - chars[a] >= min_chars
+def normal(line: bytes) -> bytes:
+    return line.strip(SPACE).lower()  # of bytes, A-Z alone change
+
+
+def line_keys(keys: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the digests of normal lines, and whether they are long enough (counted in code points)."""
+    made = np.frombuffer(b"".join([hashlib.blake2b(k, digest_size=16).digest() for k in keys]), np.int64).reshape(-1, 2)
+    if min_chars <= 1:
+        long = np.fromiter(map(len, keys), np.int64, len(keys)) >= min_chars
+    else:
+        long = np.fromiter((len(k.decode()) for k in keys), np.int64, len(keys)) >= min_chars
+    return made[:, 0], made[:, 1], long
+
+
+def split_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The lines of a batch's texts, of rows of about PIECE bytes at a time, with the first row's place."""
+    data, offsets = utf8(batch.column("text"))
+    first, size, held = 0, 0, []
+    for i in range(len(batch)):
+        held.append(data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n"))
+        size += int(offsets[i + 1] - offsets[i])
+        if size >= PIECE or i + 1 == len(batch):
+            yield first, held
+            first, size, held = i + 1, 0, []
 
 
 def key_batches(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for r, s in row_pieces(offsets):
-                at = offsets[r : s + 1]
-                row, _, _, k1, k2, long = lines(data[at[0] : at[-1]], at - at[0], min_chars)
-                row, k1, k2 = row[long], k1[long], k2[long]
-                _, once = np.unique(mix(mix(row.astype(np.uint64)) + k1.view(np.uint64)) ^ k2.view(np.uint64), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[once]), pa.array(k2[once])], names=["k1", "k2"])
+            for _, rows in split_rows(batch):
+                k1, k2, long = line_keys([key for lines in rows for key in {normal(x) for x in lines}], min_chars)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[long]), pa.array(k2[long])], names=["k1", "k2"])
 
     return run
 
@@ -212,26 +213,20 @@ def cut_batches(drops, min_chars: int, digest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            judge = drops(batch)
-            many, gone, kept = [], [], []
-            for r, s in row_pieces(offsets):
-                at = offsets[r : s + 1]
-                piece, at = data[at[0] : at[-1]], at - at[0]
-                row, start, end, k1, k2, long = lines(piece, at, min_chars)
-                drop = long & judge(r + row, k1, k2)
-                edges = np.searchsorted(row, np.arange(s - r + 1))
-                many.append(np.diff(edges))
-                gone.append(np.add.reduceat(drop.astype(np.int64), edges[:-1]) if len(row) else np.zeros(0, np.int64))
-                for i in range(s - r):
-                    mine = slice(edges[i], edges[i + 1])
-                    if gone[-1][i]:
-                        stay = ~drop[mine]
-                        kept.append(b"\n".join(piece[a:b].tobytes() for a, b in zip(start[mine][stay], end[mine][stay])))
-                    else:
-                        kept.append(piece[at[i] : at[i + 1]].tobytes())
             if not len(batch):
                 continue
+            judge = drops(batch)
+            many, gone, kept = [], [], []
+            for first, rows in split_rows(batch):
+                sizes = np.array([len(x) for x in rows])
+                k1, k2, long = line_keys([normal(x) for lines in rows for x in lines], min_chars)
+                drop = long & judge(first + np.repeat(np.arange(len(rows)), sizes), k1, k2)
+                ends = np.cumsum(sizes)
+                dropped = np.add.reduceat(drop.astype(np.int64), ends - sizes)
+                many.append(sizes)
+                gone.append(dropped)
+                for lines, end, n in zip(rows, ends, dropped):
+                    kept.append(b"\n".join([x for x, d in zip(lines, drop[end - len(lines) : end]) if not d] if n else lines))
             if not digest:
                 names = [x for x in batch.schema.names if x != FOUND]
                 text = pa.array(kept, pa.binary()).cast(pa.string())
@@ -289,8 +284,10 @@ class Judge:
 
         def judge(row: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
             yes = accepted(self.filters, self.shards, k1, k2)
-            for a, b in wrong if yes.any() else ():
-                yes &= (k1 != a) | (k2 != b)
+            if yes.any() and len(wrong):
+                at = np.flatnonzero(yes)
+                known = {tuple(x) for x in wrong[np.isin(wrong[:, 0], k1[at])].tolist()}
+                yes[at] = [(a, b) not in known for a, b in zip(k1[at].tolist(), k2[at].tolist())]
             return yes
 
         return judge
@@ -299,11 +296,10 @@ class Judge:
 def keyed_batches(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for r, s in row_pieces(offsets):
-                at = offsets[r : s + 1]
-                row, _, _, k1, k2, long = lines(data[at[0] : at[-1]], at - at[0], min_chars)
-                ids = batch.column("doc_id").take(pa.array(r + row[long]))
+            for first, rows in split_rows(batch):
+                k1, k2, long = line_keys([normal(x) for lines in rows for x in lines], min_chars)
+                row = first + np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+                ids = batch.column("doc_id").take(pa.array(row[long]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(k1[long]), pa.array(k2[long])], names=["doc_id", "k1", "k2"])
 
     return run

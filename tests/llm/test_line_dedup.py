@@ -77,3 +77,11 @@ def test_cuckoo_filter_grows_and_forgets():
     assert made.holds(k1, k2).all()
     made.delete(k1[:2500], k2[:2500])
     assert made.holds(k1[2500:], k2[2500:]).all() and made.holds(k1[:2500], k2[:2500]).mean() < 0.01
+
+
+def test_lines_that_break_polynomial_hashes(spark):
+    """A Thue-Morse line and its complement have one polynomial hash modulo 2**64, whatever base and values."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    rows = [(i, f"{word if i % 2 else word.translate(str.maketrans('ab', 'ba'))}\nown {i}") for i in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(x[0], x[2]) for x in sorted(map(tuple, L.line_dedup(docs, digest=True).collect()))] == [(i, 0) for i in range(18)]
