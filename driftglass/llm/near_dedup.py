@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-1. Sets: a document's distinct `width`-word shingles, as 64-bit hashes. Documents with one set (a 128-bit digest of it) form
+1. Sets: a document's distinct `width`-word shingles, as 64-bit hashes of cryptographic digests of words. Documents with one set (a 128-bit digest of it) form
    a class; all that follows is about one document of each class.
 2. Signatures: HASHES minima of the set. BANDS keys come from ROWS whole minima each; of every minimum the low BITS bits are
    kept and packed. The share of equal b-bit values, corrected for chance collisions, estimates the similarity.
@@ -8,7 +8,8 @@
    the whole sets; a group of many near copies is then one component already.
 4. What is left, keys whose members lie in several components, is compared pair by pair inside tasks: bit counts over the
    packed signatures choose the pairs, whole sets confirm them, and only links that join components come out. A key's
-   members are split in blocks of about BLOCK, so a task holds two blocks at most.
+   members are split in blocks of about BLOCK, so a task holds two blocks at most. Signatures (320 bytes) are dealt to all
+   pairs of blocks first; whole sets follow only where a member has a likely partner.
 5. Components come from repeated large-star and small-star steps over the links.
 
 A pair at similarity 0.75 shares no key with probability (1 - 0.75**4)**32 = 5e-6, and at SLACK below the threshold an
@@ -32,44 +33,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.buffers import LOWER_VALUE, mix, prefix_sums, row_pieces, span_hash, utf8, words
+from driftglass.llm.buffers import WordHashes, mix, row_pieces, utf8, word_hashes
 from driftglass.llm.storage import broadcast_if_small, small_batches, stored
 
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 SLACK, BLOCK = 0.2, 2048
 WORD_BASE = 0x9E3779B97F4A7C15
-STEPS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x8CB92BA72F3D8DD7], np.uint64)
-
 _rng = np.random.default_rng(20011)
 FACTORS = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def steps(width: int) -> np.ndarray:
-    return mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(WORD_BASE)) | np.uint64(1) if width > len(STEPS) else STEPS[:width]
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of rows, in order within each row, and the bounds of the rows (rows + 1)."""
-    start, end, row = words(data, offsets)
     rows = len(offsets) - 1
-    w = span_hash(prefix_sums(LOWER_VALUE[data], WORD_BASE), start, end, WORD_BASE)
-    edges = np.searchsorted(row, np.arange(rows + 1))
+    w, edges = word_hashes(data, offsets, known)
     many = np.diff(edges)
-    factor = steps(width)
-    h = np.zeros(max(0, len(w) - width + 1), np.uint64)
+    row = np.repeat(np.arange(rows), many)
+    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
     for j in range(width):
-        h += w[j : len(h) + j] * factor[j]
-    h = mix(h)
+        h = mix(h * np.uint64(WORD_BASE) + w[j : len(h) + j])
     whole = row[: len(h)] == row[width - 1 :] if len(h) else np.zeros(0, bool)
     at, values = row[: len(h)][whole], h[whole]
     short = np.flatnonzero((many > 0) & (many < width))
     if len(short):
-        own = []
-        for i in short:
-            s = w[edges[i] : edges[i + 1]]
-            own.append(mix((s * factor[: len(s)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0])
-        at, values = np.append(at, short), np.append(values, np.array(own, np.uint64))
+        own = many[short].astype(np.uint64)
+        for j in range(width):
+            some = many[short] > j
+            own[some] = mix(own[some] * np.uint64(WORD_BASE) + w[edges[short[some]] + j])
+        at, values = np.append(at, short), np.append(values, own)
         order = np.argsort(at, kind="stable")
         at, values = at[order], values[order]
     bounds = np.searchsorted(at, np.arange(rows + 1))
@@ -135,11 +127,12 @@ SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bits binary, bands arr
 
 def sign_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for r, s in row_pieces(offsets):
                 at = offsets[r : s + 1]
-                values, bounds = shingles(data[at[0] : at[-1]], at - at[0], width)
+                values, bounds = shingles(data[at[0] : at[-1]], at - at[0], width, known)
                 size = np.diff(bounds)
                 some = np.flatnonzero(size > 0)
                 n = s - r
@@ -172,11 +165,12 @@ def digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for r, s in row_pieces(offsets):
                 at = offsets[r : s + 1]
-                values, bounds = shingles(data[at[0] : at[-1]], at - at[0], width)
+                values, bounds = shingles(data[at[0] : at[-1]], at - at[0], width, known)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r, s - r), pa.array(digests(values, bounds)[0]), lists(values.view(np.int64), bounds)], names=["doc_id", "d1", "hashes"])
 
     return run
@@ -247,15 +241,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def compare_cell(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
-    """Links that join components among the members of a cell: pairs of high estimate, confirmed on the whole sets.
+def likely_pairs(rows: pa.Table, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a cell's members (places) of different components and of high estimate, and the estimates.
 
-    A pair with several common keys is compared at the first of them alone, and not at all once it is connected.
+    A pair with several common keys is compared at the first of them alone.
     """
-    node, comp, n, side, bands_at = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side", "band"))
+    comp, n, side, bands_at = (rows.column(c).to_numpy() for c in ("component", "n_shingles", "side", "band"))
     bits = fixed(rows.column("bits").combine_chunks())
     bands = values_of(rows.column("bands"))[0].reshape(-1, BANDS)
-    hashes, bounds = values_of(rows.column("hashes"))
     left = np.flatnonzero(side == 0)
     lone = len(left) == len(side)  # a block against itself
     right = left if lone else np.flatnonzero(side == 1)
@@ -271,7 +264,22 @@ def compare_cell(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
         p, q, est = p[est >= least], q[est >= least], est[est >= least]
         first = (bands[p] == bands[q]).argmax(axis=1) == bands_at[p]
         found.append((p[first], q[first], est[first]))
-    p, q, est = (np.concatenate(x) for x in zip(*found))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def open_members(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
+    """The members of a cell that a likely pair holds."""
+    p, q, _ = likely_pairs(rows, least, percent)
+    names = ["key", "cell", "side", "band", "node", "component", "n_shingles"]
+    return rows.select(names).take(pa.array(np.union1d(p, q))).combine_chunks().to_batches()
+
+
+def compare_cell(rows: pa.Table, least: float, percent: int) -> list[pa.RecordBatch]:
+    """Links that join components among the members of a cell: likely pairs, the likeliest first, confirmed on the whole
+    sets unless they are connected by then."""
+    node, comp, n = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    hashes, bounds = values_of(rows.column("hashes"))
+    p, q, est = likely_pairs(rows, least, percent)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -289,11 +297,11 @@ def compare_cell(rows: pa.Table, least: float, percent: int) -> pa.RecordBatch:
                 parent[max(a, b)] = min(a, b)
                 links.append((int(node[i]), int(node[j])))
     a, b = zip(*links) if links else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])]
 
 
-def compare_batches(least: float, percent: int):
-    """compare_cell for each cell of rows that come sorted by key and cell."""
+def by_cell(f, least: float, percent: int):
+    """f(rows, least, percent) for each cell of rows that come sorted by key and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -303,11 +311,11 @@ def compare_batches(least: float, percent: int):
             at = np.stack([table.column(c).to_numpy() for c in ("key", "cell")])
             first = 0
             for cut in np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1:
-                yield compare_cell(table.slice(first, cut - first), least, percent)
+                yield from f(table.slice(first, cut - first), least, percent)
                 first = int(cut)
             held = table.slice(first)
         if held is not None and len(held):
-            yield compare_cell(held, least, percent)
+            yield from f(held, least, percent)
 
     return run
 
@@ -322,9 +330,13 @@ def links_across(members: DataFrame, about: DataFrame, sets: DataFrame, comps: D
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = rows.withColumn("other", other).withColumn("side", (F.col("other") < F.col("own")).cast("int"))
     cells = cells.withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    cells = cells.select("key", "cell", "side", "band", "node", "component", "n_shingles").join(about.select("node", "bits", "bands"), "node").join(sets, "node")
-    cells = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "node")
-    return cells.mapInArrow(compare_batches(least, percent), "a long, b long")
+    columns = ["key", "cell", "side", "band", "node", "component", "n_shingles"]
+    bits = about.select("node", "bits", "bands")
+    dealt = lambda x: x.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "node")
+    # signatures go to every cell of a member, whole sets only to those in which it has a likely partner
+    kinds = "key long, cell int, side int, band int, node long, component long, n_shingles long"
+    likely = stored(dealt(cells.select(columns).join(bits, "node")).mapInArrow(by_cell(open_members, least, percent), kinds), "likely")
+    return dealt(likely.join(bits, "node").join(sets, "node")).mapInArrow(by_cell(compare_cell, least, percent), "a long, b long")
 
 
 NAMELESS = 1 << 62  # nodes of classes without a doc_id lie above all others

@@ -80,3 +80,23 @@ def test_estimate_follows_similarity():
         m = N.minima(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
         got = N.estimate(*N.packed(m)[:, None])[0]
         assert abs(got - share) < 0.15
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64; their texts share no shingle."""
+    say = lambda n, flip: "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+    rows = [(flip, " ".join(say(1 << 11, flip) for _ in range(9))) for flip in (0, 1)]
+    assert run(spark, rows) == [(0, 1, 0, True), (1, 1, 1, True)]
+
+
+def test_long_texts_are_cut_between_words():
+    from driftglass.llm import buffers as B
+
+    text = ("añb cd\x0bE " * 9 + "x" * 50 + "  ").encode()
+    data, known = np.frombuffer(text, np.uint8), B.WordHashes()
+    whole = np.concatenate(list(B.text_hashes(data, known)))
+    for size in (1, 2, 7, 64):
+        B.PIECE, before = size, B.PIECE
+        assert (np.concatenate(list(B.text_hashes(data, known))) == whole).all()
+        B.PIECE = before
+    assert len(whole) == 28
