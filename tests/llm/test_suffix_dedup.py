@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from driftglass.llm.suffix_dedup import suffix_dedup
+from driftglass.llm import buffers as B
+from driftglass.llm.suffix_dedup import SuffixIndex, suffix_dedup
 
 
 def brute(rows, length):
@@ -27,7 +29,7 @@ def corpus(seed, length):
     say = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
     passages = [say(n) for n in (length - 1, length, length + 1, 2 * length, 3 * length)]
     rows = [(i, say(r.randrange(0, 60)) + r.choice(passages) + say(r.randrange(0, 60)) + r.choice(passages)) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, "ab" * length), (53, "x" * (3 * length)), (54, rows[0][1]), (54, rows[0][1]), (55, passages[4][: length + 40] + say(9)), (None, rows[1][1])]
+    rows += [(50, None), (51, ""), (52, "ab" * length), (53, "x" * (3 * length)), (54, rows[0][1]), (54, rows[0][1]), (55, passages[4][: length + 40] + say(9)), (None, rows[1][1]), (None, say(90)), (54, say(70) + passages[3]), (54, say(90)), (None, None)]
     return rows
 
 
@@ -41,3 +43,32 @@ def test_matches_brute_force(spark, length, group_most, batches):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_grow_and_an_index_can_be_opened_again(spark, tmp_path):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, index = SuffixIndex(spark, 60), SuffixIndex(spark, 60)
+    parts = [docs.where(f"doc_id % 5 = {i}") for i in range(5)]
+    for i, part in enumerate(parts):
+        whole.append(part)
+        if i < 3:
+            index.append(part)
+    index.save(str(tmp_path / "manifest"))
+    again = SuffixIndex.open(spark, str(tmp_path / "manifest"), 60)
+    for part in parts[3:]:
+        again.append(part)
+    sizes = [n for n, _, _ in again.levels]
+    assert all(a >= 1.5 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == sum(n for n, _, _ in whole.levels)
+    found = [sorted(map(tuple, x.collect())) for index in (whole, again) for x in index.repeated()]
+    assert found[0] == found[2] and found[1] == found[3] and found[0] and found[1]
+    order = [tuple(r) for r in again.levels[0][1].select("head", "key", "reach").collect()]
+    assert order == sorted(order)
+
+
+def test_sound_hashes_do_not_collide_on_structured_strings():
+    word = np.frombuffer(bytes(97 + bin(i).count("1") % 2 for i in range(1 << 12)), np.uint8)
+    data = np.concatenate([word, 195 - word, word])
+    sums, n = B.sound_sums(data), len(word)
+    a, b, c = (B.sound_hash(sums, np.array([k * n]), np.array([k * n + n]))[0] for k in range(3))
+    assert a != b and a == c
