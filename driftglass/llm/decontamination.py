@@ -9,22 +9,27 @@ always stand for the same value of the document. Alignments that break this don'
 A window has up to three templates: `inner` as above, `folded` (words in lower case, only numbers and units replaced; a
 window with fewer than half its words outside placeholders keeps its values) and `capital` (all capitalised words are
 names, at a sentence's start too). So no window of an item is without a template. `inner` and `capital` are used where half
-the words or more are outside placeholders. A conflict in `inner` counts for all templates of its alignment, other
-conflicts for their own template.
+the words or more are outside placeholders. Slots are numbers, units, names inside sentences, and other capitalised words
+that the benchmark never writes in lower case (names at a sentence's start). A conflict in `inner` or `capital` counts for all
+templates of its alignment, one in `folded` for itself.
 
 A document is contaminated by an item if it has at least min_windows of the item's windows (or all, if there are fewer)
 in alignments without conflicts, or as many of those that have the template `inner`. Items of SHORTEST words or more but
-fewer than `width` are one window; shorter ones are never found.
+fewer than `width` are one window. Shorter items would stand in many clean texts by chance: they are found where they are a
+whole line of a document, or all of it, up to case and punctuation (matched and n_windows are 1 then).
 
-Scale: windows are hashed where the text is read. The benchmark's windows are broadcast only up to BROADCAST_WINDOWS
-(counted first); beyond that, hashes are shuffled for the join. Per document and item only counts are shuffled.
+Scale: windows are hashed where the text is read, all widths in one pass; a window's hash is put together from those of its
+halves, so it costs a few operations and not one for each word. The benchmark's windows are broadcast only up to
+BROADCAST_WINDOWS (counted first); beyond that, hashes are shuffled for the join. Per document and item only counts are shuffled.
 
 Cases: null and empty texts match nothing; rows that share a doc_id are judged together; items with equal text each get
-their rows; empty tables give no rows; other columns are ignored.
+their rows; items without a letter or digit are never found; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,68 +67,118 @@ def template_words(text: Column) -> Column:
     )
 
 
-def hashes(words: Column) -> Column:
-    """The words of a text as structs of hashes, and whether a word stands outside the placeholders of numbers and units."""
-    names = ("folded", "inner", "capital", "v")
-    return F.transform(words, lambda w: F.struct(*(F.xxhash64(w[k]).alias(k) for k in names), F.when(~w.folded.startswith(MARK), 1).otherwise(0).alias("plain")))
+HASHED = ("folded", "inner", "capital", "v")
+COUNTED = ("folded", "inner", "capital")
+
+
+def hashes(words: Column, counted: tuple[str, ...]) -> Column:
+    """The words of a text as structs of hashes, and for each counted template whether a word is none of its placeholders."""
+    plain = lambda w, k: F.when(~w[k].startswith(MARK), 1).otherwise(0).alias("n_" + k)
+    return F.transform(words, lambda w: F.struct(*(F.xxhash64(w[k]).alias(k) for k in HASHED), *(plain(w, k) for k in counted)))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), for a value that f uses more than once: it is made once, however Spark merges projections."""
+    return F.transform(F.array(value), f)[0]
+
+
+def windows(words: Column, widths: list[int], counted: tuple[str, ...]) -> Column:
+    """Structs (width, at, hashes and counts) of every window of these widths, put together from those of 1, 2, 4, ... words."""
 
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(*(F.xxhash64(a[k], b[k]).alias(k) for k in HASHED), *((a["n_" + k] + b["n_" + k]).alias("n_" + k) for k in counted))
 
-def window_hashes(hashed: Column, width: Column) -> Column:
-    """The three templates of a window of `width` structs of hashes."""
-    plain = F.array_size(F.array_remove(hashed["plain"], 0))
-    folded = F.when(2 * plain >= width, F.xxhash64(hashed["folded"])).otherwise(F.xxhash64(hashed["v"]))
-    return F.struct(folded.alias("folded"), F.xxhash64(hashed["inner"]).alias("inner"), F.xxhash64(hashed["capital"]).alias("capital"))
+    def together(a: Column, b: Column, by: int) -> Column:
+        many = F.greatest(F.lit(0), F.least(F.array_size(a), F.array_size(b) - by))
+        return F.zip_with(F.slice(a, 1, many), F.slice(b, by + 1, many), joined)
 
+    def placed(w: int):
+        return lambda x, i: F.struct(F.lit(w).alias("width"), i.alias("at"), *(x[k].alias(k) for k in (*HASHED, *("n_" + c for c in counted))))
 
-def windows(hashed: Column, width: int) -> Column:
-    """Distinct hashes of every window of the array of word hashes, in order."""
-    n = F.array_size(hashed) - width
-    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    found = F.transform(places, lambda i: window_hashes(F.slice(hashed, i + 1, F.lit(width)), F.lit(width)))
-    return F.transform(found, lambda h: F.array_distinct(F.array(h.folded, h.inner, h.capital)))
+    def summed(made: Column, done: int, bits: list[int], sizes: dict[int, Column]) -> Column:
+        if not bits:
+            return F.transform(made, placed(done))
+        return let(together(made, sizes[bits[0]], done), lambda x: summed(x, done + bits[0], bits[1:], sizes))
 
+    def grown(sizes: dict[int, Column], k: int) -> Column:
+        if 2 * k <= max(widths):
+            return let(together(sizes[k], sizes[k], k), lambda x: grown(sizes | {2 * k: x}, 2 * k))
+        parts = []
+        for w in widths:
+            bits = [1 << i for i in range(w.bit_length() - 1, -1, -1) if w >> i & 1]
+            parts.append(summed(sizes[bits[0]], bits[0], bits[1:], sizes))
+        return F.flatten(F.array(*parts))
 
-def literal(words: Column, template: str) -> Column:
-    return F.array_size(F.filter(words, lambda w: ~w[template].startswith(MARK)))
+    return let(hashes(words, counted), lambda h: grown({1: h}, 1))
 
 
-def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used."""
-    items = benchmark.select("item_id", template_words(F.col("text")).alias("words"))
-    items = items.withColumn("width", F.least(F.lit(width), F.array_size("words"))).where(F.col("width") >= SHORTEST)
-    at = F.explode(F.sequence(F.lit(0), F.array_size("words") - F.col("width")))
-    rows = items.withColumn("item_at", at).withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width"))).drop("words")
-    enough = lambda template: 2 * literal(F.col("window"), template) >= F.col("width")
-    rows = rows.withColumn("hashed", hashes(F.col("window"))).withColumn("h", window_hashes(F.col("hashed"), F.col("width"))).withColumn("used", enough("inner"))
+def folded(x: Column) -> Column:
+    """A window's hash under the template `folded`."""
+    return F.when(2 * x["n_folded"] >= x["width"], x["folded"]).otherwise(x["v"])
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used of items(item_id, words)."""
+    size = F.array_size("words")
+    items = items.withColumn("own", F.least(F.lit(width), size)).where(F.col("own") >= SHORTEST)
+    found = windows(F.col("words"), list(range(min(SHORTEST, width), width + 1)), COUNTED)
+    rows = items.select("item_id", "own", F.explode(found).alias("x")).where("x.width = own")
+    enough = lambda template: 2 * F.col(f"x.n_{template}") >= F.col("own")
     made = F.array(
-        F.struct(F.lit("folded").alias("template"), F.col("h.folded").alias("hash")),
-        F.struct(F.when(F.col("used"), F.lit("inner")).alias("template"), F.col("h.inner").alias("hash")),
-        F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("h.capital").alias("hash")),
+        F.struct(F.lit("folded").alias("template"), folded(F.col("x")).alias("hash")),
+        F.struct(F.when(enough("inner"), F.lit("inner")).alias("template"), F.col("x.inner").alias("hash")),
+        F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("x.capital").alias("hash")),
     )
-    rows = rows.select("item_id", "width", "item_at", "used", F.explode(made).alias("m")).where("m.template IS NOT NULL")
+    rows = rows.select("item_id", F.col("own").alias("width"), F.col("x.at").alias("item_at"), enough("inner").alias("used"), F.explode(made).alias("m")).where("m.template IS NOT NULL")
     rows = rows.groupBy("item_id", "width", "item_at", "used", F.col("m.hash").alias("hash")).agg(F.sort_array(F.collect_set("m.template")).alias("templates"))
     sizes = rows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(F.col("used"), F.col("item_at"))).alias("n_used"))
     return rows.join(sizes, "item_id")
 
 
-def slots(words: Column, at: Column, width: Column) -> Column:
-    return F.transform(F.slice(words, at + 1, width), lambda w: F.when(w.inner.startswith(MARK), w.v))
+def item_slots(items: DataFrame) -> DataFrame:
+    """item_id and slots (for each word: what stands there if it is a slot, else null) of the items that have one."""
+    words = items.select("item_id", F.posexplode("words").alias("at", "w"))
+    names = words.where(F.col("w.capital").startswith(MARK) & ~F.col("w.folded").startswith(MARK)).select(F.col("w.v").alias("v"))
+    lower = words.where(F.col("w.capital") == F.col("w.v")).select(F.col("w.v").alias("v"))
+    names = names.distinct().join(lower.distinct(), "v", "left_anti").withColumn("name", F.lit(True))
+    words = words.withColumn("v", F.col("w.v")).join(names, "v", "left")
+    slot = F.when(F.col("w.inner").startswith(MARK) | (F.col("w.capital").startswith(MARK) & F.col("name")), F.col("v"))
+    # one array for each item, as long as its text
+    found = words.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", slot.alias("slot")))).alias("slots"))
+    return found.select("item_id", F.col("slots.slot").alias("slots")).where(F.exists("slots", lambda s: s.isNotNull()))
+
+
+def normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of documents in which an item of items(item_id, text) is a whole line, or the whole text."""
+    items = stored(items.select("item_id", normal(F.col("text")).alias("line")).where("line <> ''"), "short-items")
+    n = items.agg(F.count("*").alias("n"), F.max(F.length("line")).alias("longest")).first()
+    if not n.n:
+        return docs.select("doc_id").join(items, F.lit(False)).select("doc_id", "item_id")
+    lines = F.array_distinct(F.transform(F.array_append(F.split("text", "\n"), F.col("text")), normal))
+    lines = docs.select("doc_id", F.explode(F.filter(lines, lambda x: F.length(x) <= n.longest)).alias("line"))
+    return lines.join(F.broadcast(items) if n.n <= BROADCAST_WINDOWS else items, "line").select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:
     """doc_id, item_id, matched, n_windows, slots_compared for every document of docs(doc_id, text) that holds an item."""
-    known = stored(item_windows(benchmark.select("item_id", "text"), width), "item-windows")
+    docs = docs.select("doc_id", "text")
+    items = stored(benchmark.select("item_id", "text", template_words(F.col("text")).alias("words")), "items")
+    short = short_hits(docs, items.where(F.array_size("words") < min(SHORTEST, width)))
+    short = short.select("doc_id", "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("slots_compared"))
+    items = items.select("item_id", "words")
+    known = stored(item_windows(items, width), "item-windows")
     about = known.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # widths: SHORTEST to width
     if not about.n:
-        return docs.select("doc_id").join(known, F.lit(False)).select("doc_id", "item_id", F.col("n_windows").alias("matched"), "n_windows", F.lit(0).cast("long").alias("slots_compared"))
+        return short
     small = F.broadcast(known) if about.n <= BROADCAST_WINDOWS else known
-    texts = docs.select("doc_id", hashes(template_words(F.col("text"))).alias("words"))
-    hits = None
-    for w in sorted(about.widths):
-        found = texts.select("doc_id", F.posexplode(windows(F.col("words"), w)).alias("doc_at", "found"))
-        found = found.select("doc_id", "doc_at", F.explode("found").alias("hash"))
-        found = found.join(small.where(F.col("width") == w), "hash")
-        hits = found if hits is None else hits.unionByName(found)
+    found = docs.select("doc_id", F.explode(windows(template_words(F.col("text")), sorted(about.widths), ("folded",))).alias("x"))
+    three = F.array_distinct(F.array(folded(F.col("x")), F.col("x.inner"), F.col("x.capital")))
+    found = found.select("doc_id", F.col("x.at").alias("doc_at"), F.col("x.width").alias("width"), F.explode(three).alias("hash"))
+    hits = found.join(small, ["width", "hash"])
     hits = hits.select("doc_id", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     # copies of an item in one document, and rows with one doc_id, repeat windows: each is kept once for each alignment
     hits = stored(hits.distinct(), "hits")
@@ -134,30 +189,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     likely = hits.groupBy(*pair, "n_windows", "n_used").agg(*matched).where(enough)
     likely = stored(likely, "likely")
 
-    # items with placeholders: compare what they stand for
-    valued = benchmark.select("item_id", template_words(F.col("text")).alias("item_words"))
-    valued = valued.where(F.exists("item_words", lambda w: w.inner.startswith(MARK)))
+    # items with slots: compare what they stand for
+    valued = stored(item_slots(items), "item-slots")
     doubtful = likely.join(valued, "item_id", "left_semi").select(*pair)
     wanted = doubtful.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted_id")
-    doc_words = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), template_words(F.col("text")).alias("doc_words"))
+    doc_words = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), template_words(F.col("text"))["v"].alias("doc_words"))
     aligned = hits.join(doubtful.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
     aligned = aligned.join(valued, "item_id").join(doc_words, F.col("doc_id").eqNullSafe(F.col("words_id")))
-    both = F.arrays_zip(
-        slots(F.col("item_words"), F.col("item_at"), F.col("width")).alias("item"),
-        slots(F.col("doc_words"), F.col("item_at") + F.col("shift"), F.col("width")).alias("doc"),
-    )
-    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "shift", "templates", F.explode(both).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
+    slot = F.arrays_zip(F.slice("slots", F.col("item_at") + 1, F.col("width")).alias("item"), F.slice("doc_words", F.col("item_at") + F.col("shift") + 1, F.col("width")).alias("doc"))
+    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "shift", "templates", F.explode(slot).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
     both = both.select(*pair, "shift", "slot", F.explode("templates").alias("template"))
     values = both.groupBy(*pair, "shift", "template", F.col("slot.item").alias("item")).agg(F.count_distinct("slot.doc").alias("meanings"))
     broken = F.collect_set(F.when(F.col("meanings") > 1, F.col("template")))
     values = values.groupBy(*pair, "shift").agg(F.count_distinct("item").alias("compared"), broken.alias("broken"))
     values = values.withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("shift") == F.col("s"))
-    holds = F.col("broken").isNull() | (~F.array_contains("broken", "inner") & (F.array_size(F.array_except("templates", "broken")) > 0))
+    whole = ~F.arrays_overlap("broken", F.array(F.lit("inner"), F.lit("capital")))
+    holds = F.col("broken").isNull() | (whole & (F.array_size(F.array_except("templates", "broken")) > 0))
     good = hits.join(values, same, "left").where(holds)
     out = good.groupBy(*pair, "n_windows", "n_used").agg(*matched, F.coalesce(F.max("compared"), F.lit(0)).cast("long").alias("slots_compared"))
-    return out.where(enough).select(*pair, "matched", "n_windows", "slots_compared")
+    return out.where(enough).select(*pair, "matched", "n_windows", "slots_compared").unionByName(short)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:

@@ -21,10 +21,10 @@ def test_finds_verbatim_and_reparameterised(spark):
     rows = [(1, f"Some words first. {ITEM}. More."), (2, f"Some words first. {other}. More."), (3, "x y z one TWO three, four five six seven"), (4, None), (5, ""), (6, broken), (7, kept),
             (8, "a train leaves home and nothing else here is like the benchmark at all"), (None, ITEM), (9, "too short"), (1, "nothing")]
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, rows), bench).collect()}
-    assert got == {(1, 1), (2, 1), (None, 1), (3, 2), (7, 6)}
+    assert got == {(1, 1), (2, 1), (None, 1), (3, 2), (7, 6), (9, 3)}
     left = decontaminated(docs_of(spark, rows), bench)
     assert left.columns == ["doc_id", "text", "item_id"]
-    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 8, 9]
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 8]
 
 
 def test_plain_words_match_brute_force(spark):
@@ -85,3 +85,20 @@ def test_finds_number_lists_names_and_other_case(spark):
              sums.replace("7", "8").replace("12", "15").replace("6", "1"), people.replace("Carl", "Kurt").replace("Fred", "Finn")]
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, list(enumerate(texts))), bench).collect()}
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
+
+
+def test_names_at_the_start_of_sentences_are_slots(spark):
+    item = "Janet has 16 ducks. Janet sells the eggs of her ducks at the old market every day. How much does she earn in 4 weeks?"
+    other = "The old man sold the eggs at the market. She and her ducks have time, and how much is left does not matter"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    same = item.replace("Janet", "Sofia").replace("16", "19")
+    two = same.replace("Sofia sells", "Helen sells")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, [(1, item), (2, same), (3, two), (4, f"Text before. {same}")]), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_short_items_are_found_as_lines(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "Yes."), (3, "one\ntwo"), (4, "?!"), (5, None)], "item_id long, text string")
+    rows = [(1, "first\n what is 2 + 2\nlast"), (2, "He asked what is 2+2 and left"), (3, "YES"), (4, "yes and no"), (5, "one two"), (6, "?!"), (7, None), (None, "yes")]
+    got = {(r.doc_id, r.item_id, r.matched, r.n_windows) for r in contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 1, 1, 1), (3, 2, 1, 1), (5, 3, 1, 1), (None, 2, 1, 1)}
