@@ -44,37 +44,46 @@ SHORTEST = 5
 BROADCAST_WINDOWS = 500_000
 
 
-def template_words(text: Column) -> Column:
-    """The words of a text as structs: the word of each template, and v, what stands there. All share their places."""
+def raw_words(text: Column) -> Column:
+    """The words of a text: numbers after MARK, units after UNIT, names inside sentences after NAMED, others as they stand."""
     text = F.translate(F.coalesce(text, F.lit("")), MARK + UNIT + NAMED, "   ")
     text = F.regexp_replace(text, INNER, NAMED)
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\d])({NUMBER})(?:\s?({UNITS}))?(?![\p{{L}}\p{{M}}\d])", f" {MARK}$1 {UNIT}$2 ")
+    text = F.regexp_replace(text, rf"(?=[-+$€£\d])(?<![\p{{L}}\p{{M}}\d])({NUMBER})(?:\s?({UNITS}))?(?![\p{{L}}\p{{M}}\d])", f" {MARK}$1 {UNIT}$2 ")
     text = F.regexp_replace(text, rf"([{MARK}{UNIT}][^ ]*)|[^\p{{L}}\p{{M}}\p{{N}}{MARK}{UNIT}{NAMED}]+", "$1 ")  # values stay whole
-    words = F.filter(F.split(text, " "), lambda w: (w != "") & (w != UNIT))
-    words = F.transform(words, lambda w: F.struct(w.startswith(NAMED).alias("named"), F.translate(w, NAMED, "").alias("w")))
-    words = F.transform(words, lambda x: F.struct(x.named.alias("named"), x.w.alias("w"), F.lower(x.w).alias("v")))
-    folded = lambda x: F.when(x.v.startswith(MARK), MARK + "n").when(x.v.startswith(UNIT), MARK + "u").otherwise(x.v)
-    capital = lambda x: (F.substring(x.w, 1, 1) != F.substring(x.v, 1, 1)) & (x.w != F.upper(x.w))
-    name = F.lit(MARK + "p")
-    return F.transform(
-        words,
-        lambda x: F.struct(
-            folded(x).alias("folded"),
-            F.when(x.named, name).otherwise(folded(x)).alias("inner"),
-            F.when(x.named | capital(x), name).otherwise(folded(x)).alias("capital"),
-            x.v.alias("v"),
-        ),
-    )
+    return F.filter(F.split(text, " "), lambda w: (w != "") & (w != UNIT))
+
 
+def value(w: Column) -> Column:
+    """What stands at a raw word's place."""
+    return F.lower(F.when(w.startswith(NAMED), F.substring(w, 2, 1 << 30)).otherwise(w))
 
-HASHED = ("folded", "inner", "capital", "v")
-COUNTED = ("folded", "inner", "capital")
 
+def placeholder(w: Column) -> Column:
+    return w.startswith(MARK) | w.startswith(UNIT)
 
-def hashes(words: Column, counted: tuple[str, ...]) -> Column:
-    """The words of a text as structs of hashes, and for each counted template whether a word is none of its placeholders."""
-    plain = lambda w, k: F.when(~w[k].startswith(MARK), 1).otherwise(0).alias("n_" + k)
-    return F.transform(words, lambda w: F.struct(*(F.xxhash64(w[k]).alias(k) for k in HASHED), *(plain(w, k) for k in counted)))
+
+def folded(w: Column) -> Column:
+    return F.when(w.startswith(MARK), MARK + "n").when(w.startswith(UNIT), MARK + "u").otherwise(value(w))
+
+
+def capitalised(w: Column) -> Column:
+    """Whether a raw word is a name of the template `capital`: it has a capital first and is not all in capitals."""
+    plain = (w >= "a") & (w < "{")  # most words; spares the rest
+    return ~plain & (w.startswith(NAMED) | (~placeholder(w) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) & (w != F.upper(w))))
+
+
+def template_words(raw: Column) -> Column:
+    """Raw words as structs: the word of each template, and v, what stands there."""
+    name = F.lit(MARK + "p")
+    return F.transform(
+        raw,
+        lambda w: F.struct(
+            folded(w).alias("folded"),
+            F.when(w.startswith(NAMED), name).otherwise(folded(w)).alias("inner"),
+            F.when(capitalised(w), name).otherwise(folded(w)).alias("capital"),
+            value(w).alias("v"),
+        ),
+    )
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -82,50 +91,65 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def windows(words: Column, widths: list[int], counted: tuple[str, ...]) -> Column:
-    """Structs (width, at, hashes and counts) of every window of these widths, put together from those of 1, 2, 4, ... words."""
-
-    def joined(a: Column, b: Column) -> Column:
-        return F.struct(*(F.xxhash64(a[k], b[k]).alias(k) for k in HASHED), *((a["n_" + k] + b["n_" + k]).alias("n_" + k) for k in counted))
+def windows(raw: Column, widths: list[int]) -> Column:
+    """Structs (width, at, and a hash for each template) of every window of these widths, put together from 1, 2, 4, ... words."""
 
-    def together(a: Column, b: Column, by: int) -> Column:
+    def together(a: Column, b: Column, by: int, f: Callable) -> Column:
         many = F.greatest(F.lit(0), F.least(F.array_size(a), F.array_size(b) - by))
-        return F.zip_with(F.slice(a, 1, many), F.slice(b, by + 1, many), joined)
+        return F.zip_with(F.slice(a, 1, many), F.slice(b, by + 1, many), f)
+
+    def grown(first: Column, w: int, f: Callable) -> Column:
+        """f over every w neighbours of an array."""
+        bits = [1 << i for i in range(w.bit_length() - 1, -1, -1) if w >> i & 1]
+
+        def summed(made: Column, done: int, left: list[int], sizes: dict[int, Column]) -> Column:
+            if not left:
+                return made
+            return let(together(made, sizes[left[0]], done, f), lambda x: summed(x, done + left[0], left[1:], sizes))
+
+        def doubled(sizes: dict[int, Column], k: int) -> Column:
+            if k == bits[0]:
+                return summed(sizes[k], k, bits[1:], sizes)
+            return let(together(sizes[k], sizes[k], k, f), lambda x: doubled(sizes | {2 * k: x}, 2 * k))
+
+        return doubled({1: first}, 1)
 
-    def placed(w: int):
-        return lambda x, i: F.struct(F.lit(w).alias("width"), i.alias("at"), *(x[k].alias(k) for k in (*HASHED, *("n_" + c for c in counted))))
+    hashed = lambda a, b: F.xxhash64(a, b)
+    name = F.xxhash64(F.lit(MARK + "p"))
 
-    def summed(made: Column, done: int, bits: list[int], sizes: dict[int, Column]) -> Column:
-        if not bits:
-            return F.transform(made, placed(done))
-        return let(together(made, sizes[bits[0]], done), lambda x: summed(x, done + bits[0], bits[1:], sizes))
+    def three(words: Column, fold: Column, inner: Column, capital: Column, w: int) -> Column:
+        # where placeholders of numbers and units are more than half of a window, it keeps its values; few texts have so many
+        n_values = F.array_size(F.filter(words, placeholder))
+        plain = lambda: F.transform(words, lambda x: F.when(placeholder(x), 0).otherwise(1))
+        valued = lambda: F.transform(words, lambda x: F.xxhash64(value(x)))
+        dense = let(plain(), lambda p: let(valued(), lambda v: F.zip_with(F.zip_with(let(fold, lambda x: grown(x, w, hashed)), grown(v, w, hashed), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), grown(p, w, lambda a, b: a + b), lambda h, n: F.when(2 * n >= w, h.a).otherwise(h.b))))
+        best = F.when(2 * n_values > w, dense).otherwise(grown(fold, w, hashed))
+        rows = F.arrays_zip(best.alias("folded"), grown(inner, w, hashed).alias("inner"), grown(capital, w, hashed).alias("capital"))
+        return F.transform(rows, lambda x, i: F.struct(F.lit(w).alias("width"), i.alias("at"), x.folded.alias("folded"), x.inner.alias("inner"), x.capital.alias("capital")))
 
-    def grown(sizes: dict[int, Column], k: int) -> Column:
-        if 2 * k <= max(widths):
-            return let(together(sizes[k], sizes[k], k), lambda x: grown(sizes | {2 * k: x}, 2 * k))
-        parts = []
-        for w in widths:
-            bits = [1 << i for i in range(w.bit_length() - 1, -1, -1) if w >> i & 1]
-            parts.append(summed(sizes[bits[0]], bits[0], bits[1:], sizes))
-        return F.flatten(F.array(*parts))
+    def made(words: Column) -> Column:
+        fold = F.transform(words, lambda w: F.xxhash64(folded(w)))
+        of_inner = lambda h: F.zip_with(words, h, lambda w, x: F.when(w.startswith(NAMED), name).otherwise(x))
+        of_capital = lambda h: F.zip_with(words, h, lambda w, x: F.when(capitalised(w), name).otherwise(x))
+        all_widths = lambda h, i, c: F.flatten(F.array(*(three(words, h, i, c, w) for w in widths)))
+        return let(fold, lambda h: let(of_inner(h), lambda i: let(of_capital(h), lambda c: all_widths(h, i, c))))
 
-    return let(hashes(words, counted), lambda h: grown({1: h}, 1))
+    return let(raw, made)
 
 
-def folded(x: Column) -> Column:
-    """A window's hash under the template `folded`."""
-    return F.when(2 * x["n_folded"] >= x["width"], x["folded"]).otherwise(x["v"])
+def literal(words: Column, template: str) -> Column:
+    return F.array_size(F.filter(words, lambda w: ~w[template].startswith(MARK)))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used of items(item_id, words)."""
-    size = F.array_size("words")
-    items = items.withColumn("own", F.least(F.lit(width), size)).where(F.col("own") >= SHORTEST)
-    found = windows(F.col("words"), list(range(min(SHORTEST, width), width + 1)), COUNTED)
-    rows = items.select("item_id", "own", F.explode(found).alias("x")).where("x.width = own")
-    enough = lambda template: 2 * F.col(f"x.n_{template}") >= F.col("own")
+    """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used of items(item_id, raw, words)."""
+    items = items.withColumn("own", F.least(F.lit(width), F.array_size("raw"))).where(F.col("own") >= SHORTEST)
+    found = windows(F.col("raw"), list(range(min(SHORTEST, width), width + 1)))
+    rows = items.select("item_id", "own", "words", F.explode(found).alias("x")).where("x.width = own")
+    rows = rows.withColumn("window", F.slice("words", F.col("x.at") + 1, F.col("own"))).drop("words")
+    enough = lambda template: 2 * literal(F.col("window"), template) >= F.col("own")
     made = F.array(
-        F.struct(F.lit("folded").alias("template"), folded(F.col("x")).alias("hash")),
+        F.struct(F.lit("folded").alias("template"), F.col("x.folded").alias("hash")),
         F.struct(F.when(enough("inner"), F.lit("inner")).alias("template"), F.col("x.inner").alias("hash")),
         F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("x.capital").alias("hash")),
     )
@@ -166,18 +190,20 @@ def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_windows: int = 4) -> DataFrame:
     """doc_id, item_id, matched, n_windows, slots_compared for every document of docs(doc_id, text) that holds an item."""
     docs = docs.select("doc_id", "text")
-    items = stored(benchmark.select("item_id", "text", template_words(F.col("text")).alias("words")), "items")
-    short = short_hits(docs, items.where(F.array_size("words") < min(SHORTEST, width)))
+    items = benchmark.select("item_id", "text", raw_words(F.col("text")).alias("raw"))
+    items = stored(items.withColumn("words", template_words(F.col("raw"))), "items")
+    short = short_hits(docs, items.where(F.array_size("raw") < min(SHORTEST, width)))
     short = short.select("doc_id", "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("slots_compared"))
-    items = items.select("item_id", "words")
+    items = items.drop("text")
     known = stored(item_windows(items, width), "item-windows")
     about = known.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # widths: SHORTEST to width
     if not about.n:
         return short
     small = F.broadcast(known) if about.n <= BROADCAST_WINDOWS else known
-    found = docs.select("doc_id", F.explode(windows(template_words(F.col("text")), sorted(about.widths), ("folded",))).alias("x"))
-    three = F.array_distinct(F.array(folded(F.col("x")), F.col("x.inner"), F.col("x.capital")))
-    found = found.select("doc_id", F.col("x.at").alias("doc_at"), F.col("x.width").alias("width"), F.explode(three).alias("hash"))
+    found = docs.select("doc_id", F.explode(windows(raw_words(F.col("text")), sorted(about.widths))).alias("x")).select("doc_id", "x.*")
+    one = (F.col("folded") == F.col("inner")) & (F.col("folded") == F.col("capital"))
+    hash_ = F.when(one, F.array("folded")).otherwise(F.array_distinct(F.array("folded", "inner", "capital")))
+    found = found.select("doc_id", F.col("at").alias("doc_at"), "width", F.explode(hash_).alias("hash"))
     hits = found.join(small, ["width", "hash"])
     hits = hits.select("doc_id", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     # copies of an item in one document, and rows with one doc_id, repeat windows: each is kept once for each alignment
@@ -194,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     doubtful = likely.join(valued, "item_id", "left_semi").select(*pair)
     wanted = doubtful.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted_id")
     doc_words = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), template_words(F.col("text"))["v"].alias("doc_words"))
+    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), F.transform(raw_words(F.col("text")), value).alias("doc_words"))
     aligned = hits.join(doubtful.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
     aligned = aligned.join(valued, "item_id").join(doc_words, F.col("doc_id").eqNullSafe(F.col("words_id")))
     slot = F.arrays_zip(F.slice("slots", F.col("item_at") + 1, F.col("width")).alias("item"), F.slice("doc_words", F.col("item_at") + F.col("shift") + 1, F.col("width")).alias("doc"))
