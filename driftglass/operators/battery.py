@@ -1,11 +1,16 @@
 """Fifteen statistics of a window of returns. Undefined values, infinite ones included, are null.
 
 A window's rows meet once, by its key, as an array in order: a window is of bounded length, by default 1000 rows. Lags, ranks
-and blocks are functions of that array, so no row is multiplied by lags or scales, sorted again or shuffled again.
+and blocks are functions of that array, so no row is multiplied by lags or scales, sorted again or shuffled again. Sums of
+products over lags, 80 for each window, are taken in Arrow batches, many windows at once; all else are Spark's functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,48 +66,59 @@ def hill_sweep(windows: DataFrame, fracs=(0.025, 0.05, 0.10), key=KEY) -> DataFr
     return tails(collected(windows, key)).select(*key, F.explode(F.array(*cases)).alias("x")).select(*key, "x.*")
 
 
-def autocorrelations(deviations: str, lags: int) -> Column:
-    """By lag from 1; null where all deviations are zero or the lag is as long as the window."""
-    d, n = F.col(deviations), F.col("n")
-    product = lambda k: dot(F.slice(d, k + 1, n), F.slice(d, F.lit(1), F.greatest(n - k, F.lit(0))))
-    return F.transform(F.sequence(F.lit(1), F.lit(lags)), lambda k: F.when(k < n, F.try_divide(product(k), F.col(f"{deviations}_squares"))))
-
-
-def deviations(rows: DataFrame) -> DataFrame:
-    """Adds arrays x, y and z: returns, their sizes and their squares less the mean, and the sums of their squares, null for zero."""
-    rows = rows.withColumn("x", F.transform("r", lambda v: v - F.col("mean"))).withColumn("y", F.transform("r", lambda v: F.abs(v) - F.col("mean_a")))
-    rows = rows.withColumn("z", F.transform("r", lambda v: v * v - F.col("mean_q")))
-    return rows.withColumns({f"{c}_squares": F.nullif(dot(F.col(c), F.col(c)), F.lit(0.0)) for c in "xyz"})
-
-
-def leverage() -> Column:
-    """Mean correlation of a return with the size of those 1 to 5 later, without lags at which one side doesn't move."""
-    x, y, n = F.col("x"), F.col("y"), F.col("n")
-
-    def sums(k: Column) -> Column:
-        m = F.greatest(n - k, F.lit(0))
-        p, q = F.slice(x, F.lit(1), m), F.slice(y, k + 1, n)
-        moves = (F.array_min(p) < F.array_max(p)) & (F.array_min(q) < F.array_max(q))
-        return F.struct(moves.alias("moves"), m.alias("m"), total(p).alias("p"), total(q).alias("q"), dot(p, p).alias("pp"), dot(q, q).alias("qq"), dot(p, q).alias("pq"))
-
-    def correlation(s: Column) -> Column:
-        spread = F.sqrt((s["m"] * s["pp"] - s["p"] * s["p"]) * (s["m"] * s["qq"] - s["q"] * s["q"]))
-        return F.try_divide(s["m"] * s["pq"] - s["p"] * s["q"], F.nullif(spread, F.lit(0.0)))
-
-    moving = F.filter(F.transform(F.sequence(F.lit(1), F.lit(LEVERAGE_LAGS)), sums), lambda s: s["moves"])
-    found = F.transform(moving, correlation)
-    return F.try_divide(total(found), F.nullif(F.size(found), F.lit(0)))
+LAGGED = "acf_return_1 double, abs_acf array<double>, square_acf array<double>, leverages array<double>"
+
+
+def autocorrelations(d: np.ndarray, lags: int) -> np.ndarray:
+    """Of each row by lag from 1; NaN where all deviations are zero or the lag is as long as the window."""
+    out = np.full((len(d), lags), np.nan)
+    squares = (d * d).sum(axis=1)
+    for k in range(1, min(lags, d.shape[1] - 1) + 1):
+        out[:, k - 1] = np.einsum("ij,ij->i", d[:, k:], d[:, :-k]) / np.where(squares == 0, np.nan, squares)
+    return out
+
+
+def leverages(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation of each row's returns with the sizes 1 to LEVERAGE_LAGS later; NaN where one side doesn't move."""
+    out = np.full((len(x), LEVERAGE_LAGS), np.nan)
+    for k in range(1, min(LEVERAGE_LAGS, x.shape[1] - 1) + 1):
+        p, q = x[:, :-k], y[:, k:]
+        m, sum_p, sum_q = p.shape[1], p.sum(axis=1), q.sum(axis=1)
+        square = (m * (p * p).sum(axis=1) - sum_p * sum_p) * (m * (q * q).sum(axis=1) - sum_q * sum_q)
+        moves = (p.min(axis=1) < p.max(axis=1)) & (q.min(axis=1) < q.max(axis=1)) & (square > 0)
+        out[:, k - 1] = (m * (p * q).sum(axis=1) - sum_p * sum_q) / np.sqrt(np.where(moves, square, np.nan))
+    return out
+
+
+def lag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds LAGGED to rows of arrays r and their means."""
+    for batch in batches:
+        column, n = batch.column("r"), batch.column("n").to_numpy()
+        values, first = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        mean, mean_a, mean_q = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("mean", "mean_a", "mean_q"))
+        made = [np.full((len(n), k), np.nan) for k in (1, DECAY_LAGS, LJUNG_LAGS, LEVERAGE_LAGS)]
+        for size in np.unique(n):
+            at = np.flatnonzero(n == size)
+            r = values[first[at][:, None] + np.arange(size)]
+            x, y, z = r - mean[at], np.abs(r) - mean_a[at], r * r - mean_q[at]
+            for out, found in zip(made, (autocorrelations(x, 1), autocorrelations(y, DECAY_LAGS), autocorrelations(z, LJUNG_LAGS), leverages(x, y))):
+                out[at] = found
+        flat = [pa.array(m.ravel(), from_pandas=True) for m in made]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m.shape[1]), f) for m, f in zip(made[1:], flat[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, flat[0], *lists], names=[*batch.schema.names, "acf_return_1", "abs_acf", "square_acf", "leverages"])
 
 
 def dependence(rows: DataFrame) -> DataFrame:
     """Adds everything by lags."""
-    rows = deviations(rows).withColumn("abs_acf", autocorrelations("y", DECAY_LAGS)).withColumn("square_acf", autocorrelations("z", LJUNG_LAGS))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    rows = rows.mapInArrow(lag_batches, f"{kinds}, {LAGGED}")
     n = F.col("n")
     box = total(F.transform("square_acf", lambda a, k: F.coalesce(a * a / (n - k - 1), F.lit(0.0))))
     decay = F.transform("abs_acf", lambda a, k: F.struct(F.ln(k + 1.0).alias("x"), F.when(a > 1e-6, F.ln(a)).alias("y")))
+    moving = F.filter("leverages", lambda v: v.isNotNull())
     return rows.withColumns({
-        "acf_return_1": autocorrelations("x", 1)[0], "acf_abs_1": F.col("abs_acf")[0], "acf_abs_20": F.col("abs_acf")[19], "acf_abs_decay": slope(decay, 10), "leverage": leverage(),
-        "ljung_box_sq": F.when(n > LJUNG_LAGS, F.ln(n * (n + 2) * box + 1e-12)),
+        "acf_abs_1": F.col("abs_acf")[0], "acf_abs_20": F.col("abs_acf")[19], "acf_abs_decay": slope(decay, 10),
+        "leverage": F.try_divide(total(moving), F.nullif(F.size(moving), F.lit(0))), "ljung_box_sq": F.when(n > LJUNG_LAGS, F.ln(n * (n + 2) * box + 1e-12)),
     })
 
 
@@ -168,7 +184,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def evaluate(windows: DataFrame, key=KEY) -> DataFrame:
     """key and the fifteen statistics of every window of windows(key, i, r)."""
-    rows = blocks(dependence(tails(collected(windows, key))))
+    rows = blocks(tails(dependence(collected(windows, key))))
     rows = rows.withColumns({"hill_right": hill("right", 0.05), "hill_left": hill("left", 0.05), "drift": F.try_divide("mean", F.nullif(F.col("spread"), F.lit(0.0)))})
     return rows.select(*key, *(finite(F.col(s)).alias(s) for s in STATS))
 

@@ -1,63 +1,22 @@
-"""Calibration of a switching-sentiment market model against the statistics of a window of real returns.
+"""Choice among candidate models by the statistics of their paths: gates, medians over seeds, losses, and reports on them.
 
-Only (candidate x seed) is distributed: a batch of candidates is one job, which simulates, passes the gates, evaluates the
-battery and gives one loss for each candidate. What to try next is decided on the driver from those losses.
+Candidates come as a table of paths (candidate, seed, i, r); every step is one job over all of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftglass.operators import battery
 from driftglass.operators.sequence import zero_runs
+from driftglass.sources.shared import stored
 
-# The parameter set published for the stock market scenario, and the published results.
-DEFAULTS = {"phi": 0.18, "chi": 2.35, "sigma_f": 0.79, "sigma_c": 1.91, "mu": 0.01, "p_star": 0.0, "nu": 0.57, "alpha_o": -0.15, "alpha_x": 1.35, "alpha_d": 11.40}
-PUBLISHED = {"hill": 3.57, "v": 0.70, "acf_1": 0.16, "acf_5": 0.16, "acf_10": 0.15, "acf_25": 0.13, "acf_50": 0.10, "acf_100": 0.05}
-EMPIRICAL = {"hill": 3.32, "v": 0.71, "acf_1": 0.19, "acf_5": 0.19, "acf_10": 0.16, "acf_25": 0.13, "acf_50": 0.11, "acf_100": 0.07}
+# What is fitted, and the gates' limits.
 FITTED = ("excess_kurtosis", "acf_abs_1", "acf_return_1")
 MAX_ZERO_RUN, MIN_LENGTH, MIN_PATH_SPREAD, FLAT_TAIL, QUORUM_PATHS = 50, 900, 0.02, 50, 5
 # End of fixed values.
 
-BOX = {"phi": (0.01, 1.2), "chi": (0.1, 4.0), "sigma_f": (0.1, 2.0), "sigma_c": (0.1, 4.0), "nu": (0.05, 1.0), "alpha_x": (0.0, 3.0), "alpha_d": (0.0, 25.0)}
-PATH = "candidate long, seed long, i long, r double"
-
-
-def simulate_members(p: dict, seeds: np.ndarray, n: int, burn: int) -> np.ndarray:
-    """Returns in percent, one row a seed. Sentiment x shares the market between fundamentalists and chartists."""
-    noise = np.stack([np.random.default_rng(int(s)).normal(size=burn + n) for s in seeds])
-    price = before = np.full(len(seeds), p["p_star"])
-    x, out = np.zeros(len(seeds)), np.empty((len(seeds), burn + n))
-    with np.errstate(all="ignore"):
-        for t in range(burn + n):
-            pull = p["alpha_o"] + p["alpha_x"] * x + p["alpha_d"] * (price - p["p_star"]) ** 2
-            to_f, to_c = (np.minimum(1.0, p["nu"] * np.exp(s)) for s in (pull, -pull))
-            spread = np.hypot((1 + x) * p["sigma_f"], (1 - x) * p["sigma_c"])
-            demand = (1 + x) * p["phi"] * (p["p_star"] - price) + (1 - x) * p["chi"] * (price - before) + spread * noise[:, t]
-            x = np.clip(x + (1 - x) * to_f - (1 + x) * to_c, -1, 1)
-            before, price = price, price + p["mu"] / 2 * demand
-            out[:, t] = 100 * (price - before)
-    return out[:, burn:]
-
-
-def simulate(candidates: DataFrame, seeds: list[int], n: int = 1000, burn: int = 1000, at_once: int = 25) -> DataFrame:
-    """candidate, seed, i, r: paths of candidates(candidate, parameters as columns); parameters not given are the defaults."""
-    names = [c for c in candidates.columns if c in DEFAULTS]
-    spark = candidates.sparkSession
-    members = spark.createDataFrame([(int(s), k // at_once) for k, s in enumerate(seeds)], "seed long, part long")
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows.seed.to_numpy()
-        r = simulate_members(DEFAULTS | {c: float(rows[c].iloc[0]) for c in names}, mine, n, burn)
-        return pd.DataFrame({"candidate": key[0], "seed": np.repeat(mine, n), "i": np.tile(np.arange(n), len(mine)), "r": r.ravel()})
-
-    return candidates.join(F.broadcast(members)).groupBy("candidate", "part").applyInPandas(run, PATH)
-
 
 def gated(paths: DataFrame, key=("candidate", "seed")) -> DataFrame:
     """key, reason: null for a valid path, or the first gate that it fails."""
@@ -84,34 +43,15 @@ def deterministic(paths: DataFrame) -> DataFrame:
     return out.select("candidate", ((F.col("paths") >= QUORUM_PATHS) & (F.col("spread") < MIN_PATH_SPREAD)).alias("deterministic"))
 
 
-@dataclass
-class Config:
-    """box: what is searched; the other fields say how."""
-
-    box: dict = field(default_factory=lambda: dict(BOX))
-    fitted: tuple = FITTED
-    seeds: int = 6
-    draws: int = 40
-    rounds: int = 1
-    span: float = 0.07
-    drift_range: tuple | None = None
-    paths: int = 100
-    first_hold_out: int = 1000
-    n: int = 1000
-    burn: int = 300
-
-
-def low_discrepancy(draws: int, dims: int, skip: int = 17) -> np.ndarray:
-    """Halton points: the digits of the ordinal mirrored at the point, to a prime base for each dimension."""
-    primes = [p for p in range(2, 100) if all(p % q for q in range(2, p))][:dims]
-    out = np.zeros((draws, dims))
-    for d, base in enumerate(primes):
-        k, scale = np.arange(skip, skip + draws), 1.0
-        while k.any():
-            scale /= base
-            out[:, d] += scale * (k % base)
-            k = k // base
-    return out
+def rejections(gates: DataFrame, by: tuple[str, ...] = ("candidate",)) -> DataFrame:
+    """by, reason, paths: how many paths failed each gate."""
+    return gates.where("reason IS NOT NULL").groupBy(*by, "reason").agg(F.count("*").alias("paths"))
+
+
+def drift_range(facts: DataFrame) -> tuple[float, float]:
+    """The 2.5 and 97.5 percent of the drift of real windows."""
+    row = facts.agg(F.percentile("drift", F.lit(0.025)).alias("lo"), F.percentile("drift", F.lit(0.975)).alias("hi")).first()
+    return row.lo, row.hi
 
 
 def target_and_scale(windows: DataFrame, last: DataFrame) -> DataFrame:
@@ -125,7 +65,7 @@ def medians(paths: DataFrame, wanted: int, drift_range: tuple | None) -> tuple[D
     """(candidate, stat, value) of candidates that pass all gates, and (candidate, reason, paths) of the rejections."""
     gates = gated(paths)
     fine = paths.join(gates.where("reason IS NULL").select("candidate", "seed"), ["candidate", "seed"])
-    facts = battery.evaluate(fine, ("candidate", "seed"))
+    facts = stored(battery.evaluate(fine, ("candidate", "seed")), "facts")
     long = battery.unpivoted(facts, ("candidate", "seed"))
     judged = facts.groupBy("candidate").agg(F.count("*").alias("valid"), F.median("drift").alias("drift")).join(deterministic(fine), "candidate")
     quorum = max(2, wanted // 2)
@@ -135,8 +75,7 @@ def medians(paths: DataFrame, wanted: int, drift_range: tuple | None) -> tuple[D
     judged = judged.withColumn("reason", why.when(F.col("deterministic"), "deterministic"))
     stats = long.join(judged.where("reason IS NULL").select("candidate"), "candidate").groupBy("candidate", "stat")
     stats = stats.agg(F.when(F.count("value") == F.count("*"), F.median("value")).alias("value"))
-    rejected = gates.where("reason IS NOT NULL").groupBy("candidate", "reason").agg(F.count("*").alias("paths"))
-    return stats, rejected.unionByName(judged.where("reason IS NOT NULL").select("candidate", "reason", F.col("valid").alias("paths")))
+    return stats, rejections(gates).unionByName(judged.where("reason IS NOT NULL").select("candidate", "reason", F.col("valid").alias("paths")))
 
 
 def losses(stats: DataFrame, target: DataFrame, fitted=FITTED) -> DataFrame:
@@ -146,41 +85,18 @@ def losses(stats: DataFrame, target: DataFrame, fitted=FITTED) -> DataFrame:
     return rows.groupBy("candidate").agg(F.when(F.count("z2") == len(fitted), F.sum("z2")).alias("loss"))
 
 
-def best_of(spark: SparkSession, points: list[dict], target: DataFrame, config: Config) -> tuple[float, int]:
-    """Least loss and its place among the points; of equal ones the first."""
-    names = list(points[0])
-    rows = spark.createDataFrame([(k, *(float(p[c]) for c in names)) for k, p in enumerate(points)], "candidate long, " + ", ".join(f"{c} double" for c in names))
-    paths = simulate(rows, list(range(config.seeds)), config.n, config.burn)
-    found = losses(medians(paths, config.seeds, config.drift_range)[0], target, config.fitted).where("loss IS NOT NULL")
-    top = found.orderBy("loss", "candidate").first()
-    return (top.loss, int(top.candidate)) if top else (float("inf"), 0)
-
-
-def calibrate(spark: SparkSession, target: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row: default_loss, loss, params, at_bound. The default is tried first, so the loss is never above its own.
-
-    Draws from the box are one batch; a round of refinement tries a step either way for each parameter as one batch and
-    moves to the best if that is better (all moves start from the same point).
-    """
-    config = config or Config()
-    names = list(config.box)
-    first = {c: DEFAULTS[c] for c in names}
-    default_loss, _ = best_of(spark, [first], target, config)
-    lo, hi = (np.array([config.box[c][k] for c in names], float) for k in (0, 1))
-    draws = [dict(zip(names, map(float, p))) for p in lo + low_discrepancy(config.draws, len(names)) * (hi - lo)]
-    best, point = default_loss, first
-    found, at = best_of(spark, draws, target, config)
-    if found < best:
-        best, point = found, draws[at]
-    for _ in range(config.rounds):
-        moves = [point | {c: float(np.clip(point[c] + way * config.span * (h - low), low, h))} for c, low, h in zip(names, lo, hi) for way in (-1, 1)]
-        found, at = best_of(spark, moves, target, config)
-        if found >= best - 1e-9:
-            break
-        best, point = found, moves[at]
-    bound = [c for c, low, h in zip(names, lo, hi) if not 0.02 < (point[c] - low) / (h - low) < 0.98]
-    row = (default_loss, best, point, bound, {k: str(v) for k, v in asdict(config).items() if k != "box"})
-    return spark.createDataFrame([row], "default_loss double, loss double, params map<string,double>, at_bound array<string>, config map<string,string>")
+def search(paths: DataFrame, target: DataFrame, wanted: int, drift_range: tuple | None = None, fitted=FITTED) -> DataFrame:
+    """candidate, loss, reason of all candidates with `wanted` seeds each: those rejected have a reason and no loss."""
+    stats, rejected = medians(paths, wanted, drift_range)
+    why = rejected.groupBy("candidate").agg(F.max_by("reason", F.struct("paths", "reason")).alias("reason"))
+    out = losses(stats, target, fitted).join(why, "candidate", "full")
+    return out.select("candidate", "loss", F.when(F.col("loss").isNull(), F.col("reason")).alias("reason"))
+
+
+def hold_out(long: DataFrame, model: str, seed: str, first: int) -> DataFrame:
+    """model, stat, fitted, held_out: medians over the seeds below `first`, and over those from it on, which no search has seen."""
+    part = lambda c: F.median(F.when(c, F.col("value")))
+    return long.groupBy(model, "stat").agg(part(F.col(seed) < first).alias("fitted"), part(F.col(seed) >= first).alias("held_out"))
 
 
 def at_bound(params: DataFrame) -> DataFrame:
@@ -205,21 +121,3 @@ def overridden(base: DataFrame, changes: DataFrame) -> DataFrame:
 def frontier(found: DataFrame, k: int = 400) -> DataFrame:
     """The k candidates of least loss; a report."""
     return found.orderBy("loss", "candidate").limit(k)
-
-
-def published_check(paths: DataFrame) -> DataFrame:
-    """metric, got, published, empirical: of simulated paths in percent, pooled over seeds (medians)."""
-    key, absolute = ("candidate", "seed"), paths.withColumn("r", F.abs("r"))
-    tails = battery.hill_sweep(absolute, (0.05,), key).where("side = 'right'").select(*key, F.lit("hill").alias("metric"), F.col("hill").alias("got"))
-    size = absolute.groupBy(*key).agg(F.avg("r").alias("got")).select(*key, F.lit("v").alias("metric"), "got")
-    whole = Window.partitionBy(*key)
-    lags = sorted({x for k in (1, 5, 10, 25, 50, 100) for x in ((1, 2) if k == 1 else (k - 1, k, k + 1))})
-    rows = absolute.repartition(*key).withColumn("d", F.col("r") - F.avg("r").over(whole))
-    rows = rows.select("*", *((F.col("d") * F.lag("d", k).over(whole.orderBy("i"))).alias(f"p{k}") for k in lags))
-    acf = rows.groupBy(*key).agg(*((F.sum(f"p{k}") / F.sum(F.col("d") * F.col("d"))).alias(f"a{k}") for k in lags))
-    smooth = [F.struct(F.lit(f"acf_{k}").alias("metric"), (sum(F.col(f"a{x}") for x in near) / len(near)).alias("got")) for k in (1, 5, 10, 25, 50, 100) for near in [(1, 2) if k == 1 else (k - 1, k, k + 1)]]
-    acf = acf.select(*key, F.explode(F.array(*smooth)).alias("x")).select(*key, "x.*")
-    spark = paths.sparkSession
-    known = spark.createDataFrame([(m, PUBLISHED[m], EMPIRICAL[m]) for m in PUBLISHED], "metric string, published double, empirical double")
-    got = tails.unionByName(size).unionByName(acf).groupBy("metric").agg(F.median("got").alias("got"))
-    return got.join(known, "metric")

@@ -47,11 +47,16 @@ def iid_bootstrap(pool: DataFrame, runs: int, n: int, seed: int = SEED) -> DataF
 
 
 def block_bootstrap(pool: DataFrame, runs: int, n: int, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Stretches of `block` neighbours, which may straddle series."""
+    """Stretches of `block` neighbours, which may straddle series. A stretch lies in two pieces of the pool at most, so
+    stretches meet pieces, not rows."""
     size = F.broadcast(pool.agg(F.count("*").alias("size")))
-    rows = steps(pool.sparkSession, runs, n).join(size).where(F.col("size") > block)
-    start = keyed.index(F.col("size") - block, seed, "block_bootstrap", F.col("run"), F.floor(F.col("t") / block).cast("long"))
-    return named(rows.withColumn("g", start + F.col("t") % block).join(pool, "g"), "block_bootstrap")
+    rows = steps(pool.sparkSession, runs, -(-n // block)).join(size).where(F.col("size") > block).withColumnRenamed("t", "k")  # one row
+    rows = rows.withColumn("start", keyed.index(F.col("size") - block, seed, "block_bootstrap", F.col("run"), F.col("k")))
+    rows = rows.withColumn("piece", F.explode(F.array(F.floor(F.col("start") / block), F.floor(F.col("start") / block) + 1)))
+    pieces = pool.groupBy(F.floor(F.col("g") / block).alias("piece")).agg(F.collect_list(F.struct("g", "r")).alias("held"))
+    rows = rows.join(pieces, "piece").select("run", "k", "start", F.explode("held").alias("x"))
+    rows = rows.withColumn("t", F.col("k") * block + F.col("x.g") - F.col("start")).where((F.col("x.g") >= F.col("start")) & (F.col("x.g") < F.col("start") + block) & (F.col("t") < n))
+    return named(rows.select("run", "t", F.col("x.r").alias("r")), "block_bootstrap")
 
 
 def volatility_paths(innovations: DataFrame, omega: float, alpha: float, beta: float) -> DataFrame:
@@ -77,12 +82,16 @@ def garch(spark: SparkSession, runs: int, n: int, omega: float, alpha: float, be
     return named(rows.where("t >= 0"), name)
 
 
-def all_generators(pool: DataFrame, context: dict, runs: int, n: int) -> DataFrame:
-    """The six reference generators; context: t_df, omega, alpha, beta."""
+def all_generators(pool: DataFrame, context: dict, runs: int, n: int, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The six reference generators, or those named; context: t_df, omega, alpha, beta."""
     spark, g = pool.sparkSession, (context["omega"], context["alpha"], context["beta"])
-    made = [gaussian(spark, runs, n), student_t(spark, runs, n, context["t_df"]), iid_bootstrap(pool, runs, n), block_bootstrap(pool, runs, n)]
-    made += [garch(spark, runs, n, *g), garch(spark, runs, n, *g, df=context["t_df"])]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
+    made = {
+        "gaussian": lambda: gaussian(spark, runs, n), "student_t": lambda: student_t(spark, runs, n, context["t_df"]),
+        "iid_bootstrap": lambda: iid_bootstrap(pool, runs, n), "block_bootstrap": lambda: block_bootstrap(pool, runs, n),
+        "garch_norm": lambda: garch(spark, runs, n, *g), "garch_t": lambda: garch(spark, runs, n, *g, df=context["t_df"]),
+    }
+    parts = [made[name]() for name in names or made]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out

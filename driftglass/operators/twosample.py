@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +14,16 @@ from driftglass.functions import keyed
 from driftglass.operators.sequence import joint_counts
 
 LEAST = 5
+# values of a group that are compared as one array; repeats of a block; hashes of a block
+TOGETHER, AT_ONCE, CELLS = 200_000, 100, 2_000_000
 
 
-def two_sides(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Samples of long facts: those of a on side 'a' (repeated for every group that only b has), those of b on side 'b'."""
-    extra = [c for c in b.columns if c not in a.columns]
-    if extra:
-        a = a.join(F.broadcast(b.select(*extra).distinct()))  # names of groups
+def two_sides(a: DataFrame, b: DataFrame, **groups: tuple[str, ...]) -> DataFrame:
+    """Samples of long facts: those of a on side 'a', repeated for every group of a column that only b has; those of b on
+    side 'b'. groups: the column's values; where they aren't given, they are looked up."""
+    for column in (c for c in b.columns if c not in a.columns):
+        names = groups.get(column) or [r[0] for r in b.select(column).distinct().collect()]  # names of groups
+        a = a.withColumn(column, F.explode(F.array(*map(F.lit, names)))) if names else a.limit(0).withColumn(column, F.lit(None).cast("string"))
     return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
 
 
@@ -33,33 +41,130 @@ def compared(samples: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("power", 2 * F.abs(F.col("auc") - 0.5)).select(*by, "n_a", "n_b", "auc", "power", "ks", "gap")
 
 
-def permutation_test(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int) -> DataFrame:
+def permutation_test(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, together: int = TOGETHER) -> DataFrame:
     """by, ks, pvalue, null95: labels are dealt anew `times` times, by the order of a keyed hash.
 
     A permutation deals as many 'a' labels as there are; p counts those whose distance is at least the one found, on whole
-    numbers, with one added above and below.
+    numbers, with one added above and below. Groups of up to `together` values are dealt as arrays, permutations in blocks;
+    larger ones row by row. Both deal alike.
     """
-    rows = samples.where("value IS NOT NULL").withColumn("n_side", F.count_if(F.col("side") == "a").over(Window.partitionBy(*by)))
-    rows = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    deal = Window.partitionBy(*by, "perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("perm"), "perm", "side", *row_id)), "side", *row_id)
-    dealt = rows.withColumn("side", F.when(F.row_number().over(deal) <= F.col("n_side"), "a").otherwise("b")).select(*by, "perm", "side", "value")
-    null = compared(dealt, [*by, "perm"]).select(*by, F.col("ks").alias("null_ks"), F.col("gap").alias("null_gap"))
-    found = compared(samples, by).select(*by, "ks", "gap")
-    out = null.join(found, by).groupBy(*by).agg(F.first("ks").alias("ks"), F.count_if(F.col("null_gap") >= F.col("gap")).alias("above"), F.percentile("null_ks", F.lit(0.95)).alias("null95"))
+    rows = samples.where("value IS NOT NULL")
+    found = compared(samples, by).select(*by, "n_a", "n_b", "ks", "gap")
+    small, large = by_size(rows, by, together)
+    nulls = []
+    if small is not None:
+        nulls.append(in_blocks(small, by, row_id, times, seed, permuted_gaps, "null_gap long"))
+    if large is not None:
+        large = large.withColumn("n_side", F.count_if(F.col("side") == "a").over(Window.partitionBy(*by)))
+        large = large.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+        deal = Window.partitionBy(*by, "perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("perm"), "perm", "side", *row_id)), "side", *row_id)
+        dealt = large.withColumn("side", F.when(F.row_number().over(deal) <= F.col("n_side"), "a").otherwise("b")).select(*by, "perm", "side", "value")
+        nulls.append(compared(dealt, [*by, "perm"]).select(*by, F.col("gap").alias("null_gap")))
+    null = nulls[0].unionByName(nulls[1]) if len(nulls) > 1 else nulls[0]
+    null_ks = F.when(F.col("ks").isNotNull(), F.col("null_gap") / (F.col("n_a") * F.col("n_b")))
+    out = found.join(null, by, "left").groupBy(*by).agg(F.first("ks").alias("ks"), F.count_if(F.col("null_gap") >= F.col("gap")).alias("above"), F.percentile(null_ks, F.lit(0.95)).alias("null95"))
     return out.select(*by, "ks", F.when(F.col("ks").isNotNull(), (F.col("above") + 1) / (times + 1)).alias("pvalue"), "null95")
 
 
-def bootstrap_power(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int) -> DataFrame:
-    """by, ci_lo, ci_hi: 2.5 and 97.5 percent of the power when both sides are drawn anew with replacement."""
-    rows = samples.where("value IS NOT NULL")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*by, "side").orderBy(*row_id)) - 1)
-    sizes = rows.groupBy(*by, "side").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    draws = draws.withColumn("at", keyed.index(F.col("n"), seed, "boot", *by_columns(by), F.col("rep"), F.col("side"), F.col("slot")))
-    drawn = draws.join(rows.select(*by, "side", "at", "value"), [*by, "side", "at"]).select(*by, "rep", "side", "value")
-    out = compared(drawn, [*by, "rep"]).groupBy(*by).agg(F.percentile("power", F.lit(0.025)).alias("ci_lo"), F.percentile("power", F.lit(0.975)).alias("ci_hi"))
+def bootstrap_power(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, together: int = TOGETHER) -> DataFrame:
+    """by, ci_lo, ci_hi: 2.5 and 97.5 percent of the power when both sides are drawn anew with replacement.
+
+    Groups of up to `together` values are drawn as arrays, repeats in blocks; larger ones by a join. Both draw alike."""
+    small, large = by_size(samples.where("value IS NOT NULL"), by, together)
+    powers = []
+    if small is not None:
+        powers.append(in_blocks(small, by, row_id, times, seed, drawn_powers, "power double"))
+    if large is not None:
+        rows = large.withColumn("at", F.row_number().over(Window.partitionBy(*by, "side").orderBy(*row_id)) - 1)
+        sizes = rows.groupBy(*by, "side").agg(F.count("*").alias("n"))
+        draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        draws = draws.withColumn("at", keyed.index(F.col("n"), seed, "boot", *by_columns(by), F.col("rep"), F.col("side"), F.col("slot")))
+        drawn = draws.join(rows.select(*by, "side", "at", "value"), [*by, "side", "at"]).select(*by, "rep", "side", "value")
+        powers.append(compared(drawn, [*by, "rep"]).select(*by, "power"))
+    power = powers[0].unionByName(powers[1]) if len(powers) > 1 else powers[0]
+    out = power.groupBy(*by).agg(F.percentile("power", F.lit(0.025)).alias("ci_lo"), F.percentile("power", F.lit(0.975)).alias("ci_hi"))
     return out.select(*by, "ci_lo", "ci_hi")
 
 
+def by_size(rows: DataFrame, by: list[str], together: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of groups of up to `together` rows, and those of larger groups; None where there are none."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
+    if not (sizes.agg(F.max("_size")).first()[0] or 0) > together:
+        return rows, None
+    sizes = sizes.withColumn("_large", F.col("_size") > together)
+    marked = rows.join(sizes.drop("_size"), by)
+    return marked.where("NOT _large").drop("_large"), marked.where("_large").drop("_large")
+
+
+def in_blocks(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, make, made: str) -> DataFrame:
+    """by and what make(group, labels, first, last, seed) gives for each of `times` repeats: one group and one block of repeats at a time.
+
+    Groups with the same rows are dealt to the same task for a block, as their hashes are the same.
+    """
+    member = F.struct(*row_id, F.concat_ws("|", *row_id).alias("_id"), "value")
+    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, member)))
+    groups = rows.groupBy(*by).agg(side("a").alias("a"), side("b").alias("b"))
+    n = F.size("a") + F.size("b")
+    at_once = F.greatest(F.lit(1), F.least(F.lit(AT_ONCE), F.floor(CELLS / F.greatest(n, F.lit(1))).cast("int"))).alias("at_once")
+    labels = F.concat_ws("|", *by).alias("labels")
+    groups = groups.select(*by, labels, F.col("a._id").alias("a_ids"), F.col("a.value").alias("a"), F.col("b._id").alias("b_ids"), F.col("b.value").alias("b"), at_once)
+    cells = groups.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.col("at_once")))).withColumn("last", F.least(F.col("first") + F.col("at_once"), F.lit(times)))
+    same = F.xxhash64("a_ids", "b_ids")
+    cells = cells.repartition("first", same).sortWithinPartitions("first", same)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                cell = {c: batch.column(c)[i] for c in ("labels", "first", "last", "a_ids", "a", "b_ids", "b")}
+                values = make(cell, known, seed)
+                at = pa.array(np.full(len(values), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(values)], names=[*by, made.split()[0]])
+
+    kinds = dict(rows.dtypes)
+    return cells.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + made)
+
+
+def values_of(cell: dict, side: str) -> np.ndarray:
+    return cell[side].values.to_numpy(zero_copy_only=False)
+
+
+def permuted_gaps(cell: dict, known: dict, seed: int) -> np.ndarray:
+    """The greatest distance (in whole numbers) of each permutation from first to last."""
+    perms = range(cell["first"].as_py(), cell["last"].as_py())
+    names = [f"a|{x}" for x in cell["a_ids"].as_py()] + [f"b|{x}" for x in cell["b_ids"].as_py()]
+    if known.get("at") != (perms, names):  # statistics of the same windows share their hashes
+        made = b"".join(hashlib.md5(f"{seed}|perm|{p}|{x}".encode()).digest() for p in perms for x in names)
+        order = np.frombuffer(made, ">u8").reshape(len(perms), len(names), 2)
+        known.update(at=(perms, names), order=np.lexsort((order[:, :, 1], order[:, :, 0]), axis=1))
+    a, b = values_of(cell, "a"), values_of(cell, "b")
+    values, n = np.append(a, b), len(a) + len(b)
+    place = np.argsort(values, kind="stable")
+    dealt = np.zeros((len(perms), n), bool)
+    np.put_along_axis(dealt, known["order"][:, : len(a)], True, axis=1)
+    ends = np.append(values[place][1:] != values[place][:-1], True)[:n]
+    below = np.cumsum(dealt[:, place], axis=1, dtype=np.int64)[:, ends]
+    return np.abs(below * n - (np.flatnonzero(ends) + 1) * len(a)).max(axis=1, initial=0)
+
+
+def drawn_powers(cell: dict, known: dict, seed: int) -> np.ndarray:
+    """The power of each repeat from first to last; none if a side has too few values."""
+    reps, sides = range(cell["first"].as_py(), cell["last"].as_py()), (values_of(cell, "a"), values_of(cell, "b"))
+    if min(map(len, sides)) < LEAST:
+        return np.zeros(0)
+    levels = np.unique(np.append(*sides))
+    counts = []
+    for name, values in zip("ab", sides):
+        n = len(values)
+        made = b"".join(hashlib.md5(f"{seed}|boot|{cell['labels'].as_py()}|{r}|{name}|{k}".encode()).digest()[:4] for r in reps for k in range(n))
+        at = np.floor(np.frombuffer(made, ">u4") / keyed.STEPS * n).astype(np.int64).reshape(len(reps), n)
+        level = np.searchsorted(levels, values)[at] + np.arange(len(reps))[:, None] * len(levels)
+        counts.append(np.bincount(level.ravel(), minlength=len(reps) * len(levels)).reshape(len(reps), -1))
+    a, b = counts
+    pairs = len(sides[0]) * len(sides[1])
+    wins = (a * (2 * (len(sides[1]) - np.cumsum(b, axis=1)) + b)).sum(axis=1)
+    return 2 * np.abs(wins / (2 * pairs) - 0.5)
+
+
 def by_columns(by: list[str]) -> list:
     return [F.col(c) for c in by]

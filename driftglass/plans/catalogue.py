@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftglass.functions import text
@@ -10,10 +12,11 @@ from driftglass.operators import battery, calibration, fitting, generators, repo
 from driftglass.operators.windows import sliding, tail
 from driftglass.plans import sql
 from driftglass.sources import results, series
+from driftglass.sources.shared import shared_dir, stored
 
-PERMUTED = ("excess_kurtosis", "acf_abs_1", "leverage")
-NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap")
-RUNS, T_DF, VOLATILITY = 8, 5.0, (0.02, 0.1, 0.85)
+NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap", "garch_norm", "garch_t")
+RUNS, PERMUTATIONS, BOOTSTRAPS, T_DF, VOLATILITY = 200, 2000, 1000, 5.0, sql.VOLATILITY
+FIT_MOST = 100_000  # returns that a fit reads at most
 WORDS = {"the": "the ", "and": " and ", "der": " der ", "que": "que[ ,.]"}
 MENTION, SIMULATION = "the |der ", " and | que "
 
@@ -31,9 +34,9 @@ def facts_of(spark: SparkSession, d: str) -> DataFrame:
     return battery.evaluate(windows_of(spark, d))
 
 
-def long_of(spark: SparkSession, d: str) -> DataFrame:
-    """Kept in the session: comparisons read it several times, and it has a row for each 1000 returns and statistic."""
-    return battery.unpivoted(facts_of(spark, d).persist())
+def long_of(spark: SparkSession, d: str, stride: int = 250) -> DataFrame:
+    """Stored, as comparisons read it several times; it has a row for each `stride` returns and statistic."""
+    return battery.unpivoted(stored(battery.evaluate(windows_of(spark, d, stride=stride)), "facts"))
 
 
 def split(long: DataFrame) -> DataFrame:
@@ -44,22 +47,18 @@ def split(long: DataFrame) -> DataFrame:
 def synthetic(spark: SparkSession, d: str, names=NATIVE, runs: int = RUNS, n: int = 1000) -> DataFrame:
     """generator, run, i, r."""
     pool = generators.pooled(series.returns(series.li6(spark, d)))
-    made = {"gaussian": lambda: generators.gaussian(spark, runs, n), "student_t": lambda: generators.student_t(spark, runs, n, T_DF), "iid_bootstrap": lambda: generators.iid_bootstrap(pool, runs, n), "block_bootstrap": lambda: generators.block_bootstrap(pool, runs, n)}
-    out = None
-    for name in names:
-        out = made[name]() if out is None else out.unionByName(made[name]())
-    return out
+    return generators.all_generators(pool, dict(zip(("omega", "alpha", "beta"), VOLATILITY)) | {"t_df": T_DF}, runs, n, names)
 
 
 def synthetic_long(spark: SparkSession, d: str, names=NATIVE) -> DataFrame:
     key = ("generator", "run")
-    return battery.unpivoted(battery.evaluate(synthetic(spark, d, names), key).persist(), key).select("generator", "stat", "value")
+    return battery.unpivoted(stored(battery.evaluate(synthetic(spark, d, names), key), "facts"), key)
 
 
-def against(spark: SparkSession, d: str, names=NATIVE) -> DataFrame:
+def against(spark: SparkSession, d: str, names=NATIVE, stride: int = 250) -> DataFrame:
     """stat, generator, n_a, n_b, auc, power, ks: all windows against all runs, every statistic and generator at once."""
-    real = long_of(spark, d).select("stat", "value")
-    return twosample.compared(twosample.two_sides(real, synthetic_long(spark, d, names)), ["stat", "generator"]).drop("gap")
+    real, made = long_of(spark, d, stride).select("stat", "value"), synthetic_long(spark, d, names).select("generator", "stat", "value")
+    return twosample.compared(twosample.two_sides(real, made, generator=names), ["stat", "generator"]).drop("gap")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -87,28 +86,47 @@ def gen_garch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permutation(spark: SparkSession, d: str) -> DataFrame:
-    samples = split(long_of(spark, d).where(F.col("stat").isin(*PERMUTED)))
-    return rounded(twosample.permutation_test(samples, ["stat"], ["series_id", "start"], 200, sql.SEED))
+    return rounded(twosample.permutation_test(split(long_of(spark, d)), ["stat"], ["series_id", "start"], PERMUTATIONS, sql.SEED))
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    samples = split(long_of(spark, d).where(F.col("stat").isin(*PERMUTED)))
-    return rounded(twosample.bootstrap_power(samples, ["stat"], ["series_id", "start"], 200, sql.SEED))
+    return rounded(twosample.bootstrap_power(split(long_of(spark, d)), ["stat"], ["series_id", "start"], BOOTSTRAPS, sql.SEED))
 
 
 def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
     return rounded(twosample.compared(split(long_of(spark, d)), ["stat"]).drop("gap"))
 
 
-def separation(spark: SparkSession, d: str) -> DataFrame:
-    """The whole comparison with fitted generators and permutations: 30 windows a series against 20 runs."""
+def fitted_sides(spark: SparkSession, d: str, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
+    """Long facts (stat, id, value) of all windows, and (stat, generator, id, value) of runs of generators fitted to the first series."""
     rows = series.measured(series.li6(spark, d))
-    fit = fitting.fit_windows(tail(rows.where("series_id = 'AF'"))).first()
-    runs = generators.all_generators(generators.pooled(rows), fit.asDict(), 20, 1000)
-    key = ("generator", "run")
-    made = battery.unpivoted(battery.evaluate(runs, key).persist(), key).withColumn("id", F.concat_ws("-", *key)).select("stat", "generator", "id", "value")
-    real = battery.unpivoted(battery.evaluate(sliding(rows, stride=1000)).persist()).withColumn("id", F.concat_ws("-", "series_id", "start")).select("stat", "id", "value")
-    return rounded(twosample.permutation_test(twosample.two_sides(real, made), ["stat", "generator"], ["id"], 100, sql.SEED))
+    fit = fitting.fit_windows(tail(rows.where("series_id = 'AF'"), FIT_MOST)).first()
+    made = battery.evaluate(generators.all_generators(generators.pooled(rows), fit.asDict(), runs, 1000), ("generator", "run"))
+    made = battery.unpivoted(stored(made, "facts"), ("generator", "run")).withColumn("id", F.concat_ws("-", "generator", "run"))
+    real = long_of(spark, d).withColumn("id", F.concat_ws("-", "series_id", "start"))
+    return real.select("stat", "id", "value"), made.select("stat", "generator", "id", "value")
+
+
+def separation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comparison with fitted generators: every window against 200 runs of each, with permutation tests."""
+    sides = twosample.two_sides(*fitted_sides(spark, d), generator=NATIVE)
+    return rounded(twosample.permutation_test(sides, ["stat", "generator"], ["id"], PERMUTATIONS, sql.SEED))
+
+
+def all_reject_permuted(spark: SparkSession, d: str) -> DataFrame:
+    return reports.all_rejecting(separation(spark, d))
+
+
+def worst_case_table(spark: SparkSession, d: str) -> DataFrame:
+    """Each statistic's least power, its bootstrap interval, and the same cell with windows that don't overlap."""
+    real, made = fitted_sides(spark, d)
+    sides = stored(twosample.two_sides(real, made, generator=NATIVE), "sides")
+    worst = reports.worst_cases(twosample.compared(sides, ["stat", "generator"]))
+    cells = stored(worst, "worst")
+    drawn = twosample.bootstrap_power(sides.join(F.broadcast(cells.select("stat", "generator")), ["stat", "generator"]), ["stat", "generator"], ["id"], BOOTSTRAPS, sql.SEED)
+    apart = long_of(spark, d, 1000).select("stat", "value")
+    apart = twosample.compared(twosample.two_sides(apart, made.drop("id"), generator=NATIVE), ["stat", "generator"]).select("stat", "generator", F.col("power").alias("power_apart"))
+    return rounded(cells.join(drawn, ["stat", "generator"], "left").join(apart, ["stat", "generator"], "left"))
 
 
 def effective(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +138,7 @@ def inflation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strata(spark: SparkSession, d: str) -> DataFrame:
-    made = synthetic_long(spark, d, ("block_bootstrap",)).select("stat", "value")
+    made = synthetic_long(spark, d, ("garch_t",)).select("stat", "value")
     return rounded(robustness.by_stratum(long_of(spark, d), made))
 
 
@@ -134,7 +152,7 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
     rows = sequence.cumulative_paths(windows_of(spark, d, stride=1000), ("series_id", "start")).withColumn("step", F.col("i") - F.col("start"))
-    return rounded(sequence.path_bands(rows, ()).where("step % 50 = 49"))
+    return rounded(sequence.path_bands(rows, ()))
 
 
 def paths_like(spark: SparkSession, d: str) -> DataFrame:
@@ -158,33 +176,47 @@ def drift_gate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(facts.join(F.broadcast(bounds)).withColumn("inside", F.col("drift").between(F.col("lo"), F.col("hi"))))
 
 
-def fw_paths(spark: SparkSession, seeds: int, n: int, burn: int) -> DataFrame:
-    return calibration.simulate(spark.createDataFrame([(0,)], "candidate long"), list(range(seeds)), n, burn)
+def bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Windows as parameter sets, of statistics between their least and greatest values: those near an edge."""
+    long = long_of(spark, d)
+    edges = long.groupBy("stat").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    params = long.join(F.broadcast(edges), "stat").withColumn("model", F.concat_ws("-", "series_id", "start")).withColumnRenamed("stat", "param")
+    return calibration.at_bound(params).select("model", F.array_join("at_bound", ",").alias("at_bound"))
 
 
-def sim_fw(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(battery.evaluate(fw_paths(spark, 10, 1000, 1000), ("candidate", "seed")))
+def target_scale(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.measured(series.li6(spark, d))
+    return rounded(calibration.target_and_scale(sliding(rows), tail(rows.where("series_id = 'AF'"))))
 
 
-def fw_verify(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(calibration.published_check(fw_paths(spark, 4, 17_000, 2000)))
+def rejections(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.rejections(calibration.gated(paths_like(spark, d)))
 
 
-def calibrate_fw(spark: SparkSession, d: str) -> DataFrame:
-    rows = series.measured(series.li6(spark, d))
-    target = calibration.target_and_scale(sliding(rows, stride=1000), tail(rows.where("series_id = 'AF'"))).persist()
-    return rounded(calibration.calibrate(spark, target, calibration.Config(draws=8, seeds=4)))
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the generators as candidates with paths of ten seeds each."""
+    made = synthetic(spark, d).withColumn("candidate", F.concat_ws("-", "generator", F.floor(F.col("run") / 10)))
+    return stored(made.select("candidate", F.col("run").alias("seed"), "i", "r"), "paths")
 
 
-TRIED = "VALUES ('m1', 0, 'a', 0.5, 0.0, 1.0), ('m1', 0, 'b', 0.01, 0.0, 1.0), ('m1', 1, 'a', 0.99, 0.0, 1.0), ('m1', 1, 'w_x', 1.0, 0.0, 1.0), ('m2', 0, 'a', 3.0, 1.0, 9.0), ('m2', 0, 'c', 8.9, 1.0, 9.0)"
+def candidate_search(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates against the first series' last window: gates, quorum, drift, medians, losses, and the least first."""
+    rows = series.measured(series.li6(spark, d))
+    target = stored(calibration.target_and_scale(sliding(rows), tail(rows.where("series_id = 'AF'"))), "target")
+    drift = calibration.drift_range(battery.evaluate(sliding(rows)))
+    return rounded(calibration.search(candidates(spark, d), target, 10, drift))
 
 
-def tried(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT col1 AS model, col2 AS draw, col3 AS param, cast(col4 AS double) AS value, cast(col5 AS double) AS lo, cast(col6 AS double) AS hi FROM ({TRIED})")
+def hold_out(spark: SparkSession, d: str) -> DataFrame:
+    """generator, stat, fitted, held_out: medians over the first half of the runs, and over the others."""
+    return rounded(calibration.hold_out(synthetic_long(spark, d), "generator", "run", RUNS // 2))
 
 
-def bounds(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.at_bound(tried(spark)).select("model", F.array_join("at_bound", ",").alias("at_bound"))
+def model_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.measured(series.li6(spark, d))
+    target = calibration.target_and_scale(sliding(rows), tail(rows.where("series_id = 'AF'")))
+    made = synthetic_long(spark, d).withColumnRenamed("generator", "model")
+    return rounded(reports.held_out(reports.model_stats(made, target), list(calibration.FITTED), ["drift"]))
 
 
 def loss_table(spark: SparkSession, d: str) -> DataFrame:
@@ -233,6 +265,55 @@ def digest(spark: SparkSession, d: str) -> DataFrame:
     return series.digests(series.li3(spark, d))
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """series_id, ts (seconds), close: the highest order price of a day for each priority; every seventh day is closed (null)."""
+    rows = series.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("close"))
+    ts = F.unix_date("day").cast("long") * 86400
+    return rows.select("series_id", ts.alias("ts"), F.when(F.unix_date("day") % 7 != 0, F.col("close")).alias("close"))
+
+
+def payload_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Daily closes as JSON payloads, written, scanned and turned into returns."""
+    written = stored(series.as_payloads(daily(spark, d)), "payloads")
+    return rounded(series.returns(series.parsed(series.require_rows(written, "payloads"))))
+
+
+def payload_verified(spark: SparkSession, d: str) -> DataFrame:
+    """The published fingerprint of every payload, held against those of the closes themselves, of which one is altered."""
+    closes = daily(spark, d)
+    found = series.line_digests(series.parsed(series.as_payloads(closes)))
+    altered = closes.withColumn("close", F.when(F.col("series_id") == "1-URGENT", F.col("close") + 1).otherwise(F.col("close")))
+    return series.verified(found, series.line_digests(series.parsed(series.as_payloads(altered))))
+
+
+def sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Facts written whole as JSON, by series, one series replaced, and paths as single precision; read back and joined."""
+    folder = f"{shared_dir(spark)}/sinks-{uuid.uuid4().hex}"
+    facts = facts_of(spark, d).select("series_id", "start", "excess_kurtosis", "drift")
+    results.save(facts, f"{folder}/whole", "json")
+    whole = results.load(spark, f"{folder}/whole", "series_id string, start long, excess_kurtosis double, drift double", "json")
+    results.save_part(whole, f"{folder}/parts", "series_id")
+    results.save_part(whole.where("series_id = 'AF'").withColumn("drift", F.lit(0.0)), f"{folder}/parts", "series_id")
+    parts = results.load(spark, f"{folder}/parts", "start long, excess_kurtosis double, drift double, series_id string")
+    paths = windows_of(spark, d, stride=1000).select(F.col("series_id").alias("model"), F.lit(1).alias("version"), F.col("start").alias("seed"), F.col("i").alias("t"), F.round("r", 2).alias("r"))
+    results.save_paths(paths, f"{folder}/paths")
+    sums = spark.read.parquet(f"{folder}/paths").groupBy(F.col("model").alias("series_id")).agg(F.count("*").alias("path_rows"), F.sum(F.col("r").cast("double")).alias("path_sum"))
+    return rounded(parts.join(sums.withColumn("path_sum", F.round("path_sum", 1)), "series_id"))
+
+
+PHRASES = ("Fat tails and excess kurtosis.", "Volatility clustering is a stylized fact.", "Long memory; the Hurst exponent.", "The leverage effect.", "Gain/loss asymmetry.", "Lack of autocorrelation.",
+           "Aggregational Gaussianity.", "Trading volume and volatility.", "A regime shift in an agent-based model.", "Stylised facts of an artificial market.", "An apple a day.")
+
+
+def audit_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The nine categories in documents, each with two sentences put after it."""
+    said = F.array(*map(F.lit, PHRASES))
+    pick = lambda k: F.element_at(said, (F.pmod(F.col("doc_id") * k, F.lit(len(PHRASES))) + 1).cast("int"))
+    docs = series.table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", pick(1), pick(7)).alias("text"))
+    rows = text.audit(docs, "doc_id", "text")
+    return rows.select("doc_id", "sf_mention", "is_sim", *(F.col("counts")[c].cast("bigint").alias(c.replace("-", "_")) for c in text.CATEGORIES))
+
+
 def resume(spark: SparkSession, d: str) -> DataFrame:
     """Windows still to do when those of even hundreds of starts are done."""
     wanted = windows_of(spark, d).select("series_id", "start").distinct()
@@ -273,7 +354,9 @@ def queries() -> dict:
         "separation": separation, "effective_n": effective, "interval_inflation": inflation, "ks_per_series": strata, "tail_sweep": sweep, "cum_paths": bands, "zero_runs": zero_runs,
         "top3_stats": lambda spark, d: rounded(reports.top_stats(against(spark, d))), "worst_case_stat": lambda spark, d: rounded(reports.worst_cases(against(spark, d))),
         "all_reject": all_reject, "power_pivot": power_pivot, "validity_gates": gates, "deterministic_gate": ends, "drift_gate": drift_gate,
-        "sim_fw_stats": sim_fw, "fw_verify": fw_verify, "calibrate_fw": calibrate_fw, "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
+        "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
+        "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -283,9 +366,16 @@ def queries() -> dict:
 R6 = sql.r6
 BATTERY = f"{sql.windows()}, {sql.facts()}"
 REAL_SIDES = f"sam AS (SELECT stat, series_id, start, value, {sql.SPLIT} AS side FROM flong)"
-SYNTHETIC = f"{sql.POOL}, gen AS ({sql.generated(NATIVE, RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
-AGAINST = f"""WITH {BATTERY}, {SYNTHETIC}, names AS (SELECT DISTINCT generator FROM gen),
+SYNTHETIC = f"{sql.POOL}, gen AS MATERIALIZED ({sql.generated(NATIVE, RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
+NAMES = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NATIVE) + "]) AS generator)"
+
+
+def against_sql(stride: int = 250) -> str:
+    return f"""WITH {sql.windows(stride=stride)}, {sql.facts()}, {SYNTHETIC}, {NAMES},
 sam AS (SELECT stat, generator, 'a' AS side, value FROM flong, names UNION ALL SELECT stat, generator, 'b', value FROM glong), {sql.compared('stat, generator')}"""
+
+
+AGAINST = against_sql()
 PATHS = f"{sql.returns('ev5')}, pa AS (SELECT series_id AS candidate, i // 990 AS seed, i, CASE WHEN i % 1000 < 60 THEN 0 ELSE r END AS r FROM ret)"
 ISLANDS = "isl AS (SELECT *, abs(r) < 1e-12 AS zero, i - row_number() OVER (PARTITION BY candidate, seed, abs(r) < 1e-12 ORDER BY i) AS island FROM pa), runs AS (SELECT candidate, seed, max(n) AS longest FROM (SELECT candidate, seed, zero, island, count(*) FILTER (WHERE zero) AS n FROM isl GROUP BY ALL) GROUP BY ALL)"
 STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')"
@@ -318,18 +408,17 @@ def oracle_sql() -> dict[str, str]:
     out["hill_sensitivity"] = f"WITH {sql.windows()}, rk AS ({sql.ranked('w', 'series_id, start')}) {hills}"
     for n in NATIVE:
         out[f"gen_{n}"] = f"WITH {sql.returns('li6')}, {sql.POOL}, gen AS ({sql.generator(n, 20, 100)}) SELECT generator, run, i, {R6('r')} AS r FROM gen"
-    out["gen_garch"] = sql.volatility(4, 100, *VOLATILITY)
+    out["gen_garch"] = f"SELECT generator, run, i, {R6('r')} AS r FROM ({sql.generator('garch_norm', 4, 100)})"
     out["real_vs_real"] = f"WITH {BATTERY}, {REAL_SIDES}, {sql.compared('stat')} SELECT stat, n_a, n_b, {numbers} FROM cmp"
     out["power_table"] = f"{AGAINST} SELECT stat, generator, n_a, n_b, {numbers} FROM cmp"
-    chosen = ", ".join(f"'{s}'" for s in PERMUTED)
-    out["perm_pvalue"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT * FROM sam WHERE stat IN ({chosen}) AND value IS NOT NULL),
+    out["perm_pvalue"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT * FROM sam WHERE value IS NOT NULL),
 per AS (SELECT *, count(*) FILTER (WHERE side = 'a') OVER (PARTITION BY stat) AS k FROM fnd),
-dealt AS (SELECT stat, perm, value, CASE WHEN row_number() OVER (PARTITION BY stat, perm ORDER BY md5(concat_ws('|', {sql.SEED}, 'perm', perm, side, series_id, start)), side, series_id, start) <= k THEN 'a' ELSE 'b' END AS side FROM per, range(200) AS p(perm)),
+dealt AS (SELECT stat, perm, value, CASE WHEN row_number() OVER (PARTITION BY stat, perm ORDER BY md5(concat_ws('|', {sql.SEED}, 'perm', perm, side, series_id, start)), side, series_id, start) <= k THEN 'a' ELSE 'b' END AS side FROM per, range({PERMUTATIONS}) AS p(perm)),
 {sql.compared('stat', 'fnd', 'obs')}, {sql.compared('stat, perm', 'dealt', 'prm')}
-SELECT stat, {R6('any_value(obsmp.ks)')} AS ks, {R6('(count(*) FILTER (WHERE prmmp.gap >= obsmp.gap) + 1) / 201.0::DOUBLE')} AS pvalue, {R6('quantile_cont(prmmp.ks, 0.95)')} AS null95 FROM prmmp JOIN obsmp USING (stat) GROUP BY stat"""
-    out["bootstrap_ci"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT *, row_number() OVER (PARTITION BY stat, side ORDER BY series_id, start) - 1 AS pos FROM sam WHERE stat IN ({chosen}) AND value IS NOT NULL),
+SELECT stat, {R6('any_value(obsmp.ks)')} AS ks, {R6(f'(count(*) FILTER (WHERE prmmp.gap >= obsmp.gap) + 1) / ({PERMUTATIONS} + 1.0::DOUBLE)')} AS pvalue, {R6('quantile_cont(prmmp.ks, 0.95)')} AS null95 FROM prmmp JOIN obsmp USING (stat) GROUP BY stat"""
+    out["bootstrap_ci"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT *, row_number() OVER (PARTITION BY stat, side ORDER BY series_id, start) - 1 AS pos FROM sam WHERE value IS NOT NULL),
 siz AS (SELECT stat, side, count(*) AS n FROM fnd GROUP BY ALL),
-drw AS (SELECT stat, side, rep, floor({sql.uniform(str(sql.SEED), "'boot'", 'stat', 'rep', 'side', 'slot')} * n)::BIGINT AS pos FROM (SELECT stat, side, n, unnest(range(n)) AS slot FROM siz), range(200) AS p(rep)),
+drw AS (SELECT stat, side, rep, floor({sql.uniform(str(sql.SEED), "'boot'", 'stat', 'rep', 'side', 'slot')} * n)::BIGINT AS pos FROM (SELECT stat, side, n, unnest(range(n)) AS slot FROM siz), range({BOOTSTRAPS}) AS p(rep)),
 smp AS (SELECT stat, rep, side, value FROM drw JOIN fnd USING (stat, side, pos)), {sql.compared('stat, rep', 'smp')}
 SELECT stat, {R6('quantile_cont(power, 0.025)')} AS ci_lo, {R6('quantile_cont(power, 0.975)')} AS ci_hi FROM cmp GROUP BY stat"""
     effective_cte = f"""WITH {BATTERY}, grp AS (SELECT stat, avg(m) AS m, avg(wv) AS wv FROM (SELECT stat, start, count(*) AS m, var_pop(value) AS wv FROM flong GROUP BY 1, 2) WHERE m > 1 GROUP BY stat),
@@ -337,7 +426,7 @@ tot AS (SELECT stat, count(*) AS n, var_pop(value) AS tv FROM flong GROUP BY sta
 eff AS (SELECT stat, n, CASE WHEN tv > 0 AND m IS NOT NULL THEN 1 + (m - 1) * least(greatest(1 - wv / tv, 0), 0.99) ELSE 1 END AS deff FROM tot LEFT JOIN grp USING (stat))"""
     out["effective_n"] = f"{effective_cte} SELECT stat, n, {R6('deff')} AS deff, {R6('n / deff')} AS n_eff FROM eff"
     out["interval_inflation"] = f"{effective_cte} SELECT {R6('median(n / deff)')} AS median_n_eff, {R6('sqrt(max(n) / median(n / deff))')} AS inflation FROM eff"
-    block = f"{sql.POOL}, gen AS ({sql.generator('block_bootstrap', RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
+    block = f"{sql.POOL}, gen AS ({sql.generator('garch_t', RUNS, 1000)}), {sql.facts('gen', 'generator, run', 'g')}"
     out["ks_per_series"] = f"""WITH {BATTERY}, {block}, rl AS (SELECT stat, series_id AS stratum, value FROM flong UNION ALL SELECT stat, 'all', value FROM flong),
 sam AS (SELECT stat, stratum, 'a' AS side, value FROM rl UNION ALL SELECT stat, stratum, 'b', value FROM glong, (SELECT DISTINCT stratum FROM rl)), {sql.compared('stat, stratum')} SELECT stat, stratum, n_a, {R6('ks')} AS ks FROM cmp"""
     cases = [(s, f) for s in ("left", "right") for f in ("0.025", "0.05", "0.1")]
@@ -347,7 +436,7 @@ sam AS (SELECT stat, stratum, 'a' AS side, value FROM rl UNION ALL SELECT stat,
 rl AS ({real}), sy AS ({made}), sam AS (SELECT tail, frac, generator, 'a' AS side, value FROM rl, (SELECT DISTINCT generator FROM gen) UNION ALL SELECT tail, frac, generator, 'b', value FROM sy), {sql.compared('tail, frac, generator')}
 SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM cmp JOIN (SELECT tail, frac, median(value) AS md FROM rl GROUP BY ALL) USING (tail, frac)"""
     out["cum_paths"] = f"""WITH {sql.windows(stride=1000)}, cp AS (SELECT i - start AS step, sum(r) OVER (PARTITION BY series_id, start ORDER BY i) AS path FROM w)
-SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp WHERE step % 50 = 49 GROUP BY step"""
+SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp GROUP BY step"""
     out["zero_runs"] = f"WITH {PATHS}, {ISLANDS} SELECT candidate, seed, longest FROM runs"
     out["top3_stats"] = f"{AGAINST}, pl AS (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY power DESC NULLS LAST, stat DESC)::INT AS place FROM cmp) SELECT generator, place, stat, {R6('power')} AS power FROM pl WHERE place <= 3"
     out["worst_case_stat"] = f"{AGAINST} SELECT stat, generator, {R6('power')} AS power FROM (SELECT *, row_number() OVER (PARTITION BY stat ORDER BY power, generator) AS place FROM cmp WHERE power IS NOT NULL) WHERE place = 1"
@@ -358,10 +447,42 @@ SELECT stat, {R6('max(p)')} AS max_pvalue FROM pv GROUP BY stat HAVING max(p) <
     out["validity_gates"] = f"""WITH {PATHS}, {ISLANDS}, bk AS (SELECT *, row_number() OVER (PARTITION BY candidate, seed ORDER BY i DESC) AS back FROM pa),
 ab AS (SELECT candidate, seed, count(*) AS n, stddev_pop(r) AS sd, stddev_pop(r) FILTER (WHERE back <= 50) AS tsd FROM bk GROUP BY ALL)
 SELECT candidate, seed, CASE WHEN n < 900 THEN 'short' WHEN sd <= 0 THEN 'constant' WHEN tsd < 1e-9 THEN 'stopped' WHEN longest > 50 THEN 'zero run' END AS reason FROM ab JOIN runs USING (candidate, seed)"""
+    out["rejection_counts"] = f"SELECT candidate, reason, count(*) AS paths FROM ({out['validity_gates']}) WHERE reason IS NOT NULL GROUP BY ALL"
     out["deterministic_gate"] = f"""WITH {sql.windows(stride=1000)}, en AS (SELECT series_id, start, sum(r) / stddev_pop(r) AS e, count(*) AS n FROM w GROUP BY ALL)
 SELECT series_id AS candidate, count(*) >= 5 AND stddev_pop(e) / sqrt(max(n)) < 0.02 AS "deterministic" FROM en GROUP BY series_id"""
     out["drift_gate"] = f"WITH {BATTERY}, bd AS (SELECT quantile_cont(drift, 0.025) AS lo, quantile_cont(drift, 0.975) AS hi FROM ffacts) SELECT series_id, start, {R6('drift')} AS drift, {R6('lo')} AS lo, {R6('hi')} AS hi, drift BETWEEN lo AND hi AS inside FROM ffacts, bd"
-    out["at_bound"] = f"WITH t(model, draw, param, value, lo, hi) AS ({TRIED}) SELECT model, coalesce(array_to_string(list_sort(list_distinct(list(param) FILTER (WHERE ((value - lo) / (hi - lo) <= 0.02 OR (value - lo) / (hi - lo) >= 0.98) AND NOT starts_with(param, 'w_')))), ','), '') AS at_bound FROM t GROUP BY model"
+    out["at_bound"] = f"""WITH {BATTERY}, t AS (SELECT series_id || '-' || start AS model, stat AS param, value, min(value) OVER (PARTITION BY stat) AS lo, max(value) OVER (PARTITION BY stat) AS hi FROM flong)
+SELECT model, coalesce(array_to_string(list_sort(list_distinct(list(param) FILTER (WHERE hi > lo AND ((value - lo) / (hi - lo) <= 0.02 OR (value - lo) / (hi - lo) >= 0.98)))), ','), '') AS at_bound FROM t GROUP BY model"""
+    last = f"lw AS (SELECT series_id, n - 1000 AS start, i, r FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ret WHERE series_id = 'AF') WHERE i >= n - 1000), {sql.facts('lw', 'series_id, start', 'l')}"
+    target = f"{BATTERY}, {last}, tgt AS (SELECT l.stat, any_value(l.value) AS target, CASE WHEN count(f.value) = count(*) THEN stddev_pop(f.value) END AS scale FROM llong l JOIN flong f ON f.stat = l.stat GROUP BY l.stat)"
+    out["target_scale"] = f"WITH {target} SELECT stat, {R6('target')} AS target, {R6('scale')} AS scale FROM tgt"
+    out["power_nonoverlap"] = f"{against_sql(1000)} SELECT stat, generator, n_a, n_b, {numbers} FROM cmp"
+    half = lambda op: R6(f"median(value) FILTER (WHERE run {op} {RUNS // 2})")
+    out["hold_out"] = f"WITH {sql.returns('li6')}, {SYNTHETIC} SELECT generator, stat, {half('<')} AS fitted, {half('>=')} AS held_out FROM glong GROUP BY ALL"
+    role = "CASE WHEN stat IN (" + ", ".join(f"'{x}'" for x in calibration.FITTED) + ") THEN 'fitted' WHEN stat = 'drift' THEN 'gate' ELSE 'held_out' END"
+    out["model_report"] = f"""WITH {target}, {SYNTHETIC}, md AS (SELECT generator AS model, stat, median(value) AS median, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM glong GROUP BY ALL)
+SELECT model, stat, {R6('median')} AS median, {R6('lo')} AS lo, {R6('hi')} AS hi, {R6('target')} AS target, {R6('(median - target) / nullif(scale, 0)')} AS z, {role} AS role FROM md JOIN tgt USING (stat)"""
+    chosen = ", ".join(f"'{x}'" for x in calibration.FITTED)
+    out["candidate_search"] = f"""WITH {target}, {SYNTHETIC}, cl AS (SELECT generator || '-' || (run // 10) AS candidate, run, stat, value FROM glong),
+bd AS (SELECT quantile_cont(drift, 0.025) AS lo, quantile_cont(drift, 0.975) AS hi FROM ffacts),
+en AS (SELECT generator || '-' || (run // 10) AS candidate, run, sum(r) / nullif(stddev_pop(r), 0) AS e, count(*) AS n FROM gen GROUP BY ALL),
+dt AS (SELECT candidate, count(*) >= 5 AND stddev_pop(e) / sqrt(max(n)) < 0.02 AS det FROM en GROUP BY candidate),
+jd AS (SELECT candidate, CASE WHEN NOT coalesce(median(value) BETWEEN any_value(lo) AND any_value(hi), false) THEN 'drift' WHEN any_value(det) THEN 'deterministic' END AS reason FROM cl JOIN dt USING (candidate), bd WHERE stat = 'drift' GROUP BY candidate),
+ms AS (SELECT candidate, stat, CASE WHEN count(value) = count(*) THEN median(value) END AS value FROM cl WHERE stat IN ({chosen}) GROUP BY ALL),
+cs AS (SELECT candidate, CASE WHEN count((value - target) / scale) = 3 THEN sum(pow((value - target) / scale, 2)) END AS loss FROM ms JOIN tgt USING (stat) GROUP BY candidate)
+SELECT candidate, CASE WHEN reason IS NULL THEN {R6('loss')} END AS loss, reason FROM cs JOIN jd USING (candidate)"""
+    dailies = """cl AS (SELECT o_orderpriority AS series_id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, max(o_totalprice) AS close FROM orders GROUP BY 1, 2),
+op AS (SELECT * FROM cl WHERE day % 7 <> 0)"""
+    out["payload_returns"] = f"""WITH {dailies}, lp AS (SELECT series_id, day, CASE WHEN close > 0 THEN ln(close) END AS v FROM op), df AS (SELECT series_id, day, v - lag(v) OVER (PARTITION BY series_id ORDER BY day) AS r FROM lp)
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS i, {R6('r / stddev_pop(r) OVER (PARTITION BY series_id)')} AS r FROM df WHERE r IS NOT NULL"""
+    out["payload_verified"] = f"""WITH {dailies} SELECT series_id, count(*) AS n, sha256(string_agg((day * 86400)::VARCHAR || ',' || printf('%.6f', close), chr(10) ORDER BY day)) AS sha256, series_id <> '1-URGENT' AS ok FROM op GROUP BY series_id"""
+    out["sink_roundtrip"] = f"""WITH {BATTERY}, ap AS (SELECT series_id, count(*) AS path_rows, round(sum(round(r, 2)::FLOAT::DOUBLE), 1) + 0.0 AS path_sum FROM w WHERE start % 1000 = 0 GROUP BY series_id)
+SELECT series_id, start, {R6('excess_kurtosis')} AS excess_kurtosis, CASE WHEN series_id = 'AF' THEN 0.0 ELSE {R6('drift')} END AS drift, path_rows, path_sum FROM ffacts JOIN ap USING (series_id)"""
+    said = "[" + ", ".join(f"'{x}'" for x in PHRASES) + "]"
+    pick = lambda k: f"{said}[(doc_id * {k} % {len(PHRASES)}) + 1]"
+    found = ", ".join(f"len(regexp_extract_all(lower(body), '{p}')) AS {c.replace('-', '_')}" for c, p in text.CATEGORIES.items())
+    out["audit_categories"] = f"""WITH bd AS (SELECT doc_id, concat_ws(' ', text, {pick(1)}, {pick(7)}) AS body FROM documents)
+SELECT doc_id, regexp_matches(body, '(?i){text.MENTION}') AS sf_mention, regexp_matches(body, '(?i){text.SIMULATION}') AS is_sim, {found} FROM bd"""
     fitted = ", ".join(f"'{s}'" for s in calibration.FITTED)
     losses = f"""WITH {BATTERY}, tg AS (SELECT stat, avg(value) AS target, stddev_pop(value) AS scale FROM flong GROUP BY stat),
 ls AS (SELECT series_id || '-' || start AS candidate, round(sum(pow((value - target) / scale, 2)), 6) + 0.0 AS loss FROM flong JOIN tg USING (stat) WHERE stat IN ({fitted}) GROUP BY 1)"""

@@ -130,6 +130,8 @@ def generator(name: str, runs: int, n: int, df: float = 5.0) -> str:
         return f"SELECT '{name}' AS generator, run, t AS i, {normal(*key)} AS r FROM {steps(runs, n)}"
     if name == "student_t":
         return f"SELECT '{name}' AS generator, run, t AS i, {student(df, *key)} AS r FROM {steps(runs, n)}"
+    if name.startswith("garch"):
+        return f"SELECT '{name}' AS generator, run, t AS i, sqrt(s2) * e AS r FROM ({volatility_path(name, runs, n, df)}) WHERE t >= 0"
     at = f"floor({uniform(*key)} * size)::BIGINT" if name == "iid_bootstrap" else f"floor({uniform(*key[:3], '(t // 20)')} * (size - 20))::BIGINT + t % 20"
     return f"SELECT '{name}' AS generator, run, t AS i, r FROM (SELECT run, t, {at} AS g FROM {steps(runs, n)}, big) JOIN pool USING (g)"
 
@@ -138,9 +140,14 @@ def generated(names, runs: int, n: int) -> str:
     return " UNION ALL ".join(f"({generator(x, runs, n)})" for x in names)
 
 
-def volatility(runs: int, n: int, omega: float, alpha: float, beta: float) -> str:
-    o, a, b = (f"{x}::DOUBLE" for x in (omega, alpha, beta))
-    return f"""WITH RECURSIVE e AS (SELECT run, t, {normal(str(SEED), "'garch_norm'", "run", "t")} AS e FROM {steps(runs, n, -500)}),
+VOLATILITY = (0.02, 0.1, 0.85)
+
+
+def volatility_path(name: str, runs: int, n: int, df: float = 5.0, parameters=VOLATILITY) -> str:
+    """A SELECT of run, t, s2, e of GARCH(1,1) paths, after 500 steps that count below 0."""
+    o, a, b = (f"{x}::DOUBLE" for x in parameters)
+    key = (str(SEED), f"'{name}'", "run", "t")
+    return f"""WITH RECURSIVE e AS (SELECT run, t, {normal(*key) if name == "garch_norm" else student(df, *key)} AS e FROM {steps(runs, n, -500)}),
 path AS (SELECT run, t, {o} / greatest(1e-8, 1 - {a} - {b}) AS s2, e FROM e WHERE t = -500
   UNION ALL SELECT e.run, e.t, {o} + {a} * path.s2 * path.e * path.e + {b} * path.s2, e.e FROM path JOIN e ON e.run = path.run AND e.t = path.t + 1)
-SELECT 'garch_norm' AS generator, run, t AS i, {r6("sqrt(s2) * e")} AS r FROM path WHERE t >= 0"""
+SELECT * FROM path"""

@@ -61,13 +61,35 @@ def ev5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Prices of a folder of JSON payloads, one series for each file, named by its stem. Null closes stay null."""
-    rows = spark.read.schema(PAYLOAD).json(path, multiLine=True, pathGlobFilter="*.json")
-    rows = rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("series_id"), F.col("chart.result")[0].alias("r"))
+    """Prices of a folder of JSON payloads, one series for each file, named by its stem."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return parsed(rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("series_id"), F.col("value").alias("payload")))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Prices of rows(series_id, payload). Null closes stay null."""
+    rows = rows.select("series_id", F.from_json("payload", PAYLOAD)["chart"]["result"][0].alias("r"))
     rows = rows.select("series_id", F.posexplode(F.arrays_zip(F.col("r.timestamp").alias("t"), F.col("r.indicators.quote")[0]["close"].alias("close"))))
     return rows.select("series_id", F.timestamp_seconds("col.t").cast("date").alias("day"), F.struct(F.col("col.t").alias("ts"), "pos").alias("order"), F.col("col.close").alias("price"))
 
 
+def as_payloads(closes: DataFrame) -> DataFrame:
+    """series_id, payload of closes(series_id, ts, close): a payload holds one series of daily closes, some hundreds a year."""
+    rows = closes.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("c"))
+    quote = F.array(F.struct(F.col("c.close").alias("close")))
+    result = F.array(F.struct(F.col("c.ts").alias("timestamp"), F.struct(quote.alias("quote")).alias("indicators")))
+    return rows.select("series_id", F.to_json(F.struct(F.struct(result.alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def line_digests(prices: DataFrame) -> DataFrame:
+    """series_id, n, sha256: the published fingerprint of a series of daily closes, over lines 'seconds,close' in order.
+
+    It is one hash over all lines, so a series meets in one row, as in its payload; `digests` is for series of any length."""
+    line = F.concat_ws(",", F.col("order.ts").cast("string"), F.format_string("%.6f", "price"))
+    rows = prices.where("price IS NOT NULL").groupBy("series_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("order", line.alias("line")))).alias("c"))
+    return rows.select("series_id", "n", F.sha2(F.array_join("c.line", "\n"), 256).alias("sha256"))
+
+
 def stepped(prices: DataFrame) -> DataFrame:
     """Adds value (ln price), opens (first row of its day), step (value less that of the row before, within the day) and steps
     (how many of the day's steps are defined up to here); null prices are left out first."""

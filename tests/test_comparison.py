@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -34,6 +36,9 @@ def test_permutations_and_bootstrap(spark):
     assert got["same"].pvalue == 1 and got["apart"].pvalue == 0.01 and got["null"].pvalue > 0.01 and 0 < got["null"].null95 < 0.5
     ci = {x.g: x for x in twosample.bootstrap_power(rows, ["g"], ["k"], 50, 1).collect()}
     assert 0.9 < ci["apart"].ci_lo <= ci["apart"].ci_hi <= 1 and ci["null"].ci_lo < 0.3
+    for f in (twosample.permutation_test, twosample.bootstrap_power):
+        both = [sorted((tuple(round(v, 12) if isinstance(v, float) else v for v in x) for x in f(rows, ["g"], ["k"], 30, 1, most).collect()), key=str) for most in (1000, 20, 0)]
+        assert both[0] == both[1] == both[2]
 
 
 def test_generators_have_their_moments(spark):
@@ -55,6 +60,15 @@ def test_fits_recover_parameters(spark):
     assert fitting.fit_t_df(t) == pytest.approx(4, abs=0.7)
 
 
+def test_variances_follow_their_recursion():
+    r = np.random.default_rng(8)
+    for n, beta in ((1, 0.5), (127, 0.9), (128, 0.0), (129, 0.86), (1000, 0.93)):
+        x, want = r.normal(size=n) ** 2, [0.7]
+        for v in x[:-1]:
+            want.append(0.02 + 0.1 * v + beta * want[-1])
+        assert fitting.variances(x, 0.7, 0.02, 0.1, beta) == pytest.approx(np.array(want))
+
+
 def test_gates(spark):
     r = np.random.default_rng(6)
     run = lambda n: np.concatenate([r.normal(size=300), np.zeros(n), r.normal(size=700)])
@@ -66,10 +80,30 @@ def test_gates(spark):
     assert (longest[0], longest[3], longest[4]) == (0, 50, 51)
 
 
-def test_market_model_matches_published_values(spark):
-    paths = calibration.simulate(spark.createDataFrame([(0,)], "candidate long"), [0, 1], 20_000, 2000)
-    got = {r.metric: r for r in calibration.published_check(paths).collect()}
-    assert got["hill"].got == pytest.approx(3.57, abs=0.4) and got["v"].got == pytest.approx(0.70, abs=0.05) and abs(got["acf_1"].got - 0.16) < 0.05
+def test_search_gates_and_orders_candidates(spark):
+    r = np.random.default_rng(9)
+    rows = [(c, k, i, float(x)) for c, scale in (("calm", 0.0), ("wild", 3.0)) for k in range(6) for i, x in enumerate(r.normal(size=950) * np.exp(scale * 0.2 * r.normal(size=950)))]
+    rows += [("flat", k, i, 0.5) for k in range(6) for i in range(950)] + [("few", 0, i, float(x)) for i, x in enumerate(r.normal(size=950))]
+    rows += [("same", k, i, float(x)) for x_s in [r.normal(size=950)] for k in range(6) for i, x in enumerate(x_s)]
+    paths = spark.createDataFrame(rows, "candidate string, seed long, i long, r double")
+    target = spark.createDataFrame([(s, 0.0, 1.0) for s in calibration.FITTED], "stat string, target double, scale double")
+    got = {x.candidate: (x.loss, x.reason) for x in calibration.search(paths, target, 6).collect()}
+    assert got["calm"][0] < got["wild"][0] and got["flat"] == (None, "constant") and got["few"] == (None, "quorum") and got["same"] == (None, "deterministic")
+    assert {x.candidate: x.reason for x in calibration.search(paths.where("candidate = 'calm'"), target, 6, (5.0, 6.0)).collect()} == {"calm": "drift"}
+    sums = {tuple(x) for x in calibration.rejections(calibration.gated(paths)).collect()}
+    assert sums == {("flat", "constant", 6)}
+    weights = calibration.on_simplex(spark.createDataFrame([(1.0, 3.0), (0.0, 0.0)], "w_a double, w_b double"), ["w_a", "w_b"]).collect()
+    assert [tuple(x) for x in weights] == [(0.25, 0.75), (None, None)]
+    base = spark.createDataFrame([("m", "a", 0.0, 1.0), ("m", "b", 0.0, 1.0)], "model string, param string, lo double, hi double")
+    assert {tuple(x) for x in calibration.overridden(base, base.where("param = 'b'").withColumn("hi", base.hi + 1)).collect()} == {("m", "a", 0.0, 1.0), ("m", "b", 0.0, 2.0)}
+    long = spark.createDataFrame([("m", "s", k, float(k)) for k in range(5)], "model string, stat string, seed long, value double")
+    assert [tuple(x) for x in calibration.hold_out(long, "model", "seed", 2).collect()] == [("m", "s", 0.5, 3.0)]
+
+
+def test_published_digest(spark):
+    closes = spark.createDataFrame([("x", 86400, 1.5), ("x", 0, 2.25), ("x", 172800, None)], "series_id string, ts long, close double")
+    got = series.line_digests(series.parsed(series.as_payloads(closes))).first()
+    assert (got.n, got.sha256) == (2, hashlib.sha256(b"0,2.250000\n86400,1.500000").hexdigest())
 
 
 def test_effective_number(spark):
