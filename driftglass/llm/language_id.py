@@ -4,13 +4,13 @@ A document is the mean of the embeddings of its subwords: the byte n-grams (1 to
 marked, hashed into BUCKETS rows. The softmax over it gives a language. As both layers are linear, a trained model is
 folded into one table of BUCKETS x languages, and scoring a text is a sum of table rows over its bytes.
 
-The model is fitted on the driver from at most SAMPLE labelled documents (equal shares of the languages, chosen by a hash
-of doc_id, of at most LANGUAGES languages, the most frequent ones); one in five of them calibrates: a temperature makes
+The model is fitted on the driver from about SAMPLE labelled documents (equal shares of the languages, chosen by a hash of
+the row, but one of every language at least, however many there are); one in five of them calibrates: a temperature makes
 scores probabilities, and the rejection level is the score below which only REJECT of the well-predicted ones fall (0.5
 at most). Whole texts are read for both fitting and scoring, in chunks of bounded size.
 
 Cases: a text that is null or has no letter gets 'und', score 0, and is rejected; without labelled documents every text
-gets that; ties go to the first language by name; an empty table gives no rows; other columns are ignored.
+gets that; ties go to the first language by name; rows that repeat, and rows that share a doc_id or have none, are predicted each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import LOWER, utf8
-from driftglass.llm.storage import small_batches
+from driftglass.llm.storage import broadcast_if_small, small_batches, stored
 
 BUCKETS, DIM, NGRAMS = 1 << 14, 16, 4
-SAMPLE, LANGUAGES, REJECT, CHUNK, PROBE = 2000, 256, 0.002, 1 << 17, 1 << 10
+SAMPLE, REJECT, CHUNK, PROBE = 2000, 0.002, 1 << 17, 1 << 10
 BATCH, EPOCHS, RATE = 16, 6, 8.0
 UNKNOWN = "und"
 
@@ -100,15 +100,16 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def training_sample(docs: DataFrame, most: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
-    """At most `most` labelled documents, in equal shares of the languages as far as they have them."""
-    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    each = most // max(1, len(counts))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < each / r["count"]))
-    return docs.where(chosen & F.col("text").isNotNull()).select("lang", "text").limit(2 * most)
+def training_sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """About `most` labelled documents, in equal shares of the languages as far as they have them, and one of each at least."""
+    place = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / (1 << 40)).alias("place")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", place)
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")), "languages")
+    langs = counts.count()
+    each = most / max(1, langs)
+    chosen = rows.join(broadcast_if_small(counts), "lang").where(F.col("place") <= F.greatest(each / F.col("n"), F.col("first")))
+    # copies say no more than one text
+    return chosen.select("lang", "text").distinct().limit(2 * max(most, langs))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> dict | None:
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
     return docs.select("doc_id", "text").mapInArrow(predict_batches(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 

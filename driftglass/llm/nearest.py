@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftglass.llm.storage import stored
 
-SAMPLE, ROTATIONS, STEPS, MARGIN, FIRST_SHARE = 4000, 2, 40, 0.995, 0.005
+SAMPLE, ROTATIONS, STEPS, MARGIN, FIRST_SHARE = 4000, 4, 40, 0.9, 0.005
 # substring values within 0, 1, ... 8 bits of zero
 NEAR = [np.array([sum(1 << i for i in c) for n in range(d + 1) for c in combinations(range(8), n)], np.int64) for d in range(9)]
 
@@ -159,7 +159,7 @@ def search_cells(shared, k: int):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, shard_rows: int = 4096, block_queries: int = 1024
+    vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, shard_rows: int = 16384, block_queries: int = 4096
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors where `queries` holds, the k nearest others found."""
     flagged = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), queries.alias("asked"))

@@ -1,51 +1,15 @@
-"""Where operators keep intermediate tables: the folder that the driver and all executors share."""
+"""How operators keep and pass on intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where a session names none (tests), a fresh local one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
+from driftglass.sources.shared import clear, dropped, shared_dir, stored
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["broadcast_if_small", "clear", "dropped", "shared_dir", "small_batches", "stored"]
 
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs one task.
-
-    The shuffle files of the write are dropped when it ends, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that `stored` has written, once nothing will read it again."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

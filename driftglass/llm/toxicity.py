@@ -40,7 +40,7 @@ SURE, RARE, EXCLUSIVE, COVER_LEAST = 12.0, 0.25, 0.03, 0.004
 BASE = 0x9E3779B97F4A7C15
 FIRST, LAST = (3, 4, 5, 6, 8), (3, 4, 6)  # bytes of the beginnings and ends that are features
 KINDS = 3 + len(FIRST) + len(LAST)  # and the word, the one before, the one after
-EPOCHS, CHAINS_AT_ONCE, RATE, DECAY = 4, 512, 0.3, 1e-5
+EPOCHS, STEPS, CHAINS_AT_ONCE, RATE, DECAY = 4, 60, 512, 0.3, 1e-5
 EVIDENCE = 0.02  # marginals below count as none
 PIECE = 1 << 21
 
@@ -142,10 +142,11 @@ def fit_field(buckets: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.nd
     r = np.random.default_rng(seed)
     weights, seen_w = np.zeros((KINDS, 1 << BITS)), np.full((KINDS, 1 << BITS), 1.0)
     bias, log_move = -4.0, np.zeros(4)
+    at_once = int(np.clip(len(first) // STEPS, 1, CHAINS_AT_ONCE))  # so that few chains make as many steps
     for epoch in range(EPOCHS):
         order = r.permutation(len(first))
-        for a in range(0, len(order), CHAINS_AT_ONCE):
-            some = order[a : a + CHAINS_AT_ONCE]
+        for a in range(0, len(order), at_once):
+            some = order[a : a + at_once]
             at = np.concatenate([np.arange(f, f + s) for f, s in zip(first[some], size[some])])
             starts = np.cumsum(size[some]) - size[some]
             b, labels = buckets[:, at], y[at]

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from driftglass.llm import language_id as L
 
 SOUNDS = {"aa": ("ka", "lo", "mi", "ta", "ru"), "bb": ("sch", "en", "der", "ung", "ei"), "cc": ("é", "eau", "ou", "qu", "tion")}
@@ -54,3 +56,39 @@ def test_without_labels_or_rows(spark):
     assert L.fit(none) is None and L.identify(none, None).count() == 0
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert tuple(L.identify(docs, L.fit(docs)).first()) == (1, "und", 0.0, True)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, text(random.Random(i), "aa", 30), "aa") for i in range(300)] + [(1000 + i, f"xq{i}zv " * 20, f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.lang for r in L.training_sample(docs, 100).select("lang").distinct().collect()}
+    assert found == {"aa"} | {f"l{i:03}" for i in range(300)}
+
+
+def test_scores_match_a_plain_scorer(spark):
+    """The whole query, text by text: n-grams within words, their rows of the table, the softmax of their mean."""
+    rows = corpus(60, 5) + [(60, "Ka-lo mi", None), (60, "tion qu'eau É", None), (None, "12 ung", None), (61, None, None), (62, "%% 7", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+
+    def plain(t):
+        raw = (t or "").encode()
+        data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in raw)
+        total, n = np.zeros(len(model["langs"])), 0
+        for i in range(len(data)):
+            for k in range(1, 5):
+                g = data[i : i + k]
+                if len(g) == k and any(g) and all(g[1:-1]):
+                    h = ((int.from_bytes(g, "little") ^ (0x9E3779B9 * k & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF
+                    h ^= h >> 13
+                    total += model["table"][((h * 0xC2B2AE35) & 0xFFFFFFFF) >> 18]
+                    n += 1
+        if not any(c.isalpha() for c in t or ""):
+            return "und", 0.0
+        z = np.exp(total / max(1, n) + model["bias"])
+        return model["langs"][int(z.argmax())], float(z.max() / z.sum())
+
+    got = sorted(((r.lang_pred, r.score) for r in L.identify(docs, model).collect()), key=str)
+    want = sorted((plain(t) for _, t, _ in rows), key=str)
+    assert [x[0] for x in sorted(got)] == [x[0] for x in sorted(want)]
+    assert np.allclose(sorted(x[1] for x in got), sorted(x[1] for x in want), atol=1e-4)

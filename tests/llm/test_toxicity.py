@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -56,3 +57,61 @@ def test_without_labels_or_rows(spark):
     assert T.fit(docs, labels) is None and T.fit(docs, labels.limit(0)) is None
     assert sorted(map(tuple, T.score(docs, None).collect())) == [(1, 0.0, []), (2, 0.0, [])]
     assert T.score(docs.limit(0), None).count() == 0
+
+
+def test_inflected_stems_are_found(spark):
+    """Each form of a toxic stem is rare, in two vocabularies; one stem also stands in a few clean documents."""
+    r = random.Random(11)
+    say = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(2, 8)))
+    docs, labels = [], []
+    for i in range(1600):
+        letters, stem = (("abdeilmnorst", "zukvra"), ("éàuoxpqcèg", "Épaxo"))[i % 4 == 0]
+        words, toxic = [say(letters) for _ in range(r.randrange(20, 90))], r.random() < 0.3
+        for _ in range(r.randrange(1, 4) if toxic else 0):
+            words.insert(r.randrange(len(words)), stem + say(letters))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels[:1100], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score >= 0.7 for x in T.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for k in (0, 1):
+        held = [i for i in range(1100, 1600) if (i % 4 == 0) == bool(k)]
+        assert sum(got[i] for i in held if labels[i][1]) > 0.93 * sum(labels[i][1] for i in held)
+        assert sum(got[i] for i in held if not labels[i][1]) < 0.03 * len(held)
+
+
+def test_document_score_matches_plain_forward_backward(spark):
+    """Whole texts, word by word: odds from features, both recursions, marginals, evidence, logistic."""
+    rows, marks, _ = corpus(150, 9)
+    rows += [(7, "Zukvra é\nplain words\ngroxpit"), (None, "vulkash vulkash"), (None, "vulkash vulkash"), (7, "x " * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    cc, ct, tc, tt = model["move"]
+
+    def plain(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        start, end, _, new = T.word_spans(data, np.array([0, len(data)]))
+        e = [math.exp(model["bias"] + sum(float(model["weights"][k][b]) for k, b in enumerate(bs))) for bs in T.features(data, start, end, new).T]
+        m, at = [], 0
+        while at < len(e):
+            stop = at + 1
+            while stop < len(e) and not new[stop] and stop - at < T.CHAIN:
+                stop += 1
+            odds, n = e[at:stop], stop - at
+            ahead, back = [(1.0, odds[0])], [(1.0, 1.0)] * n
+            for o in odds[1:]:
+                c, x = ahead[-1]
+                c, x = cc * c + tc * x, (ct * c + tt * x) * o
+                ahead.append((c / (c + x), x / (c + x)))
+            for i in range(n - 2, -1, -1):
+                c, x = back[i + 1]
+                c, x = cc * c + ct * odds[i + 1] * x, tc * c + tt * odds[i + 1] * x
+                back[i] = (c / (c + x), x / (c + x))
+            m += [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(ahead, back)]
+            at = stop
+        strong = [x for x in m if x >= T.EVIDENCE]
+        none = math.prod(1 - min(x, 1 - 1e-9) for x in strong)
+        x = [math.log((1 - none + 1e-3) / (none + 1e-3)), math.log1p(sum(strong)), -math.log1p(len(m))]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model["score"])) + model["score"][-1])))
+
+    got = sorted(x.score for x in T.score(docs, model).collect())
+    assert np.allclose(got, sorted(plain(t) for _, t in rows), atol=1e-5)
