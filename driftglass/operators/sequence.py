@@ -28,9 +28,12 @@ def path_bands(paths: DataFrame, by=("start",)) -> DataFrame:
 
 
 def mid_ranks(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Adds rank: that of the value within `by`, ties sharing the mean of their places."""
-    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return rows.withColumn("rank", first + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    """Adds rank: that of the value within `by`, ties sharing the mean of their places; null for a null value, which counts for none.
+
+    Ranks are of distinct values, cumulated in ranges, so that one large group isn't sorted in one task."""
+    counts = joint_counts(rows.select(*by, F.col(value).alias("value"), F.lit("a").alias("side")), by)
+    ranks = counts.select(*by, F.col("value").alias(value), (F.col("cum_a") - F.col("a") + (F.col("a") + 1) / 2).alias("rank"))
+    return rows.join(ranks, [*by, value], "left")
 
 
 def joint_counts(samples: DataFrame, by: list[str]) -> DataFrame:

@@ -41,6 +41,31 @@ def test_permutations_and_bootstrap(spark):
         assert both[0] == both[1] == both[2]
 
 
+def test_permutations_match_plain_python(spark):
+    r = np.random.default_rng(12)
+    a, b = r.normal(size=9).round(1), r.normal(0.4, 1, 7).round(1)
+    rows = [("a", k, v) for k, v in enumerate(a)] + [("b", k, v) for k, v in enumerate(b)]
+
+    def gap(labels):
+        at = sorted({v for _, _, v in rows})
+        share = lambda s: [sum(v <= x for (_, _, v), y in zip(rows, labels) if y == s) / labels.count(s) for x in at]
+        return max(abs(p - q) for p, q in zip(share("a"), share("b")))
+
+    found, null = gap([s for s, _, _ in rows]), []
+    for perm in range(40):
+        order = sorted(range(len(rows)), key=lambda k: hashlib.md5(f"3|perm|{perm}|{rows[k][0]}|{rows[k][1]}".encode()).hexdigest())
+        null.append(gap(["a" if order.index(k) < 9 else "b" for k in range(len(rows))]))
+    got = twosample.permutation_test(samples(spark, {"g": (a, b)}), ["g"], ["k"], 40, 3).first()
+    want = (found, (1 + sum(x >= found - 1e-12 for x in null)) / 41, np.percentile(null, 95))
+    assert (got.ks, got.pvalue, got.null95) == pytest.approx(want)
+
+
+def test_mid_ranks(spark):
+    rows = spark.createDataFrame([("x", v, k) for k, v in enumerate([3.0, 1.0, 3.0, None, 2.0, 3.0])] + [("y", 5.0, 9)], "g string, value double, k int")
+    got = {x.k: x["rank"] for x in sequence.mid_ranks(rows, ["g"]).collect()}
+    assert got == {0: 4, 1: 1, 2: 4, 3: None, 4: 2, 5: 4, 9: 1}
+
+
 def test_generators_have_their_moments(spark):
     g = generators.gaussian(spark, 20, 1000).toPandas().r
     t = generators.student_t(spark, 20, 1000, 5.0).toPandas().r
