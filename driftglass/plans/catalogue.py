@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.functions import text
+from driftglass.functions import scalars, text
 from driftglass.operators import battery, calibration, fitting, generators, reports, robustness, sequence, twosample
 from driftglass.operators.windows import sliding, tail
 from driftglass.plans import sql
-from driftglass.sources import results, series
+from driftglass.sources import documents, results, series
 from driftglass.sources.shared import shared_dir, stored
 
 NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap", "garch_norm", "garch_t")
@@ -301,6 +301,32 @@ def sinks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(parts.join(sums.withColumn("path_sum", F.round("path_sum", 1)), "series_id"))
 
 
+def scalar_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.table(spark, d, "lineitem")
+    price = F.col("l_extendedprice").cast("double")
+    a, b = scalars.capped_pair(F.col("l_discount").cast("double") * 8, F.col("l_tax").cast("double") * 8)
+    name = F.concat_ws("/", "l_returnflag", "l_linestatus")
+    rows = rows.select(
+        "l_orderkey", "l_linenumber", scalars.whole(price / 8).alias("whole"), scalars.to_tick(price, 0.25).alias("tick"), scalars.to_tick(price / 1e6, 0.25).alias("least"),
+        scalars.percent_steps(price, F.lit(1.5)).alias("steps"), a.alias("a"), b.alias("b"), scalars.safe_id(name).alias("id"), F.url_encode(name).alias("quoted"),
+        scalars.short_title(F.repeat(name, 20)).alias("title"), F.timestamp_seconds(F.col("l_orderkey") * 86400).cast("date").alias("day"),
+    )
+    return rounded(rows)
+
+
+def page_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as fetched files: long ones give text, short ones fail. A text of an even page is held in a cache."""
+    pages = series.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "page_id", "html")
+    cache = pages.where("page_id % 2 = 0").select("doc_id", F.col("html").alias("text"))
+    fetched = pages.select("doc_id", F.lit("html").alias("kind"), F.encode("html", "utf-8").alias("content"))
+    fetch = lambda rest: documents.decoded(fetched.join(rest, "doc_id", "left_semi"), 1500)
+    return documents.read_through(pages.select("doc_id"), cache, fetch)
+
+
+def document_source(spark: SparkSession, d: str) -> DataFrame:
+    return page_sources(spark, d).select("doc_id", "how", F.length("text").cast("long").alias("n_chars"))
+
+
 PHRASES = ("Fat tails and excess kurtosis.", "Volatility clustering is a stylized fact.", "Long memory; the Hurst exponent.", "The leverage effect.", "Gain/loss asymmetry.", "Lack of autocorrelation.",
            "Aggregational Gaussianity.", "Trading volume and volatility.", "A regime shift in an agent-based model.", "Stylised facts of an artificial market.", "An apple a day.")
 
@@ -356,7 +382,8 @@ def queries() -> dict:
         "all_reject": all_reject, "power_pivot": power_pivot, "validity_gates": gates, "deterministic_gate": ends, "drift_gate": drift_gate,
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
-        "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
+        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -471,6 +498,13 @@ jd AS (SELECT candidate, CASE WHEN NOT coalesce(median(value) BETWEEN any_value(
 ms AS (SELECT candidate, stat, CASE WHEN count(value) = count(*) THEN median(value) END AS value FROM cl WHERE stat IN ({chosen}) GROUP BY ALL),
 cs AS (SELECT candidate, CASE WHEN count((value - target) / scale) = 3 THEN sum(pow((value - target) / scale, 2)) END AS loss FROM ms JOIN tgt USING (stat) GROUP BY candidate)
 SELECT candidate, CASE WHEN reason IS NULL THEN {R6('loss')} END AS loss, reason FROM cs JOIN jd USING (candidate)"""
+    out["scalar_rules"] = f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS p, l_discount::DOUBLE * 8 AS x, l_tax::DOUBLE * 8 AS y, l_returnflag || '/' || l_linestatus AS name FROM lineitem)
+SELECT l_orderkey, l_linenumber, round_even(p / 8, 0)::BIGINT AS whole, {R6('greatest(round_even(p / 0.25::DOUBLE, 0) * 0.25::DOUBLE, 0.25::DOUBLE)')} AS tick, {R6('greatest(round_even(p / 1000000 / 0.25::DOUBLE, 0) * 0.25::DOUBLE, 0.25::DOUBLE)')} AS least,
+{R6('100 * (p - 1.5::DOUBLE)')} AS steps, {R6('CASE WHEN x + y > 0.95::DOUBLE THEN x * (0.95::DOUBLE / (x + y)) ELSE x END')} AS a, {R6('CASE WHEN x + y > 0.95::DOUBLE THEN y * (0.95::DOUBLE / (x + y)) ELSE y END')} AS b,
+replace(name, '/', '_') AS id, replace(url_encode(name), '%20', '+') AS quoted, substr(repeat(name, 20), 1, 110) AS title, DATE '1970-01-01' + l_orderkey::INT AS day FROM t"""
+    fetched = f"SELECT page_id::VARCHAR AS doc_id, CASE WHEN page_id % 2 = 0 AND strlen(html) > 2000 THEN 'cached' WHEN length(html) > 1500 THEN 'html' ELSE 'fail' END AS how, html, {STRIPPED} AS body FROM pages"
+    out["document_source"] = f"SELECT doc_id, how, CASE how WHEN 'cached' THEN length(html) WHEN 'html' THEN length(body) END AS n_chars FROM ({fetched})"
+    out["fetch_accounting"] = f"SELECT how, count(*) AS documents FROM ({fetched}) GROUP BY how"
     dailies = """cl AS (SELECT o_orderpriority AS series_id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, max(o_totalprice) AS close FROM orders GROUP BY 1, 2),
 op AS (SELECT * FROM cl WHERE day % 7 <> 0)"""
     out["payload_returns"] = f"""WITH {dailies}, lp AS (SELECT series_id, day, CASE WHEN close > 0 THEN ln(close) END AS v FROM op), df AS (SELECT series_id, day, v - lag(v) OVER (PARTITION BY series_id ORDER BY day) AS r FROM lp)
