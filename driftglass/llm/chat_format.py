@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def mask(spans: np.ndarray, token_start: np.ndarray, token_end: np.ndarray) -> n
 def format_batches(load: Callable, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load()
-        state = {"id": None, "any": False, "segment": 0, "turns": [], "size": 0}
+        state = {"id": None, "any": False, "segment": 0, "turns": [], "size": 0, "held": 0}
         done: list[tuple] = []
 
         def close() -> None:
@@ -89,15 +90,16 @@ def format_batches(load: Callable, segment: int):
                 return
             text, spans = render(state["turns"])
             coded = encoder.encode(text, add_special_tokens=False)
-            offsets = np.array(coded.offsets, np.int64).reshape(-1, 2)
-            done.append((state["id"], state["segment"], len(state["turns"]), text, coded.ids, offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32), mask(spans, offsets[:, 0], offsets[:, 1])))
-            state.update(segment=state["segment"] + 1, turns=[], size=0)
+            offsets = np.fromiter(chain.from_iterable(coded.offsets), np.int64).reshape(-1, 2)
+            done.append((state["id"], state["segment"], len(state["turns"]), text, np.array(coded.ids, np.int32), offsets[:, 0].astype(np.int32), offsets[:, 1].astype(np.int32), mask(spans, offsets[:, 0], offsets[:, 1])))
+            state.update(segment=state["segment"] + 1, turns=[], size=0, held=state["held"] + len(text))
 
         def out() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
             names = ["conv_id", "segment", "n_turns", "text", "input_ids", "token_start", "token_end", "loss_mask"]
             made = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*done), kinds)], names=names)
             done.clear()
+            state["held"] = 0
             return made
 
         for batch in batches:
@@ -109,7 +111,7 @@ def format_batches(load: Callable, segment: int):
                     close()
                 state["turns"].append((role or "", text or ""))
                 state["size"] += len(text or "")
-                if sum(len(x[3]) for x in done[-200:]) > 4 * segment or len(done) >= 200:
+                if state["held"] > 4 * segment or len(done) >= 200:
                     yield out()
         close()
         if done:
@@ -126,14 +128,9 @@ def format_conversations(conversations: DataFrame, tokenizer_file: str, segment:
 
 def masked_text(text: str, start: np.ndarray, end: np.ndarray, learned: np.ndarray) -> list[str]:
     """The stretches of text under the mask, with the gaps between them as breaks. Tokens may share a character."""
-    out: list[str] = []
-    at = -1
-    for a, b in zip(start[learned], end[learned]):
-        if a > at:
-            out.append("")
-        out[-1] += text[max(a, at) : b]
-        at = max(at, b)
-    return out
+    a, b = start[learned], np.maximum.accumulate(end[learned])
+    first = np.flatnonzero(np.append(True, a[1:] > b[:-1])) if len(a) else []
+    return [text[a[i] : b[j - 1]] for i, j in zip(first, np.append(first[1:], len(a)))]
 
 
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +143,9 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for x in batch.to_pylist():
+        lists = [batch.column(c) for c in ("token_start", "token_end", "loss_mask")]
+        flat, edges = [x.values.to_numpy(zero_copy_only=False) for x in lists], lists[0].offsets.to_numpy()
+        for i, x in enumerate(batch.select(["conv_id", "segment", "text"]).to_pylist()):
             if not state or x["segment"] == 0:
                 if state:
                     rows.append(row())
@@ -156,7 +155,7 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 role, _, body = turn.partition(BODY)
                 state["turns"] += 1
                 state["all"].update(f"{unescape(role)}\n{unescape(body.removesuffix(END))}\n".encode())
-            start, end, learned = (np.array(x[c]) for c in ("token_start", "token_end", "loss_mask"))
+            start, end, learned = (f[edges[i] : edges[i + 1]] for f in flat)
             for part in masked_text(text, start, end, learned.astype(bool)):
                 plain = unescape(part)
                 state["chars"] += len(plain)
