@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.llm.buffers import mix, utf8
-from driftglass.llm.storage import small_batches, stored
+from driftglass.llm.storage import dropped, small_batches, stored
 
 KEY = "k1 long, k2 long"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -243,20 +243,35 @@ def cut_batches(drops, min_chars: int, digest: bool):
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_bytes_most: int = FILTER_BYTES_MOST, digest: bool = False) -> DataFrame:
+def grown(docs: DataFrame, min_docs: int, min_chars: int, batches: int) -> tuple[DataFrame, DataFrame, int]:
+    """Counts, filters and the number of shards after docs came in `batches` batches, by a hash of doc_id."""
+    hot = lambda counts: counts.where(F.col("docs") >= min_docs)
+    part = lambda i: docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
+    counts = stored(line_counts(part(0), min_chars), "line-counts")
+    shards = max(1, -(-hot(counts).count() * batches // KEYS_PER_SHARD))
+    filters = build_filters(hot(counts), shards)
+    for i in range(1, batches):
+        after = stored(updated_counts(counts, added=line_counts(part(i), min_chars)), "line-counts")
+        filters = stored(updated_filters(filters, counts, after, shards, min_docs), "filters")
+        dropped(counts)
+        counts = after
+    return counts, filters, shards
+
+
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, filter_bytes_most: int = FILTER_BYTES_MOST, digest: bool = False, batches: int = 2) -> DataFrame:
     """docs without the lines of keys in min_docs documents or more: its columns with what is left as text (a null text: '').
 
-    With digest, of docs(doc_id, text): doc_id, n_lines, n_dropped, kept_sha256.
+    With digest, of docs(doc_id, text): doc_id, n_lines, n_dropped, kept_sha256. Counts and filters grow over `batches`
+    batches of documents; the result doesn't depend on their number.
     """
     small_batches(docs.sparkSession)
-    counts = stored(line_counts(docs, min_chars), "line-counts")
+    counts, filters, shards = grown(docs, min_docs, min_chars, batches)
     hot = counts.where(F.col("docs") >= min_docs)
     n_hot = hot.count()
     rows = docs.select("doc_id", "text") if digest else docs
     schema = DIGEST if digest else docs.schema
     if n_hot * 4 * 3 <= filter_bytes_most:
-        shards = max(1, -(-n_hot // KEYS_PER_SHARD))
-        held = {r["shard"]: bytes(r["filter"]) for r in build_filters(hot, shards).collect()}  # at most filter_bytes_most
+        held = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}  # at most filter_bytes_most
         wrong = counts.where(F.col("docs") < min_docs).select("k1", "k2").mapInArrow(wrongly_held(held, shards), KEY)
         wrong = [(r.k1, r.k2) for r in wrong.limit(EXCEPTIONS_MOST + 1).collect()]
         if len(wrong) <= EXCEPTIONS_MOST:

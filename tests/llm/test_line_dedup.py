@@ -32,10 +32,10 @@ def corpus():
     return rows + [(90, None), (91, ""), (92, "\n\n"), (92, "buy now\n"), (None, "Buy Now"), (93, "buy now\n" * 3000), rows[0]]
 
 
-@pytest.mark.parametrize(("most", "min_docs", "min_chars"), [(L.FILTER_BYTES_MOST, 10, 1), (0, 10, 1), (L.FILTER_BYTES_MOST, 3, 4)])
-def test_matches_brute_force(spark, most, min_docs, min_chars):
+@pytest.mark.parametrize(("most", "min_docs", "min_chars", "batches"), [(L.FILTER_BYTES_MOST, 10, 1, 2), (0, 10, 1, 1), (L.FILTER_BYTES_MOST, 3, 4, 3)])
+def test_matches_brute_force(spark, most, min_docs, min_chars, batches):
     docs = spark.createDataFrame([(i, t, 1) for i, t in corpus()], "doc_id long, text string, kept int")
-    got = L.line_dedup(docs, min_docs, min_chars, most, digest=True)
+    got = L.line_dedup(docs, min_docs, min_chars, most, digest=True, batches=batches)
     assert sorted(map(tuple, got.collect()), key=str) == brute(corpus(), min_docs, min_chars)
 
 
