@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, nearest, suffix_dedup, toxicity, url_filter
+from driftglass.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, nearest, suffix_dedup, toxicity, url_filter, vector_codes
 
 TOKENIZER = os.environ.get("PUBLIC_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 TOXIC_FROM = 0.7
@@ -84,8 +84,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("capture_id", "url", F.col("fetched_at").cast("date").alias("fetched_on"), "pattern", "action", F.col("since").cast("date").alias("since"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.by_label(vector_codes.encode(vectors, books))
+    digest = F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", vector_codes.hex_codes().alias("code"), "error", "label_error", digest)
+
+
 def queries() -> dict:
-    named = [op1_suffix_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_decontamination, op6_nearest, op7_mixing, op8_line_dedup, op9_chat_format, op10_url_filter]
+    named = [op1_suffix_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_decontamination, op6_nearest, op7_mixing, op8_line_dedup, op9_chat_format, op10_url_filter, op11_vector_codes]
     return {f.__name__: f for f in named}
 
 
@@ -155,5 +163,31 @@ met AS (
 SELECT c.capture_id, c.url, c.fetched_on, m.pattern, m.action, m.since FROM captures c LEFT JOIN met m ON m.capture_id = c.capture_id AND m.place = 1"""
 
 
+def code_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """Every round as two tables: the nearest entry of every part, and the entries moved."""
+
+    def nearest(k: int) -> str:
+        far = "list_sum(list_transform(list_zip(parts.x, book.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"near{k} AS MATERIALIZED (SELECT row, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM (SELECT row, p, e, {far}::BIGINT AS far FROM parts JOIN book{k} book USING (p)) GROUP BY row, p)"
+
+    def moved(k: int) -> str:
+        floor = "((total - ((total % n) + n) % n) // n)::BIGINT"
+        sums = f"SELECT p, e, i, sum(x[i])::BIGINT AS total, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM parts JOIN near{k} USING (row, p)) GROUP BY p, e, i"
+        return f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (SELECT p, e, list({floor} ORDER BY i) AS x FROM ({sums}) GROUP BY p, e) m USING (p, e))"
+
+    steps = ",\n".join(f"{nearest(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS x FROM (SELECT row, q, unnest(range({parts})) AS p FROM kept)),
+book0 AS MATERIALIZED (SELECT p, row - 1 AS e, x FROM parts WHERE row <= {entries}),
+{steps},
+{nearest(rounds)},
+coded AS MATERIALIZED (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM near{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(c, ',' ORDER BY p, e)) AS d FROM (SELECT p, e, array_to_string(x, ',') AS c FROM book{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, d AS codebooks_sha256 FROM kept JOIN coded USING (row), digest"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": SHINGLE_SQL, "op8_line_dedup": LINE_SQL, "op9_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
+    return {"op11_vector_codes": code_sql(), "op3_near_dedup": SHINGLE_SQL, "op8_line_dedup": LINE_SQL, "op9_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
