@@ -235,7 +235,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         edges = stored(star(star(edges, large=True), large=False), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum("b").cast("decimal(38,0)").alias("s"), F.count_distinct("a").alias("d"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(20,0)")).alias("s"), F.count_distinct("a").alias("d"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
         if now == before or not now.n:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now

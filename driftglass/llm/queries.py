@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, nearest, spelling, suffix_dedup, toxicity, url_filter, vector_codes
+from driftglass.llm import chat_format, decontamination, edit_prints, language_id, line_dedup, mixing, near_dedup, nearest, spelling, suffix_dedup, toxicity, url_filter, vector_codes
 
 TOKENIZER = os.environ.get("PUBLIC_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 TOXIC_FROM = 0.7
@@ -92,12 +92,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", vector_codes.hex_codes().alias("code"), "error", "label_error", digest)
 
 
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), one_in=spelling.DAMAGE))
 
 
 def queries() -> dict:
-    named = [op1_suffix_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_decontamination, op6_nearest, op7_mixing, op8_line_dedup, op9_chat_format, op10_url_filter, op11_vector_codes, op13_spelling_variants]
+    named = [op1_suffix_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_decontamination, op6_nearest, op7_mixing, op8_line_dedup, op9_chat_format, op10_url_filter, op11_vector_codes, op12_edit_fingerprints, op13_spelling_variants]
     return {f.__name__: f for f in named}
 
 
