@@ -44,10 +44,15 @@ STRIP = 128
 
 
 def variances(squares: np.ndarray, first: float, omega: float, alpha: float, beta: float) -> np.ndarray:
-    """s of s[0] = first, s[t] = omega + alpha * squares[t - 1] + beta * s[t - 1]: strips of STRIP steps at once, one after another."""
-    n = len(squares)
+    """s of s[0] = first, s[t] = omega + alpha * squares[t - 1] + beta * s[t - 1]."""
+    return affine_path(omega + alpha * squares, first, beta)
+
+
+def affine_path(pushes: np.ndarray, first: float, beta: float) -> np.ndarray:
+    """x of x[0] = first, x[t] = pushes[t - 1] + beta * x[t - 1]: strips of STRIP steps at once, one after another."""
+    n = len(pushes)
     push = np.zeros(-(-n // STRIP) * STRIP)
-    push[1:n] = omega + alpha * squares[:-1]
+    push[1:n] = pushes[:-1]
     decay = beta ** np.arange(STRIP)
     lags = np.arange(STRIP)[:, None] - np.arange(STRIP)
     own = push.reshape(-1, STRIP) @ np.where(lags >= 0, beta ** np.maximum(lags, 0), 0).T

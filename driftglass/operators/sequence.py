@@ -5,21 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 64
+CUTS, PART = 64, 1 << 16
 
 
-def zero_runs(rows: DataFrame, key=("series_id",), tiny: float = 1e-12) -> DataFrame:
-    """key, longest: the longest run of values that are zero, 0 without any."""
-    whole = Window.partitionBy(*key)
-    flat = rows.withColumn("zero", F.abs("r") < tiny)
-    flat = flat.withColumn("island", F.row_number().over(whole.orderBy("i")) - F.row_number().over(Window.partitionBy(*key, "zero").orderBy("i")))
-    runs = flat.groupBy(*key, "zero", "island").agg(F.count_if("zero").alias("run"))
-    return runs.groupBy(*key).agg(F.max("run").alias("longest"))
+def parted(rows: DataFrame, key, part: int = PART) -> DataFrame:
+    """Adds _part, stretches of a key by i that a task can hold in order."""
+    return rows.withColumn("_part", F.floor(F.col("i") / part))
 
 
-def cumulative_paths(rows: DataFrame, key=("series_id",)) -> DataFrame:
+def zero_runs(rows: DataFrame, key=("series_id",), tiny: float = 1e-12, part: int = PART) -> DataFrame:
+    """key, longest: the longest run of values that are zero, 0 without any; a null breaks a run.
+
+    A part of a key gives a summary (rows, place of its first and last other value, longest run between two); runs that cross parts
+    come from the summaries, a row a part, so that no task orders a whole key.
+    """
+    ordered = Window.partitionBy(*key, "_part").orderBy("i")
+    flat = parted(rows.select(*key, "i", "r"), key, part).withColumn("_at", F.row_number().over(ordered).cast("long"))
+    flat = flat.withColumn("_other", F.when(~F.coalesce(F.abs("r") < tiny, F.lit(False)), F.col("_at")))
+    flat = flat.withColumn("_gap", F.col("_other") - F.last("_other", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)) - 1)
+    about = flat.groupBy(*key, "_part").agg(F.count("*").alias("n"), F.min("_other").alias("first"), F.max("_other").alias("last"), F.max("_gap").alias("gap"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    about = about.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    about = about.withColumn("held", F.coalesce(F.max(F.col("offset") + F.col("last")).over(before), F.lit(0)))
+    total = about.groupBy(*key).agg(F.max("gap").alias("inner"), F.max(F.col("offset") + F.col("first") - F.col("held") - 1).alias("across"), F.sum("n").alias("n"), F.max(F.col("offset") + F.col("last")).alias("end"))
+    return total.select(*key, F.greatest("inner", "across", F.col("n") - F.coalesce("end", F.lit(0))).alias("longest"))
+
+
+def cumulative(rows: DataFrame, values: dict, key=("series_id",), part: int = PART) -> DataFrame:
+    """Adds a column for each of values (name: expression): its running sum, within parts and over the totals of those before."""
+    rows = parted(rows, key, part)
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*key, "_part").agg(*(F.sum(v).alias(f"_{n}") for n, v in values.items()))  # a row a part
+    totals = totals.select(*key, "_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0.0)).alias(f"_{n}") for n in values))
+    inside = Window.partitionBy(*key, "_part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(v).over(inside) for n, v in values.items()}).join(totals, [*key, "_part"])
+    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_part", *(f"_{n}" for n in values))
+
+
+def cumulative_paths(rows: DataFrame, key=("series_id",), part: int = PART) -> DataFrame:
     """Adds path: the running sum of r."""
-    return rows.withColumn("path", F.sum("r").over(Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    return cumulative(rows, {"path": F.col("r")}, key, part)
+
+
+def trailing_slices(rows: DataFrame, length: str, key=("series_id",), part: int = PART) -> DataFrame:
+    """Adds mean and variance of r over the last rows.length values of its key, the row's own included (fewer at the start);
+    null for a length under 1. rows are numbered by i without gaps.
+
+    Lengths differ from row to row, so no window fits: sums of r and of its square up to the row are compared with those up to the
+    row before the slice, which is looked up by number. Values are taken from the mean of the key first, for the digits' sake.
+    """
+    middle = rows.groupBy(*key).agg(F.avg("r").alias("_middle"), F.min("i").alias("_least"))
+    sums = cumulative(rows.join(middle, list(key)).withColumn("_x", F.col("r") - F.col("_middle")), {"s1": F.col("_x"), "s2": F.col("_x") * F.col("_x")}, key, part)
+    sums = sums.withColumn("_from", F.greatest(F.col("i") - F.col(length), F.col("_least") - 1))
+    behind = sums.select(*key, F.col("i").alias("_from"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    met = sums.where(F.col(length) >= 1).select(*key, "i", "_from", "_middle", "s1", "s2").join(behind, [*key, "_from"], "left")
+    n = F.col("i") - F.col("_from")
+    mean = (F.col("s1") - F.coalesce("b1", F.lit(0.0))) / n
+    square = (F.col("s2") - F.coalesce("b2", F.lit(0.0))) / n
+    met = met.select(*key, "i", (mean + F.col("_middle")).alias("mean"), F.greatest(square - mean * mean, F.lit(0.0)).alias("variance"))
+    return rows.join(met, [*key, "i"], "left")
 
 
 def path_bands(paths: DataFrame, by=("start",)) -> DataFrame:

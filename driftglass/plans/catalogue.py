@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftglass.functions import scalars, text
-from driftglass.operators import battery, calibration, fitting, generators, reports, robustness, sequence, twosample
+from driftglass.operators import battery, calibration, fitting, generators, longfit, reports, robustness, sequence, twosample
 from driftglass.operators.windows import sliding, tail
 from driftglass.plans import sql
 from driftglass.sources import documents, results, series
@@ -16,7 +16,6 @@ from driftglass.sources.shared import shared_dir, stored
 
 NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap", "garch_norm", "garch_t")
 RUNS, PERMUTATIONS, BOOTSTRAPS, T_DF, VOLATILITY = 200, 2000, 1000, 5.0, sql.VOLATILITY
-FIT_MOST = 100_000  # returns that a fit reads at most
 WORDS = {"the": "the ", "and": " and ", "der": " der ", "que": "que[ ,.]"}
 MENTION, SIMULATION = "the |der ", " and | que "
 
@@ -98,9 +97,9 @@ def real_vs_real(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fitted_sides(spark: SparkSession, d: str, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
-    """Long facts (stat, id, value) of all windows, and (stat, generator, id, value) of runs of generators fitted to the first series."""
+    """Long facts (stat, id, value) of all windows, and (stat, generator, id, value) of runs of generators fitted to the whole first series."""
     rows = series.measured(series.li6(spark, d))
-    fit = fitting.fit_windows(tail(rows.where("series_id = 'AF'"), FIT_MOST)).first()
+    fit = longfit.fit_series(rows.where("series_id = 'AF'")).first()
     made = battery.evaluate(generators.all_generators(generators.pooled(rows), fit.asDict(), runs, 1000), ("generator", "run"))
     made = battery.unpivoted(stored(made, "facts"), ("generator", "run")).withColumn("id", F.concat_ws("-", "generator", "run"))
     real = long_of(spark, d).withColumn("id", F.concat_ws("-", "series_id", "start"))
@@ -231,7 +230,26 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fits(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fitting.fit_windows(tail(series.measured(series.li6(spark, d)))))
+    return rounded(fitting.fit_windows(windows_of(spark, d)))
+
+
+def whole_fits(spark: SparkSession, d: str) -> DataFrame:
+    """GARCH and t parameters of every whole series; to three places, as far as the search goes."""
+    fits = longfit.fit_series(series.measured(series.li6(spark, d)))
+    return fits.select("series_id", *(F.round(c, 3).alias(c) for c in ("omega", "alpha", "beta", "t_df")))
+
+
+def series_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """The likelihood of every whole series where the published fit starts, a return's mean."""
+    points = [(1 - a - b, a, b) for a, b in longfit.STARTS]
+    rows = longfit.likelihood_table(series.measured(series.ord5(spark, d)), points, chunk=1000)
+    return rounded(rows.select("series_id", F.col("point").cast("int").alias("point"), "n", (F.col("f") / F.col("n")).alias("loss")))
+
+
+def trailing(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and variance of the last 1 to 120 returns, as many as each row says."""
+    rows = series.returns(series.li6(spark, d)).withColumn("m", (F.col("i") * 37 % 120 + 1).cast("long"))
+    return rounded(sequence.trailing_slices(rows.select("series_id", "i", "r", "m"), "m", part=4096).drop("r"))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
@@ -383,7 +401,7 @@ def queries() -> dict:
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
         "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
-        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -464,6 +482,13 @@ rl AS ({real}), sy AS ({made}), sam AS (SELECT tail, frac, generator, 'a' AS sid
 SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM cmp JOIN (SELECT tail, frac, median(value) AS md FROM rl GROUP BY ALL) USING (tail, frac)"""
     out["cum_paths"] = f"""WITH {sql.windows(stride=1000)}, cp AS (SELECT i - start AS step, sum(r) OVER (PARTITION BY series_id, start ORDER BY i) AS path FROM w)
 SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp GROUP BY step"""
+    out["trailing_slices"] = f"""WITH {sql.returns('li6')}, ms AS (SELECT *, i * 37 % 120 + 1 AS m FROM ret)
+SELECT series_id, a.i, any_value(a.m) AS m, {R6('avg(b.r)')} AS mean, {R6('var_pop(b.r)')} AS variance FROM ms a JOIN ret b USING (series_id) WHERE b.i > a.i - a.m AND b.i <= a.i GROUP BY series_id, a.i"""
+    starts = ", ".join(f"({k}, {1 - a - b}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(longfit.STARTS))
+    out["series_likelihood"] = f"""WITH RECURSIVE {sql.returns('ord5')}, pt AS (SELECT * FROM (VALUES {starts}) AS v(point, o, a, b)), ab AS (SELECT series_id, count(*) AS n, var_pop(r) AS v FROM ret GROUP BY 1),
+sq AS MATERIALIZED (SELECT series_id, i, r * r AS q FROM ret),
+st AS (SELECT series_id, point, o, a, b, 0::BIGINT AS i, v AS s FROM ab, pt UNION ALL SELECT st.series_id, point, o, a, b, st.i + 1, o + a * q + b * s FROM st JOIN sq ON sq.series_id = st.series_id AND sq.i = st.i)
+SELECT series_id, point, n, {R6('sum(ln(s) + q / s) / n')} AS loss FROM st JOIN sq USING (series_id, i) JOIN ab USING (series_id) GROUP BY series_id, point, n"""
     out["zero_runs"] = f"WITH {PATHS}, {ISLANDS} SELECT candidate, seed, longest FROM runs"
     out["top3_stats"] = f"{AGAINST}, pl AS (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY power DESC NULLS LAST, stat DESC)::INT AS place FROM cmp) SELECT generator, place, stat, {R6('power')} AS power FROM pl WHERE place <= 3"
     out["worst_case_stat"] = f"{AGAINST} SELECT stat, generator, {R6('power')} AS power FROM (SELECT *, row_number() OVER (PARTITION BY stat ORDER BY power, generator) AS place FROM cmp WHERE power IS NOT NULL) WHERE place = 1"
