@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.functions import scalars, text
-from driftglass.operators import battery, calibration, fitting, generators, longfit, reports, robustness, sequence, twosample
+from driftglass.functions import scalars, sobol, text
+from driftglass.operators import battery, calibration, fitting, generators, longfit, reports, robustness, search, sequence, twosample
 from driftglass.operators.windows import sliding, tail
 from driftglass.plans import sql
 from driftglass.sources import documents, results, series
@@ -252,6 +252,33 @@ def trailing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sequence.trailing_slices(rows.select("series_id", "i", "r", "m"), "m", part=4096).drop("r"))
 
 
+def search_draws(spark: SparkSession, d: str) -> DataFrame:
+    """As many points as there are windows, spread evenly between the least and the greatest value of every statistic."""
+    long = long_of(spark, d)
+    windows = long.select("series_id", "start").distinct().count()
+    edges = long.groupBy("stat").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.array(*(sobol.point(F.col("k"), dim, sql.SEED, "draws") for dim in range(len(sql.STATS))))
+    points = spark.range(windows).select(F.col("id").alias("k")).select("k", F.posexplode(at).alias("dim", "at"))
+    points = points.withColumn("stat", F.element_at(F.array(*map(F.lit, sorted(sql.STATS))), F.col("dim") + 1))
+    return rounded(points.join(F.broadcast(edges), "stat").select("k", "stat", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("at")).alias("value")))
+
+
+def generator_search(spark: SparkSession, d: str) -> DataFrame:
+    """The generators' parameters that come nearest to the first series' last window: 32 draws and a pass of refinement from two
+    starts, six seeds an evaluation, behind the gate of the real windows' drift. One row for each parameter."""
+    rows = stored(series.measured(series.li6(spark, d)), "measured")
+    windows = battery.evaluate(sliding(rows))
+    target = stored(calibration.target_and_scale(sliding(rows), tail(rows.where("series_id = 'AF'"))), "target")
+    judge = search.evaluated(stored(generators.pooled(rows), "pool"), target, 6, calibration.drift_range(windows))
+    folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    found = search.search(spark, search.RANGES, judge, folder, "generators", 32, sql.SEED, starts=2)
+    ranges = [(m, p, float(lo), float(hi)) for m, ps in search.RANGES.items() for p, (lo, hi, *_) in ps.items()]
+    ranges = spark.createDataFrame(ranges, "model string, param string, lo double, hi double")
+    params = found.select("model", "loss", "default_loss", "evaluations", F.explode_outer("params").alias("param", "value")).join(ranges, ["model", "param"], "left")
+    bounds = calibration.at_bound(params.where("param IS NOT NULL")).select("model", F.array_join("at_bound", ",").alias("at_bound"))
+    return rounded(params.join(bounds, "model", "left").select("model", "param", "value", "loss", "default_loss", "evaluations", "at_bound"))
+
+
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return series.table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("body"))
 
@@ -401,7 +428,7 @@ def queries() -> dict:
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
         "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
-        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -484,6 +511,11 @@ SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM c
 SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp GROUP BY step"""
     out["trailing_slices"] = f"""WITH {sql.returns('li6')}, ms AS (SELECT *, i * 37 % 120 + 1 AS m FROM ret)
 SELECT series_id, a.i, any_value(a.m) AS m, {R6('avg(b.r)')} AS mean, {R6('var_pop(b.r)')} AS variance FROM ms a JOIN ret b USING (series_id) WHERE b.i > a.i - a.m AND b.i <= a.i GROUP BY series_id, a.i"""
+    dims = ", ".join(f"({dim}, '{stat}')" for dim, stat in enumerate(sorted(sql.STATS)))
+    where = "CASE dim " + " ".join(f"WHEN {dim} THEN {sobol.sql_point('k', dim, str(sql.SEED), chr(39) + 'draws' + chr(39))}" for dim in range(len(sql.STATS))) + " END"
+    out["search_draws"] = f"""WITH {BATTERY}, ed AS (SELECT stat, min(value) AS lo, max(value) AS hi FROM flong GROUP BY stat), dm AS (SELECT * FROM (VALUES {dims}) AS v(dim, stat)),
+sz AS (SELECT unnest(range(0, (SELECT count(DISTINCT (series_id, start)) FROM flong)))::BIGINT AS k)
+SELECT k, stat, {R6(f'lo + (hi - lo) * {where}')} AS value FROM sz, dm JOIN ed USING (stat)"""
     starts = ", ".join(f"({k}, {1 - a - b}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(longfit.STARTS))
     out["series_likelihood"] = f"""WITH RECURSIVE {sql.returns('ord5')}, pt AS (SELECT * FROM (VALUES {starts}) AS v(point, o, a, b)), ab AS (SELECT series_id, count(*) AS n, var_pop(r) AS v FROM ret GROUP BY 1),
 sq AS MATERIALIZED (SELECT series_id, i, r * r AS q FROM ret),
