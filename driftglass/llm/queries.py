@@ -154,7 +154,7 @@ FROM sized GROUP BY conv_id"""
 URL_SQL = r"""
 WITH captures AS (
   SELECT page_id AS capture_id, url, DATE '2024-01-01' + (page_id * 37 % 400)::INT AS fetched_on,
-         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+?)\.?(?:[:/?#]|$)', 1) AS host,
          regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS part FROM pages),
 hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS n FROM captures WHERE host <> ''),
 entries AS (

@@ -5,7 +5,8 @@ which the same pattern is listed again (action 'remove' ends a listing and start
 fetch time: a capture offers a few patterns (its host, all parent domains, and each of these with the first part of the
 path), and of the active entries among them the longest pattern decides.
 
-Patterns: 'host' or 'host/part', in lower case, without scheme and port. A host also matches its subdomains.
+Patterns: 'host' or 'host/part', in lower case, without scheme and port. A host also matches its subdomains. A capture's host is
+what follows the last @ before the path, without a port and without a dot at its end.
 
 Scale: intervals are cut at those periods of `period_days` in which there are captures, so the as-of join is an equi-join on
 pattern and period with the exact bounds checked inside it; a capture of a far day adds one period, not all up to it. A host
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+?)\.?(?:[:/?#]|$)"  # after the last @, without the dot of the root
 PART = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 HOST_CHARS = 253  # fixed value: the greatest length of a host name
 

@@ -15,10 +15,11 @@ def brute(captures, entries):
             days[d] = max(a, days.get(d, ""))
     out = []
     for i, url, t in captures:
-        found = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", (url or "").lower())
+        found = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)", (url or "").lower())
         best = None
-        if found and t and len(found[1]) <= 253:
-            labels = found[1].split(".")
+        host = found[1].rpartition("@")[2].partition(":")[0].removesuffix(".") if found else ""
+        if host and t and len(host) <= 253:
+            labels = host.split(".")
             part = re.match(r"[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)", url.lower())
             for k in range(len(labels)):
                 host = ".".join(labels[k:])
@@ -37,6 +38,7 @@ def test_matches_brute_force(spark):
     day = lambda: DAY + dt.timedelta(days=r.randrange(400))
     captures = [(i, "http://a.example.com/en/1" if i % 3 == 0 else r.choice(urls), day() + dt.timedelta(hours=r.randrange(24))) for i in range(300)]
     captures += [(1, None, day()), (2, "no url", day()), (3, urls[0], None), (None, urls[0], day()), captures[0], (4, "http://u:p@a.example.com/", day())]
+    captures += [(5, f"http://{x}/en", day()) for x in ("u:p@w@example.com", "EXAMPLE.com.", "other.test:80@a.example.com.:443", "u@", "@news.test", "news.test:") for _ in range(5)]
     entries = [(r.choice([*hosts, "com", "example.com/en", "A.example.com/en "]), r.choice(["block", "allow", "remove"]), day()) for _ in range(60)]
     entries += [(None, "block", day()), ("com", None, day()), ("com", "block", None)]
     got = judge_captures(spark.createDataFrame([(*x, "z") for x in captures], "capture_id long, url string, fetched_at timestamp, pattern string"), spark.createDataFrame(entries, "pattern string, action string, added_on timestamp"))
