@@ -19,7 +19,7 @@ Scale: texts are read twice (sets; sets of candidates only), nothing is gathered
 partial aggregates, members meet leaders in joins that Spark can split, and blocks bound what a task compares.
 
 Cases: null, empty and wordless texts have no shingles and are linked with nothing; with fewer words than `width` the whole
-sequence is the one shingle; rows that share a doc_id are one document in links, by the set of greatest digest if they differ; a null doc_id gets a
+sequence is the one shingle; rows that share a doc_id are linked, and each of their texts keeps its own links; a null doc_id gets a
 null component, unless it is linked with a document that has one, and isn't kept; an empty table gives no rows; other columns
 are ignored.
 """
@@ -351,30 +351,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     digest = ["d1", "d2"]
     full = signed.where("n_shingles > 0")
     nameless = F.col("d1").bitwiseAND(NAMELESS - 1).bitwiseOR(NAMELESS)
-    classes = stored(full.groupBy(*digest).agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node")), "classes")
+    classes = full.groupBy(*digest).agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("least"))
+    # a class is a node by its least doc_id; where that stands for several texts, one keeps it and the others get nodes of their own
+    ids = full.where("doc_id IS NOT NULL").groupBy("doc_id")
+    ids = ids.agg(F.min(F.struct(*digest)).alias("one"), F.max(F.struct(*digest)).alias("other")).where("one <> other").select("doc_id")
+    ids = stored(ids, "ids-of-several-texts")
+    repeated = bool(ids.take(1))
+    if repeated:
+        tops = classes.join(ids.withColumnRenamed("doc_id", "least"), "least").groupBy("least").agg(F.max(F.struct(*digest)).alias("top"))
+        classes = classes.join(tops, "least", "left").withColumn("node", F.when(F.struct(*digest) != F.col("top"), nameless).otherwise(F.col("least"))).drop("top")
+    else:
+        classes = classes.withColumn("node", F.col("least"))
+    classes = stored(classes.select(*digest, "least", "node"), "classes")
     # one row stands for each class
-    one = full.withColumn("node", F.coalesce("doc_id", nameless)).drop("doc_id").join(classes, [*digest, "node"])
+    one = full.withColumn("least", F.coalesce("doc_id", nameless)).drop("doc_id").join(classes, [*digest, "least"])
     keyed = one.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
     led = stored(keyed.join(shared, "key").select("key", "band", "leader", "node", "n_shingles"), "led")
     about = one.join(led.select("node").distinct(), "node", "left_semi")
-    about = about.groupBy("node").agg(F.max(F.struct(*digest, "n_shingles", "bits", "bands")).alias("one")).select("node", "one.*")
+    about = about.groupBy("node").agg(F.max(F.struct(*digest, "n_shingles", "bits", "bands", "least")).alias("one")).select("node", "one.*")
     about = stored(about, "candidates")
 
     # whole sets, of the candidates alone
-    named = about.where(F.col("node") < NAMELESS).select(F.col("node").alias("doc_id"))
+    named = about.where(F.col("least") < NAMELESS).select(F.col("least").alias("doc_id"))
     texts = docs.join(broadcast_if_small(named), "doc_id", "left_semi").select("doc_id", "text")
-    if about.where(F.col("node") >= NAMELESS).take(1):
+    if about.where(F.col("least") >= NAMELESS).take(1):
         texts = texts.unionByName(docs.where("doc_id IS NULL"))
-    sets = texts.mapInArrow(set_batches(width), "doc_id long, d1 long, hashes array<long>").withColumn("node", F.coalesce("doc_id", nameless))
-    sets = stored(sets.join(about.select("node", "d1"), ["node", "d1"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    sets = texts.mapInArrow(set_batches(width), "doc_id long, d1 long, hashes array<long>").withColumn("least", F.coalesce("doc_id", nameless))
+    sets = stored(sets.join(about.select("node", "least", "d1"), ["least", "d1"]).dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
     pairs = led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     small = about.select("node", F.col("n_shingles").alias("n"), "bits")
     pairs = pairs.join(small.withColumnsRenamed({"node": "a", "n": "na", "bits": "p"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "nb", "bits": "q"}), "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = pairs.mapInArrow(estimate_batches, "a long, b long, est double").where(F.col("est") >= least)
-    links = stored(confirmed(pairs, sets, percent), "links")
+    links = confirmed(pairs, sets, percent)
+    if repeated:  # texts of one doc_id are one document
+        own = full.join(ids, "doc_id").join(classes, digest).select("doc_id", "node").distinct()
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    links = stored(links, "links")
     comps = stored(components(links), "components")
     members = led.select("key", "band", "node", "n_shingles")
     more = stored(links_across(members, about, sets, comps, least, percent, block), "links")

@@ -67,6 +67,18 @@ def test_small_blocks_nulls_and_repeats(spark):
     assert run(spark, rows, block=3) == brute(rows)
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    r = random.Random(8)
+    text = lambda: [f"w{r.randrange(999)}" for _ in range(60)]
+    x, y, z, u = (text() for _ in range(4))
+    near = lambda t, k: [*t[:k], "other", *t[k + 1 :]]
+    rows = [(1, x), (1, y), (3, near(x, 30)), (4, near(y, 20)), (2, z), (6, z), (6, u), (7, near(u, 9)), (8, u), (9, text()), (None, near(z, 3)), (9, ["a"]), (None, x)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert {x[0]: x[2] for x in got} == {1: 1, 3: 1, 4: 1, 2: 2, 6: 2, 7: 2, 8: 2, 9: 9, None: 2} or {x[2] for x in got if x[0] is None} == {1, 2}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
