@@ -18,6 +18,9 @@ in alignments without conflicts, or as many of those that have the template `inn
 fewer than `width` are one window. Shorter items would stand in many clean texts by chance: they are found where they are a
 whole line of a document, or all of it, up to case and punctuation (matched and n_windows are 1 then).
 
+Long texts (over 200,000 characters) are cut behind the ends of sentences into pieces of about PIECE characters, with some words of the next one, so that
+a row never holds the windows of a whole long text; an alignment is one within a piece.
+
 Scale: windows are hashed where the text is read, all widths in one pass; a window's hash is put together from those of its
 halves, so it costs a few operations and not one for each word. The benchmark's windows are broadcast only up to
 BROADCAST_WINDOWS (counted first); beyond that, hashes are shuffled for the join. Per document and item only counts are shuffled.
@@ -41,9 +44,20 @@ NUMBER = r"[-+]?[$€£]?\d+(?:[.,:/]\d+)*"
 INNER = r"(?<=[\p{Ll},;] )(?=\p{Lu}[\p{L}\p{M}]*\p{Ll})"
 MARK, UNIT, NAMED = "\u0001", "\u0002", "\u0003"
 SHORTEST = 5
+PIECE, OVERLAP = 100_000, 4096  # characters
 BROADCAST_WINDOWS = 500_000
 
 
+def pieces(text: Column, end: str, overlap: int) -> Column:
+    """A long text cut behind the first match of `end` after every PIECE characters (a short text: itself), and each piece
+    followed by the whole words among the next `overlap` characters."""
+    cut = F.when(F.length(text) <= 2 * PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{{PIECE}}}.*?{end}|.+"), 0))
+    if not overlap:
+        return cut
+    more = lambda all_, k: F.regexp_replace(F.substring(F.coalesce(F.get(all_, k + 1), F.lit("")), 1, overlap), r"\S*$", "")
+    return let(cut, lambda all_: F.when(F.size(all_) == 1, all_).otherwise(F.transform(all_, lambda x, k: F.concat(x, more(all_, k)))))
+
+
 def raw_words(text: Column) -> Column:
     """The words of a text: numbers after MARK, units after UNIT, names inside sentences after NAMED, others as they stand."""
     text = F.translate(F.coalesce(text, F.lit("")), MARK + UNIT + NAMED, "   ")
@@ -182,8 +196,10 @@ def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = items.agg(F.count("*").alias("n"), F.max(F.length("line")).alias("longest")).first()
     if not n.n:
         return docs.select("doc_id").join(items, F.lit(False)).select("doc_id", "item_id")
-    lines = F.array_distinct(F.transform(F.array_append(F.split("text", "\n"), F.col("text")), normal))
-    lines = docs.select("doc_id", F.explode(F.filter(lines, lambda x: F.length(x) <= n.longest)).alias("line"))
+    fits = lambda lines: F.filter(F.array_distinct(F.transform(lines, normal)), lambda x: F.length(x) <= n.longest)
+    parts = docs.select("doc_id", F.explode(pieces(F.col("text"), "\n", 0)).alias("text"))
+    lines = parts.select("doc_id", F.explode(fits(F.split("text", "\n"))).alias("line"))
+    lines = lines.unionByName(docs.select("doc_id", F.explode(fits(F.array("text"))).alias("line")))
     return lines.join(F.broadcast(items) if n.n <= BROADCAST_WINDOWS else items, "line").select("doc_id", "item_id").distinct()
 
 
@@ -200,12 +216,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     if not about.n:
         return short
     small = F.broadcast(known) if about.n <= BROADCAST_WINDOWS else known
-    found = docs.select("doc_id", F.explode(windows(raw_words(F.col("text")), sorted(about.widths))).alias("x")).select("doc_id", "x.*")
+    docs = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(pieces(F.col("text"), r"[.!?]\s", OVERLAP)).alias("piece", "text"))
+    found = docs.select("doc_id", "piece", F.explode(windows(raw_words(F.col("text")), sorted(about.widths))).alias("x")).select("doc_id", "piece", "x.*")
     one = (F.col("folded") == F.col("inner")) & (F.col("folded") == F.col("capital"))
     hash_ = F.when(one, F.array("folded")).otherwise(F.array_distinct(F.array("folded", "inner", "capital")))
-    found = found.select("doc_id", F.col("at").alias("doc_at"), "width", F.explode(hash_).alias("hash"))
+    found = found.select("doc_id", "piece", F.col("at").alias("doc_at"), "width", F.explode(hash_).alias("hash"))
     hits = found.join(small, ["width", "hash"])
-    hits = hits.select("doc_id", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    hits = hits.select("doc_id", "piece", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     # copies of an item in one document, and rows with one doc_id, repeat windows: each is kept once for each alignment
     hits = stored(hits.distinct(), "hits")
     pair = ["doc_id", "item_id"]
@@ -220,17 +237,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
     doubtful = likely.join(valued, "item_id", "left_semi").select(*pair)
     wanted = doubtful.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted_id")
     doc_words = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), F.transform(raw_words(F.col("text")), value).alias("doc_words"))
+    doc_words = doc_words.select(F.col("doc_id").alias("words_id"), F.col("piece").alias("words_piece"), F.transform(raw_words(F.col("text")), value).alias("doc_words"))
     aligned = hits.join(doubtful.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
-    aligned = aligned.join(valued, "item_id").join(doc_words, F.col("doc_id").eqNullSafe(F.col("words_id")))
+    aligned = aligned.join(valued, "item_id").join(doc_words, F.col("doc_id").eqNullSafe(F.col("words_id")) & (F.col("piece") == F.col("words_piece")))
     slot = F.arrays_zip(F.slice("slots", F.col("item_at") + 1, F.col("width")).alias("item"), F.slice("doc_words", F.col("item_at") + F.col("shift") + 1, F.col("width")).alias("doc"))
-    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "shift", "templates", F.explode(slot).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
-    both = both.select(*pair, "shift", "slot", F.explode("templates").alias("template"))
-    values = both.groupBy(*pair, "shift", "template", F.col("slot.item").alias("item")).agg(F.count_distinct("slot.doc").alias("meanings"))
+    both = aligned.where(F.col("item_at") + F.col("shift") >= 0).select(*pair, "piece", "shift", "templates", F.explode(slot).alias("slot")).where("slot.item IS NOT NULL AND slot.doc IS NOT NULL")
+    both = both.select(*pair, "piece", "shift", "slot", F.explode("templates").alias("template"))
+    values = both.groupBy(*pair, "piece", "shift", "template", F.col("slot.item").alias("item")).agg(F.count_distinct("slot.doc").alias("meanings"))
     broken = F.collect_set(F.when(F.col("meanings") > 1, F.col("template")))
-    values = values.groupBy(*pair, "shift").agg(F.count_distinct("item").alias("compared"), broken.alias("broken"))
-    values = values.withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("shift") == F.col("s"))
+    values = values.groupBy(*pair, "piece", "shift").agg(F.count_distinct("item").alias("compared"), broken.alias("broken"))
+    values = values.withColumnsRenamed({"doc_id": "d", "item_id": "i", "piece": "p", "shift": "s"})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("piece") == F.col("p")) & (F.col("shift") == F.col("s"))
     whole = ~F.arrays_overlap("broken", F.array(F.lit("inner"), F.lit("capital")))
     holds = F.col("broken").isNull() | (whole & (F.array_size(F.array_except("templates", "broken")) > 0))
     good = hits.join(values, same, "left").where(holds)

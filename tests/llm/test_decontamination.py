@@ -1,6 +1,7 @@
 import random
 import re
 
+from driftglass.llm import decontamination as D
 from driftglass.llm.decontamination import contaminated, decontaminated
 
 ITEM = "A train leaves Paris and meets Anna after 30 km of track while Bob waits 12 minutes for the second train to Lyon near the bridge"
@@ -102,3 +103,17 @@ def test_short_items_are_found_as_lines(spark):
     rows = [(1, "first\n what is 2 + 2\nlast"), (2, "He asked what is 2+2 and left"), (3, "YES"), (4, "yes and no"), (5, "one two"), (6, "?!"), (7, None), (None, "yes")]
     got = {(r.doc_id, r.item_id, r.matched, r.n_windows) for r in contaminated(docs_of(spark, rows), bench).collect()}
     assert got == {(1, 1, 1, 1), (3, 2, 1, 1), (5, 3, 1, 1), (None, 2, 1, 1)}
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    r = random.Random(7)
+    item = "A truck drives 30 km to the harbour, waits for Anna, drives another 45 km up the coast and then goes 30 km back home"
+    bench = spark.createDataFrame([(1, item), (2, "Only a few short words stand here"), (3, "What is 2+2?"), (4, "Every 3 kg. 5 cm! Then 7 km of road? Nobody knows how far the old mill is. It is there")], "item_id long, text string")
+    say = lambda n: " ".join(f"w{r.randrange(500)}" + r.choice(["", "", ",", ".", "!", "\n", " 3 km.", " Then Bob"]) for _ in range(n))
+    rows = [(i, " ".join([say(r.randrange(900)), r.choice([item, item.replace("30", "7"), item.replace("30 km back", "31 km back"), "", "Only a few short words stand here."]), say(30), r.choice(["\nwhat is 2 + 2\n", bench.collect()[3].text, ""]), say(r.randrange(900))])) for i in range(40)]
+    rows += [(50, "no end " * 500 + item), (51, ""), (52, None)]
+    ask = lambda: sorted((x.doc_id, x.item_id, x.matched) for x in contaminated(docs_of(spark, rows), bench).collect())
+    whole = ask()
+    monkeypatch.setattr(D, "PIECE", 150)
+    monkeypatch.setattr(D, "OVERLAP", 300)
+    assert ask() == whole and len({k for _, k, _ in whole}) == 4
