@@ -11,8 +11,9 @@ from driftglass.functions import scalars, sobol, text
 from driftglass.operators import battery, calibration, fitting, generators, longfit, reports, robustness, search, sequence, twosample
 from driftglass.operators.windows import sliding, tail
 from driftglass.plans import sql
-from driftglass.sources import documents, results, series
+from driftglass.sources import documents, loader, results, series
 from driftglass.sources.shared import shared_dir, stored
+from driftglass.streaming import audits
 
 NATIVE = ("gaussian", "student_t", "iid_bootstrap", "block_bootstrap", "garch_norm", "garch_t")
 RUNS, PERMUTATIONS, BOOTSTRAPS, T_DF, VOLATILITY = 200, 2000, 1000, 5.0, sql.VOLATILITY
@@ -298,6 +299,17 @@ def audit_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "nchar", *(F.col("counts")[w].cast("bigint").alias(f"n_{w}") for w in WORDS), F.array_join("ge1", ",").alias("ge1"), F.array_join("ge3", ",").alias("ge3"))
 
 
+def audit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of documents that arrive as files, four a batch; what the batches have written."""
+    folder = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    docs = series.table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(12).write.parquet(f"{folder}/in")
+    stream = audits.arriving(spark, f"{folder}/in", "doc_id long, text string", 4)
+    audits.audit_stream(stream, f"{folder}/out", f"{folder}/checkpoint", categories=WORDS, mention=MENTION, simulation=SIMULATION).awaitTermination()
+    rows = audits.results(spark, f"{folder}/out")
+    return rows.select("doc_id", "nchar", *(F.col("counts")[w].cast("bigint").alias(f"n_{w}") for w in WORDS), F.array_join("ge1", ",").alias("ge1"), F.array_join("ge3", ",").alias("ge3"))
+
+
 def audit_inclusion(spark: SparkSession, d: str) -> DataFrame:
     return audited(spark, d).select("doc_id", "sf_mention", "is_sim")
 
@@ -323,6 +335,17 @@ def payload_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.returns(series.parsed(series.require_rows(written, "payloads"))))
 
 
+def loaded_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Daily closes as files of payloads, one folder a series, loaded by the data source and turned into returns."""
+    folder = f"{shared_dir(spark)}/payload-files-{uuid.uuid4().hex}"
+    made = series.as_payloads(daily(spark, d))
+    made.repartition("series_id").write.partitionBy("series_id").text(folder)
+    names = [r[0] for r in spark.read.text(folder).select("series_id").distinct().collect()]  # names of series
+    spark.dataSource.register(loader.PayloadSource)
+    source = spark.read.format("price_payloads").options(url=f"{folder}/series_id={{symbol}}", symbols=",".join(names))
+    return rounded(series.returns(series.parsed(source.load())))
+
+
 def payload_verified(spark: SparkSession, d: str) -> DataFrame:
     """The published fingerprint of every payload, held against those of the closes themselves, of which one is altered."""
     closes = daily(spark, d)
@@ -427,7 +450,7 @@ def queries() -> dict:
         "all_reject": all_reject, "power_pivot": power_pivot, "validity_gates": gates, "deterministic_gate": ends, "drift_gate": drift_gate,
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
-        "payload_returns": payload_returns, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
+        "payload_returns": payload_returns, "loaded_returns": loaded_returns, "audit_stream": audit_stream, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
         "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
@@ -566,6 +589,7 @@ replace(name, '/', '_') AS id, replace(url_encode(name), '%20', '+') AS quoted,
 op AS (SELECT * FROM cl WHERE day % 7 <> 0)"""
     out["payload_returns"] = f"""WITH {dailies}, lp AS (SELECT series_id, day, CASE WHEN close > 0 THEN ln(close) END AS v FROM op), df AS (SELECT series_id, day, v - lag(v) OVER (PARTITION BY series_id ORDER BY day) AS r FROM lp)
 SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS i, {R6('r / stddev_pop(r) OVER (PARTITION BY series_id)')} AS r FROM df WHERE r IS NOT NULL"""
+    out["loaded_returns"] = out["payload_returns"]
     out["payload_verified"] = f"""WITH {dailies} SELECT series_id, count(*) AS n, sha256(string_agg((day * 86400)::VARCHAR || ',' || printf('%.6f', close), chr(10) ORDER BY day)) AS sha256, series_id <> '1-URGENT' AS ok FROM op GROUP BY series_id"""
     out["sink_roundtrip"] = f"""WITH {BATTERY}, ap AS (SELECT series_id, count(*) AS path_rows, round(sum(round(r, 2)::FLOAT::DOUBLE), 1) + 0.0 AS path_sum FROM w WHERE start % 1000 = 0 GROUP BY series_id)
 SELECT series_id, start, {R6('excess_kurtosis')} AS excess_kurtosis, CASE WHEN series_id = 'AF' THEN 0.0 ELSE {R6('drift')} END AS drift, path_rows, path_sum FROM ffacts JOIN ap USING (series_id)"""
@@ -582,6 +606,7 @@ ls AS (SELECT series_id || '-' || start AS candidate, round(sum(pow((value - tar
     out["audit_strip_html"] = f"SELECT page_id, {STRIPPED} AS body FROM pages"
     out["audit_strip_refs"] = f"SELECT page_id, (CASE WHEN page_id % 2 = 0 THEN 'x References y ' ELSE '' END) || {STRIPPED} || ' ' AS body FROM pages"
     out["audit_counts"] = f"WITH {COUNTED} SELECT doc_id, length(text) AS nchar, {', '.join(f'n_{w}' for w in WORDS)}, {at_least(1)} AS ge1, {at_least(3)} AS ge3 FROM cnt"
+    out["audit_stream"] = out["audit_counts"]
     flags = f"regexp_matches(text, '(?i){MENTION}') AS sf_mention, regexp_matches(text, '(?i){SIMULATION}') AS is_sim"
     out["audit_inclusion"] = f"SELECT doc_id, {flags} FROM documents"
     shares = " UNION ALL ".join(f"SELECT '{w}' AS category, count(*) AS docs, {R6(f'avg((n_{w} >= 1)::INT)')} AS share_ge1, {R6(f'avg((n_{w} >= 3)::INT)')} AS share_ge3 FROM inc" for w in WORDS)
