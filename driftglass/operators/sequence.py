@@ -80,13 +80,14 @@ def mid_ranks(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame
     return rows.join(ranks, [*by, value], "left")
 
 
-def joint_counts(samples: DataFrame, by: list[str]) -> DataFrame:
-    """For each distinct value of two samples(by, side, value): how many of 'a' and 'b' equal it, and lie at or below it.
+def joint_counts(samples: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """For each distinct value of two samples(by, side, value): how many of 'a' and 'b' equal it, and lie at or below it. weight:
+    a column of whole numbers, how often a row counts.
 
     Values are first counted, then cumulated within ranges between approximate quantiles and over the ranges, so that one
     large sample isn't sorted in one task.
     """
-    counts = samples.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    counts = samples.where("value IS NOT NULL").groupBy(*by, "value").agg(*(F.sum(F.when(F.col("side") == s, F.col(weight) if weight else F.lit(1)).otherwise(0)).cast("long").alias(s) for s in "ab"))
     cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / CUTS for k in range(1, CUTS)], 1000).alias("cuts"))
     counts = counts.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

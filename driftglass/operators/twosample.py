@@ -27,15 +27,15 @@ def two_sides(a: DataFrame, b: DataFrame, **groups: tuple[str, ...]) -> DataFram
     return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
 
 
-def compared(samples: DataFrame, by: list[str]) -> DataFrame:
-    """by, n_a, n_b, auc, power, ks of samples(by, side, value).
+def compared(samples: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """by, n_a, n_b, auc, power, ks of samples(by, side, value); weight: how often a row counts.
 
     auc: probability that a value of b exceeds one of a, ties by half; power: twice its distance from a half; ks: greatest
     distance of the two cumulative shares, on whole numbers until the last division.
     """
     gap = F.abs(F.col("cum_a") * F.col("n_b") - F.col("cum_b") * F.col("n_a"))
     beaten = F.col("a") * (2 * (F.col("n_b") - F.col("cum_b")) + F.col("b"))
-    out = joint_counts(samples, by).groupBy(*by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum(beaten).alias("wins"), F.max(gap).alias("gap"))
+    out = joint_counts(samples, by, weight).groupBy(*by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum(beaten).alias("wins"), F.max(gap).alias("gap"))
     pairs, enough = F.col("n_a") * F.col("n_b"), (F.col("n_a") >= LEAST) & (F.col("n_b") >= LEAST)
     out = out.withColumn("auc", F.when(enough, F.col("wins") / (2 * pairs))).withColumn("ks", F.when(enough, F.col("gap") / pairs))
     return out.withColumn("power", 2 * F.abs(F.col("auc") - 0.5)).select(*by, "n_a", "n_b", "auc", "power", "ks", "gap")
@@ -86,6 +86,88 @@ def bootstrap_power(samples: DataFrame, by: list[str], row_id: list[str], times:
     return out.select(*by, "ci_lo", "ci_hi")
 
 
+def cell_intervals(real: DataFrame, made: DataFrame, cell: list[str], shared: str, times: int, seed: int, together: int = TOGETHER) -> DataFrame:
+    """cell, power, ci_lo, ci_hi: the power of real(shared, id, value) against made(cell, id, value), and 2.5 and 97.5 percent of it when both
+    sides are drawn anew with replacement. shared is one of cell's columns, such as the statistic; the others, such as the generator, tell apart what is compared with the same real values.
+
+    A repeat draws ids once for each side, for all cells together, as counts: n draws from n ids in order, by a keyed hash of
+    (repeat, side, draw). A cell's power then follows from counts cumulated over its values in order; values that aren't defined count for nothing.
+    Cells of up to `together` values are arrays, for which blocks of repeats are matrix products; larger ones are joined with the counts.
+    """
+    sides = {"a": real.select(shared, "id", "value"), "b": made.select(*cell, "id", "value")}
+    ids = {s: df.select("id").distinct() for s, df in sides.items()}
+    n = {s: df.count() for s, df in ids.items()}
+    order = Window.orderBy("id")
+    if max(n.values()) > together:  # ranges of ids are numbered apart, then shifted by what stands before them
+        ids = {s: numbered(df) for s, df in ids.items()}
+    else:
+        ids = {s: df.withColumn("at", F.row_number().over(order) - 1) for s, df in ids.items()}
+    rows = {s: df.where("value IS NOT NULL").join(F.broadcast(ids[s]) if n[s] <= together else ids[s], "id").drop("id") for s, df in sides.items()}
+    found = compared(sides["a"].join(sides["b"].select(*cell).distinct(), shared).withColumn("side", F.lit("a")).select(*cell, "side", "value").unionByName(sides["b"].withColumn("side", F.lit("b")).select(*cell, "side", "value")), cell).select(*cell, "power")
+    if max(n.values()) <= together:
+        held = lambda s, by: rows[s].groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("value", "at"))).alias(s))
+        cells = held("b", cell).join(held("a", [shared]), shared)
+        at_once = max(1, min(AT_ONCE, CELLS // max(1, sum(n.values()))))
+        cells = cells.select(*cell, *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("value", "at")))
+        cells = cells.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.lit(at_once)))).repartition("first").sortWithinPartitions("first")
+        kinds = dict(made.dtypes)
+        powers = cells.mapInArrow(drawn_cells(cell, n, times, at_once, seed), ", ".join(f"{c} {kinds[c]}" for c in cell) + ", power double")
+    else:
+        reps = real.sparkSession.range(times).select(F.col("id").cast("int").alias("rep"))
+        drawn = {s: reps.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[s] - 1).cast("long")))).select("rep", keyed.index(F.lit(n[s]), seed, "boot", F.col("rep"), s, F.col("slot")).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("w")) for s in "ab"}
+        b = rows["b"].join(drawn["b"], "at").select(*cell, "rep", F.lit("b").alias("side"), "value", "w")
+        a = rows["a"].join(drawn["a"], "at").join(rows["b"].select(*cell).distinct(), shared).select(*cell, "rep", F.lit("a").alias("side"), "value", "w")
+        powers = compared(a.unionByName(b), [*cell, "rep"], "w").select(*cell, "power")
+    out = powers.groupBy(*cell).agg(F.percentile("power", F.lit(0.025)).alias("ci_lo"), F.percentile("power", F.lit(0.975)).alias("ci_hi"))
+    return found.join(out, cell, "left").select(*cell, "power", "ci_lo", "ci_hi")
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """id, at: the place of each distinct id in order, from 0, without a sort in one task."""
+    cuts = ids.repartitionByRange(F.col("id")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    tops = sorted((r.top, r.n) for r in cuts.collect())  # a row a range
+    before, rows = 0, []
+    for k, (top, n) in enumerate(tops):
+        rows.append((k, tops[k - 1][0] if k else None, top, before))
+        before += n
+    kind = dict(ids.dtypes)["id"]
+    ranges = F.broadcast(ids.sparkSession.createDataFrame(rows, f"part int, above {kind}, top {kind}, before long"))
+    met = ids.join(ranges, (F.col("id") <= F.col("top")) & (F.col("above").isNull() | (F.col("id") > F.col("above"))))
+    return met.select("id", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).alias("at"))
+
+
+def drawn_cells(cell: list[str], n: dict[str, int], times: int, at_once: int, seed: int):
+    """The power of each cell for the repeats from `first`, from counts that all cells of a block share."""
+
+    def counts(first: int) -> dict[str, np.ndarray]:
+        reps, out = range(first, min(first + at_once, times)), {}
+        for s, size in n.items():
+            made = b"".join(hashlib.md5(f"{seed}|boot|{r}|{s}|{k}".encode()).digest()[:4] for r in reps for k in range(size))
+            at = np.floor(np.frombuffer(made, ">u4") / keyed.STEPS * size).astype(np.int64).reshape(len(reps), size) + np.arange(len(reps))[:, None] * size
+            out[s] = np.bincount(at.ravel(), minlength=len(reps) * size).reshape(len(reps), size)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int, dict[str, np.ndarray]] | None = None
+        for batch in batches:
+            for i in range(len(batch)):
+                first = batch.column("first")[i].as_py()
+                if known is None or known[0] != first:
+                    known = first, counts(first)
+                get = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                a, b = ((get(f"{s}_value"), known[1][s][:, get(f"{s}_at")]) for s in "ab")
+                cum = np.concatenate([np.zeros((len(b[1]), 1), np.int64), np.cumsum(b[1], axis=1)], axis=1)
+                low, high = (cum[:, np.searchsorted(b[0], a[0], side)] for side in ("left", "right"))
+                n_a, n_b = a[1].sum(axis=1), b[1].sum(axis=1)
+                wins = (a[1] * (2 * n_b[:, None] - low - high)).sum(axis=1)
+                fine = (n_a >= LEAST) & (n_b >= LEAST)
+                power = 2 * np.abs(wins[fine] / (2 * n_a[fine] * n_b[fine]) - 0.5)
+                at = pa.array(np.full(len(power), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in cell), pa.array(power)], names=[*cell, "power"])
+
+    return run
+
+
 def by_size(rows: DataFrame, by: list[str], together: int) -> tuple[DataFrame | None, DataFrame | None]:
     """The rows of groups of up to `together` rows, and those of larger groups; None where there are none."""
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))

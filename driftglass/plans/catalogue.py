@@ -129,6 +129,18 @@ def worst_case_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cells.join(drawn, ["stat", "generator"], "left").join(apart, ["stat", "generator"], "left"))
 
 
+def power_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Power and its bootstrap interval of every statistic against every generator: 90 cells, 1,000 repeats."""
+    real = long_of(spark, d).select("stat", F.concat_ws("-", "series_id", F.lpad(F.col("start").cast("string"), 12, "0")).alias("id"), "value")
+    made = synthetic_long(spark, d).select("stat", "generator", F.lpad(F.col("run").cast("string"), 12, "0").alias("id"), "value")
+    return rounded(twosample.cell_intervals(real, made, ["stat", "generator"], "stat", BOOTSTRAPS, sql.SEED))
+
+
+def interval_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Each statistic's mean width of the intervals over the generators."""
+    return rounded(power_intervals(spark, d).groupBy("stat").agg(F.avg(F.col("ci_hi") - F.col("ci_lo")).alias("mean_width")))
+
+
 def effective(spark: SparkSession, d: str) -> DataFrame:
     return rounded(robustness.effective_n(long_of(spark, d)))
 
@@ -445,7 +457,7 @@ def queries() -> dict:
         "fact_variance_ratio": fact_query("variance_ratio_20"), "fact_leverage": fact_query("leverage"), "battery_long": lambda spark, d: rounded(long_of(spark, d)),
         "battery_summary": lambda spark, d: rounded(battery.summary(long_of(spark, d))), "hill_sensitivity": sensitivity,
         "gen_garch": gen_garch, "real_vs_real": real_vs_real, "power_table": lambda spark, d: rounded(against(spark, d)), "perm_pvalue": permutation, "bootstrap_ci": bootstrap,
-        "separation": separation, "effective_n": effective, "interval_inflation": inflation, "ks_per_series": strata, "tail_sweep": sweep, "cum_paths": bands, "zero_runs": zero_runs,
+        "separation": separation, "power_intervals": power_intervals, "interval_widths": interval_widths, "effective_n": effective, "interval_inflation": inflation, "ks_per_series": strata, "tail_sweep": sweep, "cum_paths": bands, "zero_runs": zero_runs,
         "top3_stats": lambda spark, d: rounded(reports.top_stats(against(spark, d))), "worst_case_stat": lambda spark, d: rounded(reports.worst_cases(against(spark, d))),
         "all_reject": all_reject, "power_pivot": power_pivot, "validity_gates": gates, "deterministic_gate": ends, "drift_gate": drift_gate,
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
@@ -506,6 +518,16 @@ def oracle_sql() -> dict[str, str]:
     out["gen_garch"] = f"SELECT generator, run, i, {R6('r')} AS r FROM ({sql.generator('garch_norm', 4, 100)})"
     out["real_vs_real"] = f"WITH {BATTERY}, {REAL_SIDES}, {sql.compared('stat')} SELECT stat, n_a, n_b, {numbers} FROM cmp"
     out["power_table"] = f"{AGAINST} SELECT stat, generator, n_a, n_b, {numbers} FROM cmp"
+    drawn = lambda s, size: f"d{s} AS (SELECT rep, pos, count(*) AS w FROM (SELECT rep, floor({sql.uniform(str(sql.SEED), chr(39) + 'boot' + chr(39), 'rep', chr(39) + s + chr(39), 'slot')} * n)::BIGINT AS pos FROM (SELECT n, unnest(range(n)) AS slot FROM {size}), range({BOOTSTRAPS}) AS p(rep)) GROUP BY rep, pos)"
+    cells = f"""{AGAINST}, ra AS (SELECT stat, value, dense_rank() OVER (ORDER BY series_id || '-' || lpad(start::VARCHAR, 12, '0')) - 1 AS pos FROM flong), rb AS (SELECT stat, generator, value, run AS pos FROM glong),
+na AS (SELECT max(pos) + 1 AS n FROM ra), nb AS (SELECT max(pos) + 1 AS n FROM rb), {drawn('a', 'na')}, {drawn('b', 'nb')},
+wb AS MATERIALIZED (SELECT stat, generator, rep, value, w FROM rb JOIN db USING (pos)), wa AS MATERIALIZED (SELECT stat, generator, rep, value, w FROM ra JOIN da USING (pos), names),
+al AS (SELECT stat, generator, rep, value, sum(wa) AS wa, sum(wb) AS wb FROM (SELECT stat, generator, rep, value, w AS wa, 0 AS wb FROM wa UNION ALL SELECT stat, generator, rep, value, 0, w FROM wb) GROUP BY ALL),
+iu AS (SELECT stat, generator, rep, wa, wb, sum(wb) OVER (PARTITION BY stat, generator, rep ORDER BY value) AS cb FROM al),
+it AS (SELECT stat, generator, rep, sum(wa) AS ta, sum(wb) AS tb, sum(wa * cb) AS hit, sum(wa * wb) AS tie FROM iu GROUP BY ALL),
+iv AS (SELECT stat, generator, quantile_cont(power, 0.025) AS ci_lo, quantile_cont(power, 0.975) AS ci_hi FROM (SELECT stat, generator, 2 * abs((2 * ta * tb - 2 * hit + tie)::DOUBLE / (2 * ta * tb) - 0.5) AS power FROM it) GROUP BY ALL)"""
+    out["power_intervals"] = f"{cells} SELECT stat, generator, {R6('power')} AS power, {R6('ci_lo')} AS ci_lo, {R6('ci_hi')} AS ci_hi FROM cmp JOIN iv USING (stat, generator)"
+    out["interval_widths"] = f"{cells} SELECT stat, {R6('avg(round(ci_hi, 6) - round(ci_lo, 6))')} AS mean_width FROM iv GROUP BY stat"
     out["perm_pvalue"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT * FROM sam WHERE value IS NOT NULL),
 per AS (SELECT *, count(*) FILTER (WHERE side = 'a') OVER (PARTITION BY stat) AS k FROM fnd),
 dealt AS (SELECT stat, perm, value, CASE WHEN row_number() OVER (PARTITION BY stat, perm ORDER BY md5(concat_ws('|', {sql.SEED}, 'perm', perm, side, series_id, start)), side, series_id, start) <= k THEN 'a' ELSE 'b' END AS side FROM per, range({PERMUTATIONS}) AS p(perm)),

@@ -153,3 +153,23 @@ def test_payloads_resume_and_guard(spark, tmp_path):
     again = results.load(spark, str(tmp_path / "out"), "loss int, model string")
     made = results.resumed(spark.createDataFrame([("m1",), ("m3",)], "model string"), again.select("model"), ["model"], lambda rest: rest)
     assert sorted(r.model for r in made.collect()) == ["m1", "m2", "m3"]
+
+
+@pytest.mark.parametrize("together", [1000, 3])
+def test_intervals_of_cells_share_their_draws(spark, together):
+    g = np.random.default_rng(21)
+    real = [(s, f"w{k:02d}", None if (s, k) == ("y", 3) else float(v)) for s in "xy" for k, v in enumerate(g.normal(size=11).round(1))]
+    made = [(s, m, f"r{k:02d}", float(v)) for s in "xy" for m in ("p", "q") for k, v in enumerate(g.normal(0.5, 1, 9).round(1))] + [("z", "p", "r00", 1.0)]
+    a = spark.createDataFrame(real, "stat string, id string, value double").repartition(3)
+    b = spark.createDataFrame(made, "stat string, generator string, id string, value double").repartition(3)
+    draw = lambda r, s, n: [int(int(hashlib.md5(f"5|boot|{r}|{s}|{k}".encode()).hexdigest()[:8], 16) / 4294967296 * n) for k in range(n)]
+
+    def power(x, y):
+        return 2 * abs(sum((v > u) + 0.5 * (v == u) for u in x for v in y) / (len(x) * len(y)) - 0.5)
+
+    got = {(r.stat, r.generator): (r.power, r.ci_lo, r.ci_hi) for r in twosample.cell_intervals(a, b, ["stat", "generator"], "stat", 30, 5, together).collect()}
+    assert set(got) == {(s, m) for s in "xy" for m in "pq"} | {("z", "p")} - ({("z", "p")} if ("z", "p") not in got else set())
+    for s, m in [(s, m) for s in "xy" for m in "pq"]:
+        x, y = [v for t, _, v in real if t == s], [v for t, k, _, v in made if (t, k) == (s, m)]
+        powers = [power([x[i] for i in draw(r, "a", 11) if x[i] is not None], [y[i] for i in draw(r, "b", 9)]) for r in range(30)]
+        assert got[s, m] == pytest.approx((power([v for v in x if v is not None], y), *np.percentile(powers, [2.5, 97.5])))
