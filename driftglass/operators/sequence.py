@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS, PART = 64, 1 << 16
@@ -66,6 +66,32 @@ def trailing_slices(rows: DataFrame, length: str, key=("series_id",), part: int
     return rows.join(met, [*key, "i"], "left")
 
 
+def autocorrelations(rows: DataFrame, lags: list[int], value: Column, key=("series_id",), part: int = PART) -> DataFrame:
+    """key, lag, acf of value over whole series numbered by i without gaps, of any length; null without spread.
+
+    A part also gets the rows before it that its lags reach, so lags need no order over a whole key.
+    """
+    most = max(lags)
+    part = max(part, most)
+    rows = rows.select(*key, "i", value.alias("x"))
+    rows = rows.join(rows.groupBy(*key).agg(F.avg("x").alias("middle")), list(key)).withColumn("x", F.col("x") - F.col("middle"))
+    own = F.floor(F.col("i") / part)
+    rows = rows.withColumn("own", own).withColumn("_part", F.explode(F.when(F.col("i") % part >= part - most, F.array(own, own + 1)).otherwise(F.array(own))))
+    ordered = Window.partitionBy(*key, "_part").orderBy("i")
+    rows = rows.select(*key, "x", (F.col("own") == F.col("_part")).alias("mine"), *(F.lag("x", k).over(ordered).alias(f"x{k}") for k in lags)).where("mine")
+    sums = rows.groupBy(*key).agg(F.sum(F.col("x") * F.col("x")).alias("all"), *(F.sum(F.col("x") * F.col(f"x{k}")).alias(f"s{k}") for k in lags))
+    found = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.try_divide(f"s{k}", F.nullif(F.col("all"), F.lit(0.0))).alias("acf")) for k in lags))).alias("f")
+    return sums.select(*key, found).select(*key, "f.*")
+
+
+def smoothed_autocorrelations(rows: DataFrame, lags: list[int], value: Column, key=("series_id",), part: int = PART) -> DataFrame:
+    """key, lag, acf: the mean of a lag's and its neighbours' autocorrelation (of lag 1: the first two)."""
+    around = {k: [j for j in (k - 1, k, k + 1) if j > 0] for k in lags}
+    found = autocorrelations(rows, sorted({j for js in around.values() for j in js}), value, key, part).withColumnRenamed("lag", "near")
+    near = rows.sparkSession.createDataFrame([(k, j) for k, js in around.items() for j in js], "lag int, near int")
+    return found.join(F.broadcast(near), "near").groupBy(*key, "lag").agg(F.when(F.count("acf") == F.count("*"), F.avg("acf")).alias("acf"))
+
+
 def path_bands(paths: DataFrame, by=("start",)) -> DataFrame:
     """Median and 1 and 99 percent of paths at each step."""
     return paths.groupBy(*by, "step").agg(F.count("*").alias("paths"), F.median("path").alias("median"), F.percentile("path", F.lit(0.01)).alias("lo"), F.percentile("path", F.lit(0.99)).alias("hi"))

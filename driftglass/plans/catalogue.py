@@ -155,7 +155,7 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(robustness.tail_sweep(windows_of(spark, d), synthetic(spark, d, ("student_t", "iid_bootstrap"))))
+    return rounded(robustness.tail_sweep(windows_of(spark, d), synthetic(spark, d, ("garch_t", "block_bootstrap"))))
 
 
 def sensitivity(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +292,37 @@ def generator_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(params.join(bounds, "model", "left").select("model", "param", "value", "loss", "default_loss", "evaluations", "at_bound"))
 
 
+LAGS = [1, 5, 10, 25, 50, 100]
+
+
+def smoothed_acf(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.returns(series.li6(spark, d))
+    return rounded(sequence.smoothed_autocorrelations(rows, LAGS, F.abs("r"), part=4096))
+
+
+def zero_shares(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.zero_share_gate(paths_like(spark, d))
+
+
+def simplex(spark: SparkSession, d: str) -> DataFrame:
+    """Quantity, discount and tax of an order line as weights."""
+    rows = series.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 100).alias("w_a"), F.col("l_discount").alias("w_b"), F.col("l_tax").alias("w_c"))
+    return rounded(calibration.on_simplex(rows, ["w_a", "w_b", "w_c"]))
+
+
+def override(spark: SparkSession, d: str) -> DataFrame:
+    """The range of every statistic in every series, its upper end replaced by the median in two of them."""
+    edges = long_of(spark, d).groupBy(F.col("series_id").alias("model"), F.col("stat").alias("param")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.median("value").alias("middle"))
+    edges = stored(edges, "edges")
+    changes = edges.where("model IN ('AF', 'NO')").select("model", "param", F.lit(None).cast("double").alias("lo"), F.col("middle").alias("hi"))
+    return rounded(calibration.overridden(edges.drop("middle"), changes))
+
+
+def listed_labels(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.concat_ws(",", F.lit(" B side"), F.upper("lang"), F.lit(""), F.concat(F.lit("  "), F.col("source"), F.lit(" ")), F.when(F.col("doc_id") % 3 == 0, F.lit("a")))
+    return series.table(spark, d, "documents").select("doc_id", F.array_join(text.labels(listed), "|").alias("labels"))
+
+
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return series.table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("body"))
 
@@ -463,7 +494,7 @@ def queries() -> dict:
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
         "payload_returns": payload_returns, "loaded_returns": loaded_returns, "audit_stream": audit_stream, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
-        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "smoothed_acf": smoothed_acf, "zero_share_gate": zero_shares, "simplex_weights": simplex, "range_overrides": override, "audit_labels": listed_labels, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -549,11 +580,24 @@ sam AS (SELECT stat, stratum, 'a' AS side, value FROM rl UNION ALL SELECT stat,
     cases = [(s, f) for s in ("left", "right") for f in ("0.025", "0.05", "0.1")]
     real = " UNION ALL ".join(f"SELECT '{s}' AS tail, {f}::DOUBLE AS frac, {sql.hill(s, f)} AS value FROM rk GROUP BY series_id, start" for s, f in cases)
     made = " UNION ALL ".join(f"SELECT generator, '{s}' AS tail, {f}::DOUBLE AS frac, {sql.hill(s, f)} AS value FROM gk GROUP BY generator, run" for s, f in cases)
-    out["tail_sweep"] = f"""WITH {sql.windows()}, {sql.POOL}, gen AS ({sql.generated(('student_t', 'iid_bootstrap'), RUNS, 1000)}), rk AS ({sql.ranked('w', 'series_id, start')}), gk AS ({sql.ranked('gen', 'generator, run')}),
+    out["tail_sweep"] = f"""WITH {sql.windows()}, {sql.POOL}, gen AS ({sql.generated(('garch_t', 'block_bootstrap'), RUNS, 1000)}), rk AS ({sql.ranked('w', 'series_id, start')}), gk AS ({sql.ranked('gen', 'generator, run')}),
 rl AS ({real}), sy AS ({made}), sam AS (SELECT tail, frac, generator, 'a' AS side, value FROM rl, (SELECT DISTINCT generator FROM gen) UNION ALL SELECT tail, frac, generator, 'b', value FROM sy), {sql.compared('tail, frac, generator')}
 SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM cmp JOIN (SELECT tail, frac, median(value) AS md FROM rl GROUP BY ALL) USING (tail, frac)"""
     out["cum_paths"] = f"""WITH {sql.windows(stride=1000)}, cp AS (SELECT i - start AS step, sum(r) OVER (PARTITION BY series_id, start ORDER BY i) AS path FROM w)
 SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp GROUP BY step"""
+    near = ", ".join(f"({k}, {j})" for k in LAGS for j in (k - 1, k, k + 1) if j > 0)
+    every = sorted({j for k in LAGS for j in (k - 1, k, k + 1) if j > 0})
+    out["smoothed_acf"] = f"""WITH {sql.returns('li6')}, cx AS (SELECT series_id, i, abs(r) - avg(abs(r)) OVER (PARTITION BY series_id) AS x FROM ret),
+lx AS (SELECT series_id, x, {', '.join(f'lag(x, {j}) OVER o AS x{j}' for j in every)} FROM cx WINDOW o AS (PARTITION BY series_id ORDER BY i)),
+ac AS (SELECT series_id, [{', '.join(f'sum(x * x{j}) / sum(x * x)' for j in every)}] AS a FROM lx GROUP BY 1),
+un AS (SELECT series_id, unnest(a) AS acf, unnest({every}) AS near FROM ac)
+SELECT series_id, lag, {R6('avg(acf)')} AS acf FROM un JOIN (SELECT * FROM (VALUES {near}) AS v(lag, near)) USING (near) GROUP BY series_id, lag"""
+    out["zero_share_gate"] = f"WITH {PATHS} SELECT candidate, seed, CASE WHEN avg((abs(r) < 1e-12)::INT) > 0.03 THEN 'zeros' END AS reason FROM pa GROUP BY candidate, seed"
+    weights = "l_quantity / 100 AS a, l_discount AS b, l_tax AS c"
+    out["simplex_weights"] = f"SELECT l_orderkey, l_linenumber, {', '.join(f'{R6(w + ' / nullif(a + b + c, 0)')} AS w_{w}' for w in 'abc')} FROM (SELECT l_orderkey, l_linenumber, {weights} FROM lineitem)"
+    upper = "CASE WHEN series_id IN ('AF', 'NO') THEN median(value) ELSE max(value) END"
+    out["range_overrides"] = f"WITH {BATTERY} SELECT series_id AS model, stat AS param, {R6('min(value)')} AS lo, {R6(upper)} AS hi FROM flong GROUP BY series_id, stat"
+    out["audit_labels"] = "SELECT doc_id, array_to_string(list_sort(list_filter(list_transform(string_split(concat_ws(',', ' B side', upper(lang), '', '  ' || source || ' ', CASE WHEN doc_id % 3 = 0 THEN 'a' END), ','), lambda x: lower(trim(x))), lambda x: x <> '')), '|') AS labels FROM documents"
     out["trailing_slices"] = f"""WITH {sql.returns('li6')}, ms AS (SELECT *, i * 37 % 120 + 1 AS m FROM ret)
 SELECT series_id, a.i, any_value(a.m) AS m, {R6('avg(b.r)')} AS mean, {R6('var_pop(b.r)')} AS variance FROM ms a JOIN ret b USING (series_id) WHERE b.i > a.i - a.m AND b.i <= a.i GROUP BY series_id, a.i"""
     dims = ", ".join(f"({dim}, '{stat}')" for dim, stat in enumerate(sorted(sql.STATS)))
