@@ -122,3 +122,17 @@ def joint_counts(samples: DataFrame, by: list[str], weight: str | None = None) -
     inside = Window.partitionBy(*by, "part").orderBy("value")
     out = counts.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(parts, [*by, "part"])
     return out.select(*by, "value", "a", "b", (F.col("ca") + F.col("before_pa")).alias("cum_a"), (F.col("cb") + F.col("before_pb")).alias("cum_b"), "n_a", "n_b")
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, share, value: exact percentiles of groups of any size, between neighbours as usual; nulls count for nothing.
+
+    Distinct values are counted and cumulated in ranges, and each wanted place is the least value whose count reaches beyond it, so
+    no state holds the values of a group."""
+    counts = joint_counts(rows.select(*by, F.col(value).alias("value"), F.lit("a").alias("side")), by)
+    places = {k: F.lit(float(p)) * (F.col("n_a") - 1) for k, p in enumerate(shares)}
+    at = lambda place: F.min(F.when(F.col("cum_a") > place, F.col("value")))
+    held = counts.groupBy(*by).agg(F.max("n_a").alias("n_a"), *(at(f(x)).alias(f"{n}{k}") for k, x in places.items() for n, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda k: F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (places[k] - F.floor(places[k]))
+    found = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("share"), between(k).alias("value")) for k, p in enumerate(shares)))).alias("f")
+    return held.select(*by, found).select(*by, "f.*")

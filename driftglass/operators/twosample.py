@@ -55,10 +55,7 @@ def permutation_test(samples: DataFrame, by: list[str], row_id: list[str], times
     if small is not None:
         nulls.append(in_blocks(small, by, row_id, times, seed, permuted_gaps, "null_gap long"))
     if large is not None:
-        large = large.withColumn("n_side", F.count_if(F.col("side") == "a").over(Window.partitionBy(*by)))
-        large = large.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-        deal = Window.partitionBy(*by, "perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("perm"), "perm", "side", *row_id)), "side", *row_id)
-        dealt = large.withColumn("side", F.when(F.row_number().over(deal) <= F.col("n_side"), "a").otherwise("b")).select(*by, "perm", "side", "value")
+        dealt = dealt_labels(large, by, row_id, times, seed)
         nulls.append(compared(dealt, [*by, "perm"]).select(*by, F.col("gap").alias("null_gap")))
     null = nulls[0].unionByName(nulls[1]) if len(nulls) > 1 else nulls[0]
     null_ks = F.when(F.col("ks").isNotNull(), F.col("null_gap") / (F.col("n_a") * F.col("n_b")))
@@ -66,6 +63,25 @@ def permutation_test(samples: DataFrame, by: list[str], row_id: list[str], times
     return out.select(*by, "ks", F.when(F.col("ks").isNotNull(), (F.col("above") + 1) / (times + 1)).alias("pvalue"), "null95")
 
 
+def dealt_labels(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int) -> DataFrame:
+    """by, perm, side, value: labels of rows(by, side, row_id, value) dealt anew `times` times, 'a' to as many as have it, the least by a keyed hash.
+
+    Hashes are counted in ranges by their first digits. The ranges before the one in which the 'a' end are all 'a', those after it 'b'; only
+    that range's own rows, a few thousandths, are put in order."""
+    sizes = rows.groupBy(*by).agg(F.count_if(F.col("side") == "a").alias("n_side"))
+    rows = rows.select(*by, "side", *row_id, "value").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    rows = rows.withColumn("hash", F.md5(F.concat_ws("|", F.lit(seed), F.lit("perm"), "perm", "side", *row_id))).withColumn("range", F.substring("hash", 1, 3))
+    upto = F.sum("n").over(Window.partitionBy(*by, "perm").orderBy("range"))
+    counts = rows.groupBy(*by, "perm", "range").agg(F.count("*").alias("n")).withColumn("upto", upto).join(sizes, by)
+    edge = counts.where((F.col("upto") >= F.col("n_side")) & (F.col("upto") - F.col("n") < F.col("n_side")))
+    edge = edge.select(*by, "perm", F.col("range").alias("edge"), (F.col("n_side") - F.col("upto") + F.col("n")).alias("left"))  # a row a group and permutation
+    rows = rows.join(edge, [*by, "perm"], "left")  # no edge: no 'a' at all
+    place = F.row_number().over(Window.partitionBy(*by, "perm").orderBy("hash", "side", *row_id))
+    border = rows.where("range = edge").withColumn("dealt", F.when(place <= F.col("left"), "a").otherwise("b"))
+    rest = rows.where("edge IS NULL OR range <> edge").withColumn("dealt", F.when(F.col("range") < F.col("edge"), "a").otherwise("b"))
+    return border.unionByName(rest).select(*by, "perm", F.col("dealt").alias("side"), "value")
+
+
 def bootstrap_power(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, together: int = TOGETHER) -> DataFrame:
     """by, ci_lo, ci_hi: 2.5 and 97.5 percent of the power when both sides are drawn anew with replacement.
 

@@ -292,6 +292,14 @@ def generator_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(params.join(bounds, "model", "left").select("model", "param", "value", "loss", "default_loss", "evaluations", "at_bound"))
 
 
+SHARES = [0.0, 0.01, 0.025, 0.5, 0.975, 0.99, 1.0]
+
+
+def price_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.table(spark, d, "lineitem").select("l_returnflag", "l_shipdate", F.col("l_extendedprice").cast("double").alias("price"))
+    return rounded(sequence.percentiles(rows, ["l_returnflag"], "price", SHARES))
+
+
 LAGS = [1, 5, 10, 25, 50, 100]
 
 
@@ -494,7 +502,7 @@ def queries() -> dict:
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
         "payload_returns": payload_returns, "loaded_returns": loaded_returns, "audit_stream": audit_stream, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
-        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "smoothed_acf": smoothed_acf, "zero_share_gate": zero_shares, "simplex_weights": simplex, "range_overrides": override, "audit_labels": listed_labels, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "smoothed_acf": smoothed_acf, "price_percentiles": price_percentiles, "zero_share_gate": zero_shares, "simplex_weights": simplex, "range_overrides": override, "audit_labels": listed_labels, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -585,6 +593,7 @@ rl AS ({real}), sy AS ({made}), sam AS (SELECT tail, frac, generator, 'a' AS sid
 SELECT tail, frac, generator, {R6('ks')} AS ks, {R6('md')} AS real_median FROM cmp JOIN (SELECT tail, frac, median(value) AS md FROM rl GROUP BY ALL) USING (tail, frac)"""
     out["cum_paths"] = f"""WITH {sql.windows(stride=1000)}, cp AS (SELECT i - start AS step, sum(r) OVER (PARTITION BY series_id, start ORDER BY i) AS path FROM w)
 SELECT step, count(*) AS paths, {R6('median(path)')} AS median, {R6('quantile_cont(path, 0.01)')} AS lo, {R6('quantile_cont(path, 0.99)')} AS hi FROM cp GROUP BY step"""
+    out["price_percentiles"] = " UNION ALL ".join(f"SELECT l_returnflag, {p}::DOUBLE AS share, {R6(f'quantile_cont(l_extendedprice::DOUBLE, {p})')} AS value FROM lineitem GROUP BY 1" for p in SHARES)
     near = ", ".join(f"({k}, {j})" for k in LAGS for j in (k - 1, k, k + 1) if j > 0)
     every = sorted({j for k in LAGS for j in (k - 1, k, k + 1) if j > 0})
     out["smoothed_acf"] = f"""WITH {sql.returns('li6')}, cx AS (SELECT series_id, i, abs(r) - avg(abs(r)) OVER (PARTITION BY series_id) AS x FROM ret),

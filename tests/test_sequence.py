@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftglass.operators import sequence
 
@@ -45,3 +46,29 @@ def test_paths_over_parts(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(r)], "series_id string, i long, r double").repartition(3)
     got = {x.i: x.path for x in sequence.cumulative_paths(df, part=6).collect()}
     assert [got[i] for i in range(50)] == pytest.approx(np.cumsum(r))
+
+
+def test_percentiles_are_exact(spark):
+    g = np.random.default_rng(4)
+    data = {"a": g.normal(size=700).round(2).tolist(), "b": [1.0], "c": [2.0, 5.0], "d": [3.0] * 40 + [None] * 5}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("none", None)], "k string, v double").repartition(3)
+    shares = [0.0, 0.01, 0.3, 0.5, 0.975, 1.0]
+    got = {(r.k, r.share): r.value for r in sequence.percentiles(df, ["k"], "v", shares).collect()}
+    assert got == pytest.approx({(k, p): float(np.percentile([v for v in vs if v is not None], 100 * p)) for k, vs in data.items() for p in shares})
+
+
+@pytest.mark.parametrize("part", [12, sequence.PART])
+def test_smoothed_autocorrelations(spark, part):
+    g = np.random.default_rng(5)
+    data = {"a": g.normal(size=83), "b": g.normal(size=12), "flat": np.ones(30)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, r in data.items() for i, v in enumerate(r)], "series_id string, i long, r double").repartition(3)
+    got = {(x.series_id, x.lag): x.acf for x in sequence.smoothed_autocorrelations(df, [1, 4, 9], F.abs("r"), part=part).collect()}
+
+    def acf(r, k):
+        x = np.abs(r) - np.abs(r).mean()
+        return (x[k:] * x[:-k]).sum() / (x * x).sum()
+
+    for k, r in data.items():
+        for lag in (1, 4, 9):
+            near = [j for j in (lag - 1, lag, lag + 1) if j]
+            assert got[k, lag] == (None if k == "flat" else pytest.approx(np.mean([acf(r, j) for j in near])))
