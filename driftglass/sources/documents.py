@@ -21,6 +21,7 @@ from driftglass.functions import text
 LEAST_HTML, LEAST_PACKAGE, LEAST_CACHED, MEMBER_MOST = 20_000, 1000, 2000, 3_000_000
 MEMBERS = (".tex", ".bbl", ".txt")
 # End of fixed values.
+UNPACKED_MOST = 200_000_000  # bytes that a package may unpack to; one that goes on beyond that counts as not readable
 DECODED = "doc_id string, packed string, how string"
 
 
@@ -34,20 +35,27 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.endswith(".html"), "html").otherwise("package")
-    return rows.select(F.regexp_replace(name, r"\.[A-Za-z]+$", "").alias("doc_id"), kind.alias("kind"), "content")
+    return rows.select(F.regexp_replace(name, r"(\.tar)?\.[A-Za-z]+$", "").alias("doc_id"), kind.alias("kind"), "content")
 
 
-def unpacked(content: bytes | None) -> tuple[str | None, str]:
-    """The text of a source package, and how it was packed; nothing if it is too short or not readable."""
+def unpacked(content: bytes | None, most: int = UNPACKED_MOST) -> tuple[str | None, str]:
+    """The text of a source package, and how it was packed; nothing if it is too short, too large or not readable."""
     if content is None or len(content) <= LEAST_PACKAGE:
         return None, "fail"
     try:
         with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-            held = [archive.extractfile(m).read() for m in archive.getmembers() if m.isfile() and m.name.lower().endswith(MEMBERS) and m.size < MEMBER_MOST]
+            held = []
+            for m in archive:
+                if m.offset_data + m.size > most:  # before anything of it is unpacked
+                    return None, "fail"
+                if m.isfile() and m.name.lower().endswith(MEMBERS) and m.size < MEMBER_MOST:
+                    held.append(archive.extractfile(m).read())
         return (" ".join(x.decode("utf-8", "ignore") for x in held), "package") if held else (None, "fail")
-    except tarfile.TarError:
+    except (tarfile.TarError, EOFError, OSError):
         try:
-            return gzip.decompress(content).decode("utf-8", "ignore"), "compressed"
+            with gzip.GzipFile(fileobj=io.BytesIO(content)) as file:
+                text = file.read(most + 1)
+            return (text.decode("utf-8", "ignore"), "compressed") if len(text) <= most else (None, "fail")
         except (OSError, EOFError):
             return None, "fail"
 

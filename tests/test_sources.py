@@ -42,3 +42,18 @@ def test_manifest_and_cache(spark, tmp_path):
     got = documents.read_through(wanted.select("doc_id"), cache, fetch)
     assert {(r.doc_id, r.how) for r in got.collect()} == {("a", "cached"), ("b", "html"), ("c", "fail")}
     assert {tuple(r) for r in documents.accounting(got).collect()} == {("cached", 1), ("html", 1), ("fail", 1)}
+
+
+def test_packages_that_grow_without_end(tmp_path):
+    noise = bytes(random.Random(1).randrange(97, 123) for _ in range(5000))
+    packed = gzip.compress(noise + b"a" * 3_000_000)
+    assert documents.unpacked(packed)[1] == "compressed" and documents.unpacked(packed, 1_000_000) == (None, "fail")
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as archive:
+        for name, body in (("a.tex", noise), ("b.dat", b"a" * 2_000_000), ("c.txt", b"end")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            archive.addfile(info, io.BytesIO(body))
+    assert documents.unpacked(buffer.getvalue()) == (noise.decode() + " end", "package")
+    assert documents.unpacked(buffer.getvalue(), 1_000_000) == (None, "fail")
+    assert documents.unpacked(packed[:2000]) == (None, "fail") and documents.unpacked(b"x" * 2000) == (None, "fail")
