@@ -136,6 +136,14 @@ def power_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(twosample.cell_intervals(real, made, ["stat", "generator"], "stat", BOOTSTRAPS, sql.SEED))
 
 
+def worst_case_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Each statistic's least power over the generators, its bootstrap interval, and the same cell with windows that don't overlap."""
+    cells = stored(power_intervals(spark, d), "cells")
+    apart = against(spark, d, stride=1000).select("stat", "generator", F.round("power", 6).alias("power_apart"))
+    worst = reports.worst_cases(cells)
+    return worst.join(cells.drop("power"), ["stat", "generator"]).join(apart, ["stat", "generator"], "left")
+
+
 def interval_widths(spark: SparkSession, d: str) -> DataFrame:
     """Each statistic's mean width of the intervals over the generators."""
     return rounded(power_intervals(spark, d).groupBy("stat").agg(F.avg(F.col("ci_hi") - F.col("ci_lo")).alias("mean_width")))
@@ -442,6 +450,13 @@ def page_sources(spark: SparkSession, d: str) -> DataFrame:
     return documents.read_through(pages.select("doc_id"), cache, fetch)
 
 
+def document_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as source packages, compressed or archived, stored and decoded again."""
+    held = stored(documents.as_packages(series.table(spark, d, "documents")), "packages")
+    rows = documents.decoded(held)
+    return rows.select("doc_id", "how", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def document_source(spark: SparkSession, d: str) -> DataFrame:
     return page_sources(spark, d).select("doc_id", "how", F.length("text").cast("long").alias("n_chars"))
 
@@ -502,7 +517,7 @@ def queries() -> dict:
         "all_reject_permuted": all_reject_permuted, "worst_case_table": worst_case_table, "power_nonoverlap": lambda spark, d: rounded(against(spark, d, stride=1000)),
         "target_scale": target_scale, "rejection_counts": rejections, "candidate_search": candidate_search, "hold_out": hold_out, "model_report": model_report,
         "payload_returns": payload_returns, "loaded_returns": loaded_returns, "audit_stream": audit_stream, "payload_verified": payload_verified, "sink_roundtrip": sinks, "audit_categories": audit_categories, "scalar_rules": scalar_rules,
-        "document_source": document_source, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "smoothed_acf": smoothed_acf, "price_percentiles": price_percentiles, "zero_share_gate": zero_shares, "simplex_weights": simplex, "range_overrides": override, "audit_labels": listed_labels, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
+        "document_source": document_source, "document_packages": document_packages, "worst_case_intervals": worst_case_intervals, "fetch_accounting": lambda spark, d: documents.accounting(page_sources(spark, d)), "fit_windows": fits, "fit_series": whole_fits, "series_likelihood": series_likelihood, "trailing_slices": trailing, "smoothed_acf": smoothed_acf, "price_percentiles": price_percentiles, "zero_share_gate": zero_shares, "simplex_weights": simplex, "range_overrides": override, "audit_labels": listed_labels, "search_draws": search_draws, "generator_search": generator_search, "at_bound": bounds, "loss_table": loss_table, "frontier_topk": frontier,
         "audit_strip_html": html_text, "audit_strip_refs": references, "audit_counts": audit_counts, "audit_inclusion": audit_inclusion, "audit_prevalence": audit_prevalence,
         "payload_digest": digest, "resume_antijoin": resume, "mid_ranks": mid_ranks,
     }
@@ -566,6 +581,8 @@ iu AS (SELECT stat, generator, rep, wa, wb, sum(wb) OVER (PARTITION BY stat, gen
 it AS (SELECT stat, generator, rep, sum(wa) AS ta, sum(wb) AS tb, sum(wa * cb) AS hit, sum(wa * wb) AS tie FROM iu GROUP BY ALL),
 iv AS (SELECT stat, generator, quantile_cont(power, 0.025) AS ci_lo, quantile_cont(power, 0.975) AS ci_hi FROM (SELECT stat, generator, 2 * abs((2 * ta * tb - 2 * hit + tie)::DOUBLE / (2 * ta * tb) - 0.5) AS power FROM it) GROUP BY ALL)"""
     out["power_intervals"] = f"{cells} SELECT stat, generator, {R6('power')} AS power, {R6('ci_lo')} AS ci_lo, {R6('ci_hi')} AS ci_hi FROM cmp JOIN iv USING (stat, generator)"
+    out["worst_case_intervals"] = f"""SELECT stat, generator, power, ci_lo, ci_hi, power_apart FROM (SELECT *, row_number() OVER (PARTITION BY stat ORDER BY power, generator) AS place FROM ({out['power_intervals']}) WHERE power IS NOT NULL)
+LEFT JOIN (SELECT stat, generator, power AS power_apart FROM ({against_sql(1000)} SELECT stat, generator, {R6('power')} AS power FROM cmp)) USING (stat, generator) WHERE place = 1"""
     out["interval_widths"] = f"{cells} SELECT stat, {R6('avg(round(ci_hi, 6) - round(ci_lo, 6))')} AS mean_width FROM iv GROUP BY stat"
     out["perm_pvalue"] = f"""WITH {BATTERY}, {REAL_SIDES}, fnd AS (SELECT * FROM sam WHERE value IS NOT NULL),
 per AS (SELECT *, count(*) FILTER (WHERE side = 'a') OVER (PARTITION BY stat) AS k FROM fnd),
@@ -658,6 +675,8 @@ SELECT l_orderkey, l_linenumber, round_even(p / 8, 0)::BIGINT AS whole, {R6('gre
 {R6('100 * (p - 1.5::DOUBLE)')} AS steps, {R6('CASE WHEN x + y > 0.95::DOUBLE THEN x * (0.95::DOUBLE / (x + y)) ELSE x END')} AS a, {R6('CASE WHEN x + y > 0.95::DOUBLE THEN y * (0.95::DOUBLE / (x + y)) ELSE y END')} AS b,
 replace(name, '/', '_') AS id, replace(url_encode(name), '%20', '+') AS quoted, substr(repeat(name, 20), 1, 110) AS title, DATE '1970-01-01' + l_orderkey::INT AS day FROM t"""
     fetched = f"SELECT page_id::VARCHAR AS doc_id, CASE WHEN page_id % 2 = 0 AND strlen(html) > 2000 THEN 'cached' WHEN length(html) > 1500 THEN 'html' ELSE 'fail' END AS how, html, {STRIPPED} AS body FROM pages"
+    flat = r"regexp_replace(text, '\s+', ' ', 'g')"
+    out["document_packages"] = f"SELECT doc_id::VARCHAR AS doc_id, CASE WHEN strlen(text) > 1000 THEN 'compressed' ELSE 'package' END AS how, length({flat}) AS n_chars, sha256({flat}) AS sha256 FROM documents"
     out["document_source"] = f"SELECT doc_id, how, CASE how WHEN 'cached' THEN length(html) WHEN 'html' THEN length(body) END AS n_chars FROM ({fetched})"
     out["fetch_accounting"] = f"SELECT how, count(*) AS documents FROM ({fetched}) GROUP BY how"
     dailies = """cl AS (SELECT o_orderpriority AS series_id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, max(o_totalprice) AS close FROM orders GROUP BY 1, 2),

@@ -60,6 +60,29 @@ def unpacked(content: bytes | None, most: int = UNPACKED_MOST) -> tuple[str | No
             return None, "fail"
 
 
+def packed(text: str) -> bytes:
+    """A source package of one text: compressed, or as an archive with one member where that would be too short to count."""
+    body, out = text.encode(), io.BytesIO()
+    if len(body) > LEAST_PACKAGE:
+        return gzip.compress(body, 0, mtime=0)
+    with tarfile.open(fileobj=out, mode="w") as archive:
+        about = tarfile.TarInfo("text.txt")
+        about.size = len(body)
+        archive.addfile(about, io.BytesIO(body))
+    return out.getvalue()
+
+
+def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text_ in zip(batch.column("doc_id"), batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.string()), pa.array(["package"]), pa.array([packed(text_.as_py() or "")])], names=["doc_id", "kind", "content"])
+
+
+def as_packages(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, content of docs(doc_id, text): what `decoded` reads."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(pack_batches, "doc_id string, kind string, content binary")
+
+
 def unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, content in zip(batch.column("doc_id"), batch.column("content")):
