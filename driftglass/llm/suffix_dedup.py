@@ -332,8 +332,8 @@ def rim_matches(docs: DataFrame, contents: DataFrame, length: int, group_most: i
     A key's contents are compared in one task up to group_most of them, key after key in sorted order. Beyond that the
     strings themselves are counted by Spark, whatever their number.
     """
-    # rows that repeat as a whole are read each; their contents have two copies, so that changes nothing
-    listed = contents.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "key", "copies")).alias("suffixes"))
+    # rows that repeat as a whole are read each, their contents listed once; those have two copies, so that changes nothing
+    listed = contents.groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "key", "copies")).alias("suffixes"))
     reached = docs.join(listed, ROW).select(*ROW, "text", "suffixes").mapInArrow(content_batches(length), STRETCH + ", key long, copies long, bytes binary")
     reached = stored(reached, "contents")
     crowded = contents.groupBy("key").count().where(F.col("count") > group_most).select("key")
@@ -397,5 +397,5 @@ def suffix_dedup(docs: DataFrame, length: int = 200, batches: int = 3, group_mos
     whole, contents = index.repeated()
     rows = keyed(docs)
     marks = whole.unionByName(rim_matches(rows, contents, length, group_most))
-    marks = marks.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marks = marks.groupBy(*ROW).agg(F.collect_set(F.struct("start", "n")).alias("marks"))  # equal rows have equal marks, held once
     return rows.join(marks, ROW, "left").mapInArrow(cut_batches(length, with_text), RESULT)
