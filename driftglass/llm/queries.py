@@ -197,5 +197,25 @@ digest AS (SELECT sha256(string_agg(c, ',' ORDER BY p, e)) AS d FROM (SELECT p,
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, d AS codebooks_sha256 FROM kept JOIN coded USING (row), digest"""
 
 
+# the checksum's table comes from its polynomial, bit by bit; near words share what a deletion leaves
+SPELLING_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tbl),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS w FROM documents),
+own AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS seed, w, count(*) AS n FROM runs WHERE length(w) >= {spelling.LEAST_CHARS} GROUP BY doc_id, w),
+bytes AS (SELECT w, n, list_transform(range(1, strlen(seed) + 1), lambda k: ('0x' || substr(hex(encode(seed)), (2 * k - 1)::BIGINT, 2))::BIGINT) AS b FROM own),
+sums AS MATERIALIZED (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295], b), lambda c, x: xor(tbl[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM bytes, crc),
+hurt AS (SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS word, n FROM sums),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM hurt WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place FROM pairs p JOIN words o ON o.word = p.other),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.FACTOR} * w.n THEN other END AS form, CASE WHEN other_n >= {spelling.FACTOR} * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+up AS (SELECT word, word AS root, 0 AS far FROM formed UNION ALL SELECT up.word, f.form, far + 1 FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, far) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": code_sql(), "op3_near_dedup": SHINGLE_SQL, "op8_line_dedup": LINE_SQL, "op9_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
+    return {"op13_spelling_variants": SPELLING_SQL, "op11_vector_codes": code_sql(), "op3_near_dedup": SHINGLE_SQL, "op8_line_dedup": LINE_SQL, "op9_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
