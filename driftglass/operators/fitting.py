@@ -97,7 +97,8 @@ def fit_t_df(r: np.ndarray) -> float:
 
 
 def fit_windows(windows: DataFrame, key=("series_id", "start")) -> DataFrame:
-    """key, omega, alpha, beta, t_df of every window of windows(key, i, r)."""
+    """key, omega, alpha, beta, t_df of every window of windows(key, i, r). The number of partitions is given, as windows are
+    small and the work on them isn't."""
 
     def fit(k, rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values("i").r.to_numpy(float)
@@ -105,4 +106,5 @@ def fit_windows(windows: DataFrame, key=("series_id", "start")) -> DataFrame:
 
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", " + FIT
-    return windows.select(*key, "i", "r").groupBy(*key).applyInPandas(fit, schema)
+    rows = windows.select(*key, "i", "r").repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return rows.groupBy(*key).applyInPandas(fit, schema)

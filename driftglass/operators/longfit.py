@@ -41,7 +41,8 @@ def chunked(rows: DataFrame, by: str = "series_id", chunk: int = CHUNK) -> DataF
     about = rows.groupBy("key").agg(F.max("part").alias("last"), F.var_pop("r").alias("spread"), F.count("*").alias("n"))
     parts = rows.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("held"))
     parts = parts.select("key", "part", F.transform("held", lambda x: x["r"]).alias("r"))
-    return stored(parts.join(about, "key"), "parts")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parts are small and the work on them isn't
+    return stored(parts.join(about, "key").repartition(spread, "key", "part"), "parts")
 
 
 def held(column: pa.Array, k: int) -> np.ndarray:
