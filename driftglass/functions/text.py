@@ -19,13 +19,18 @@ CATEGORIES = {
 }
 MENTION = r"stylized fact|stylised fact"
 SIMULATION = r"agent[\s\-]based (model|simulation)|artificial (stock )?market|market simulat|simulated market|multi[\s\-]agent simulat"
+# What is cut from pages and from papers, and the share of a text behind which a heading counts.
+SCRIPT, TAG, SPACE = r"(?is)<(script|style)[^>]*>.*?</\1>", r"<[^>]+>", r"(?U)\s+"
+BIBLIOGRAPHY = ("\\begin{thebibliography}", "\\bibliography{", "\\printbibliography")
+ENTRY = r"(?s)\\bibitem.*?(?=\\bibitem|$)"
+HEADING, BEYOND = r"\b(?:References|REFERENCES|Bibliography)\b", 0.4
 # End of fixed values.
 
 
 def strip_html(html: Column) -> Column:
     """Scripts and styles go with their content, every other tag becomes a space, white space collapses."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    return F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"(?U)\s+", " ")
+    text = F.regexp_replace(html, SCRIPT, "")
+    return F.regexp_replace(F.regexp_replace(text, TAG, " "), SPACE, " ")
 
 
 def before(text: Column, place: Column) -> Column:
@@ -35,12 +40,12 @@ def before(text: Column, place: Column) -> Column:
 
 def strip_references(text: Column) -> Column:
     """Bibliographies are cut at their LaTeX markers, and at the last heading if it stands beyond 40 percent of the text."""
-    for mark in ("\\begin{thebibliography}", "\\bibliography{", "\\printbibliography"):
+    for mark in BIBLIOGRAPHY:
         text = before(text, F.instr(text, mark))
-    text = F.regexp_replace(text, r"(?s)\\bibitem.*?(?=\\bibitem|$)", " ")
-    head = F.regexp_extract(text, r"(?s)^(.*)\b(?:References|REFERENCES|Bibliography)\b", 1)
-    found = F.regexp_like(text, F.lit(r"\b(?:References|REFERENCES|Bibliography)\b"))
-    return F.when(found & (F.length(head) > 0.4 * F.length(text)), head).otherwise(text)
+    text = F.regexp_replace(text, ENTRY, " ")
+    head = F.regexp_extract(text, f"(?s)^(.*){HEADING}", 1)
+    found = F.regexp_like(text, F.lit(HEADING))
+    return F.when(found & (F.length(head) > BEYOND * F.length(text)), head).otherwise(text)
 
 
 def labels(listed: Column) -> Column:
