@@ -21,8 +21,8 @@ whole line of a document, or all of it, up to case and punctuation (matched and
 Long texts (over 200,000 characters) are cut behind the ends of sentences into pieces of about PIECE characters, with some words of the next one, so that
 a row never holds the windows of a whole long text; an alignment is one within a piece.
 
-Scale: windows are hashed where the text is read, all widths in one pass; a window's hash is put together from those of its
-halves, so it costs a few operations and not one for each word. The benchmark's windows are broadcast only up to
+Scale: windows are hashed where the text is read, all widths in one pass. Words are hashed once for each template; windows are
+slices of these hashes, taken where their places are exploded, in compiled code: lambda functions are interpreted, word by word. The benchmark's windows are broadcast only up to
 BROADCAST_WINDOWS (counted first); beyond that, hashes are shuffled for the join. Per document and item only counts are shuffled.
 
 Cases: null and empty texts match nothing; rows that share a doc_id are judged together; items with equal text each get
@@ -41,7 +41,7 @@ from driftglass.llm.storage import broadcast_if_small, stored
 # Units of measure, as written after numbers.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inches|in|lbs?|oz|mph|kph|km/h|%|percent|dollars?|cents?|euros?|usd|eur|°[CF]?"
 NUMBER = r"[-+]?[$€£]?\d+(?:[.,:/]\d+)*"
-INNER = r"(?<=[\p{Ll},;] )(?=\p{Lu}[\p{L}\p{M}]*\p{Ll})"
+INNER = r"(?=\p{Lu}[\p{L}\p{M}]*\p{Ll})(?<=[\p{Ll},;] )"  # the test that fails at most places comes first
 MARK, UNIT, NAMED = "\u0001", "\u0002", "\u0003"
 SHORTEST = 5
 PIECE, OVERLAP = 100_000, 4096  # characters
@@ -60,10 +60,10 @@ def pieces(text: Column, end: str, overlap: int) -> Column:
 
 def raw_words(text: Column) -> Column:
     """The words of a text: numbers after MARK, units after UNIT, names inside sentences after NAMED, others as they stand."""
-    text = F.translate(F.coalesce(text, F.lit("")), MARK + UNIT + NAMED, "   ")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{MARK}{UNIT}{NAMED}]", " ")
     text = F.regexp_replace(text, INNER, NAMED)
     text = F.regexp_replace(text, rf"(?=[-+$€£\d])(?<![\p{{L}}\p{{M}}\d])({NUMBER})(?:\s?({UNITS}))?(?![\p{{L}}\p{{M}}\d])", f" {MARK}$1 {UNIT}$2 ")
-    text = F.regexp_replace(text, rf"([{MARK}{UNIT}][^ ]*)|[^\p{{L}}\p{{M}}\p{{N}}{MARK}{UNIT}{NAMED}]+", "$1 ")  # values stay whole
+    text = F.regexp_replace(text, rf"(?=[^a-z])(?:([{MARK}{UNIT}][^ ]*)|[^\p{{L}}\p{{M}}\p{{N}}{MARK}{UNIT}{NAMED}]+)", "$1 ")  # values stay whole
     return F.filter(F.split(text, " "), lambda w: (w != "") & (w != UNIT))
 
 
@@ -73,11 +73,12 @@ def value(w: Column) -> Column:
 
 
 def placeholder(w: Column) -> Column:
-    return w.startswith(MARK) | w.startswith(UNIT)
+    return w < NAMED  # begins with MARK or UNIT
 
 
 def folded(w: Column) -> Column:
-    return F.when(w.startswith(MARK), MARK + "n").when(w.startswith(UNIT), MARK + "u").otherwise(value(w))
+    marked = F.when(w.startswith(MARK), MARK + "n").when(w.startswith(UNIT), MARK + "u").otherwise(value(w))
+    return F.when(w >= "\u0004", F.lower(w)).otherwise(marked)  # most words; spares the rest
 
 
 def capitalised(w: Column) -> Column:
@@ -105,50 +106,35 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def windows(raw: Column, widths: list[int]) -> Column:
-    """Structs (width, at, and a hash for each template) of every window of these widths, put together from 1, 2, 4, ... words."""
-
-    def together(a: Column, b: Column, by: int, f: Callable) -> Column:
-        many = F.greatest(F.lit(0), F.least(F.array_size(a), F.array_size(b) - by))
-        return F.zip_with(F.slice(a, 1, many), F.slice(b, by + 1, many), f)
-
-    def grown(first: Column, w: int, f: Callable) -> Column:
-        """f over every w neighbours of an array."""
-        bits = [1 << i for i in range(w.bit_length() - 1, -1, -1) if w >> i & 1]
-
-        def summed(made: Column, done: int, left: list[int], sizes: dict[int, Column]) -> Column:
-            if not left:
-                return made
-            return let(together(made, sizes[left[0]], done, f), lambda x: summed(x, done + left[0], left[1:], sizes))
-
-        def doubled(sizes: dict[int, Column], k: int) -> Column:
-            if k == bits[0]:
-                return summed(sizes[k], k, bits[1:], sizes)
-            return let(together(sizes[k], sizes[k], k, f), lambda x: doubled(sizes | {2 * k: x}, 2 * k))
-
-        return doubled({1: first}, 1)
-
-    hashed = lambda a, b: F.xxhash64(a, b)
+def word_hashes(raw: Column, least: Column) -> Column:
+    """Hashes of raw words by template: folded, inner, capital. Where placeholders of numbers and units can be more than half
+    of a window of `least` words or more (few texts have so many), also valued, of what stands there, and marks, 1 for a placeholder."""
     name = F.xxhash64(F.lit(MARK + "p"))
+    of_inner = lambda words, h: F.zip_with(words, h, lambda w, x: F.when(w.startswith(NAMED), name).otherwise(x))
+    of_capital = lambda words, h: F.zip_with(words, h, lambda w, x: F.when(capitalised(w), name).otherwise(x))
+    of_values = lambda words, h: F.zip_with(words, h, lambda w, x: F.when(placeholder(w), F.xxhash64(value(w))).otherwise(x))
+    marks = lambda words: F.transform(words, lambda w: F.when(placeholder(w), 1).otherwise(0))
+
+    def made(words: Column, h: Column) -> Column:
+        dense = 2 * F.array_size(F.filter(words, placeholder)) > least
+        valued = F.when(dense, F.struct(of_values(words, h).alias("hashes"), marks(words).alias("marks")))
+        return F.struct(h.alias("folded"), of_inner(words, h).alias("inner"), of_capital(words, h).alias("capital"), valued.alias("valued"))
 
-    def three(words: Column, fold: Column, inner: Column, capital: Column, w: int) -> Column:
-        # where placeholders of numbers and units are more than half of a window, it keeps its values; few texts have so many
-        n_values = F.array_size(F.filter(words, placeholder))
-        plain = lambda: F.transform(words, lambda x: F.when(placeholder(x), 0).otherwise(1))
-        valued = lambda: F.transform(words, lambda x: F.xxhash64(value(x)))
-        dense = let(plain(), lambda p: let(valued(), lambda v: F.zip_with(F.zip_with(let(fold, lambda x: grown(x, w, hashed)), grown(v, w, hashed), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), grown(p, w, lambda a, b: a + b), lambda h, n: F.when(2 * n >= w, h.a).otherwise(h.b))))
-        best = F.when(2 * n_values > w, dense).otherwise(grown(fold, w, hashed))
-        rows = F.arrays_zip(best.alias("folded"), grown(inner, w, hashed).alias("inner"), grown(capital, w, hashed).alias("capital"))
-        return F.transform(rows, lambda x, i: F.struct(F.lit(w).alias("width"), i.alias("at"), x.folded.alias("folded"), x.inner.alias("inner"), x.capital.alias("capital")))
+    return let(raw, lambda words: let(F.transform(words, lambda w: F.xxhash64(folded(w))), lambda h: made(words, h)))
 
-    def made(words: Column) -> Column:
-        fold = F.transform(words, lambda w: F.xxhash64(folded(w)))
-        of_inner = lambda h: F.zip_with(words, h, lambda w, x: F.when(w.startswith(NAMED), name).otherwise(x))
-        of_capital = lambda h: F.zip_with(words, h, lambda w, x: F.when(capitalised(w), name).otherwise(x))
-        all_widths = lambda h, i, c: F.flatten(F.array(*(three(words, h, i, c, w) for w in widths)))
-        return let(fold, lambda h: let(of_inner(h), lambda i: let(of_capital(h), lambda c: all_widths(h, i, c))))
 
-    return let(raw, made)
+def windows(rows: DataFrame, raw: Column, widths: Column) -> DataFrame:
+    """rows, for each window of these widths (an array, ascending) of their raw words: with width, at, and its hash in each template."""
+    keys = rows.columns
+    rows = rows.select("*", word_hashes(raw, widths[0]).alias("_words")).select(*keys, "_words.*")
+    rows = rows.select("*", F.explode(widths).alias("width"))
+    last = F.array_size("folded") - F.col("width")
+    rows = rows.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    hashed = lambda words: F.xxhash64(F.slice(words, F.col("at") + 1, F.col("width")))
+    # a window with fewer than half its words outside placeholders keeps its values
+    n_values = F.array_size(F.array_remove(F.slice("valued.marks", F.col("at") + 1, F.col("width")), 0))
+    best = F.when(F.col("valued").isNotNull() & (2 * n_values > F.col("width")), hashed("valued.hashes")).otherwise(hashed("folded"))
+    return rows.select(*keys, "width", "at", best.alias("folded"), hashed("inner").alias("inner"), hashed("capital").alias("capital"))
 
 
 def literal(words: Column, template: str) -> Column:
@@ -158,16 +144,15 @@ def literal(words: Column, template: str) -> Column:
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """item_id, width, item_at, hash, templates, used (it has the template `inner`), n_windows, n_used of items(item_id, raw, words)."""
     items = items.withColumn("own", F.least(F.lit(width), F.array_size("raw"))).where(F.col("own") >= SHORTEST)
-    found = windows(F.col("raw"), list(range(min(SHORTEST, width), width + 1)))
-    rows = items.select("item_id", "own", "words", F.explode(found).alias("x")).where("x.width = own")
-    rows = rows.withColumn("window", F.slice("words", F.col("x.at") + 1, F.col("own"))).drop("words")
+    rows = windows(items.select("item_id", "own", "words", "raw"), F.col("raw"), F.array("own"))
+    rows = rows.withColumn("window", F.slice("words", F.col("at") + 1, F.col("own"))).drop("words")
     enough = lambda template: 2 * literal(F.col("window"), template) >= F.col("own")
     made = F.array(
-        F.struct(F.lit("folded").alias("template"), F.col("x.folded").alias("hash")),
-        F.struct(F.when(enough("inner"), F.lit("inner")).alias("template"), F.col("x.inner").alias("hash")),
-        F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("x.capital").alias("hash")),
+        F.struct(F.lit("folded").alias("template"), F.col("folded").alias("hash")),
+        F.struct(F.when(enough("inner"), F.lit("inner")).alias("template"), F.col("inner").alias("hash")),
+        F.struct(F.when(enough("capital"), F.lit("capital")).alias("template"), F.col("capital").alias("hash")),
     )
-    rows = rows.select("item_id", F.col("own").alias("width"), F.col("x.at").alias("item_at"), enough("inner").alias("used"), F.explode(made).alias("m")).where("m.template IS NOT NULL")
+    rows = rows.select("item_id", "width", F.col("at").alias("item_at"), enough("inner").alias("used"), F.explode(made).alias("m")).where("m.template IS NOT NULL")
     rows = rows.groupBy("item_id", "width", "item_at", "used", F.col("m.hash").alias("hash")).agg(F.sort_array(F.collect_set("m.template")).alias("templates"))
     sizes = rows.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(F.col("used"), F.col("item_at"))).alias("n_used"))
     return rows.join(sizes, "item_id")
@@ -217,11 +202,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_wind
         return short
     small = F.broadcast(known) if about.n <= BROADCAST_WINDOWS else known
     docs = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(pieces(F.col("text"), r"[.!?]\s", OVERLAP)).alias("piece", "text"))
-    found = docs.select("doc_id", "piece", F.explode(windows(raw_words(F.col("text")), sorted(about.widths))).alias("x")).select("doc_id", "piece", "x.*")
+    widths = F.array(*(F.lit(w) for w in sorted(about.widths)))
+    found = windows(docs, raw_words(F.col("text")), widths)
     one = (F.col("folded") == F.col("inner")) & (F.col("folded") == F.col("capital"))
-    hash_ = F.when(one, F.array("folded")).otherwise(F.array_distinct(F.array("folded", "inner", "capital")))
-    found = found.select("doc_id", "piece", F.col("at").alias("doc_at"), "width", F.explode(hash_).alias("hash"))
-    hits = found.join(small, ["width", "hash"])
+    hash_ = F.when(one, F.array("folded")).otherwise(F.array("folded", "inner", "capital"))
+    found = found.select("doc_id", "piece", F.col("at").alias("doc_at"), F.explode(hash_).alias("hash"))
+    hits = found.join(small, "hash")  # one long as key; windows of other widths have other hashes
     hits = hits.select("doc_id", "piece", "item_id", "n_windows", "n_used", "used", "templates", "width", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     # copies of an item in one document, and rows with one doc_id, repeat windows: each is kept once for each alignment
     hits = stored(hits.distinct(), "hits")

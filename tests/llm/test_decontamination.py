@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from driftglass.llm import decontamination as D
 from driftglass.llm.decontamination import contaminated, decontaminated
 
@@ -117,3 +119,36 @@ def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(D, "PIECE", 150)
     monkeypatch.setattr(D, "OVERLAP", 300)
     assert ask() == whole and len({k for _, k, _ in whole}) == 4
+
+
+def test_windows_of_one_template_share_hashes(spark):
+    r = random.Random(9)
+    pick = ["a", "b", "Anna", "Bob", "3", "4 km", "5 kg", "NATO", "c.", "d,"]
+    texts = [" ".join(r.choice(pick[: r.choice([4, 8, 10])] if i % 2 else pick[2:7]) for _ in range(r.randrange(1, 24))) for i in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("raw", D.raw_words(F.col("text")))
+    words = {x.k: x.w for x in rows.select("k", D.template_words(F.col("raw")).alias("w")).collect()}
+    got = D.windows(rows.drop("text"), F.col("raw"), F.array(F.lit(2), F.lit(3), F.lit(5))).collect()
+    assert sorted((x.k, x.width, x.at) for x in got) == [(k, w, a) for k in words for w in (2, 3, 5) for a in range(len(words[k]) - w + 1)]
+    by_template, by_hash, dense = {}, {}, 0
+    for x in got:
+        window = words[x.k][x.at : x.at + x.width]
+        valued = 2 * sum(w.v[0] in D.MARK + D.UNIT for w in window) > x.width
+        dense += valued
+        for name in ("folded", "inner", "capital"):
+            template = tuple(w.v if name == "folded" and valued else w[name] for w in window)
+            by_template.setdefault(template, set()).add(x[name])
+            by_hash.setdefault(x[name], set()).add(template)
+    assert all(len(x) == 1 for x in by_template.values()) and all(len(x) == 1 for x in by_hash.values())
+    assert 50 < dense < len(got) - 50
+
+
+def test_windows_are_made_in_compiled_code(spark, monkeypatch):
+    """Lambda functions are interpreted: each goes over all words, so they may not grow with the widths asked for."""
+    real, plans = D.stored, []
+    monkeypatch.setattr(D, "stored", lambda df, name: (name == "hits" and plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    words = LONG.split()
+    for sizes in ([8], [5, 6, 7, 8]):
+        bench = spark.createDataFrame([(n, " ".join(words[:n])) for n in sizes], "item_id long, text string")
+        assert {(x.item_id, x.n_windows) for x in contaminated(docs_of(spark, [(1, LONG)]), bench).collect()} == {(n, 1) for n in sizes}
+    passes = [p.count("zip_with(") + p.count("transform(") for p in plans]
+    assert passes[0] == passes[1] <= 10
