@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,28 +47,38 @@ def permutation_test(samples: DataFrame, by: list[str], row_id: list[str], times
     numbers, with one added above and below. Groups of up to `together` values are dealt as arrays, permutations in blocks;
     larger ones row by row. Both deal alike.
     """
-    rows = samples.where("value IS NOT NULL")
     found = compared(samples, by).select(*by, "n_a", "n_b", "ks", "gap")
-    small, large = by_size(rows, by, together)
+    return tested(found, null_gaps(samples, by, row_id, times, seed, together), by, times)
+
+
+def null_gaps(samples: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, together: int = TOGETHER) -> DataFrame:
+    """by, null_gap: the distance, in whole numbers, of each permutation."""
+    small, large = by_size(samples.where("value IS NOT NULL"), by, together)
     nulls = []
     if small is not None:
         nulls.append(in_blocks(small, by, row_id, times, seed, permuted_gaps, "null_gap long"))
     if large is not None:
         dealt = dealt_labels(large, by, row_id, times, seed)
         nulls.append(compared(dealt, [*by, "perm"]).select(*by, F.col("gap").alias("null_gap")))
-    null = nulls[0].unionByName(nulls[1]) if len(nulls) > 1 else nulls[0]
+    return nulls[0].unionByName(nulls[1]) if len(nulls) > 1 else nulls[0]
+
+
+def tested(found: DataFrame, null: DataFrame, by: list[str], times: int) -> DataFrame:
+    """by, ks, pvalue, null95 of found(by, n_a, n_b, ks, gap) and the permutations' null(by, null_gap)."""
     null_ks = F.when(F.col("ks").isNotNull(), F.col("null_gap") / (F.col("n_a") * F.col("n_b")))
     out = found.join(null, by, "left").groupBy(*by).agg(F.first("ks").alias("ks"), F.count_if(F.col("null_gap") >= F.col("gap")).alias("above"), F.percentile(null_ks, F.lit(0.95)).alias("null95"))
     return out.select(*by, "ks", F.when(F.col("ks").isNotNull(), (F.col("above") + 1) / (times + 1)).alias("pvalue"), "null95")
 
 
-def dealt_labels(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int) -> DataFrame:
+def dealt_labels(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, perms: DataFrame | None = None) -> DataFrame:
     """by, perm, side, value: labels of rows(by, side, row_id, value) dealt anew `times` times, 'a' to as many as have it, the least by a keyed hash.
+    perms(by, perm): the permutations that are wanted, where not all are.
 
     Hashes are counted in ranges by their first digits. The ranges before the one in which the 'a' end are all 'a', those after it 'b'; only
     that range's own rows, a few thousandths, are put in order."""
     sizes = rows.groupBy(*by).agg(F.count_if(F.col("side") == "a").alias("n_side"))
-    rows = rows.select(*by, "side", *row_id, "value").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    rows = rows.select(*by, "side", *row_id, "value")
+    rows = rows.join(perms, by) if perms is not None else rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     rows = rows.withColumn("hash", F.md5(F.concat_ws("|", F.lit(seed), F.lit("perm"), "perm", "side", *row_id))).withColumn("range", F.substring("hash", 1, 3))
     upto = F.sum("n").over(Window.partitionBy(*by, "perm").orderBy("range"))
     counts = rows.groupBy(*by, "perm", "range").agg(F.count("*").alias("n")).withColumn("upto", upto).join(sizes, by)
@@ -89,7 +98,7 @@ def bootstrap_power(samples: DataFrame, by: list[str], row_id: list[str], times:
     small, large = by_size(samples.where("value IS NOT NULL"), by, together)
     powers = []
     if small is not None:
-        powers.append(in_blocks(small, by, row_id, times, seed, drawn_powers, "power double"))
+        powers.append(in_blocks(small, by, row_id, times, seed, drawn_powers, "power double", named=False))
     if large is not None:
         rows = large.withColumn("at", F.row_number().over(Window.partitionBy(*by, "side").orderBy(*row_id)) - 1)
         sizes = rows.groupBy(*by, "side").agg(F.count("*").alias("n"))
@@ -158,8 +167,7 @@ def drawn_cells(cell: list[str], n: dict[str, int], times: int, at_once: int, se
     def counts(first: int) -> dict[str, np.ndarray]:
         reps, out = range(first, min(first + at_once, times)), {}
         for s, size in n.items():
-            made = b"".join(hashlib.md5(f"{seed}|boot|{r}|{s}|{k}".encode()).digest()[:4] for r in reps for k in range(size))
-            at = np.floor(np.frombuffer(made, ">u4") / keyed.STEPS * size).astype(np.int64).reshape(len(reps), size) + np.arange(len(reps))[:, None] * size
+            at = keyed.indexes(size, f"{seed}|boot|", first, first + len(reps), f"|{s}|", 0, size) + np.arange(len(reps))[:, None] * size
             out[s] = np.bincount(at.ravel(), minlength=len(reps) * size).reshape(len(reps), size)
         return out
 
@@ -194,30 +202,31 @@ def by_size(rows: DataFrame, by: list[str], together: int) -> tuple[DataFrame |
     return marked.where("NOT _large").drop("_large"), marked.where("_large").drop("_large")
 
 
-def in_blocks(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, make, made: str) -> DataFrame:
-    """by and what make(group, labels, first, last, seed) gives for each of `times` repeats: one group and one block of repeats at a time.
+def in_blocks(rows: DataFrame, by: list[str], row_id: list[str], times: int, seed: int, make, made: str, named: bool = True) -> DataFrame:
+    """by and what make(group, first, last, step, known, seed) yields for each of `times` repeats: one group and one block of repeats at a
+    time, of which `step` repeats, CELLS hashes, are made at once. Where rows aren't told apart by their names but by their order, named is false, and only values travel.
 
     Groups with the same rows are dealt to the same task for a block, as their hashes are the same.
     """
-    member = F.struct(*row_id, F.concat_ws("|", *row_id).alias("_id"), "value")
+    member = F.struct(*row_id, *([F.concat_ws("|", *row_id).alias("_id")] if named else []), "value")
     side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, member)))
     groups = rows.groupBy(*by).agg(side("a").alias("a"), side("b").alias("b"))
-    n = F.size("a") + F.size("b")
-    at_once = F.greatest(F.lit(1), F.least(F.lit(AT_ONCE), F.floor(CELLS / F.greatest(n, F.lit(1))).cast("int"))).alias("at_once")
-    labels = F.concat_ws("|", *by).alias("labels")
-    groups = groups.select(*by, labels, F.col("a._id").alias("a_ids"), F.col("a.value").alias("a"), F.col("b._id").alias("b_ids"), F.col("b.value").alias("b"), at_once)
-    cells = groups.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.col("at_once")))).withColumn("last", F.least(F.col("first") + F.col("at_once"), F.lit(times)))
-    same = F.xxhash64("a_ids", "b_ids")
-    cells = cells.repartition("first", same).sortWithinPartitions("first", same)
+    ids = [F.col(f"{s}._id").alias(f"{s}_ids") for s in "ab"] if named else []
+    groups = groups.select(*by, F.concat_ws("|", *by).alias("labels"), *ids, F.col("a.value").alias("a"), F.col("b.value").alias("b"))
+    cells = groups.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.lit(AT_ONCE))))
+    same = F.xxhash64("a_ids", "b_ids") if named else F.xxhash64("labels")
+    spread = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are few and the work on them isn't small
+    cells = cells.repartition(spread, "first", same).sortWithinPartitions("first", same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             for i in range(len(batch)):
-                cell = {c: batch.column(c)[i] for c in ("labels", "first", "last", "a_ids", "a", "b_ids", "b")}
-                values = make(cell, known, seed)
-                at = pa.array(np.full(len(values), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(values)], names=[*by, made.split()[0]])
+                cell = {c: batch.column(c)[i] for c in ("labels", "a", "b", *(("a_ids", "b_ids") if named else ()))}
+                first, size = batch.column("first")[i].as_py(), max(1, len(cell["a"]) + len(cell["b"]))
+                for values in make(cell, first, min(first + AT_ONCE, times), max(1, CELLS // size), known, seed):
+                    at = pa.array(np.full(len(values), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(values)], names=[*by, made.split()[0]])
 
     kinds = dict(rows.dtypes)
     return cells.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + made)
@@ -227,41 +236,52 @@ def values_of(cell: dict, side: str) -> np.ndarray:
     return cell[side].values.to_numpy(zero_copy_only=False)
 
 
-def permuted_gaps(cell: dict, known: dict, seed: int) -> np.ndarray:
-    """The greatest distance (in whole numbers) of each permutation from first to last."""
-    perms = range(cell["first"].as_py(), cell["last"].as_py())
-    names = [f"a|{x}" for x in cell["a_ids"].as_py()] + [f"b|{x}" for x in cell["b_ids"].as_py()]
-    if known.get("at") != (perms, names):  # statistics of the same windows share their hashes
-        made = b"".join(hashlib.md5(f"{seed}|perm|{p}|{x}".encode()).digest() for p in perms for x in names)
-        order = np.frombuffer(made, ">u8").reshape(len(perms), len(names), 2)
-        known.update(at=(perms, names), order=np.lexsort((order[:, :, 1], order[:, :, 0]), axis=1))
+def label_hashes(names: list[bytes], first: int, last: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the hash that orders names (side and id) in each permutation from first to last - 1."""
+    halves = np.empty((2, last - first, len(names)), np.uint64)
+    sizes = np.fromiter(map(len, names), int, len(names))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        tails = np.frombuffer(b"".join(names[k] for k in at), np.uint8).reshape(len(at), size)
+        for k, words in keyed.hashes(f"{seed}|perm|", first, last, "|", tails):
+            for half, (left, right) in zip(halves, (words[:2], words[2:])):
+                half[k - first : k - first + len(left), at] = left.astype(np.uint64) << np.uint64(32) | right
+    return halves[0], halves[1]
+
+
+def permuted_gaps(cell: dict, first: int, last: int, step: int, known: dict, seed: int) -> Iterator[np.ndarray]:
+    """The greatest distance (in whole numbers) of each permutation from first to last - 1."""
     a, b = values_of(cell, "a"), values_of(cell, "b")
     values, n = np.append(a, b), len(a) + len(b)
+    names = [f"{s}|{x}".encode() for s in "ab" for x in cell[f"{s}_ids"].as_py()]
+    if known.get("at") != (first, names):  # statistics of the same windows share their labels
+        known.update(at=(first, names), dealt=np.zeros((last - first, n), bool))
+        for k in range(first, last, step):
+            high, low = label_hashes(names, k, min(k + step, last), seed)
+            np.put_along_axis(known["dealt"][k - first : k - first + step], np.lexsort((low, high), axis=1)[:, : len(a)], True, axis=1)
     place = np.argsort(values, kind="stable")
-    dealt = np.zeros((len(perms), n), bool)
-    np.put_along_axis(dealt, known["order"][:, : len(a)], True, axis=1)
     ends = np.append(values[place][1:] != values[place][:-1], True)[:n]
-    below = np.cumsum(dealt[:, place], axis=1, dtype=np.int64)[:, ends]
-    return np.abs(below * n - (np.flatnonzero(ends) + 1) * len(a)).max(axis=1, initial=0)
+    for k in range(0, last - first, step):
+        below = np.cumsum(known["dealt"][k : k + step, place], axis=1, dtype=np.int64)[:, ends]
+        yield np.abs(below * n - (np.flatnonzero(ends) + 1) * len(a)).max(axis=1, initial=0)
 
 
-def drawn_powers(cell: dict, known: dict, seed: int) -> np.ndarray:
-    """The power of each repeat from first to last; none if a side has too few values."""
-    reps, sides = range(cell["first"].as_py(), cell["last"].as_py()), (values_of(cell, "a"), values_of(cell, "b"))
+def drawn_powers(cell: dict, first: int, last: int, step: int, known: dict, seed: int) -> Iterator[np.ndarray]:
+    """The power of each repeat from first to last - 1; none if a side has too few values."""
+    sides, labels = (values_of(cell, "a"), values_of(cell, "b")), cell["labels"].as_py()
     if min(map(len, sides)) < LEAST:
-        return np.zeros(0)
+        return
     levels = np.unique(np.append(*sides))
-    counts = []
-    for name, values in zip("ab", sides):
-        n = len(values)
-        made = b"".join(hashlib.md5(f"{seed}|boot|{cell['labels'].as_py()}|{r}|{name}|{k}".encode()).digest()[:4] for r in reps for k in range(n))
-        at = np.floor(np.frombuffer(made, ">u4") / keyed.STEPS * n).astype(np.int64).reshape(len(reps), n)
-        level = np.searchsorted(levels, values)[at] + np.arange(len(reps))[:, None] * len(levels)
-        counts.append(np.bincount(level.ravel(), minlength=len(reps) * len(levels)).reshape(len(reps), -1))
-    a, b = counts
-    pairs = len(sides[0]) * len(sides[1])
-    wins = (a * (2 * (len(sides[1]) - np.cumsum(b, axis=1)) + b)).sum(axis=1)
-    return 2 * np.abs(wins / (2 * pairs) - 0.5)
+    at_level, pairs = [np.searchsorted(levels, values) for values in sides], len(sides[0]) * len(sides[1])
+    for k in range(first, last, step):
+        reps, counts = min(k + step, last) - k, []
+        for name, level in zip("ab", at_level):
+            at = keyed.indexes(len(level), f"{seed}|boot|{labels}|", k, k + reps, f"|{name}|", 0, len(level))
+            at = level[at] + np.arange(reps)[:, None] * len(levels)
+            counts.append(np.bincount(at.ravel(), minlength=reps * len(levels)).reshape(reps, -1))
+        a, b = counts
+        wins = (a * (2 * (len(sides[1]) - np.cumsum(b, axis=1)) + b)).sum(axis=1)
+        yield 2 * np.abs(wins / (2 * pairs) - 0.5)
 
 
 def by_columns(by: list[str]) -> list:
