@@ -31,3 +31,36 @@ def test_a_large_group_is_copied_for_blocks_of_repeats_only(spark, monkeypatch):
 
     got = [r.power for r in twosample.in_blocks(rows, ["g"], ["k"], 250, 1, copies, "power double", named=False).collect()]
     assert sorted(got) == [50, 100, 100]
+
+
+def cells(spark, seed, n_real=400, n_made=9):
+    g = np.random.default_rng(seed)
+    real = [(s, f"w-{k}", None if (s, k % 7) == ("y", 3) else float(v)) for s in "xy" for k, v in enumerate(g.normal(size=n_real).round(1))]
+    made = [(s, m, f"{m}-{k}", None if (s, m, k) == ("y", "q", 2) else float(v)) for s in "xy" for m in ("p", "q") for k, v in enumerate(g.normal(0.3, 1, n_made).round(1))]
+    made += [("none", "p", f"p-{k}", 1.0) for k in range(6)] + [("x", "few", "few-1", 0.2)]
+    a, b = spark.createDataFrame(real, "stat string, id string, value double"), spark.createDataFrame(made, "stat string, generator string, id string, value double")
+    return a.repartition(3), b.repartition(3)
+
+
+def rows_of(df):
+    return {(r.stat, r.generator): tuple(None if x is None else round(x, 12) for x in r[2:]) for r in df.collect()}
+
+
+def test_cells_that_share_their_real_values_compare_alike(spark):
+    a, b = cells(spark, 1)
+    got = rows_of(twosample.compared_cells(a, b, ["stat", "generator"], "stat"))
+    sides = a.join(b.select("stat", "generator").distinct(), "stat").withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    assert got == rows_of(twosample.compared(sides, ["stat", "generator"])) and got["x", "few"][2] is None and got["none", "p"][0] == 0
+
+
+@pytest.mark.parametrize(("chunk", "slots"), [(64, 100), (7, 1000)])
+def test_intervals_by_chunks(spark, monkeypatch, chunk, slots):
+    a, b = cells(spark, 2)
+    cell = ["stat", "generator"]
+    made = b.select(*cell, F.regexp_replace("id", ".*-", "").alias("id"), "value")
+    want = rows_of(twosample.cell_intervals(a, made, cell, "stat", 130, 5, together=3))  # row by row
+    by_chunks = twosample.powers_by_chunks
+    monkeypatch.setattr(twosample, "powers_by_chunks", lambda *args: by_chunks(*args, chunk, slots))
+    assert rows_of(twosample.cell_intervals(a, made, cell, "stat", 130, 5)) == want
+    a, b = cells(spark, 3, n_real=3)  # repeats may draw too few values
+    assert rows_of(twosample.cell_intervals(a, b, cell, "stat", 20, 5)) == rows_of(twosample.cell_intervals(a, b, cell, "stat", 20, 5, together=2))
