@@ -64,3 +64,17 @@ def test_intervals_by_chunks(spark, monkeypatch, chunk, slots):
     assert rows_of(twosample.cell_intervals(a, made, cell, "stat", 130, 5)) == want
     a, b = cells(spark, 3, n_real=3)  # repeats may draw too few values
     assert rows_of(twosample.cell_intervals(a, b, cell, "stat", 20, 5)) == rows_of(twosample.cell_intervals(a, b, cell, "stat", 20, 5, together=2))
+
+
+@pytest.mark.parametrize(("most", "slack"), [(1.0, 6), (1.0, -2), (0.0, 6)])  # dealt as lists; many lists too short; dealt as arrays
+def test_few_made_values_are_dealt_as_lists(spark, monkeypatch, most, slack):
+    from driftglass.operators import cells as shared_cells
+
+    monkeypatch.setattr(shared_cells, "RARE", most)
+    monkeypatch.setattr(shared_cells, "share", lambda n_a, n_b: min(1.0, (n_b + slack) / (n_a + n_b)))
+    monkeypatch.setattr(twosample, "CELLS", 900)
+    a, b = cells(spark, 4)
+    cell = ["stat", "generator"]
+    sides = a.join(b.select(*cell).distinct(), "stat").withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    want = rows_of(twosample.permutation_test(sides, cell, ["id"], 47, 5))
+    assert rows_of(shared_cells.permutation_test(a, b, cell, "stat", 47, 5)) == want
