@@ -78,3 +78,26 @@ def test_few_made_values_are_dealt_as_lists(spark, monkeypatch, most, slack):
     sides = a.join(b.select(*cell).distinct(), "stat").withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
     want = rows_of(twosample.permutation_test(sides, cell, ["id"], 47, 5))
     assert rows_of(shared_cells.permutation_test(a, b, cell, "stat", 47, 5)) == want
+
+
+def test_worst_cases_meet_the_real_values_without_copies(spark, monkeypatch):
+    from driftglass.operators import reports
+    from driftglass.plans import catalogue
+
+    a, b = cells(spark, 6)
+    a, b, cell = a.where("stat <> 'none'").cache(), b.where("stat <> 'none' AND generator <> 'few'").cache(), ["stat", "generator"]
+    copies = []
+    two_sides = twosample.two_sides
+    monkeypatch.setattr(twosample, "two_sides", lambda *args, **named: copies.append(1) or two_sides(*args, **named))
+    monkeypatch.setattr(catalogue, "fitted_sides", lambda spark, d: (a, b))
+    monkeypatch.setattr(catalogue, "long_of", lambda spark, d, stride=250: a)
+    monkeypatch.setattr(catalogue, "BOOTSTRAPS", 40)
+    got = {r.stat: r.asDict() for r in catalogue.worst_case_table(spark, "").collect()}
+    assert not copies and set(got) == {"x", "y"}  # each generator had its copy of all real values before
+    sides = two_sides(a, b, generator=("p", "q"))
+    worst = reports.worst_cases(twosample.compared(sides, cell))
+    want = worst.join(twosample.bootstrap_power(sides.join(worst.select(cell), cell), cell, ["id"], 40, catalogue.sql.SEED), cell)
+    for r in want.collect():
+        mine = got[r.stat]
+        assert (mine["generator"], mine["power"], mine["ci_lo"], mine["ci_hi"]) == (r.generator, *(pytest.approx(x, abs=1e-6) for x in (r.power, r.ci_lo, r.ci_hi)))
+        assert mine["power_apart"] == pytest.approx(r.power, abs=1e-6)
